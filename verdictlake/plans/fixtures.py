@@ -58,9 +58,6 @@ PAPER_COLUMNS = """doc_id,
   text AS abstract, lang AS language, source,
   2000 + doc_id % 25 AS publication_year, (doc_id * 37) % 2000 AS cited_by_count"""
 
-# Turn verdicts: up to three hallucinated items of each kind, by the turn's key.
-VERDICT_COLUMNS = """conv_id, turn, conv_id * 31 + turn * 7 AS q"""
-
 ORACLE_VIEWS = {
     "claims_fx": """SELECT conv_id, turn, claim_idx, claim_text, conv_id * 31 + turn * 7 + claim_idx * 13 AS h,
        substr(md5(concat_ws(':', conv_id, turn, claim_idx)), 1, 8) AS claim_id
@@ -77,6 +74,13 @@ FROM (SELECT *, h + 1 + CASE WHEN h % 6 = 0 THEN 8 ELSE 0 END AS m FROM claims_f
     "annotator1_fx": f"SELECT {ANNOTATION_COLUMNS.format(a=2, b=1)} FROM claims_fx",
     "annotator2_fx": f"SELECT {ANNOTATION_COLUMNS.format(a=3, b=2)} FROM claims_fx WHERE h % 13 <> 0",
     "papers_fx": f"SELECT {PAPER_COLUMNS} FROM documents",
+    # Turn verdicts: up to three hallucinated items of each kind, by the turn's key.
+    "verdicts_fx": """SELECT conv_id, turn, q, a + b + c > 0 AND q % 6 <> 0 AS has_hallucination,
+  list_transform(range(1, a + 1), lambda x: concat('pkg', CAST(q % 7 + x AS VARCHAR))) AS imports,
+  list_transform(range(1, b + 1), lambda x: concat('pkg', CAST(q % 5 + x AS VARCHAR))) AS installs,
+  list_transform(range(1, c + 1), lambda x: concat('pkg', CAST(q % 3 + x AS VARCHAR))) AS functions
+FROM (SELECT *, q % 4 AS a, q % 3 AS b, CASE WHEN q % 5 = 0 THEN 2 ELSE 0 END AS c
+      FROM (SELECT conv_id, turn, conv_id * 31 + turn * 7 AS q FROM conversations WHERE role = 'assistant') t) u""",
     # Resume state: which claims an interrupted run had cached and judged.
     "cache_fx": "SELECT * FROM claims_fx WHERE conv_id % 3 <> 0",
     "judged_fx": """SELECT * FROM judgments_fx
@@ -159,6 +163,23 @@ class Inputs:
     def papers(self) -> DataFrame:
         return self._over(PAPER_COLUMNS, self.table("documents"))
 
+    def verdicts(self) -> DataFrame:
+        turns = self.table("conversations").filter("role = 'assistant'").selectExpr(
+            "conv_id", "turn", "conv_id * 31 + turn * 7 AS q")
+
+        def items(n: str, shift: int, function: str) -> str:
+            return (f"transform(filter(array(1, 2, 3), x -> x <= {n}), x -> named_struct("
+                    f"'package', concat('pkg', CAST(q % {shift} + x AS STRING)), 'function', {function}, "
+                    "'code', concat('code ', CAST(x AS STRING)), 'reason', 'not found'))")
+
+        return turns.selectExpr(
+            "conv_id", "turn", "q", "q % 4 + q % 3 + IF(q % 5 = 0, 2, 0) > 0 AND q % 6 <> 0 AS has_hallucination",
+            items("q % 4", 7, "CAST(NULL AS STRING)") + " AS hallucinated_imports",
+            items("q % 3", 5, "CAST(NULL AS STRING)") + " AS hallucinated_installs",
+            items("IF(q % 5 = 0, 2, 0)", 3, "concat('fn', CAST(x AS STRING))") + " AS hallucinated_function_calls",
+            "'checked' AS reasoning",
+        )
+
     def cache(self) -> DataFrame:
         return self.claims().filter("conv_id % 3 <> 0")
 

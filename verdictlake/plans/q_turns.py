@@ -67,13 +67,20 @@ def evaluations_read(i: Inputs):
     )
 
 
-@query("valid_prefix_rows", "A4")
+@query("valid_prefix_rows", "A4", with_views("claims_fx", """
+, c AS (SELECT *, conv_id % 8 AS bucket FROM claims_fx),
+bad AS (SELECT bucket, min((conv_id, turn, claim_idx)) AS bad_at FROM c WHERE h % 97 = 5 GROUP BY bucket)
+SELECT conv_id, turn, claim_idx, claim_id FROM c LEFT JOIN bad USING (bucket)
+WHERE bad_at IS NULL OR (conv_id, turn, claim_idx) < bad_at"""))
 def valid_prefix_rows(i: Inputs):
-    """Checkpoint lines of all claims, cut where each file's first broken line stands."""
+    """Checkpoint lines of all claims in eight ordered files, each cut at its first broken line."""
     path = files.scratch(i.spark, "prefix")
     line = F.to_json(F.struct("conv_id", "turn", "claim_idx", "claim_id"))
     broken = F.col("h") % 97 == 5
-    i.claims().select(F.when(broken, F.lit('{"conv_id": 1, ')).otherwise(line).alias("value")).write.text(path)
+    claims = i.claims().withColumn("bucket", F.col("conv_id") % 8)
+    ordered = claims.repartition(8, "bucket").sortWithinPartitions("bucket", "conv_id", "turn", "claim_idx")
+    ordered.select("bucket", F.when(broken, F.lit('{"conv_id": 1, ')).otherwise(line).alias("value")).write.partitionBy(
+        "bucket").text(path)
     return files.read_valid_prefix(i.spark, path, "conv_id BIGINT, turn BIGINT, claim_idx BIGINT, claim_id STRING")
 
 
@@ -143,7 +150,7 @@ def normalized_extraction_counts(i: Inputs):
 
 
 @query("latest_annotations", "A8", """
-SELECT conv_id AS conv_idx, turn AS turn_number, len(list_filter([1, 2, 3], x -> x <= (conv_id + 2 * turn) % 4)) AS n_claims
+SELECT conv_id AS conv_idx, turn AS turn_number, (conv_id + 2 * turn) % 4 AS n_claims
 FROM conversations WHERE role = 'assistant' AND (conv_id + 2 * turn) % 4 > 0""")
 def latest_annotations(i: Inputs):
     """Every assistant turn is saved three times; the third save decides, and may clear the turn."""
