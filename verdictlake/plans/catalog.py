@@ -1,6 +1,7 @@
 """All registered queries; importing this module fills the registry."""
 
 from verdictlake.plans import (  # noqa: F401
+    q_compare,
     q_reports,
     q_turns,
 )

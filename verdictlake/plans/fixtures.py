@@ -58,6 +58,14 @@ PAPER_COLUMNS = """doc_id,
   text AS abstract, lang AS language, source,
   2000 + doc_id % 25 AS publication_year, (doc_id * 37) % 2000 AS cited_by_count"""
 
+# Judge answers as text: plain, fenced, with a stray escape, or cut off.
+RAW_COLUMNS = """conv_id, turn, claim_idx, claim_id, h, m, model_name, authority, reference_grounding, hallucination,
+  CASE WHEN h % 10 = 2 THEN concat('```', chr(10), b, chr(10), '```') WHEN h % 2 = 0 THEN concat('Here: ```json', chr(10), b, chr(10), '``` done') ELSE concat(' ', b) END AS response"""
+RAW_BODY = """CASE WHEN h % 31 = 5 THEN substr(f, 1, 40) ELSE f END AS b"""
+RAW_FULL = """concat('{"reference_name": "ref ', CAST(m % 7 AS VARCHAR(20)), '", "reference_grounding": "', reference_grounding,
+  '", "hallucination": "', hallucination, '", "hallucinated_import_detected": ', CASE WHEN m % 4 = 0 THEN 'true' ELSE 'false' END,
+  ', "reason": "seen ', CASE WHEN h % 14 = 3 THEN concat(chr(92), '(t', chr(92), ')') ELSE 'x' END, '"}') AS f"""
+
 ORACLE_VIEWS = {
     "claims_fx": """SELECT conv_id, turn, claim_idx, claim_text, conv_id * 31 + turn * 7 + claim_idx * 13 AS h,
        substr(md5(concat_ws(':', conv_id, turn, claim_idx)), 1, 8) AS claim_id
@@ -74,6 +82,8 @@ FROM (SELECT *, h + 1 + CASE WHEN h % 6 = 0 THEN 8 ELSE 0 END AS m FROM claims_f
     "annotator1_fx": f"SELECT {ANNOTATION_COLUMNS.format(a=2, b=1)} FROM claims_fx",
     "annotator2_fx": f"SELECT {ANNOTATION_COLUMNS.format(a=3, b=2)} FROM claims_fx WHERE h % 13 <> 0",
     "papers_fx": f"SELECT {PAPER_COLUMNS} FROM documents",
+    "raw_fx": f"""SELECT {RAW_COLUMNS} FROM (SELECT *, {RAW_BODY} FROM (SELECT *, {RAW_FULL}
+  FROM (SELECT *, concat('m', CAST(conv_id % 5 AS VARCHAR(20))) AS model_name, concat('body ', CAST(h % 13 AS VARCHAR(20))) AS authority FROM judgments_fx) x) y) z""",
     # Turn verdicts: up to three hallucinated items of each kind, by the turn's key.
     "verdicts_fx": """SELECT conv_id, turn, q, a + b + c > 0 AND q % 6 <> 0 AS has_hallucination,
   list_transform(range(1, a + 1), lambda x: concat('pkg', CAST(q % 7 + x AS VARCHAR))) AS imports,
@@ -97,7 +107,7 @@ FROM claims_fx, LATERAL (SELECT unnest([1, 2]) AS step) s, LATERAL (SELECT unnes
 NEEDS = {
     "judgments_fx": ["claims_fx"], "judgments2_fx": ["claims_fx"], "payload_fx": ["claims_fx"],
     "annotator1_fx": ["claims_fx"], "annotator2_fx": ["claims_fx"], "cache_fx": ["claims_fx"],
-    "judged_fx": ["judgments_fx"], "hits_fx": ["claims_fx"],
+    "judged_fx": ["judgments_fx"], "raw_fx": ["judgments_fx"], "hits_fx": ["claims_fx"],
 }
 
 
@@ -143,7 +153,8 @@ class Inputs:
         )
 
     def _over(self, columns: str, source: DataFrame) -> DataFrame:
-        return self.spark.sql(f"SELECT {columns} FROM {{source}}", source=source)
+        escaped = columns.replace("{", "{{").replace("}", "}}")
+        return self.spark.sql(f"SELECT {escaped} FROM {{source}}", source=source)
 
     def judgments(self, second: bool = False, conversations: DataFrame | None = None) -> DataFrame:
         shift = "h + 1 + CASE WHEN h % 6 = 0 THEN 8 ELSE 0 END" if second else "h + 1"
@@ -163,6 +174,12 @@ class Inputs:
     def papers(self) -> DataFrame:
         return self._over(PAPER_COLUMNS, self.table("documents"))
 
+    def raw_responses(self) -> DataFrame:
+        named = self.judgments().selectExpr(
+            "*", "concat('m', CAST(conv_id % 5 AS STRING)) AS model_name",
+            "concat('body ', CAST(h % 13 AS STRING)) AS authority")
+        return self._over(RAW_COLUMNS, self._over("*, " + RAW_BODY, self._over("*, " + RAW_FULL, named)))
+
     def verdicts(self) -> DataFrame:
         turns = self.table("conversations").filter("role = 'assistant'").selectExpr(
             "conv_id", "turn", "conv_id * 31 + turn * 7 AS q")
