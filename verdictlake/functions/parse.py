@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from verdictlake import schemas
 from verdictlake.functions.claims import domain, first_filled
 from verdictlake.functions.labels import BLANKS, text
-
-FENCE = "```"
+from verdictlake.scale import evaluate_once
 
 
 def _strip(c: Column) -> Column:
@@ -18,15 +17,9 @@ def _strip(c: Column) -> Column:
 
 def unfence(c: Column | str) -> Column:
     """Body of the first json fence, else of the first fence, else the text itself."""
-    s = _strip(text(c))
-
-    def body(opening: str) -> Column:
-        rest = F.substring_index(F.substring(s, F.instr(s, opening) + F.lit(len(opening)), F.length(s)), FENCE, 1)
-        return _strip(rest)
-
-    return (
-        F.when(s.contains(FENCE + "json"), body(FENCE + "json")).when(s.contains(FENCE), body(FENCE)).otherwise(s)
-    )
+    # Each pattern takes the whole text apart, and leaves a text without its fence as it is.
+    tagged = F.regexp_replace(text(c), r"(?s)\A.*?```json(.*?)(?:```.*)?\z", "$1")
+    return _strip(F.regexp_replace(tagged, r"(?s)\A.*?```(.*?)(?:```.*)?\z", "$1"))
 
 
 def is_json(c: Column) -> Column:
@@ -51,9 +44,10 @@ def parse_judgments(
     body = unfence(response)
     if repair:
         body = repair_escapes(body)
-    parsed = raw.withColumn("_body", body).withColumn(
-        "_r", F.when(is_json(F.col("_body")) & F.col("_body").startswith("{"),
-                     F.from_json("_body", schemas.JUDGE_RESPONSE)))
+    parsed = evaluate_once(
+        evaluate_once(raw, "_body", body), "_r",
+        F.when(is_json(F.col("_body")) & F.col("_body").startswith("{"),
+               F.from_json("_body", schemas.JUDGE_RESPONSE)))
     keep = raw.columns
     defaults = {
         "reference_name": "Unknown", "reference_grounding": "Unknown", "content_grounding": "Unknown",
@@ -83,7 +77,8 @@ def parse_rate(good: DataFrame, bad: DataFrame, by: str = "model_name") -> DataF
 
 def parse_turn_verdicts(raw: DataFrame, response: str = "response") -> DataFrame:
     """Direct verdicts: fenced object, else flat object naming the verdict, else outermost braces, else empty."""
-    s = _strip(text(response))
+    raw = evaluate_once(raw, "_s", _strip(text(response)))
+    s = F.col("_s")
     fenced = F.regexp_extract(s, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     flat = F.regexp_extract(s, r'(?s)\{[^{}]*"has_hallucination"[^{}]*\}', 0)
     first = F.instr(s, "{")
@@ -94,7 +89,7 @@ def parse_turn_verdicts(raw: DataFrame, response: str = "response") -> DataFrame
         return F.when(is_json(c) & c.startswith("{"), c)
 
     body = F.coalesce(usable(fenced), usable(flat), usable(outer))
-    parsed = raw.withColumn("_s", s).withColumn("_v", F.from_json(body, schemas.TURN_VERDICT))
+    parsed = evaluate_once(evaluate_once(raw, "_body", body), "_v", F.from_json("_body", schemas.TURN_VERDICT))
     lists = ("hallucinated_imports", "hallucinated_installs", "hallucinated_function_calls")
     empty = F.from_json(F.lit("[]"), f"ARRAY<{schemas.ISSUE}>")
     out = parsed.withColumns({
@@ -109,7 +104,7 @@ def parse_turn_verdicts(raw: DataFrame, response: str = "response") -> DataFrame
         "hallucinated_import_detected": F.size(lists[0]) > 0,
         "hallucinated_install_detected": F.size(lists[1]) > 0,
         "hallucinated_function_usage_detected": F.size(lists[2]) > 0,
-    }).drop("_s", "_v")
+    }).drop("_s", "_body", "_v")
 
 
 def parse_claims(raw: DataFrame, task: str, response: str = "response", statement: str = "text") -> DataFrame:
@@ -121,7 +116,7 @@ def parse_claims(raw: DataFrame, task: str, response: str = "response", statemen
     body = repair_escapes(unfence(response))
     items = F.when(F.col("_b").startswith("["), F.from_json("_b", f"ARRAY<{element}>")).when(
         F.col("_b").startswith("{"), F.array(F.from_json("_b", element)))
-    rows = raw.withColumn("_b", body).filter(is_json(F.col("_b"))).select(
+    rows = evaluate_once(raw, "_b", body).filter(is_json(F.col("_b"))).select(
         "conv_id", "turn", F.col(statement).alias("original_statement"), F.posexplode(items).alias("pos", "c"))
     fields = [f for f in schemas.CLAIM_FIELDS if f != "original_statement"]
     flat = rows.select(
@@ -136,8 +131,9 @@ def parse_search_plan(raw: DataFrame, response: str = "response") -> DataFrame:
     body = repair_escapes(unfence(response))
     plan = "continue_searching BOOLEAN, search_query STRING, relevant_urls ARRAY<STRING>"
     fenced = _strip(F.regexp_extract(text(response), r"(?s)```(?:\w+)?\s*(.*?)```", 1))
-    parsed = raw.withColumn("_b", body).withColumn(
-        "_p", F.when(is_json(F.col("_b")) & F.col("_b").startswith("{"), F.from_json("_b", plan)))
+    parsed = evaluate_once(
+        evaluate_once(raw, "_b", body), "_p",
+        F.when(is_json(F.col("_b")) & F.col("_b").startswith("{"), F.from_json("_b", plan)))
     failed = F.col("_p").isNull()
     return parsed.select(
         *raw.columns,

@@ -4,5 +4,6 @@ from verdictlake.plans import (  # noqa: F401
     q_compare,
     q_reports,
     q_turns,
+    q_web,
 )
 from verdictlake.plans.registry import ORACLES, QUERIES, SURVEY_IDS  # noqa: F401

@@ -63,6 +63,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def evaluate_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later filters and projections read instead of recomputing.
+
+    Projections merge and filters move down, which repeats a costly expression
+    (parsing, long regular expressions) at every use. A one-element generator keeps it in place.
+    """
+    return df.select("*", F.explode(F.array(F.struct(value.alias(name)))).alias("_once")).select(
+        *df.columns, F.col(f"_once.{name}").alias(name))
+
+
 def broadcast_when_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Hint a broadcast only after counting at most `max_rows` + 1 rows; else leave the join to AQE."""
     few = df.limit(max_rows + 1).count() <= max_rows
