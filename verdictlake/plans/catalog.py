@@ -2,6 +2,7 @@
 
 from verdictlake.plans import (  # noqa: F401
     q_compare,
+    q_rank,
     q_reports,
     q_turns,
     q_web,
