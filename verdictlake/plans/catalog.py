@@ -4,6 +4,7 @@ from verdictlake.plans import (  # noqa: F401
     q_compare,
     q_rank,
     q_reports,
+    q_stream,
     q_turns,
     q_web,
 )
