@@ -89,7 +89,7 @@ def canonical_url(url: Column | str) -> Column:
     placed = F.transform(kept, lambda p, i: F.struct(
         F.array_position(F.transform(kept, lambda q: q["k"]), p["k"]).alias("first"), i.alias("i"),
         F.concat(p["k"], F.lit("="), p["v"]).alias("t")))
-    joined = F.array_join(F.transform(F.array_sort(placed), lambda p: p["t"]), "&")
+    joined = F.array_join(F.transform(F.sort_array(placed), lambda p: p["t"]), "&")
     query = F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise("")
     lowered = F.concat(scheme(u), F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*(:[^?#]*)", 1))
     base = F.when(scheme(u) != "", lowered).otherwise(F.regexp_extract(u, r"^([^?#]*)", 1))

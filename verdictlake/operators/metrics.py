@@ -156,7 +156,7 @@ def score_direct(convs: DataFrame, verdicts: DataFrame) -> DataFrame:
     # A turn gives at least one issue, so the first three issues lie in the first three such turns.
     leading = first_n_by(turned.filter(F.size("_issues") > 0), ["conv_id"], ["turn"], 3)
     shown = leading.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "_issues"))).alias("_lead")
+        F.sort_array(F.collect_list(F.struct("turn", "_issues"))).alias("_lead")
     ).select("conv_id", F.slice(F.flatten(F.transform("_lead", lambda t: t["_issues"])), 1, 3).alias("_shown"))
     out = convs.join(per, "conv_id", "left").join(shown, "conv_id", "left")
     for name in ("total_turns", "turns_with_hallucinations", "import_hallucinations", "install_hallucinations",

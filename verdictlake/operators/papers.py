@@ -47,7 +47,7 @@ def rebuild_abstract(index: Column | str) -> Column:
     placed = F.flatten(F.transform(
         F.map_entries(index),
         lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.array_join(F.transform(F.array_sort(placed), lambda x: x["w"]), " ")
+    return F.array_join(F.transform(F.sort_array(placed), lambda x: x["w"]), " ")
 
 
 def detect_task(df: DataFrame, task: str | None = None) -> DataFrame:

@@ -57,7 +57,7 @@ def detections(sightings: DataFrame) -> DataFrame:
     the first sightings in order is enough: a combination that still matters at a later state
     mattered at every earlier one, so its first sighting is where it would have acted.
     """
-    walk = """aggregate(array_sort(collect_list(named_struct('at', at, 'bit', bit, 'mask', mask))),
+    walk = """aggregate(sort_array(collect_list(named_struct('at', at, 'bit', bit, 'mask', mask))),
       named_struct('s', 0, 'p0', CAST(NULL AS BIGINT), 'p1', CAST(NULL AS BIGINT), 'p2', CAST(NULL AS BIGINT)),
       (a, x) -> IF(a.s & x.bit <> 0, a, named_struct('s', a.s | x.mask,
         'p0', IF(a.s & 1 = 0 AND x.mask & 1 <> 0, x.at, a.p0),
@@ -277,10 +277,10 @@ def assemble_evidence(picks: DataFrame, sources: DataFrame) -> DataFrame:
     head = F.concat(
         F.lit("-- Source: "), F.coalesce("title", F.lit("Unknown")), F.lit(", url: "), text("url"), F.lit(" --\n"),
         F.when(text("snippet") != "", F.concat(F.col("snippet"), F.lit("\n\n"))).otherwise(""))
-    ordered = F.array_sort(F.collect_list(F.struct("step", "block")))
+    ordered = F.sort_array(F.collect_list(F.struct("step", "block")))
     sections = placed.groupBy("claim_id", "source_idx").agg(
         F.min(head).alias("head"), F.array_join(F.transform(ordered, lambda s: s["block"]), "\n\n").alias("body"))
-    parts = F.array_sort(F.collect_list(F.struct("source_idx", F.concat("head", "body").alias("t"))))
+    parts = F.sort_array(F.collect_list(F.struct("source_idx", F.concat("head", "body").alias("t"))))
     return sections.groupBy("claim_id").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n").alias("evidence_text"))
 
 

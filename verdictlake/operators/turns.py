@@ -58,7 +58,7 @@ def conversation_prefix(
     if suffix is not None:
         content = F.when(F.col("role") == "user", F.concat(content, F.lit(suffix))).otherwise(content)
     message = F.struct("turn", "role", content.alias("content"))
-    whole = df.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("_all"))
+    whole = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("_all"))
     bare = F.transform("_all", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
     cut = whole.select("conv_id", bare.alias("_bare"), F.posexplode("_all").alias("_pos", "_m"))
     prefix = F.slice("_bare", F.lit(1), F.col("_pos") + 1)

@@ -148,7 +148,7 @@ def hit_lines(df: DataFrame, indexed: bool) -> DataFrame:
 def render_hits(df: DataFrame, indexed: bool = False) -> DataFrame:
     """Search text of each claim: its result sets (a few steps) in order, blank line between."""
     return hit_lines(df, indexed).groupBy("claim_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "rendered"))),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", "rendered"))),
                                  lambda s: s["rendered"]), "\n\n").alias("search_text"))
 
 

@@ -135,11 +135,23 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = apply_settings(spark), folder
+        self._made: dict[object, DataFrame] = {}
+
+    def _once(self, key: object, make) -> DataFrame:
+        """Plans (not data) made once per query."""
+        if key not in self._made:
+            self._made[key] = make()
+        return self._made[key]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._once(name, lambda: self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
     def claims(self, conversations: DataFrame | None = None) -> DataFrame:
+        if conversations is not None:
+            return self._claims(conversations)
+        return self._once("claims_fx", lambda: self._claims(None))
+
+    def _claims(self, conversations: DataFrame | None) -> DataFrame:
         turns = self.table("conversations") if conversations is None else conversations
         parts = (
             turns.filter("role = 'assistant'")
@@ -157,6 +169,11 @@ class Inputs:
         return self.spark.sql(f"SELECT {escaped} FROM {{source}}", source=source)
 
     def judgments(self, second: bool = False, conversations: DataFrame | None = None) -> DataFrame:
+        if conversations is not None:
+            return self._judgments(second, conversations)
+        return self._once(("judgments", second), lambda: self._judgments(second, None))
+
+    def _judgments(self, second: bool, conversations: DataFrame | None) -> DataFrame:
         shift = "h + 1 + CASE WHEN h % 6 = 0 THEN 8 ELSE 0 END" if second else "h + 1"
         return self._over(JUDGMENT_COLUMNS, self.claims(conversations).withColumn("m", F.expr(shift)))
 

@@ -82,7 +82,7 @@ SELECT conv_id, turn, pos AS claim_idx, substr(md5(concat_ws(':', conv_id, turn,
 FROM p WHERE claimed_content NOT IN ('', 'Unknown') AND authority <> 'Unknown'"""))
 def parsed_claims(i: Inputs):
     item = F.struct("claim_idx", F.struct("claimed_content", "authority", "claimed_url").alias("c"))
-    raw = i.payload().groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(item)).alias("x")).select(
+    raw = i.payload().groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(item)).alias("x")).select(
         "conv_id", "turn", F.lit("S").alias("text"),
         F.concat(F.lit("```json\n"), F.to_json(F.transform("x", lambda e: e["c"])), F.lit("\n```")).alias("response"))
     return R.parse_claims(raw, "medical_guidelines").select(

@@ -254,8 +254,8 @@ def _authors(i: Inputs):
     """Predicted names: the claim ids of a conversation; matched: those with supported content."""
     j = i.judgments()
     return j.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list("claim_id")).alias("predicted_names"),
-        F.array_sort(F.collect_list(F.when(F.col("content_grounding").startswith("Yes"), F.col("claim_id")))
+        F.sort_array(F.collect_list("claim_id")).alias("predicted_names"),
+        F.sort_array(F.collect_list(F.when(F.col("content_grounding").startswith("Yes"), F.col("claim_id")))
                      ).alias("matched_names"),
     ).select(
         "conv_id", "predicted_names", "matched_names",

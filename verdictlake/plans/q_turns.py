@@ -108,7 +108,7 @@ def _legacy_rows(i: Inputs):
     )
     nested = (
         p.filter("conv_id % 2 = 0").groupBy("conv_id", "turn")
-        .agg(F.array_sort(F.collect_list(item)).alias("extracted_claims"))
+        .agg(F.sort_array(F.collect_list(item)).alias("extracted_claims"))
         .select(
             F.lit("extraction_result").alias("_type"),
             F.when(F.col("conv_id") % 4 == 0, F.col("conv_id")).alias("conversation_id"),
@@ -239,7 +239,7 @@ def report_items(i: Inputs):
         F.lit('</span></div><div class="reasoning"><p>'), "authority", F.lit("</p> </div></div>"),
     )
     pages = i.payload().groupBy("conv_id", "turn").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_idx", item.alias("x")))),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("claim_idx", item.alias("x")))),
                                  lambda s: s["x"]), "\n").alias("html"))
     pages = pages.withColumn("page_id", F.struct("conv_id", "turn"))
     return files.extract_report_items(pages).select(

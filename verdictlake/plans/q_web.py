@@ -105,7 +105,7 @@ RESULT_SQL = """, r AS (SELECT claim_id, h, step, list({'title': title, 'link':
 
 def _result_sets(i: Inputs):
     hit = F.struct("item", "title", "link", "snippet", "position")
-    sets = i.hits().groupBy("claim_id", "h", "step").agg(F.array_sort(F.collect_list(hit)).alias("x"))
+    sets = i.hits().groupBy("claim_id", "h", "step").agg(F.sort_array(F.collect_list(hit)).alias("x"))
     organic = F.transform("x", lambda e: F.struct(
         e["title"].alias("title"), e["link"].alias("link"), e["snippet"].alias("snippet"), e["position"].alias("position"),
         F.lit(None).cast("string").alias("date"),
@@ -264,7 +264,8 @@ SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS abstract FRO
 def rebuilt_abstracts(i: Inputs):
     """Texts turned into word-to-positions maps and back; both steps cover the whole text."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    placed = i.table("documents").select("doc_id", F.posexplode(words).alias("p", "w"))
+    # Spread by document before the words are listed: both groupings below then need no shuffle.
+    placed = i.table("documents").repartition("doc_id").select("doc_id", F.posexplode(words).alias("p", "w"))
     index = placed.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
     return index.select("doc_id", P.rebuild_abstract("m").alias("abstract"))

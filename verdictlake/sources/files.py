@@ -53,7 +53,7 @@ def nest_turns(turns: DataFrame) -> DataFrame:
     message = F.struct(
         F.col("turn").alias("turn_index"), "role", F.col("text").alias("content")
     )
-    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("t")).select(
+    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("t")).select(
         F.col("conv_id").alias("conversation_id"),
         F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"),
                                             m["turn_index"].alias("turn_index"))).alias("turns"),

@@ -6,9 +6,8 @@ replaces its own output and state. `once=True` drains what is there and stops.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,13 +16,12 @@ from verdictlake.functions import labels as L
 from verdictlake.operators import stateful as Z
 from verdictlake.operators.metrics import FALLBACKS
 from verdictlake.operators.setops import merge_judgments
-from verdictlake.scale import latest_per_key
+from verdictlake.scale import latest_per_key, settle
 
 MAX_ATTEMPTS = 3
 # How long contents wait for their PDFs, and the depth that marks a bottleneck.
 PDF_WAIT_SECONDS = 300
 DEPTH_WARNING = 50
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _start(writer, checkpoint: str, once: bool, every: str = "1 minute") -> StreamingQuery:
@@ -136,77 +134,68 @@ def compact_sightings(spark: SparkSession, state: str, upto: int, out: str) -> N
 
 # ---- contents waiting for PDFs -------------------------------------------------------------
 
-PDF_OUT = "claim_id STRING, expected BIGINT, received BIGINT, usable BIGINT, complete BOOLEAN, urls STRING"
+ARRIVAL = "claim_id STRING, ts TIMESTAMP, expected BIGINT, url STRING, content STRING, usable BOOLEAN"
 
 
-def stream_attach_pdfs(contents: DataFrame, pdfs: DataFrame, wait_seconds: int = PDF_WAIT_SECONDS,
-                       delay: str = "10 seconds") -> DataFrame:
-    """One row per claim once all its PDFs came, or after the wait with those that did; late PDFs are dropped.
-
-    `contents` carries claim_id, ts, expected; `pdfs` claim_id, ts, url, content, success. The state
-    of a claim is its expected count and the few PDFs fetched for it, and goes when a second wait has passed.
-    """
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-    class Waiting(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.head = handle.getValueState("head", "expected BIGINT, sent BOOLEAN, deadline BIGINT")
-            self.pdfs = handle.getListState("pdfs", "url STRING, usable BOOLEAN")
-
-        def _emit(self, claim: str, expected: int, deadline: int) -> pd.DataFrame:
-            got = list(self.pdfs.get())
-            usable = sorted(url for url, ok in got if ok)
-            self.head.update((expected, True, deadline))
-            self.pdfs.clear()
-            return pd.DataFrame([{
-                "claim_id": claim, "expected": expected, "received": len(got), "usable": len(usable),
-                "complete": len(got) >= expected, "urls": "|".join(usable)}])
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            expected, sent, deadline = self.head.get() if self.head.exists() else (None, False, None)
-            got = len(list(self.pdfs.get())) if not sent else 0
-            for chunk in rows:
-                if deadline is None:
-                    deadline = int(chunk["ts"].min().timestamp() * 1000) + wait_seconds * 1000
-                    self.handle.registerTimer(deadline)
-                    self.handle.registerTimer(deadline + wait_seconds * 1000)
-                if sent:
-                    continue
-                heads = chunk[chunk["expected"].notna()]
-                if len(heads):
-                    expected = int(heads["expected"].iloc[0])
-                for row in chunk[chunk["expected"].isna()].itertuples(index=False):
-                    if int(row.ts.timestamp() * 1000) <= deadline:
-                        self.pdfs.appendValue((row.url, bool(row.usable)))
-                        got += 1
-            if not sent:
-                self.head.update((expected, False, deadline))
-                if expected is not None and got >= expected:
-                    yield self._emit(key[0], expected, deadline)
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            if not self.head.exists():
-                return
-            expected, sent, deadline = self.head.get()
-            if not sent and expected is not None:
-                yield self._emit(key[0], expected, deadline)
-            if expiredTimerInfo.getExpiryTimeInMs() > deadline:
-                self.head.clear()
-                self.pdfs.clear()
-
-        def close(self) -> None:
-            pass
-
+def content_arrivals(contents: DataFrame, pdfs: DataFrame) -> DataFrame:
+    """Both inputs as one stream: contents (claim_id, ts, expected) and PDFs (claim_id, ts, url, content, success)."""
     none = F.lit(None)
     heads = contents.select("claim_id", "ts", F.col("expected").cast("bigint").alias("expected"),
-                            none.cast("string").alias("url"), none.cast("boolean").alias("usable"))
+                            none.cast("string").alias("url"), none.cast("string").alias("content"),
+                            none.cast("boolean").alias("usable"))
     usable = F.col("success") & (F.coalesce("content", F.lit("")) != "")
-    arrivals = pdfs.select("claim_id", "ts", none.cast("bigint").alias("expected"), "url", usable.alias("usable"))
-    events = heads.unionByName(arrivals).withWatermark("ts", delay)
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return events.groupBy("claim_id").transformWithStateInPandas(
-        statefulProcessor=Waiting(), outputStructType=PDF_OUT, outputMode="Append", timeMode="EventTime")
+    return heads.unionByName(pdfs.select(
+        "claim_id", "ts", none.cast("bigint").alias("expected"), "url", "content", usable.alias("usable")))
+
+
+def settle_arrivals(rows: DataFrame, wait_seconds: int = PDF_WAIT_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """What can be given out now, and what still waits, judged by the newest event time among the rows.
+
+    A claim is given out when its expected PDFs came, or when the wait since its first arrival is over;
+    PDFs stamped after the wait do not count. Rows are never gathered per claim: a claim is its counts,
+    and its PDFs stay rows of their own.
+    """
+    clock = rows.agg(F.max("ts")).scalar()
+    wait = F.expr(f"INTERVAL {wait_seconds} SECONDS")
+    firsts = rows.groupBy("claim_id").agg(F.max("expected").alias("_expected"), (F.min("ts") + wait).alias("_deadline"))
+    marked = rows.join(firsts, "claim_id").withColumn(
+        "_counts", F.col("expected").isNull() & F.col("claim_id").isNotNull() & (F.col("ts") <= F.col("_deadline")))
+    status = marked.filter("_expected IS NOT NULL").groupBy("claim_id").agg(
+        F.max("_expected").alias("expected"), F.max("_deadline").alias("_deadline"),
+        F.count_if("_counts").alias("received"))
+    ready = status.filter((F.col("received") >= F.col("expected")) | (clock > F.col("_deadline"))).select(
+        "claim_id", "expected", "received", (F.col("received") >= F.col("expected")).alias("complete"))
+    given = marked.filter("_counts AND usable").select("claim_id", "url", "content")
+    out = ready.join(given, "claim_id", "left")
+    # PDFs whose contents never come, or came and went, are forgotten after a second wait.
+    waiting = marked.filter(F.col("_expected").isNotNull() | (clock <= F.col("_deadline") + wait)).select(*rows.columns)
+    return out, waiting.join(ready.select("claim_id"), "claim_id", "left_anti")
+
+
+def stream_attach_pdfs(
+    arrivals: DataFrame, sink: str, state: str, checkpoint: str, wait_seconds: int = PDF_WAIT_SECONDS, once: bool = False
+) -> StreamingQuery:
+    """Contents with their PDFs as they become complete or time out; late PDFs are dropped.
+
+    Each batch joins what still waits from the batch before. Only waiting rows are carried, plus one
+    marker row that keeps the clock.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch
+        if batch_id > 0:
+            rows = rows.unionByName(spark.read.schema(ARRIVAL).parquet(_batch_path(state, batch_id - 1)))
+        rows = settle(rows)
+        clock = rows.agg(F.max("ts").alias("ts")).select(
+            F.lit(None).cast("string").alias("claim_id"), "ts", *[
+                F.lit(None).cast(t).alias(n) for n, t in (
+                    ("expected", "bigint"), ("url", "string"), ("content", "string"), ("usable", "boolean"))])
+        out, waiting = settle_arrivals(rows.filter("claim_id IS NOT NULL OR ts IS NOT NULL"), wait_seconds)
+        waiting.filter("claim_id IS NOT NULL").unionByName(clock).write.mode("overwrite").parquet(
+            _batch_path(state, batch_id))
+        out.filter("claim_id IS NOT NULL").write.mode("overwrite").parquet(_batch_path(sink, batch_id))
+
+    return _start(arrivals.writeStream.foreachBatch(run), checkpoint, once)
 
 
 # ---- stage log -----------------------------------------------------------------------------
