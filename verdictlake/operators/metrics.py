@@ -252,9 +252,13 @@ def grounding_by_citations(df: DataFrame, meta: DataFrame) -> DataFrame:
     bucketed = bucketed.filter("bucket IS NOT NULL")
     papers = bucketed.groupBy("bucket").agg(F.count_distinct("_paper").alias("paper_count"))
     ok = ~_error()
-    facts = df.join(bucketed.select("conv_id", "bucket"), "conv_id").groupBy("bucket").agg(
+    # Counted per conversation first, so a conversation with very many claims joins as one row.
+    per_conv = df.groupBy("conv_id").agg(
         L.count_true(ok).alias("total_facts"), L.count_true(_error()).alias("verification_errors"),
         *_failure_counts(ok))
+    counts = [c for c in per_conv.columns if c != "conv_id"]
+    facts = per_conv.join(bucketed.select("conv_id", "bucket"), "conv_id").groupBy("bucket").agg(
+        *[F.sum(c).alias(c) for c in counts])
     # At most one row per bucket on either side.
     out = papers.join(facts, "bucket", "left")
     for name in ("total_facts", "verification_errors", "hallucinated_facts", "reference_failures",
@@ -401,16 +405,20 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
-def leaderboard(evals: DataFrame) -> DataFrame:
+def leaderboard(judgments: DataFrame, meta: DataFrame) -> DataFrame:
     """Grounding totals per model within task, ranked, with a rollup row per task and in all.
 
-    `evals` carries task and model_name. `level` is 0 for a model, 1 for a task, 3 for everything.
+    `meta` carries conv_id, task and model_name. `level` is 0 for a model, 1 for a task, 3 for everything.
     """
     ok = ~_error()
-    out = evals.rollup("task", "model_name").agg(
-        F.grouping_id().cast("bigint").alias("level"), F.count("*").alias("total_facts"),
-        L.count_true(ok).alias("valid_facts"),
-        L.count_true(ok & L.is_yes("hallucination")).alias("hallucinated_facts"))
+    # Counted per conversation before the join: judgments shuffle as one row per conversation.
+    per_conv = judgments.groupBy("conv_id").agg(
+        F.count("*").alias("_n"), L.count_true(ok).alias("_v"),
+        L.count_true(ok & L.is_yes("hallucination")).alias("_h"))
+    named = per_conv.join(meta.select("conv_id", "task", "model_name"), "conv_id")
+    out = named.rollup("task", "model_name").agg(
+        F.grouping_id().cast("bigint").alias("level"), F.sum("_n").alias("total_facts"),
+        F.sum("_v").alias("valid_facts"), F.sum("_h").alias("hallucinated_facts"))
     out = out.withColumn("hallucination_rate", L.rate(F.col("hallucinated_facts"), F.col("valid_facts")))
     # Ranked rows are one per (task, model): small whatever the number of judgments.
     place = F.rank().over(Window.partitionBy("level", "task").orderBy("hallucination_rate"))
@@ -424,6 +432,7 @@ def leaderboard_coding(convs: DataFrame, judgments: DataFrame) -> DataFrame:
         F.count("*").alias("conversations"), F.sum("total_responses").alias("total_responses"),
         F.sum("overall_hallucinated_responses").alias("hallucinated_responses"))
     out = out.withColumn("hallucination_rate", L.rate(F.col("hallucinated_responses"), F.col("total_responses")))
+    # One row per model.
     return out.withColumn("place", F.rank().over(Window.orderBy("hallucination_rate")).cast("bigint"))
 
 

@@ -99,9 +99,15 @@ def next_slice(prompts: DataFrame, existing: DataFrame, n: int | None, order: Se
     have = existing.groupBy("language").agg(F.count("*").alias("_have"))
     ranked = prompts.withColumn("_rank", F.row_number().over(Window.partitionBy("language").orderBy(*order)))
     if n is not None:
-        ranked = ranked.filter(F.col("_rank") <= n)
-    joined = ranked.join(have, "language", "left")
-    return joined.filter(F.col("_rank") > F.coalesce("_have", F.lit(0))).select(*prompts.columns)
+        joined = ranked.filter(F.col("_rank") <= n).join(have, "language", "left")
+        return joined.filter(F.col("_rank") > F.coalesce("_have", F.lit(0))).select(*prompts.columns)
+    # Only the last prompt done per language is looked for; the rest is a comparison with it.
+    most = have.agg(F.coalesce(F.max("_have"), F.lit(0))).first()[0]
+    place = F.struct(*order)
+    cut = ranked.filter(F.col("_rank") <= most).join(have, "language").filter("_rank = _have").select(
+        "language", place.alias("_cut"))
+    joined = prompts.join(have, "language", "left").join(cut, "language", "left")
+    return joined.filter(F.col("_have").isNull() | (place > F.col("_cut"))).select(*prompts.columns)
 
 
 def dedup_any_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

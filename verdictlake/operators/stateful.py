@@ -174,7 +174,10 @@ def score_blocks(claims: DataFrame, blocks: DataFrame) -> DataFrame:
     return joined.withColumn("similarity", cosine("_claim", "embedding")).drop("_claim")
 
 
-PICK = "claim_id {id}, step BIGINT, block_idx BIGINT, block STRING, truncated BOOLEAN, words BIGINT, done BOOLEAN, last_sim DOUBLE, last_idx BIGINT"
+PICK = "claim_id {id}, step BIGINT, block_idx BIGINT, block STRING, truncated BOOLEAN, words BIGINT, done BOOLEAN, last_sim DOUBLE, last_idx BIGINT, vector ARRAY<DOUBLE>"
+
+
+WALKED = ["claim_id", "step", "block_idx", "block", "truncated", "words", "done", "last_sim", "last_idx", "vector"]
 
 
 def select_evidence(
@@ -188,7 +191,7 @@ def select_evidence(
     parallel. So no claim's blocks are gathered whole, and none are dropped unseen.
     Ties: lower block_idx first. A last block is cut when more than 10 words still fit.
     """
-    scored = settle(score_blocks(claims, blocks))
+    scored = score_blocks(claims, blocks)
     id_type = dict(scored.dtypes)["claim_id"]
     schema = PICK.format(id=id_type)
     best = [F.desc("similarity"), F.asc("block_idx")]
@@ -199,8 +202,7 @@ def select_evidence(
             walked = part.groupBy("claim_id").applyInPandas(_walker(budget, dedup, batch), schema)
         else:
             going_on = chosen.join(cursor.select("claim_id"), "claim_id", "left_semi")
-            held = going_on.join(scored.select("claim_id", "block_idx", "embedding"), ["claim_id", "block_idx"])
-            state = held.select("claim_id", "block_idx", "step", "words", "embedding")
+            state = going_on.select("claim_id", "step", "words", "vector")
             walked = part.groupBy("claim_id").cogroup(state.groupBy("claim_id")).applyInPandas(
                 _continued(budget, dedup, batch), schema)
         walked = settle(walked)
@@ -215,14 +217,14 @@ def select_evidence(
 
 def _remaining(scored: DataFrame, cursor: DataFrame, chosen: DataFrame, dedup: float) -> DataFrame:
     """Blocks of unfinished claims after the cursor that are no copy of a chosen block."""
-    held = chosen.filter("NOT truncated").join(scored.select("claim_id", "block_idx", "embedding"), ["claim_id", "block_idx"])
     # At most `budget` vectors per claim, as every chosen block uses at least one word.
-    kept = held.groupBy("claim_id").agg(F.collect_list("embedding").alias("_held"))
+    kept = chosen.filter("NOT truncated").groupBy("claim_id").agg(F.collect_list("vector").alias("_held"))
     open_claims = cursor.join(kept, "claim_id", "left")
     after = (F.col("similarity") < F.col("last_sim")) | (
         (F.col("similarity") == F.col("last_sim")) & (F.col("block_idx") > F.col("last_idx")))
     joined = scored.join(open_claims, "claim_id").filter(after)
-    fresh = ~F.exists(F.coalesce("_held", F.array().cast("array<array<float>>")), lambda e: cosine(e, F.col("embedding")) > dedup)
+    fresh = ~F.exists(F.coalesce("_held", F.array().cast("array<array<double>>")),
+                      lambda e: cosine(e, F.col("embedding")) > dedup)
     return settle(joined.filter(fresh).select(*scored.columns))
 
 
@@ -238,18 +240,16 @@ def _walk(pdf: pd.DataFrame, held: list[np.ndarray], words: int, step: int, budg
         if words + len(tokens) > budget:
             left = budget - words
             if left > 10:
-                rows.append((b.claim_id, step, b.block_idx, " ".join(tokens[:left]) + "...", True, left))
+                rows.append((b.claim_id, step, b.block_idx, " ".join(tokens[:left]) + "...", True, left, vec))
             done = True
             break
-        rows.append((b.claim_id, step, b.block_idx, b.block, False, len(tokens)))
+        rows.append((b.claim_id, step, b.block_idx, b.block, False, len(tokens), vec))
         words, step = words + len(tokens), step + 1
         held.append(vec)
     last = pdf.iloc[-1]
-    out = [(*r, False, None, None) for r in rows]
-    out.append((last.claim_id, step, None, None, False, words, done, float(last.similarity), int(last.block_idx)))
-    names = ["claim_id", "step", "block_idx", "block", "truncated", "words", "done", "last_sim", "last_idx"]
-    frame = pd.DataFrame(out, columns=names)
-    return frame.astype({"block_idx": "Int64", "last_idx": "Int64"})
+    out = [(*r[:6], False, None, None, r[6]) for r in rows]
+    out.append((last.claim_id, step, None, None, False, words, done, float(last.similarity), int(last.block_idx), None))
+    return pd.DataFrame(out, columns=WALKED).astype({"block_idx": "Int64", "last_idx": "Int64"})
 
 
 def _walker(budget: int, dedup: float, batch: int):
@@ -261,9 +261,8 @@ def _walker(budget: int, dedup: float, batch: int):
 def _continued(budget: int, dedup: float, batch: int):
     def run(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
-            return pd.DataFrame(columns=["claim_id", "step", "block_idx", "block", "truncated", "words", "done", "last_sim", "last_idx"])
-        held = [np.asarray(e, dtype=float) for e in state["embedding"]]
-        held = [v / (np.linalg.norm(v) + 1e-10) for v in held]
+            return pd.DataFrame(columns=WALKED)
+        held = [np.asarray(v, dtype=float) for v in state["vector"]]
         return _walk(pdf, held, int(state["words"].sum()), len(state), budget, dedup, batch)
     return run
 

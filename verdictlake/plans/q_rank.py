@@ -187,6 +187,15 @@ def next_prompt_slice(i: Inputs):
     return K.next_slice(prompts, done, 90, ["doc_id"])
 
 
+@query("remaining_prompts", "F19", """
+SELECT doc_id, lang AS language FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) d
+LEFT JOIN (SELECT lang, count(*) AS have FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1) h USING (lang) WHERE rn > coalesce(have, 0)""")
+def remaining_prompts(i: Inputs):
+    prompts = i.table("documents").select("doc_id", F.col("lang").alias("language"))
+    done = prompts.join(i.table("labels").filter("toxic = 1").select("doc_id"), "doc_id")
+    return K.next_slice(prompts, done, None, ["doc_id"])
+
+
 # Greedy deduplication, one row after the other: the state holds the keys taken so far.
 DEDUP_SQL = """, o AS (SELECT doc_id, doi, title, row_number() OVER (ORDER BY doc_id) AS rn FROM papers_fx),
 walk AS (SELECT 0::BIGINT AS rn, NULL::BIGINT AS doc_id, FALSE AS keep, []::VARCHAR[] AS dois, []::VARCHAR[] AS titles

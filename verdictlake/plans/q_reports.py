@@ -398,8 +398,7 @@ def document_distribution(i: Inputs):
 SELECT task, model_name, level, total_facts, valid_facts, hallucinated_facts, round(hallucinated_facts / CAST(valid_facts AS DOUBLE), 6) AS hallucination_rate,
   CASE WHEN level = 0 THEN rank() OVER (PARTITION BY level, task ORDER BY hallucinated_facts / CAST(valid_facts AS DOUBLE)) END AS place FROM g"""))
 def leaderboard(i: Inputs):
-    evals = i.judgments().join(i.meta().select("conv_id", "task", "model_name"), "conv_id")
-    return rounded(M.leaderboard(evals))
+    return rounded(M.leaderboard(i.judgments(), i.meta()))
 
 
 @query("leaderboard_coding", "E28", with_views("judgments_fx meta_fx", f"""{KIND_SQL.format(src='judgments_fx')},
