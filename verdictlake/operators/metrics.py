@@ -127,6 +127,19 @@ def score_coding_legacy(convs: DataFrame, turn_results: DataFrame) -> DataFrame:
     )
 
 
+def legacy_reasoning(scored: DataFrame) -> DataFrame:
+    """Add the sentence that states the rates of `score_coding_legacy`."""
+    def part(kind: str) -> Column:
+        return F.concat(
+            F.lit(f"{kind.capitalize()}: "), F.col(f"{kind}_hallucinated_count").cast("string"), F.lit("/"),
+            F.col("total_responses").cast("string"), F.lit(" ("), _percent(F.col(f"{kind}_hallucination_rate")), F.lit(")"))
+    return scored.withColumn(
+        "reasoning",
+        F.when(F.col("total_responses") == 0, "No responses to evaluate")
+        .when(F.col("overall_hallucinated_count") == 0, "No hallucinations detected")
+        .otherwise(F.concat_ws(" | ", *[part(k) for k in KINDS])))
+
+
 def score_direct(convs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Turn-level verdicts to conversation scores with a short list of issues.
 
@@ -259,9 +272,10 @@ def grounding_by_citations(df: DataFrame, meta: DataFrame) -> DataFrame:
     counts = [c for c in per_conv.columns if c != "conv_id"]
     facts = per_conv.join(bucketed.select("conv_id", "bucket"), "conv_id").groupBy("bucket").agg(
         *[F.sum(c).alias(c) for c in counts])
-    # At most one row per bucket on either side.
-    out = papers.join(facts, "bucket", "left")
-    for name in ("total_facts", "verification_errors", "hallucinated_facts", "reference_failures",
+    # Both buckets are always reported; at most one row per bucket on every side.
+    names = F.explode(F.array(F.lit("low_citations"), F.lit("high_citations"))).alias("bucket")
+    out = df.sparkSession.range(1).select(names).join(papers, "bucket", "left").join(facts, "bucket", "left")
+    for name in ("paper_count", "total_facts", "verification_errors", "hallucinated_facts", "reference_failures",
                  "content_failures", "abstentions"):
         out = out.withColumn(name, _bigint(F.col(name)))
     return _failure_rates(out)

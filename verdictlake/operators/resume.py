@@ -29,15 +29,25 @@ def unextracted(convs: DataFrame, claims: DataFrame) -> DataFrame:
     return convs.join(claims.select("conv_id"), "conv_id", "left_anti")
 
 
-def incomplete(convs: DataFrame, claims: DataFrame, judgments: DataFrame) -> DataFrame:
-    """Conversations with no judgment, or with fewer judgments than extracted claims."""
+def incomplete(
+    convs: DataFrame, claims: DataFrame, judgments: DataFrame, evaluated: DataFrame | None = None
+) -> DataFrame:
+    """Conversations with no judgment, or with fewer judgments than extracted claims.
+
+    `evaluated` names conversations that have a result; one without claims is complete then.
+    """
     expected = claims.groupBy("conv_id").agg(F.count("*").alias("expected"))
     judged = judgments.groupBy("conv_id").agg(F.count("*").alias("judged"))
     counted = convs.join(expected, "conv_id", "left").join(judged, "conv_id", "left")
     counted = counted.withColumns({
         "expected": F.coalesce("expected", F.lit(0)).cast("bigint"),
         "judged": F.coalesce("judged", F.lit(0)).cast("bigint")})
-    return counted.filter("judged = 0 OR (expected > 0 AND judged < expected)")
+    short = F.expr("expected > 0 AND judged < expected")
+    if evaluated is None:
+        return counted.filter((F.col("judged") == 0) | short)
+    has_result = evaluated.select("conv_id").distinct().withColumn("_result", F.lit(True))
+    marked = counted.join(has_result, "conv_id", "left")
+    return marked.filter(F.col("_result").isNull() | short).drop("_result")
 
 
 def attach_pdfs(content: DataFrame, pdfs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -115,6 +115,19 @@ def first_verdicts(judged: DataFrame) -> DataFrame:
     ).select("package_key", F.col("f.place").alias("_place"), F.col("f.exists").alias("package_exists"))
 
 
+def known_verdicts(claims: DataFrame) -> DataFrame:
+    """Give claims of known packages (`known`) their verdict: the package exists, nothing was looked up."""
+    k = F.coalesce("known", F.lit(False))
+    fixed = {
+        "hallucination": "No", "abstention": "No", "verification_error": "No",
+        "reference_grounding": "Verified - Whitelisted package",
+        "content_grounding": "Package is in known packages list",
+    }
+    return claims.withColumns({
+        **{c: F.when(k, v).otherwise(F.col(c)) for c, v in fixed.items() if c in claims.columns},
+        **{f: ~k & F.coalesce(F.col(f), F.lit(False)) for f in FLAGS}})
+
+
 def reuse_verdicts(judged: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """Later import and install claims of a package take its first judged verdict.
 
@@ -129,7 +142,14 @@ def reuse_verdicts(judged: DataFrame, verdicts: DataFrame | None = None) -> Data
         reused = reused & ~F.coalesce("known", F.lit(False))
     r, exists = F.col("reused"), F.col("package_exists")
     out = joined.withColumn("reused", reused)
+    labels = {
+        "reference_grounding": F.when(exists, "Verified - Cached verdict (exists)").otherwise(
+            "Verified - Cached verdict (does NOT exist)"),
+        "content_grounding": F.lit("Package was verified via web search earlier in this run"),
+        "abstention": F.lit("No"), "verification_error": F.lit("No"),
+    }
     return out.withColumns({
+        **{c: F.when(r, v).otherwise(F.col(c)) for c, v in labels.items() if c in judged.columns},
         "hallucination": F.when(r, F.when(exists, "No").otherwise("Yes")).otherwise(F.col("hallucination")),
         FLAGS[0]: F.when(r, (kind == "import") & ~exists).otherwise(F.coalesce(FLAGS[0], F.lit(False))),
         FLAGS[1]: F.when(r, (kind == "install") & ~exists).otherwise(F.coalesce(FLAGS[1], F.lit(False))),

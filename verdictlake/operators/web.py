@@ -184,8 +184,9 @@ def resolve_refs(refs: DataFrame, hits: DataFrame) -> DataFrame:
 
 def fetch_plan(claims: DataFrame, hits: DataFrame, picks: DataFrame, max_urls: int = MAX_URLS) -> DataFrame:
     """Pages to fetch per claim: the claimed URL, then the planner's picks, then organic hits by position; no PDFs."""
-    direct = claims.filter(U.is_web_url("claimed_url")).select(
-        "claim_id", F.col("claimed_url").alias("url"), F.lit(1).alias("tier"), F.lit(0).cast("bigint").alias("a"),
+    stripped = F.btrim(text("claimed_url"), F.lit(BLANKS))
+    direct = claims.filter(U.is_web_url(stripped)).select(
+        "claim_id", stripped.alias("url"), F.lit(1).alias("tier"), F.lit(0).cast("bigint").alias("a"),
         F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("c"))
     picked = picks.select("claim_id", "url", F.lit(2).alias("tier"), F.col("pos").cast("bigint").alias("a"),
                           F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("c"))
@@ -202,8 +203,9 @@ def pdf_plan(claims: DataFrame, hits: DataFrame, page_links: DataFrame, max_pdfs
     `page_links` carries claim_id, pos, url.
     """
     zero = F.lit(0).cast("bigint")
-    direct = claims.filter(U.is_web_url("claimed_url") & U.is_pdf_url_simple("claimed_url")).select(
-        "claim_id", F.col("claimed_url").alias("url"), F.lit(1).alias("tier"), zero.alias("a"), zero.alias("b"), zero.alias("c"))
+    stripped = F.btrim(text("claimed_url"), F.lit(BLANKS))
+    direct = claims.filter(U.is_web_url(stripped) & U.is_pdf_url_simple(stripped)).select(
+        "claim_id", stripped.alias("url"), F.lit(1).alias("tier"), zero.alias("a"), zero.alias("b"), zero.alias("c"))
     found = hits.filter(U.is_pdf_url_simple("link")).select(
         "claim_id", F.col("link").alias("url"), F.lit(2).alias("tier"), F.col("step").alias("a"), F.col("item").alias("b"), zero.alias("c"))
     linked = page_links.select(

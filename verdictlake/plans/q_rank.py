@@ -273,6 +273,27 @@ def reused_verdicts(i: Inputs):
     return Z.reuse_verdicts(_packages(i)).select("claim_id", "reused", "package_exists", "hallucination", IMP, INS)
 
 
+KNOWN_SQL = """CASE element_type WHEN 'import' THEN package_name IN ('numpy', 'cv2', 'yaml')
+  WHEN 'install' THEN package_name IN ('numpy', 'cv2', 'yaml') AND NOT contains(code_snippet, '==') ELSE FALSE END"""
+
+
+@query("resolved_package_claims", "D9 F9 F10", with_views("judgments_fx payload_fx", f"""
+, k AS (SELECT * EXCLUDE (h, package_name, code_snippet), {KNOWN_SQL} AS known, code_snippet, CASE package_name WHEN 'cv2' THEN 'opencv-python' WHEN 'sklearn' THEN 'scikit-learn' WHEN 'PIL ' THEN 'pillow'
+    WHEN 'yaml' THEN 'pyyaml' WHEN 'bs4' THEN 'beautifulsoup4' ELSE package_name END AS pkg
+  FROM (SELECT j.*, p.package_name, p.code_snippet FROM judgments_fx j JOIN payload_fx p USING (claim_id)) a),
+f AS (SELECT pkg, min((conv_id, turn, claim_idx)) AS place, arg_min(NOT CASE WHEN element_type = 'import' THEN {IMP} ELSE {INS} END, (conv_id, turn, claim_idx)) AS ex
+  FROM k WHERE element_type IN ('import', 'install') AND NOT known GROUP BY 1),
+u AS (SELECT k.*, ex, coalesce(NOT known AND (element_type = 'import' OR (element_type = 'install' AND NOT contains(code_snippet, '=='))) AND (conv_id, turn, claim_idx) > place, FALSE) AS reused FROM k LEFT JOIN f USING (pkg))
+SELECT claim_id, known, reused, CASE WHEN known THEN 'No' WHEN reused AND ex THEN 'No' WHEN reused THEN 'Yes' ELSE hallucination END AS hallucination,
+  CASE WHEN known THEN 'Verified - Whitelisted package' WHEN reused AND ex THEN 'Verified - Cached verdict (exists)' WHEN reused THEN 'Verified - Cached verdict (does NOT exist)' ELSE reference_grounding END AS reference_grounding,
+  CASE WHEN known OR reused THEN 'No' ELSE verification_error END AS verification_error FROM u"""))
+def resolved_package_claims(i: Inputs):
+    """Known packages first, then verdicts reused from earlier claims."""
+    known = R.match_known_packages(_packages(i), _whitelist(i)).drop("package_key")
+    out = Z.known_verdicts(Z.reuse_verdicts(known))
+    return out.select("claim_id", "known", "reused", "hallucination", "reference_grounding", "verification_error")
+
+
 @query("skip_statistics", "E27", with_views("judgments_fx payload_fx", STOP_SQL + REUSE_SQL + """,
 t AS (SELECT conv_id, turn, bit_or(CASE WHEN skip THEN 0 ELSE mask END) AS got, count(*) FILTER (WHERE skip) AS n FROM walk JOIN c USING (claim_id, conv_id, turn) GROUP BY 1, 2)
 SELECT (SELECT count(*) FROM t WHERE got <> 0) AS turns_tracked, (SELECT count(*) FROM t WHERE got = 7) AS turns_fully_stopped, (SELECT CAST(sum(n) AS BIGINT) FROM t) AS claims_skipped,

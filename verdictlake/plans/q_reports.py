@@ -185,12 +185,14 @@ SELECT conv_id, n AS total_responses, o AS overall_hallucinated_count, i AS impo
   {_rate('s', 'n')} AS install_hallucination_rate, {_rate('f', 'n')} AS function_hallucination_rate,
   concat_ws(',', CASE WHEN i > 0 THEN 'import' END, CASE WHEN s > 0 THEN 'install' END, CASE WHEN f > 0 THEN 'function_usage' END) AS hallucination_types,
   CAST((i > 0)::INT + (s > 0)::INT + (f > 0)::INT AS BIGINT) AS num_hallucination_types,
-  round(1.0 - CASE WHEN n > 0 THEN o / CAST(n AS DOUBLE) ELSE 0 END, 6) AS score FROM x"""))
+  round(1.0 - CASE WHEN n > 0 THEN o / CAST(n AS DOUBLE) ELSE 0 END, 6) AS score,
+  CASE WHEN n = 0 THEN 'No responses to evaluate' WHEN o = 0 THEN 'No hallucinations detected' ELSE concat('Overall: ', o, '/', n, ' (', printf('%.1f', 100.0 * o / n), '%) | Import: ', i, '/', n, ' (', printf('%.1f', 100.0 * i / n),
+    '%) | Install: ', s, '/', n, ' (', printf('%.1f', 100.0 * s / n), '%) | Function: ', f, '/', n, ' (', printf('%.1f', 100.0 * f / n), '%)') END AS reasoning FROM x"""))
 def coding_scores_legacy(i: Inputs):
     turns = i.verdicts().select(
         "conv_id", "turn", (F.size("hallucinated_imports") > 0).alias(IMP),
         (F.size("hallucinated_installs") > 0).alias(INS), (F.size("hallucinated_function_calls") > 0).alias(FUN))
-    out = M.score_coding_legacy(_convs(i), turns)
+    out = M.legacy_reasoning(M.score_coding_legacy(_convs(i), turns))
     return rounded(out.withColumn("hallucination_types", F.array_join("hallucination_types", ",")))
 
 
@@ -238,10 +240,10 @@ def grounding_by_turn(i: Inputs):
 @query("grounding_by_citations", "E7", with_views("judged_fx meta_fx", f"""
 , b AS (SELECT conv_id, paper_title, CASE WHEN cited_by_count < 50 THEN 'low_citations' WHEN cited_by_count >= 1000 THEN 'high_citations' END AS bucket FROM meta_fx),
 s AS (SELECT bucket, {FAIL_SQL}, count(*) FILTER (WHERE {ERR}) AS verification_errors FROM judged_fx JOIN b USING (conv_id) WHERE bucket IS NOT NULL GROUP BY 1)
-SELECT bucket, paper_count, coalesce(total_facts, 0) AS total_facts, coalesce(hallucinated_facts, 0) AS hallucinated_facts,
+SELECT bucket, coalesce(paper_count, 0) AS paper_count, coalesce(total_facts, 0) AS total_facts, coalesce(hallucinated_facts, 0) AS hallucinated_facts,
   coalesce(reference_failures, 0) AS reference_failures, coalesce(content_failures, 0) AS content_failures, coalesce(abstentions, 0) AS abstentions,
   coalesce(verification_errors, 0) AS verification_errors, {FAIL_RATES}
-FROM (SELECT bucket, count(DISTINCT paper_title) AS paper_count FROM b WHERE bucket IS NOT NULL GROUP BY 1) p LEFT JOIN s USING (bucket)"""))
+FROM (SELECT unnest(['low_citations', 'high_citations']) AS bucket) v LEFT JOIN (SELECT bucket, count(DISTINCT paper_title) AS paper_count FROM b WHERE bucket IS NOT NULL GROUP BY 1) p USING (bucket) LEFT JOIN s USING (bucket)"""))
 def grounding_by_citations(i: Inputs):
     return rounded(M.grounding_by_citations(i.judged(), i.meta()))
 
