@@ -231,7 +231,9 @@ def select_evidence(
         cursor = walked.filter("block_idx IS NULL AND NOT done").select("claim_id", "last_sim", "last_idx")
         if cursor.isEmpty():
             break
-        pool = _remaining(scored, cursor, chosen, dedup)
+        # Only the blocks of claims still open are scored again.
+        again = score_blocks(claims.join(cursor.select("claim_id"), "claim_id", "left_semi"), blocks)
+        pool = _remaining(again, cursor, chosen, dedup)
     return chosen.select("claim_id", "step", "block_idx", "block", "truncated")
 
 

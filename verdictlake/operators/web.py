@@ -175,10 +175,11 @@ def resolve_refs(refs: DataFrame, hits: DataFrame) -> DataFrame:
         "step": F.expr(f"try_cast(regexp_extract(ref, r'{pattern}', 1) AS BIGINT)"),
         "item": F.expr(f"try_cast(regexp_extract(ref, r'{pattern}', 2) AS BIGINT)")})
     indexed = hits.filter(text("link") != "").select("claim_id", "step", "item", F.col("link").alias("_at"))
-    known = hits.filter(text("link") != "").select("claim_id", F.col("link").alias("ref")).distinct().withColumn(
-        "_known", F.lit(True))
+    # References that start with http are kept anyway; only other known links need the lookup.
+    odd = (text("link") != "") & ~F.col("link").startswith("http")
+    known = hits.filter(odd).select("claim_id", F.col("link").alias("ref")).distinct().withColumn("_known", F.lit(True))
     joined = asked.join(indexed, ["claim_id", "step", "item"], "left").join(known, ["claim_id", "ref"], "left")
-    literal = F.when(F.col("_known") | F.col("ref").startswith("http"), F.col("ref"))
+    literal = F.when(F.coalesce("_known", F.lit(False)) | F.col("ref").startswith("http"), F.col("ref"))
     return joined.withColumn("url", F.coalesce("_at", literal)).filter("url IS NOT NULL").select("claim_id", "pos", "url")
 
 

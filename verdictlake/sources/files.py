@@ -116,8 +116,12 @@ def read_evaluations(
     return rows.filter("_type = 'evaluation_result'") if tagged_only else rows
 
 
-def write_evaluations(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
-    df.withColumn("_type", F.lit("evaluation_result")).write.mode(mode).format(fmt).save(path)
+def write_evaluations(
+    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append", partition_by: tuple[str, ...] = ()
+) -> None:
+    """Partition by task and model where a table holds several, so a report reads only its own files."""
+    writer = df.withColumn("_type", F.lit("evaluation_result")).write.mode(mode).format(fmt)
+    (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
 def write_extractions(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
