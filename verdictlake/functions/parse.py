@@ -60,6 +60,7 @@ def parse_judgments(
         *[F.coalesce(F.col(f"_r.{n}"), F.lit(False)).alias(n) for n in flags])
     names = [n for n in ("authority", "reference_name", "claimed_title") if n in raw.columns]
     fallback = first_filled(*names, default="Unknown") if names else F.lit("Unknown")
+    # The labels of an answer that could not be read.
     failed = "Error - Failed to evaluate"
     bad = parsed.filter("_r IS NULL").select(
         *[c for c in keep if c != "reference_name"], fallback.alias("reference_name"),

@@ -82,6 +82,7 @@ def early_stop(judged: DataFrame, order: str = "claim_idx", sightings: DataFrame
     if "known" in judged.columns:
         skipped = skipped & ~F.coalesce("known", F.lit(False))
     out = joined.withColumn("skipped_early_stopping", skipped)
+    # The labels of a skipped claim.
     blank = {
         "hallucination": "Skipped", "abstention": "No", "verification_error": "No",
         "reference_grounding": "Skipped - Early stopping", "content_grounding": "Skipped - Early stopping",
@@ -118,6 +119,7 @@ def first_verdicts(judged: DataFrame) -> DataFrame:
 def known_verdicts(claims: DataFrame) -> DataFrame:
     """Give claims of known packages (`known`) their verdict: the package exists, nothing was looked up."""
     k = F.coalesce("known", F.lit(False))
+    # The labels of a known package.
     fixed = {
         "hallucination": "No", "abstention": "No", "verification_error": "No",
         "reference_grounding": "Verified - Whitelisted package",
@@ -142,6 +144,7 @@ def reuse_verdicts(judged: DataFrame, verdicts: DataFrame | None = None) -> Data
         reused = reused & ~F.coalesce("known", F.lit(False))
     r, exists = F.col("reused"), F.col("package_exists")
     out = joined.withColumn("reused", reused)
+    # The labels of a reused verdict.
     labels = {
         "reference_grounding": F.when(exists, "Verified - Cached verdict (exists)").otherwise(
             "Verified - Cached verdict (does NOT exist)"),

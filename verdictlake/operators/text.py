@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -19,28 +20,29 @@ PACKAGE_ALIASES = {
 VERSION_MARKS = ("==", ">=", "<=", ">", "<", "~=", "!=", "@", "[")
 # Fixed value: old and new arXiv identifiers.
 ARXIV = r"([A-Za-z\-]+/\d{7}|\d{4}\.\d{4,5})(v\d+)?"
-BREAKS = ("\n\n", ". ", "? ", "! ")
+# Fixed value: a block may be cut after a paragraph break, or after a sentence mark before a space.
+BREAK = r"(?:\n\n|[.?!](?= ))"
 
 
 def cut_blocks(body: str, max_chars: int, overlap: int) -> list[str]:
-    """Blocks of one text. Each cut depends on the one before, so this is a plain loop."""
-    body = body.strip()
-    blocks, start, n = [], 0, len(body)
-    while start < n:
-        end = min(start + max_chars, n)
-        if end < n:
-            low = start + int(0.1 * max_chars)
-            at = max(body.rfind(mark, low, end) for mark in BREAKS)
-            if at >= 0:
-                # Sentence marks stay with the block; a paragraph break is taken whole.
-                end = at + (1 if body[at] in ".?!" else 2)
-        piece = body[start:end].strip()
-        if piece:
-            blocks.append(piece)
-        if end >= n:
+    """Blocks of one text. Each cut depends on the one before, so this walks the text once.
+
+    The longest start of the window that ends at a break is the block, if it is longer than a
+    tenth of the window; else the whole window. The next window begins `overlap` characters before
+    the cut, and always past the last beginning.
+    """
+    longest = re.compile(rf"(?s).{{{int(0.1 * max_chars)},}}{BREAK}")
+    body, blocks, at = body.strip(), [], 0
+    while at < len(body):
+        window = body[at: at + max_chars]
+        is_last = at + max_chars >= len(body)
+        found = None if is_last else longest.match(window)
+        size = found.end() if found else len(window)
+        blocks.append(window[:size].strip())
+        if is_last or at + size >= len(body):
             break
-        start = max(end - overlap, start + 1)
-    return blocks
+        at = max(at + size - overlap, at + 1)
+    return [b for b in blocks if b]
 
 
 def split_blocks(

@@ -364,10 +364,11 @@ def evidence_texts(i: Inputs):
 
 @query("merged_results", "G1", with_views("judgments_fx judged_fx", f"""
 , {CONVS}, j AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE hallucination = 'Yes') AS y FROM
-  (SELECT * FROM judgments_fx WHERE claim_idx % 2 = 0 UNION SELECT * FROM judged_fx) u GROUP BY 1)
+  (SELECT * FROM judged_fx UNION ALL SELECT * FROM judgments_fx WHERE claim_id NOT IN (SELECT claim_id FROM judged_fx)) u GROUP BY 1)
 SELECT conv_id, coalesce(n, 0) AS total_claims, coalesce(y, 0) AS hallucinations, round(CASE WHEN n > 0 THEN 1.0 - y / CAST(n AS DOUBLE) ELSE 1.0 END, 6) AS score FROM convs LEFT JOIN j USING (conv_id)"""))
 def merged_results(i: Inputs):
-    new = i.judgments().filter("claim_idx % 2 = 0")
+    """An interrupted run's judgments and those of the claims it had left."""
+    new = R.unjudged(i.judgments(), i.judged())
     return rounded(S.merge_results(_convs(i), i.judged(), new).select("conv_id", "total_claims", "hallucinations", "score"))
 
 

@@ -395,12 +395,12 @@ def routed_evidence(i: Inputs):
 SELECT claim_id, CASE WHEN claimed_authors <> '' THEN claimed_authors WHEN reference_name <> '' THEN reference_name ELSE content END AS claim_identifier,
   CASE WHEN claimed_authors <> '' THEN claimed_authors WHEN reference_name <> '' THEN reference_name ELSE content END AS display_text,
   CASE WHEN claimed_authors <> '' THEN claimed_year ELSE type END AS display_detail,
-  substr(CASE WHEN holding_or_description <> '' THEN holding_or_description ELSE claimed_content END, 1, 40) AS display_content,
+  substr(CASE WHEN holding_or_description <> '' THEN holding_or_description ELSE claimed_content END, 1, 500) AS display_content,
   CASE WHEN h % 2 = 0 THEN concat_ws('/', conv_id, claim_id)
     ELSE concat_ws('/', conv_id, turn, package_name, CASE WHEN code_snippet <> '' THEN code_snippet ELSE claimed_year END) END AS claim_key
 FROM payload_fx"""))
 def claim_display_fields(i: Inputs):
-    shown = C.claim_display(i.payload().withColumn("original_statement", F.lit("")), 40)
+    shown = C.claim_display(i.payload().withColumn("original_statement", F.lit("")), 500)
     anonymous = shown.withColumn("id", F.col("claim_id")).withColumn(
         "claim_id", F.when(F.col("h") % 2 == 0, F.col("claim_id")).otherwise(""))
     key = F.translate(C.claim_key(), "\x1f", "/")

@@ -87,12 +87,19 @@ def _strip_sql(expr: str) -> str:
 
 
 @query("page_texts", "C10", f"""
+SELECT page_id, content FROM (SELECT page_id, {_strip_sql('html')} AS content FROM pages) c WHERE length(content) >= 100""")
+def page_texts(i: Inputs):
+    return W.page_text(i.table("pages")).select("page_id", "content")
+
+
+@query("page_texts_with_word_limit", "C10", f"""
 WITH c AS (SELECT page_id, {_strip_sql('html')} AS content FROM pages),
 w AS (SELECT *, list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '') AS words FROM c),
-o AS (SELECT page_id, CASE WHEN len(words) > 120 THEN concat(array_to_string(words[:120], ' '), chr(10), chr(10), '[Content truncated at 120 words]') ELSE content END AS content FROM w)
+o AS (SELECT page_id, CASE WHEN len(words) > 200 THEN concat(array_to_string(words[:200], ' '), chr(10), chr(10), '[Content truncated at 200 words]') ELSE content END AS content FROM w)
 SELECT page_id, content FROM o WHERE length(content) >= 100""")
-def page_texts(i: Inputs):
-    return W.page_text(i.table("pages"), 120).select("page_id", "content")
+def page_texts_with_word_limit(i: Inputs):
+    """The word limit of the cleaner, with its mark."""
+    return W.page_text(i.table("pages"), 200).select("page_id", "content")
 
 
 # ---- search hits ---------------------------------------------------------------------------
@@ -211,24 +218,24 @@ def distinct_links(i: Inputs):
 @query("document_blocks", "C11", """
 WITH RECURSIVE d AS (SELECT doc_id, trim(text, E' \\t\\n\\r') AS t, length(trim(text, E' \\t\\n\\r')) AS n FROM documents),
 walk AS (
-  SELECT doc_id, t, n, 0 AS start, CASE WHEN n > 600 THEN 0 ELSE n END AS stop, 0 AS k, FALSE AS cut FROM d WHERE n > 0
+  SELECT doc_id, t, n, 0 AS start, CASE WHEN n > 3000 THEN 0 ELSE n END AS stop, 0 AS k, FALSE AS cut FROM d WHERE n > 0
   UNION ALL
-  SELECT doc_id, t, n, CASE WHEN cut THEN greatest(stop - 50, start + 1) ELSE start END,
-    (SELECT CASE WHEN s + 600 >= n THEN n WHEN best < 0 THEN s + 600 WHEN substr(t, best + 1, 1) IN ('.', '?', '!') THEN best + 1 ELSE best + 2 END
+  SELECT doc_id, t, n, CASE WHEN cut THEN greatest(stop - 200, start + 1) ELSE start END,
+    (SELECT CASE WHEN s + 3000 >= n THEN n WHEN best < 0 THEN s + 3000 WHEN substr(t, best + 1, 1) IN ('.', '?', '!') THEN best + 1 ELSE best + 2 END
      FROM (SELECT s, greatest(
-         CASE WHEN position(reverse(E'\\n\\n') IN rw) > 0 THEN s + 60 + length(w) - position(reverse(E'\\n\\n') IN rw) - 1 ELSE -1 END,
-         CASE WHEN position(' .' IN rw) > 0 THEN s + 60 + length(w) - position(' .' IN rw) - 1 ELSE -1 END,
-         CASE WHEN position(' ?' IN rw) > 0 THEN s + 60 + length(w) - position(' ?' IN rw) - 1 ELSE -1 END,
-         CASE WHEN position(' !' IN rw) > 0 THEN s + 60 + length(w) - position(' !' IN rw) - 1 ELSE -1 END) AS best
-       FROM (SELECT s, substr(t, s + 61, 540) AS w, reverse(substr(t, s + 61, 540)) AS rw
-             FROM (SELECT CASE WHEN cut THEN greatest(stop - 50, start + 1) ELSE start END AS s) a) b) c),
+         CASE WHEN position(reverse(E'\\n\\n') IN rw) > 0 THEN s + 300 + length(w) - position(reverse(E'\\n\\n') IN rw) - 1 ELSE -1 END,
+         CASE WHEN position(' .' IN rw) > 0 THEN s + 300 + length(w) - position(' .' IN rw) - 1 ELSE -1 END,
+         CASE WHEN position(' ?' IN rw) > 0 THEN s + 300 + length(w) - position(' ?' IN rw) - 1 ELSE -1 END,
+         CASE WHEN position(' !' IN rw) > 0 THEN s + 300 + length(w) - position(' !' IN rw) - 1 ELSE -1 END) AS best
+       FROM (SELECT s, substr(t, s + 301, 2700) AS w, reverse(substr(t, s + 301, 2700)) AS rw
+             FROM (SELECT CASE WHEN cut THEN greatest(stop - 200, start + 1) ELSE start END AS s) a) b) c),
     k + 1, TRUE
   FROM walk WHERE NOT cut OR stop < n)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS BIGINT) AS block_idx, block FROM (
   SELECT doc_id, k, trim(substr(t, start + 1, stop - start), E' \\t\\n\\r') AS block FROM walk WHERE cut) x WHERE block <> ''
 QUALIFY length(block) > 20""")
 def document_blocks(i: Inputs):
-    return X.split_blocks(i.table("documents"), "text", ["doc_id"], 600, 50)
+    return X.split_blocks(i.table("documents"), "text", ["doc_id"])
 
 
 ARXIV_SQL = """CASE doc_id % 5 WHEN 0 THEN concat('https://doi.org/10.48550/arXiv.', CAST(2000 + doc_id % 100 AS VARCHAR), '.', CAST(10000 + doc_id AS VARCHAR), 'v', CAST(1 + doc_id % 3 AS VARCHAR))
