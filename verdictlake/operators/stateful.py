@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from verdictlake.functions.claims import ELEMENT_TYPES
 from verdictlake.functions.labels import text
 from verdictlake.operators.text import has_version, package_key
-from verdictlake.scale import first_n_by, settle
+from verdictlake.scale import first_n_by, settle, write_through
 
 FLAGS = ("hallucinated_import_detected", "hallucinated_install_detected", "hallucinated_function_usage_detected")
 TURN = ("conv_id", "turn")
@@ -250,7 +250,7 @@ def _remaining(scored: DataFrame, cursor: DataFrame, chosen: DataFrame, dedup: f
     joined = scored.join(open_claims, "claim_id").filter(after)
     fresh = ~F.exists(F.coalesce("_held", F.array().cast("array<array<double>>")),
                       lambda e: cosine(e, F.col("embedding")) > dedup)
-    return settle(joined.filter(fresh).select(*scored.columns))
+    return write_through(joined.filter(fresh).select(*scored.columns))
 
 
 def _walk(pdf: pd.DataFrame, held: list[np.ndarray], words: int, step: int, budget: int, dedup: float, batch: int) -> pd.DataFrame:

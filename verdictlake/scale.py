@@ -9,6 +9,7 @@ summaries (one row per chunk) are scanned per key.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -55,7 +56,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint; survives lost executors."""
+    """Cut lineage of a narrow table with a reliable checkpoint; survives lost executors."""
     folder = shared_folder(df.sparkSession)
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -63,6 +64,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_through(df: DataFrame) -> DataFrame:
+    """Cut lineage of a wide table: written to the shared folder and read back.
+
+    Columnar, so later passes read only the columns they use. The cluster expires old
+    `written-*` folders as it does checkpoints.
+    """
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def evaluate_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that later filters and projections read instead of recomputing.
 
@@ -160,14 +172,14 @@ def previous_in_group(
 def number_globally(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFrame:
     """1-based number over the whole table in `order`, without one global window.
 
-    The table is range-partitioned and sorted (parallel), settled so that the
+    The table is range-partitioned and sorted (parallel), written so that the
     ranges cannot change, and numbered from the row index inside each range plus
     the running size of earlier ranges. Only one row per range is scanned serially.
     """
     sort_keys = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = df.repartitionByRange(*sort_keys).sortWithinPartitions(*sort_keys)
     # The id holds the partition in its upper bits and the row index in the lower 33.
-    fixed = settle(ranged.withColumn("_mid", F.monotonically_increasing_id()))
+    fixed = write_through(ranged.withColumn("_mid", F.monotonically_increasing_id()))
     fixed = fixed.withColumn("_part", F.shiftright("_mid", 33)).withColumn(
         "_idx", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     )
