@@ -1,9 +1,11 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from verdictlake.llm import exact_dedup, mixing, simhash
+from verdictlake.llm import exact_dedup, mixing, packing, simhash, toxicity
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op4_mixing": mixing.op4_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op9_simhash": simhash.op9_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
