@@ -19,10 +19,6 @@ from verdictlake.scale import write_through
 PREFIX = 256
 
 
-def _repeated(narrow: DataFrame, *keys: str) -> DataFrame:
-    return narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys)
-
-
 def copy_groups(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Members of every group of two or more equal texts: _rid, keep_id, group_size, kept.
 
@@ -35,9 +31,10 @@ def copy_groups(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     traits = rows.select(
         RID, F.col(id_col).alias("_id"), text.alias("_text"), F.octet_length(text).alias("_len"),
         F.xxhash64(lowered(F.substring(text, 1, PREFIX))).alias("_prefix"))
-    narrow = write_through(traits.select("_len", "_prefix"))
-    lengths = _repeated(narrow, "_len")
-    starts = write_through(_repeated(narrow.join(lengths, "_len", "left_semi"), "_len", "_prefix"))
+    # Counted per pair first, so that a hot length joins as few rows as it has prefixes.
+    pairs = write_through(traits.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n")))
+    lengths = pairs.groupBy("_len").agg(F.sum("_n").alias("_all")).filter("_all > 1").select("_len")
+    starts = write_through(pairs.join(lengths, "_len", "left_semi").filter("_n > 1").select("_len", "_prefix"))
     surviving = join_narrow(traits, starts, ["_len", "_prefix"], "left_semi", 16)
     hashed = write_through(surviving.select(RID, "_id", F.sha2(lowered(F.col("_text")), 256).alias("_full")))
     groups = hashed.groupBy("_full").agg(
