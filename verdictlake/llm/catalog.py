@@ -1,11 +1,12 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from verdictlake.llm import exact_dedup, mixing, packing, simhash, toxicity
+from verdictlake.llm import exact_dedup, mixing, packing, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op4_mixing": mixing.op4_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }

@@ -14,7 +14,7 @@ from verdictlake.scale import write_through
 
 WORD = r"[^\x20\x09-\x0D]+"
 RID = "_rid"
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,13 +46,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def join_narrow(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, width: int) -> DataFrame:
-    """Join a wide table to a narrow written one of `width` bytes a row.
+def join_narrow(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, width: int | Column) -> DataFrame:
+    """Join a wide table to a narrow written one of `width` bytes a row (a number or a column).
 
     The narrow side is broadcast only if its counted size is within BROADCAST_BYTES;
     beyond that both sides are shuffled, and adaptive execution splits skewed keys.
     """
-    if small.count() * width <= BROADCAST_BYTES:
+    if (small.agg(F.sum(F.lit(width) if isinstance(width, int) else width)).first()[0] or 0) <= BROADCAST_BYTES:
         small = F.broadcast(small)
     return big.join(small, list(on), how)
 
