@@ -1,16 +1,19 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from verdictlake.llm import exact_dedup, mixing, packing, simhash, substring_dedup, toxicity
+from verdictlake.llm import exact_dedup, mixing, nearest, packing, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op4_mixing": mixing.op4_mixing,
+    "op5_nearest": nearest.op5_nearest,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_warc": warc.op8_warc,
     "op9_simhash": simhash.op9_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
     "op4_mixing": mixing.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
