@@ -1,9 +1,11 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from verdictlake.llm import exact_dedup, mixing, nearest, packing, simhash, substring_dedup, toxicity, warc
+from verdictlake.llm import exact_dedup, language_id, lm_scoring, mixing, nearest, packing, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_packing": packing.op2_packing,
+    "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_mixing": mixing.op4_mixing,
     "op5_nearest": nearest.op5_nearest,
     "op6_toxicity": toxicity.op6_toxicity,
