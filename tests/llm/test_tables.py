@@ -1,0 +1,107 @@
+"""Vectors, archives, languages, the pipeline and the registered queries."""
+
+import uuid
+
+import numpy as np
+import pytest
+from check_oracle import compare, duck
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from verdictlake.llm import catalog, language_id, nearest, warc
+from verdictlake.llm.rows import identified, table
+from verdictlake.scale import shared_folder
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_query_matches_oracle(spark, name):
+    assert compare(spark, duck(SMALL), SMALL, name, catalog.QUERIES[name], catalog.ORACLES[name]) is None
+
+
+def test_nearest_recall(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = table(spark, folder, "embeddings").collect()
+    ids, v = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    found = {}
+    for r in nearest.op5_nearest(spark, folder).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    at = {i: k for k, i in enumerate(ids)}
+    recall = []
+    for q in ids[ids % 20 == 0]:
+        score = v @ v[at[q]]
+        score[at[q]] = -np.inf
+        best = ids[np.lexsort((ids, -score))[:20]]
+        assert sorted(found[q]) == list(range(1, 21))
+        got = [found[q][k] for k in range(1, 21)]
+        assert got == sorted(got, key=lambda x: (-x[1], x[0]))
+        assert np.allclose([s for _, s in got], [score[at[i]] for i, _ in got])
+        recall.append(np.isin(best, [i for i, _ in got]).mean())
+    assert np.mean(recall) >= 0.9
+
+
+def test_nearest_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [-5.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0]),
+            (7, [float("nan"), 1.0]), (None, [1.0, 1.0]), (8, [float("inf"), 0.0]), (9, [1.0, 2.0, 3.0]), (10, [])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = [tuple(r) for r in nearest.nearest(frame, lambda i: i % 20 == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, -5.0)]
+    assert nearest.nearest(frame.filter("vec_id > 99"), lambda i: i % 20 == 0).count() == 0
+
+
+def test_archive_round_trip(spark):
+    big = "ä" * 60
+    rows = [(3, "http://a.org/x?y=1", big), (2, "http://a.org/\r\nX: 1", big), (1, None, "small"), (4, "b", "small"), (5, "http://c.de", None),
+            (None, "http://a.org/n", big), (2, "http://d", big), (6, "u", "WARC/1.1\r\n\r\nWARC-Type: request\r\n\r\n" * 5)]
+    pages = identified(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    path = f"{shared_folder(spark)}/test-{uuid.uuid4().hex}"
+    warc.write_archive(pages, path)
+    captures = warc.assemble(warc.read_archive(spark, path)).select(
+        F.col("metadata.fields")["page-id"].alias("page"), "response.type", "response.refers_to", "capture_id",
+        F.col("response.payload").cast("string").alias("payload"), F.col("request.fields")["start"].alias("line")).collect()
+    assert len(captures) == 8 and all(c["line"].startswith("GET ") for c in captures)
+    original = [c for c in captures if c["page"] == "2" and c["type"] == "response"]
+    again = [c for c in captures if c["type"] == "revisit"]
+    assert len(original) == 1 and sorted(c["page"] or "" for c in again) == ["", "2", "3"]
+    assert all(c["refers_to"] == original[0]["capture_id"] and c["payload"] == "" for c in again)
+    by_page = {c["page"]: c["payload"] for c in captures if c["type"] == "response"}
+    assert by_page == {"2": big, "1": "small", "4": "small", "5": "", "6": rows[-1][2]}
+
+
+def test_languages(spark, folder):
+    rows = language_id.op1_language_id(spark, folder).collect()
+    docs = {r["doc_id"]: r["lang"] for r in table(spark, folder, "documents").filter("doc_id < 10000").collect()}
+    assert len(rows) == table(spark, folder, "documents").count() + table(spark, folder, "pages").count()
+    right = [r["lang"] == docs[r["doc_id"]] for r in rows if r["doc_id"] in docs]
+    assert np.mean(right) > 0.97 and all(0 < r["probability"] <= 1 for r in rows)
+    said = [r["lang"] == r["declared"] for r in rows if r["page_id"] is not None]
+    assert np.mean(said) > 0.9
+
+
+def test_declared_language_and_host_decide_without_text(spark):
+    seen = [("h", "d.de", "de", "de", [0.0, -40.0])] * 20 + [("g", "e.com", "com", "en", [-40.0, 0.0])] * 20 + [
+        ("h", "d.de", "de", None, [0.0, 0.0]), (None, None, None, "en", [0.0, 0.0]), ("new", "d.de", "de", None, [0.0, 0.0])]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(seen)], "n int, host string, domain string, suffix string, declared string, text_evidence array<double>")
+    got = {r["n"]: r["lang"] for r in language_id.fuse(frame, ["de", "en"], ["n"]).collect()}
+    assert len(got) == 43 and (got[40], got[41], got[42]) == ("de", "en", "de")
+
+
+def test_pipeline_stages(spark, folder):
+    docs = table(spark, folder, "documents")
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        if name != "packing":
+            assert out.columns == names
+        path = f"{shared_folder(spark)}/test-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+        before, docs = docs, spark.read.parquet(path)
+        if name in ("toxicity", "exact_dedup", "near_dedup"):
+            assert docs.exceptAll(before).count() == 0 and 0 < docs.count() <= before.count()
+        if name == "exact_dedup":
+            lowered = [(r["text"] or "").encode().lower() for r in docs.collect()]
+            assert len(lowered) == len(set(lowered)) == len({(r["text"] or "").encode().lower() for r in before.collect()})
+        if name == "packing":
+            totals = docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
+            assert totals <= 2048 and docs.filter("start = 0").count() == before.count()
