@@ -24,7 +24,7 @@ from verdictlake.scale import position_in_group, write_through
 
 WINDOW = 2048
 END = 1
-CACHED = 400_000
+CACHED = 150_000
 _STOPS = ".,!?;:"
 
 
@@ -50,17 +50,18 @@ class WordIds:
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.size = [], []
+        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, form: str, ids: list[int] | np.ndarray) -> int:
+    def _add(self, form: str, ids: list[int] | np.ndarray) -> None:
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        slot = len(self.slots)
+        if slot == len(self.begin):
+            self.begin, self.size = (np.concatenate([v, np.zeros_like(v)]) for v in (self.begin, self.size))
         self.pool[self.used:self.used + len(ids)] = ids
-        self.begin.append(self.used)
-        self.size.append(len(ids))
+        self.begin[slot], self.size[slot] = self.used, len(ids)
         self.used += len(ids)
-        slot = self.slots[form] = len(self.begin) - 1
-        return slot
+        self.slots[form] = slot
 
     def _ids(self, slot: int) -> np.ndarray:
         return self.pool[self.begin[slot]:self.begin[slot] + self.size[slot]]
@@ -77,8 +78,10 @@ class WordIds:
             else:
                 plain[form] = None
         new = list(plain)
-        for form, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self._add(form, found.ids)
+        for at in range(0, len(new), 4000):
+            part = new[at:at + 4000]
+            for form, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self._add(form, found.ids)
         for form, stem, stops in joined:
             self._add(form, np.concatenate([self._ids(self.slots[stem]), self._ids(self.slots[stops])]))
 
@@ -92,11 +95,10 @@ class WordIds:
         names = forms.to_pylist()
         self._learn(names)
         slots = np.fromiter((self.slots[n] for n in names), np.int64, len(names))
-        begin, size = np.array(self.begin, np.int64), np.array(self.size, np.int64)
         of = slots[index]
-        sizes = size[of]
+        sizes = self.size[of]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.pool[np.arange(ends[-1]) + np.repeat(begin[of] - ends[:-1], sizes)]
+        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.begin[of] - ends[:-1], sizes)]
         starts = ends[offsets]
         if not special.any():
             return ids, starts
@@ -122,8 +124,8 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordIds(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 250):
+                batch = whole.slice(at, 250)
                 ids, starts = coder.encode(batch.column("text"))
                 owner, start, length, crc, total, held = [], [], [], [], [], []
                 for k in range(batch.num_rows):
