@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictlake.llm.rows import table
+from verdictlake.scale import write_through
 
 SAMPLE = 1500
 FIT_CHARS = 20_000
@@ -148,11 +149,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.filter(training(id_col) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(
         F.max(F.col(label_col).cast("int")).alias("_y"))
     totals = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    texts = docs.filter(training(id_col) & (F.length(text_col).between(1, FIT_CHARS))).select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    labelled = texts.join(known, "_id").withColumn("_order", F.md5(F.concat(F.lit("toxicity:"), F.col("_id").cast("string"))))
-    taken = [labelled.filter(F.col("_y") == y).orderBy("_order", "_text").limit(SAMPLE) for y in (0, 1)]
-    rows = [(y, r["_text"].encode()) for y, part in zip((0, 1), taken) for r in part.select("_text").collect()]
+    fitting = training(id_col) & F.length(text_col).between(1, FIT_CHARS)
+    # Ids and labels are joined first; texts are fetched for the bounded sample only.
+    labelled = write_through(docs.filter(fitting).select(F.col(id_col).alias("_id")).distinct().join(known, "_id").withColumn(
+        "_order", F.md5(F.concat(F.lit("toxicity:"), F.col("_id").cast("string")))))
+    taken = [labelled.filter(F.col("_y") == y).orderBy("_order", "_id").limit(SAMPLE) for y in (0, 1)]
+    chosen = F.broadcast(taken[0].unionByName(taken[1]))
+    texts = docs.filter(fitting).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id")
+    rows = [(r["_y"], r["_text"].encode()) for r in texts.orderBy("_y", "_order", "_text").select("_y", "_text").collect()]
     rows = list(dict.fromkeys(rows))
     build, check = rows[::2], rows[1::2]
     ordinary, toxic = dictionaries([t for y, t in build if y], [t for y, t in build if not y])
