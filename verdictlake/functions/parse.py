@@ -122,7 +122,7 @@ def parse_claims(raw: DataFrame, task: str, response: str = "response", statemen
     fields = [f for f in schemas.CLAIM_FIELDS if f != "original_statement"]
     flat = rows.select(
         "conv_id", "turn", F.col("pos").cast("bigint").alias("claim_idx"), "original_statement",
-        F.substring(F.md5(F.concat_ws(":", "conv_id", "turn", "pos")), 1, 8).alias("claim_id"),
+        F.md5(F.concat_ws(":", "conv_id", "turn", "pos")).alias("claim_id"),
         *[F.col(f"c.{f}").alias(f) for f in fields])
     return flat.filter(domain(task).valid())
 
@@ -151,8 +151,8 @@ def parse_match_pairs(raw: DataFrame, response: str = "response") -> DataFrame:
         F.regexp_extract_all(response, F.lit(pattern), 1).alias("i"),
         F.regexp_extract_all(response, F.lit(pattern), 2).alias("j"))
     found = raw.select("conv_id", "turn", "n_a", "n_b", F.explode(pairs).alias("p")).select(
-        "conv_id", "turn", "n_a", "n_b", (F.try_to_number("p.i", F.lit("999999999")).cast("bigint") - 1).alias("a_pos"),
-        (F.try_to_number("p.j", F.lit("999999999")).cast("bigint") - 1).alias("b_pos"))
+        "conv_id", "turn", "n_a", "n_b", (F.col("p.i").try_cast("bigint") - 1).alias("a_pos"),
+        (F.col("p.j").try_cast("bigint") - 1).alias("b_pos"))
     inside = "a_pos >= 0 AND a_pos < n_a AND b_pos >= 0 AND b_pos < n_b"
     return found.filter(inside).select("conv_id", "turn", "a_pos", "b_pos")
 

@@ -102,7 +102,7 @@ def resolve(href: Column, base: Column) -> Column:
     no_query = F.regexp_extract(base, r"^([^?#]*)", 1)
     folder = F.concat(origin(base), F.regexp_extract(path(base), r"^(.*/)", 1))
     folder = F.when(path(base) == "", F.concat(origin(base), F.lit("/"))).otherwise(folder)
-    return (
+    whole = (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
         .when(href.startswith("/"), F.concat(origin(base), href))
@@ -111,3 +111,13 @@ def resolve(href: Column, base: Column) -> Column:
         .when(href == "", page)
         .otherwise(F.concat(folder, href))
     )
+    # `.` and `..` are taken out of the path of a web address.
+    place = F.regexp_extract(whole, r"^https?://[^/?#]*(/[^?#]*)", 1)
+    steps = F.aggregate(
+        F.split(place, "/"), F.array().cast("array<string>"),
+        lambda kept, s: F.when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(s == ".", kept).otherwise(
+            F.concat(kept, F.array(s))))
+    closed = F.when(place.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    plain = F.concat(
+        F.regexp_extract(whole, r"^(https?://[^/?#]*)", 1), F.array_join(steps, "/"), closed, F.regexp_extract(whole, r"^[^?#]*(.*)$", 1))
+    return F.when(place.rlike(r"/\.\.?(/|$)"), plain).otherwise(whole)

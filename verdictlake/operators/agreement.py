@@ -148,14 +148,15 @@ AXES = ("ref", "content")
 def attach_judges(
     df: DataFrame, judges: dict[str, DataFrame], order: Sequence[str] = ("conv_id", "turn", "claim_idx")
 ) -> DataFrame:
-    """Left join the labels of several judges by claim id; of repeated ids the last counts."""
+    """Left join the labels of several judges by conversation and claim id; of repeated claims the last counts."""
+    keys = ["conv_id", "claim_id"]
     fields = {"ref_grounding": "reference_grounding", "content_grounding": "content_grounding",
               "hallucination": "hallucination", "verification_error": "verification_error"}
     for name, judge in judges.items():
-        wanted = judge.select("claim_id", *fields.values(), *[c for c in order])
-        last = latest_per_key(wanted, ["claim_id"], order).select(
-            "claim_id", *[F.col(src).alias(f"judge_{name}_{dst}") for dst, src in fields.items()])
-        df = df.join(last, "claim_id", "left")
+        wanted = judge.select("claim_id", *fields.values(), *dict.fromkeys(["conv_id", *order]))
+        last = latest_per_key(wanted, keys, [c for c in order if c not in keys] or keys).select(
+            *keys, *[F.col(src).alias(f"judge_{name}_{dst}") for dst, src in fields.items()])
+        df = df.join(last, keys, "left")
     return df
 
 

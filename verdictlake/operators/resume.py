@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from verdictlake.functions.claims import fill_template
 from verdictlake.operators.text import has_version, package_key
-from verdictlake.scale import broadcast_when_small
 
 
 def restrict_claims(claims: DataFrame, convs: DataFrame) -> DataFrame:
@@ -20,7 +19,7 @@ def restrict_claims(claims: DataFrame, convs: DataFrame) -> DataFrame:
 
 
 def unjudged(claims: DataFrame, judgments: DataFrame) -> DataFrame:
-    """Claims without a judgment."""
+    """Claims without a judgment. Claim ids are whole 128-bit digests, so they name a claim alone."""
     return claims.join(judgments.select("claim_id"), "claim_id", "left_anti")
 
 
@@ -97,7 +96,7 @@ def match_known_packages(claims: DataFrame, whitelist: DataFrame, by_language: b
     listed = whitelist.select(package_key("package").alias("package_key"), "installable", *keys[1:]).groupBy(*keys).agg(
         F.bool_or("installable").alias("_installable"))
     keyed = claims.withColumn("package_key", package_key("package_name"))
-    joined = keyed.join(broadcast_when_small(listed), keys, "left")
+    joined = keyed.join(listed, keys, "left")
     kind = F.col("element_type")
     known = F.when(kind == "import", F.col("_installable").isNotNull()).when(
         kind == "install", F.coalesce("_installable", F.lit(False)) & ~has_version("code_snippet")).otherwise(False)

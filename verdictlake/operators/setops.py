@@ -12,9 +12,12 @@ from verdictlake.operators.metrics import score_conversations
 def merge_judgments(old: DataFrame, new: DataFrame) -> DataFrame:
     """Cached and new judgments, one per claim; a new one replaces the cached one."""
     both = old.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)), allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in ("claim_id", "_age")]
-    latest = both.groupBy("claim_id").agg(F.max_by(F.struct(*rest), "_age").alias("r"))
-    return latest.select("claim_id", *[F.col("r")[c].alias(c) for c in rest]).select(*old.columns)
+    keys = ["conv_id", "claim_id"]
+    rest = [c for c in both.columns if c not in (*keys, "_age")]
+    # One side may hold a claim twice; then the content decides, the same way in every run.
+    order = F.struct("_age", F.xxhash64(F.to_json(F.struct(*rest))))
+    latest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r"))
+    return latest.select(*keys, *[F.col("r")[c].alias(c) for c in rest]).select(*old.columns)
 
 
 def merge_results(convs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:

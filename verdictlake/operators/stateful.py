@@ -106,8 +106,11 @@ def first_verdicts(judged: DataFrame) -> DataFrame:
     kind = F.col("element_type")
     usable = judged.withColumn("package_key", package_key("package_name")).filter(
         kind.isin("import", "install") & (F.col("package_key") != ""))
-    if "known" in judged.columns:
-        usable = usable.filter(~F.coalesce("known", F.lit(False)))
+    for mark in ("known", "skipped_early_stopping"):
+        if mark in judged.columns:
+            usable = usable.filter(~F.coalesce(mark, F.lit(False)))
+    if "error" in judged.columns:  # a failed judgment is no verdict
+        usable = usable.filter(F.coalesce("error", F.lit("")) == "")
     missing = F.when(kind == "import", F.col(FLAGS[0])).otherwise(F.col(FLAGS[1]))
     exists = ~F.coalesce(missing, F.lit(False))
     # One row per package; combined map-side, so a package in most claims costs no more than others.

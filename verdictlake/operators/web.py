@@ -15,6 +15,8 @@ from verdictlake.scale import evaluate_once, first_n_by, latest_per_key
 # How much is fetched for one claim.
 MAX_URLS = 2
 MAX_PDFS = 1
+#: The target of an anchor: double-quoted, single-quoted or bare, in any case.
+ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
 def canonical_urls(pages: DataFrame, url: str = "url", key: str = "page_id") -> DataFrame:
@@ -42,7 +44,8 @@ def extract_links(
     """
     anchors = pages.select(
         key, *([url] if url else []),
-        F.posexplode(F.regexp_extract_all(html, F.lit(r'<a [^>]*href="([^"]*)"'), 1)).alias("pos", "href"))
+        F.posexplode(F.regexp_extract_all(html, F.lit(ANCHOR), 1)).alias("pos", "href"))
+    anchors = anchors.withColumn("href", F.regexp_replace("href", "^[\"']\\s*|\\s*[\"']$", ""))
     anchors = anchors.withColumn("href", F.replace("href", F.lit("&amp;"), F.lit("&"))).filter(predicate(F.col("href")))
     link = U.resolve(F.col("href"), F.col(url)) if url else F.col("href")
     named = evaluate_once(anchors, "link", link)
@@ -56,14 +59,14 @@ def page_text(
     """Main text of pages: furniture and markup removed, entities decoded, long texts cut with a mark.
 
     Extraction is defined by this contract: drop script, style, nav, header, footer, aside elements,
-    comments and blocks whose class starts with `ad`; block ends become line breaks; other tags go.
+    comments and blocks of the class `ad` or `ads`; block ends become line breaks; other tags go.
     """
     c = text(html)
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
     for element in ("script", "style", "nav", "header", "footer", "aside", "noscript"):
         c = F.regexp_replace(c, rf"(?is)<{element}\b.*?</{element}>", "")
     c = F.regexp_replace(c, r"(?is)<head\b.*?</head>", "")
-    c = F.regexp_replace(c, r'(?is)<div class="ad[^"]*">.*?</div>', "")
+    c = F.regexp_replace(c, r'(?is)<div class="(?:[^"]*\s)?ads?(?:\s[^"]*)?">.*?</div>', "")
     c = F.regexp_replace(c, r"(?i)</(p|div|h[1-6]|li|tr|article|section)>|<br[^>]*>", "\n")
     c = F.regexp_replace(c, r"<[^>]*>", "")
     for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):

@@ -68,7 +68,7 @@ RAW_FULL = """concat('{"reference_name": "ref ', CAST(m % 7 AS VARCHAR(20)), '",
 
 ORACLE_VIEWS = {
     "claims_fx": """SELECT conv_id, turn, claim_idx, claim_text, conv_id * 31 + turn * 7 + claim_idx * 13 AS h,
-       substr(md5(concat_ws(':', conv_id, turn, claim_idx)), 1, 8) AS claim_id
+       md5(concat_ws(':', conv_id, turn, claim_idx)) AS claim_id
 FROM (SELECT conv_id, turn, CAST(u.ord - 1 AS BIGINT) AS claim_idx, trim(u.c) AS claim_text
       FROM conversations, LATERAL (SELECT unnest(a) AS c, generate_subscripts(a, 1) AS ord
            FROM (SELECT regexp_split_to_array(text, '[.] |\\n') AS a)) u
@@ -161,7 +161,7 @@ class Inputs:
         )
         return parts.selectExpr(
             "conv_id", "turn", "claim_idx", "claim_text", "conv_id * 31 + turn * 7 + claim_idx * 13 AS h",
-            "substr(md5(concat_ws(':', conv_id, turn, claim_idx)), 1, 8) AS claim_id",
+            "md5(concat_ws(':', conv_id, turn, claim_idx)) AS claim_id",
         )
 
     def _over(self, columns: str, source: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def parsed_turn_verdicts(i: Inputs):
 
 @query("parsed_claims", "C3", with_views("payload_fx", """
 , p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY claim_idx) - 1 AS pos FROM payload_fx)
-SELECT conv_id, turn, pos AS claim_idx, substr(md5(concat_ws(':', conv_id, turn, pos)), 1, 8) AS claim_id, claimed_content, authority, 'S' AS original_statement
+SELECT conv_id, turn, pos AS claim_idx, md5(concat_ws(':', conv_id, turn, pos)) AS claim_id, claimed_content, authority, 'S' AS original_statement
 FROM p WHERE claimed_content NOT IN ('', 'Unknown') AND authority <> 'Unknown'"""))
 def parsed_claims(i: Inputs):
     item = F.struct("claim_idx", F.struct("claimed_content", "authority", "claimed_url").alias("c"))

@@ -220,8 +220,8 @@ def latest_snapshot(i: Inputs):
     base = files.scratch(i.spark, "snapshots")
     nested = files.nest_turns(i.table("conversations"))
     older = files.nest_turns(i.table("conversations").filter("role = 'user'"))
-    older.coalesce(1).write.json(base + "/conversations_m_1convs")
-    nested.coalesce(1).write.json(base + "/conversations_m_2convs")
+    older.write.json(base + "/conversations_m_1convs")
+    nested.write.json(base + "/conversations_m_2convs")
     newest = files.latest_snapshot(i.spark, base + "/conversations_m_*convs")
     return files.flatten_turns(newest).filter("role = 'assistant'").select("conv_id", "turn")
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def shared_folder(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="verdictlake-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -85,12 +86,6 @@ def evaluate_once(df: DataFrame, name: str, value: Column) -> DataFrame:
         *df.columns, F.col(f"_once.{name}").alias(name))
 
 
-def broadcast_when_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting at most `max_rows` + 1 rows; else leave the join to AQE."""
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
-
-
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last row of every key by `order`; an aggregate, so hot keys combine map-side."""
     return _edge_per_key(df, keys, order, F.max_by)
@@ -114,8 +109,10 @@ def _chunk(order: str, span: int) -> Column:
 
 
 def _null_safe_back(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join a one-row-per-key summary."""
-    return left.join(right, list(keys), "left")
+    """Left join a one-row-per-key summary; a null key finds the summary of nulls."""
+    named = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return left.join(named, same, "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def position_in_group(

@@ -7,6 +7,7 @@ is taken from the split offset and the row index in the split.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -197,13 +198,17 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_snapshot(spark: SparkSession, pattern: str, schema: str = schemas.CONVERSATION) -> DataFrame:
-    """Rows of the newest file matching the pattern (by time, then name)."""
-    rows = spark.read.schema(schema).json(pattern).withColumn("_file", F.col("_metadata.file_path")).withColumn(
-        "_modified", F.col("_metadata.file_modification_time")
-    )
-    newest = rows.agg(F.max(F.struct("_modified", "_file")).alias("n")).select(F.col("n._file").alias("_file"))
-    # One row by construction.
-    return rows.join(F.broadcast(newest), "_file", "left_semi").drop("_file", "_modified")
+    """All rows of the newest snapshot matching the pattern, by time, then name.
+
+    A snapshot is a file or a folder of part files whose path the pattern matches. Only the
+    file list is read to choose it.
+    """
+    name = re.escape(pattern.rstrip("/").split(":", 1)[-1].lstrip("/")).replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+    files = spark.read.format("binaryFile").load(pattern).select(
+        F.regexp_extract("path", f"^(.*?/{name})(?:/[^/]*)*$", 1).alias("snapshot"), "modificationTime")
+    newest = files.groupBy("snapshot").agg(F.max("modificationTime").alias("at")).agg(
+        F.max(F.struct("at", "snapshot")).alias("n")).first()["n"]
+    return spark.read.schema(schema).json(newest["snapshot"])
 
 
 def skip_covered(items: DataFrame, covered: DataFrame, position: str) -> DataFrame:
@@ -240,8 +245,7 @@ def normalize_extractions(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         else F.lit(None).cast("string").alias(f)
         for f in schemas.CLAIM_FIELDS
     ], F.col("c.not_a_claim").alias("not_a_claim"))
-    new_id = F.substring(F.md5(F.concat_ws(
-        ":", "conversation_id", "turn_number", "pos", "c.claimed_content")), 1, 8)
+    new_id = F.md5(F.concat_ws(":", "conversation_id", "turn_number", "pos", "c.claimed_content"))
     legacy = exploded.select(
         new_id.alias("claim_id"), "conversation_id", "turn_number", data.alias("data"), "metadata"
     )
