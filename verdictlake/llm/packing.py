@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from verdictlake.scale import position_in_group, write_through
 
 WINDOW = 2048
 END = 1
-CACHED = 150_000
+CACHED = 250_000
 _STOPS = ".,!?;:"
 
 
@@ -45,29 +46,51 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
+        tokens = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(tokens.values()) + 1, bool)
+        self.closes[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
         self.slots: dict[str, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.begin, self.size, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _prune(self) -> None:
+        """Forget forms that were met once; all of them if that is not enough."""
+        kept = [(form, self._ids(slot)) for form, slot in self.slots.items() if self.hits[slot] > 1]
+        self.slots, self.used = {}, 0
+        self.hits[:] = 0
+        if kept and len(kept) <= CACHED // 2:
+            self._add([form for form, _ in kept], np.concatenate([ids for _, ids in kept]), np.array([len(ids) for _, ids in kept]))
 
-    def _add(self, form: str, ids: list[int] | np.ndarray) -> None:
+    def _add(self, forms: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
         slot = len(self.slots)
-        if slot == len(self.begin):
-            self.begin, self.size = (np.concatenate([v, np.zeros_like(v)]) for v in (self.begin, self.size))
+        if slot + len(forms) > len(self.begin):
+            more = max(len(self.begin), len(forms))
+            self.begin, self.size, self.hits = (np.concatenate([v, np.zeros(more, np.int64)]) for v in (self.begin, self.size, self.hits))
         self.pool[self.used:self.used + len(ids)] = ids
-        self.begin[slot], self.size[slot] = self.used, len(ids)
+        ends = np.cumsum(sizes)
+        self.begin[slot:slot + len(forms)] = self.used + ends - sizes
+        self.size[slot:slot + len(forms)] = sizes
+        self.slots.update(zip(forms, range(slot, slot + len(forms))))
         self.used += len(ids)
-        self.slots[form] = slot
 
     def _ids(self, slot: int) -> np.ndarray:
         return self.pool[self.begin[slot]:self.begin[slot] + self.size[slot]]
 
+    def _encode(self, forms: list[str], letters: bool) -> None:
+        """Encode new forms; those of letters only are one token run each, so many go in one text."""
+        if letters:
+            ids = np.array(self.tokenizer.encode(" ".join(forms), add_special_tokens=False).ids, np.int64)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(forms) and ends[-1] == len(ids):
+                return self._add(forms, ids, np.diff(ends, prepend=0))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(forms, add_special_tokens=False)]
+        self._add(forms, np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64))
+
     def _learn(self, forms: list[str]) -> None:
-        plain, joined = dict.fromkeys(()), []
+        plain: dict[str, None] = {}
+        joined = []
         for form in forms:
             if form in self.slots:
                 continue
@@ -77,24 +100,25 @@ class WordIds:
                 plain.update({p: None for p in (stem, form[len(stem):]) if p not in self.slots})
             else:
                 plain[form] = None
-        new = list(plain)
-        for at in range(0, len(new), 4000):
-            part = new[at:at + 4000]
-            for form, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self._add(form, found.ids)
-        for form, stem, stops in joined:
-            self._add(form, np.concatenate([self._ids(self.slots[stem]), self._ids(self.slots[stops])]))
+        for letters in (True, False):
+            new = [form for form in plain if form.isalpha() == letters]
+            for at in range(0, len(new), 4000):
+                self._encode(new[at:at + 4000], letters)
+        if joined:
+            ids = [np.concatenate([self._ids(self.slots[stem]), self._ids(self.slots[stops])]) for _, stem, stops in joined]
+            self._add([form for form, _, _ in joined], np.concatenate(ids), np.array([len(x) for x in ids]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text begins (one more at the end)."""
         if len(self.slots) > CACHED:
-            self.clear()
+            self._prune()
         texts = pc.fill_null(texts, "")
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         index, forms, offsets = split_words(pc.if_else(pa.array(special), "", texts), lower=True)
         names = forms.to_pylist()
         self._learn(names)
         slots = np.fromiter((self.slots[n] for n in names), np.int64, len(names))
+        self.hits[slots] += 1
         of = slots[index]
         sizes = self.size[of]
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -109,6 +133,12 @@ class WordIds:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
+@lru_cache(maxsize=1)
+def _coder(path: str) -> WordIds:
+    """One coder for all tasks of a worker process."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, id_col: str = "doc_id",
            text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Documents as token pieces: doc_id, start, length, ids_crc32, doc_tokens, and ids on request.
@@ -122,10 +152,10 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, id_
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<bigint>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(path)
+        coder = _coder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 250):
-                batch = whole.slice(at, 250)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 ids, starts = coder.encode(batch.column("text"))
                 owner, start, length, crc, total, held = [], [], [], [], [], []
                 for k in range(batch.num_rows):
