@@ -296,6 +296,18 @@ def test_recurrent_gradients():
         assert abs((up - down) / (2 * step) - found) < 1e-3 * max(1, abs(found))
 
 
+def test_recurrent_scores_do_not_depend_on_lanes():
+    rng = np.random.default_rng(2)
+    net = recurrent.Network(recurrent.make_head([(f"w{k}", 90 - k) for k in range(40)], 9, 4, 5), 6)
+    docs = [np.append(rng.integers(1, 45, n), 0).astype(np.int32) for n in (0, 700, 3, 40, 64, 1, 130, 0)]
+    alone = [net.score([d], width=1)[0] for d in docs]
+    for width, window in [(1, 64), (3, 7), (8, 64), (50, 1)]:
+        for a, b in zip(alone, net.score(docs, width, window)):
+            np.testing.assert_allclose(a, b, atol=1e-4)
+    net.w = {n: w * np.float32(200) for n, w in net.w.items()}  # logits that need the shift
+    assert net._largest() > 80 and all(np.isfinite(s).all() for s in net.score(docs))
+
+
 def test_lm_scoring(spark, folder):
     got = lm_scoring.op3_lm_scoring(spark, folder).collect()
     docs = rows_of(spark, folder)
