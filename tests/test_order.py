@@ -80,6 +80,38 @@ def test_reuse_equals_sequential(spark):
             assert out[r[3]].hallucination == ("No" if first[pkg] else "Yes")
 
 
+def walked(rows, names):
+    """Outcome of every claim, one after the other: known, exists, missing, skipped or judged."""
+    out, verdicts, detected = {}, {}, {}
+    for r in sorted(rows, key=lambda r: r[:3]):
+        kind, pkg, seen = r[4], names[r[10]], detected.setdefault(r[:2], set())
+        if r[9]:
+            out[r[3]] = "known"
+        elif pkg in verdicts and (kind == "import" or (kind == "install" and "==" not in r[11])):
+            out[r[3]] = "exists" if verdicts[pkg] else "missing"
+        elif kind in seen:
+            out[r[3]] = "skipped"
+        else:
+            out[r[3]] = "judged"
+            if not r[12]:
+                seen |= {t for t, f in zip(TYPES, r[6:9]) if f}
+                if kind in ("import", "install"):
+                    verdicts.setdefault(pkg, not (r[6] if kind == "import" else r[7]))
+    return out
+
+
+@pytest.mark.parametrize("seed,packages", [(1, 4), (2, 300)])
+def test_joint_resolution_equals_sequential(spark, seed, packages):
+    rng = random.Random(seed)
+    names = {f"lib{k}": f"lib{k}" for k in range(packages)}
+    rows = [(*r[:10], rng.choice(list(names)), r[11], "late" if rng.random() < 0.2 else None) for r in random_claims(seed, 40, 25)]
+    got = Z.resolve_coding_claims(spark.createDataFrame(rows, CLAIM + ", error STRING").repartition(3)).collect()
+    label = lambda r: ("known" if r.known else ("exists" if r.package_exists else "missing") if r.reused
+                       else "skipped" if r.skipped_early_stopping else "judged")
+    assert {r.claim_id: label(r) for r in got} == walked(rows, names)
+    assert len(got) == len(rows) and {r.hallucination for r in got if label(r) == "missing"} <= {"Yes"}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_dedup_equals_greedy(spark, seed):
     rng = random.Random(seed)

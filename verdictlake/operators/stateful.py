@@ -136,11 +136,13 @@ def known_verdicts(claims: DataFrame) -> DataFrame:
 def reuse_verdicts(judged: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """Later import and install claims of a package take its first judged verdict.
 
-    Installs that ask for a version are always judged themselves. Adds `reused` and `package_exists`.
+    Installs that ask for a version (`versioned`, or as the snippet says) are always judged
+    themselves. Adds `reused` and `package_exists`.
     """
     first = first_verdicts(judged) if verdicts is None else verdicts
     kind = F.col("element_type")
-    cacheable = (kind == "import") | ((kind == "install") & ~has_version("code_snippet"))
+    versioned = F.col("versioned") if "versioned" in judged.columns else has_version("code_snippet")
+    cacheable = (kind == "import") | ((kind == "install") & ~versioned)
     joined = judged.withColumn("package_key", package_key("package_name")).join(first, "package_key", "left")
     reused = F.coalesce(cacheable & (_place() > F.col("_place")), F.lit(False))
     if "known" in judged.columns:
@@ -164,6 +166,46 @@ def reuse_verdicts(judged: DataFrame, verdicts: DataFrame | None = None) -> Data
     }).select(*judged.columns, "reused", "package_exists")
 
 
+# ---- known packages, reuse and early stopping together -------------------------------------
+
+
+def _resolved_with(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """Claims with `reused`, `package_exists`, `skipped_early_stopping`, given each package's source."""
+    marked = reuse_verdicts(claims, sources)
+    settled = F.coalesce("known", F.lit(False))
+    marked = marked.withColumn("_known", settled).withColumn("known", settled | F.col("reused"))
+    return early_stop(marked)
+
+
+def resolve_coding_claims(claims: DataFrame) -> DataFrame:
+    """Known packages, reused verdicts and early stopping in the one order (conv_id, turn, claim_idx).
+
+    `claims` carry the answer their judge gives if asked, `known`, and on request `error`. A known
+    package is settled first; then an import, or an install without a version, of a package
+    judged before takes that verdict; then a claim whose type was detected earlier in its turn is
+    skipped; all others are judged. Only judged claims without an error raise types or become
+    sources. Adds `reused`, `package_exists`, `skipped_early_stopping`.
+
+    Skips depend on reuse and sources on skips, always on earlier places. So the sources have one
+    fixed point, and round k is right for every claim whose chain of dependencies is up to k
+    long. A round reads narrow rows, takes grouped minimums and joins them back; no walk.
+    """
+    failed = F.coalesce(F.col("error"), F.lit("")) != "" if "error" in claims.columns else F.lit(False)
+    asked = claims.withColumns({f: ~failed & F.coalesce(F.col(f), F.lit(False)) for f in FLAGS})
+    narrow = write_through(asked.select(
+        *TURN, "claim_idx", "element_type", package_key("package_name").alias("package_name"),
+        has_version("code_snippet").alias("versioned"), "known", *FLAGS, F.lit("").alias("hallucination"),
+        F.when(failed, "failed").alias("error")))
+    sources = first_verdicts(narrow.limit(0))
+    while True:
+        found = settle(first_verdicts(_resolved_with(narrow, sources)))
+        if found.subtract(sources).isEmpty() and sources.subtract(found).isEmpty():
+            break
+        sources = found
+    resolved = _resolved_with(asked, sources)
+    return known_verdicts(resolved.withColumn("known", F.col("_known"))).drop("_known")
+
+
 def skip_stats(stopped: DataFrame, reused: DataFrame) -> DataFrame:
     """One row of counts: turns tracked and fully stopped, claims skipped; reuse hits, misses, packages, known."""
     seen = stopped.groupBy(*TURN).agg(

@@ -294,6 +294,35 @@ def resolved_package_claims(i: Inputs):
     return out.select("claim_id", "known", "reused", "hallucination", "reference_grounding", "verification_error")
 
 
+# Claim by claim over the whole table: types detected in the turn, packages found to exist or not.
+RESOLVE_SQL = f""", k AS MATERIALIZED (SELECT claim_id, conv_id, turn, element_type, hallucination, {KNOWN_SQL} AS known, h % 13 = 4 AS failed,
+  CASE package_name WHEN 'cv2' THEN 'opencv-python' WHEN 'sklearn' THEN 'scikit-learn' WHEN 'PIL ' THEN 'pillow' WHEN 'yaml' THEN 'pyyaml' WHEN 'bs4' THEN 'beautifulsoup4' ELSE package_name END AS pkg,
+  element_type IN ('import', 'install') AS named, element_type = 'import' OR (element_type = 'install' AND NOT contains(code_snippet, '==')) AS asked,
+  CASE element_type WHEN 'import' THEN 1 WHEN 'install' THEN 2 ELSE 4 END AS bit, NOT CASE WHEN element_type = 'import' THEN {IMP} ELSE {INS} END AS found,
+  CASE WHEN {IMP} THEN 1 ELSE 0 END + CASE WHEN {INS} THEN 2 ELSE 0 END + CASE WHEN {FUN} THEN 4 ELSE 0 END AS mask,
+  row_number() OVER (ORDER BY conv_id, turn, claim_idx) AS rn
+  FROM (SELECT j.*, p.package_name, p.code_snippet FROM judgments_fx j JOIN payload_fx p USING (claim_id)) a),
+walk AS (SELECT 0::BIGINT AS rn, NULL::VARCHAR AS claim_id, NULL::BIGINT AS conv_id, NULL::BIGINT AS turn, 0 AS s, []::VARCHAR[] AS good, []::VARCHAR[] AS bad, NULL::VARCHAR AS outcome
+  UNION ALL
+  SELECT k.rn, k.claim_id, k.conv_id, k.turn, CASE WHEN y.outcome = 'judged' AND NOT failed THEN x.s | mask ELSE x.s END,
+    CASE WHEN y.outcome = 'judged' AND NOT failed AND named AND NOT list_contains(w.good || w.bad, pkg) AND found THEN list_append(w.good, pkg) ELSE w.good END,
+    CASE WHEN y.outcome = 'judged' AND NOT failed AND named AND NOT list_contains(w.good || w.bad, pkg) AND NOT found THEN list_append(w.bad, pkg) ELSE w.bad END, y.outcome
+  FROM walk w JOIN k ON k.rn = w.rn + 1,
+    LATERAL (SELECT CASE WHEN k.conv_id = w.conv_id AND k.turn = w.turn THEN w.s ELSE 0 END AS s) x,
+    LATERAL (SELECT CASE WHEN known THEN 'known' WHEN asked AND list_contains(w.good, pkg) THEN 'exists' WHEN asked AND list_contains(w.bad, pkg) THEN 'missing'
+      WHEN x.s & bit <> 0 THEN 'skipped' ELSE 'judged' END AS outcome) y)
+SELECT claim_id, known, outcome IN ('exists', 'missing') AS reused, outcome = 'skipped' AS skipped_early_stopping,
+  CASE outcome WHEN 'known' THEN 'No' WHEN 'exists' THEN 'No' WHEN 'missing' THEN 'Yes' WHEN 'skipped' THEN 'Skipped' ELSE hallucination END AS hallucination FROM walk JOIN k USING (claim_id)"""
+
+
+@query("resolved_coding_claims", "D9 F9 F10", with_views("judgments_fx payload_fx", RESOLVE_SQL).replace("WITH ", "WITH RECURSIVE ", 1))
+def resolved_coding_claims(i: Inputs):
+    """Known, reused, skipped and judged claims in one order; every thirteenth judgment failed."""
+    answers = _packages(i).withColumn("error", F.when(F.col("h") % 13 == 4, "timeout"))
+    known = R.match_known_packages(answers, _whitelist(i)).drop("package_key")
+    return Z.resolve_coding_claims(known).select("claim_id", "known", "reused", "skipped_early_stopping", "hallucination")
+
+
 @query("skip_statistics", "E27", with_views("judgments_fx payload_fx", STOP_SQL + REUSE_SQL + """,
 t AS (SELECT conv_id, turn, bit_or(CASE WHEN skip THEN 0 ELSE mask END) AS got, count(*) FILTER (WHERE skip) AS n FROM walk JOIN c USING (claim_id, conv_id, turn) GROUP BY 1, 2)
 SELECT (SELECT count(*) FROM t WHERE got <> 0) AS turns_tracked, (SELECT count(*) FROM t WHERE got = 7) AS turns_fully_stopped, (SELECT CAST(sum(n) AS BIGINT) FROM t) AS claims_skipped,
