@@ -11,7 +11,7 @@ from verdictlake.plans import catalog
 FOLDER = "/root/testdata/sf0.001"
 PYTHON = {"document_blocks", "hooked_evaluation", "selected_evidence", "evidence_texts"}
 # A window without partitions would pull all rows into one task. These scan one row per model or per range.
-ONE_WINDOW = {"leaderboard_coding", "ordered_facts", "numbered_claims"}
+ONE_WINDOW = {"leaderboard_coding", "ordered_facts", "numbered_claims", "next_prompt_slice", "remaining_prompts"}
 LONE_WINDOW = r"Window \[[^\n]*\n(?:[^\n]*(?:Project|InputAdapter|Sort )[^\n]*\n){0,4}[^\n]*Exchange SinglePartition"
 BATCH = sorted(n for n in catalog.QUERIES if not n.startswith("streamed"))
 

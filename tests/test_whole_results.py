@@ -5,7 +5,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from verdictlake.functions import urls
-from verdictlake.operators import agreement, resume, setops, stateful, web
+from verdictlake.operators import agreement, ranking, resume, setops, stateful, web
 from verdictlake.scale import position_in_group
 from verdictlake.sources import files
 
@@ -63,3 +63,33 @@ def test_skipped_and_failed_claims_give_no_verdict(spark):
 def test_null_keys_are_numbered(spark):
     rows = spark.createDataFrame([(None, 1), (None, 5000), ("a", 2)], "k string, n bigint")
     assert sorted((r["k"] or "", r["p"]) for r in position_in_group(rows, ["k"], "n", "p").collect()) == [("", 1), ("", 2), ("a", 1)]
+
+
+def test_claims_of_records_in_either_list(spark):
+    base = tempfile.mkdtemp()
+    lines = [
+        '{"_type": "evaluation_result", "conversation_id": 1, "score": 1, "metadata": {"language": "R"}, "details": {"claim_evaluations": '
+        '[{"claim_id": "", "hallucination": "No", "verification_error": false, "claim": {"turn_number": 3, "package_name": "p", "code_snippet": "c", "reference_name": "r"}}]}}',
+        '{"_type": "evaluation_result", "conversation_id": 2, "score": 1, "details": {"facts": [{"claim_id": "f", "turn_idx": 2, '
+        '"reference_name": "own", "claim": {"turn_number": 9, "language": "Go", "reference_name": "r"}}], "claim_evaluations": [{"claim_id": "not this"}]}}',
+        '{"_type": "evaluation_result", "conversation_id": 3, "score": 1, "details": {"facts": [], "claim_evaluations": [{"claim_id": "not this"}]}}',
+        '{"_type": "evaluation_result", "conversation_id": 4, "score": 1}']
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(f"{base}/e")
+    rows = files.claims_of_evaluations(files.read_evaluations(spark, f"{base}/e")).orderBy("conv_id").collect()
+    assert [(r["conv_id"], r["turn"], r["claim_key"], r["reference_name"], r["language"], r["verification_error"]) for r in rows] == [
+        (1, 3, "3|p|c", "r", "R", "false"), (2, 2, "f", "own", "Go", None)]
+
+
+def test_large_samples_are_cut_without_gathering(spark):
+    rows = spark.range(300_000).withColumnRenamed("id", "doc_id")
+    picked = ranking.sample_n(rows, 200_000, 7, ["doc_id"])
+    first = rows.orderBy(F.md5(F.concat_ws(":", F.lit(7), F.col("doc_id").cast("string"))), "doc_id").limit(200_000)
+    assert picked.count() == 200_000 and picked.exceptAll(first).isEmpty()
+    assert ranking.sample_n(rows, 0, 7, ["doc_id"]).isEmpty() and ranking.sample_n(rows.limit(5), 9, 7, ["doc_id"]).count() == 5
+
+
+def test_next_slice_goes_on_after_what_each_language_has(spark):
+    prompts = spark.createDataFrame([(k, "a" if k < 7 else None) for k in range(10)], "doc_id long, language string")
+    done = prompts.filter("doc_id < 3")
+    assert [r["doc_id"] for r in ranking.next_slice(prompts, done, 5, ["doc_id"]).orderBy("doc_id").collect()] == [3, 4, 7, 8, 9]
+    assert [r["doc_id"] for r in ranking.next_slice(prompts, done, None, ["doc_id"]).orderBy("doc_id").collect()] == [3, 4, 5, 6, 7, 8, 9]

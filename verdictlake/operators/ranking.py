@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdictlake.operators.papers import filter_papers
-from verdictlake.scale import first_n_by, number_globally, sample_order, settle
+from verdictlake.scale import first_n_by, null_safe_back, number_globally, sample_order, settle
 
 
 def first_n_per(df: DataFrame, key: str, order: Sequence[str], n: int) -> DataFrame:
@@ -23,10 +23,29 @@ def first_n(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def _first_by_hash(df: DataFrame, n: int, seed: int, ids: Sequence[str]) -> DataFrame:
+    """The n rows that come first by md5 of seed and id, however large n is.
+
+    A count per leading four digits (at most 65,536 cells) tells the cell in which the n-th row
+    lies. Rows of earlier cells are kept where they are; only that cell is ordered.
+    """
+    if n <= 0:
+        return df.limit(0)
+    place = sample_order(seed, *ids)
+    cell = F.substring(place, 1, 4)
+    sizes = df.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = sizes.withColumn("_before", before).filter(F.col("_before") < n).agg(
+        F.max(F.struct("_cell", "_before")).alias("e")).first()["e"]
+    if edge is None:
+        return df.limit(0)
+    last = df.filter(cell == edge["_cell"]).orderBy(place, *ids).limit(n - edge["_before"])
+    return df.filter(cell < edge["_cell"]).unionByName(last)
+
+
 def sample_n(df: DataFrame, n: int, seed: int, ids: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
     """n rows by seed, given back in input order."""
-    picked = df.orderBy(sample_order(seed, *ids), *ids).limit(n)
-    return picked.orderBy(*(order or ids))
+    return _first_by_hash(df, n, seed, ids).orderBy(*(order or ids))
 
 
 def sample_per_turn(claims: DataFrame, k: int, seed: int, task: str | None = None) -> DataFrame:
@@ -61,7 +80,7 @@ def stratified_even(df: DataFrame, key: str, n: int, seed: int, ids: Sequence[st
     w = Window.partitionBy(key).orderBy(place, *ids)
     ranked = df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= share + missing)
     even = ranked.filter(F.col("_rank") <= share)
-    fill = ranked.filter(F.col("_rank") > share).orderBy(place, *ids).limit(missing)
+    fill = _first_by_hash(ranked.filter(F.col("_rank") > share), missing, seed, ids)
     return even.unionByName(fill).drop("_rank")
 
 
@@ -97,17 +116,12 @@ def number_claims(claims: DataFrame, entry: Sequence[str], position: str) -> Dat
 def next_slice(prompts: DataFrame, existing: DataFrame, n: int | None, order: Sequence[str]) -> DataFrame:
     """Per language the prompts after those already done, up to n in all (all of them without n)."""
     have = existing.groupBy("language").agg(F.count("*").alias("_have"))
-    ranked = prompts.withColumn("_rank", F.row_number().over(Window.partitionBy("language").orderBy(*order)))
-    if n is not None:
-        joined = ranked.filter(F.col("_rank") <= n).join(have, "language", "left")
-        return joined.filter(F.col("_rank") > F.coalesce("_have", F.lit(0))).select(*prompts.columns)
-    # Only the last prompt done per language is looked for; the rest is a comparison with it.
-    most = have.agg(F.coalesce(F.max("_have"), F.lit(0))).first()[0]
-    place = F.struct(*order)
-    cut = ranked.filter(F.col("_rank") <= most).join(have, "language").filter("_rank = _have").select(
-        "language", place.alias("_cut"))
-    joined = prompts.join(have, "language", "left").join(cut, "language", "left")
-    return joined.filter(F.col("_have").isNull() | (place > F.col("_cut"))).select(*prompts.columns)
+    # Ranges of one sort over all languages, so a language that holds most rows is spread as well.
+    numbered = number_globally(prompts, ["language", *order], "_no")
+    starts = null_safe_back(numbered.groupBy("language").agg(F.min("_no").alias("_first")), have, ["language"])
+    joined = null_safe_back(numbered, starts, ["language"]).withColumn("_rank", F.col("_no") - F.col("_first") + 1)
+    wanted = F.col("_rank") > F.coalesce("_have", F.lit(0))
+    return joined.filter(wanted if n is None else wanted & (F.col("_rank") <= n)).select(*prompts.columns)
 
 
 def dedup_any_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -333,19 +333,24 @@ def skip_statistics(i: Inputs):
 
 
 def _evidence(i: Inputs):
-    """Claims: the first vector of each label. Blocks: the texts behind the label's other vectors."""
+    """Claims: the first vector of each label. Blocks: pairs of a vector and a text, dealt in turn until both tables are used up."""
     e = i.table("embeddings")
     first = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("f"))
     claims = first.select(F.col("label").alias("claim_id"), F.col("f.vec_id").alias("own"), "f.embedding")
-    texts = i.table("documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("block"), "source")
-    blocks = e.join(texts, "vec_id").join(claims.select("claim_id", "own"), e["label"] == F.col("claim_id")).filter("vec_id <> own")
-    return claims.select("claim_id", "embedding"), blocks.select(
-        "claim_id", F.col("vec_id").alias("block_idx"), "block", "embedding", "source")
+    texts = i.table("documents").select("doc_id", F.col("text").alias("block"), "source")
+    vectors, documents = e.count(), texts.count()
+    pairs = i.spark.range(max(vectors, documents)).select(
+        F.col("id").alias("block_idx"), (F.col("id") % max(vectors, 1)).alias("vec_id"), (F.col("id") % max(documents, 1)).alias("doc_id"))
+    blocks = pairs.join(e, "vec_id").join(texts, "doc_id").join(
+        claims.select("claim_id", "own"), F.col("label") == F.col("claim_id")).filter("vec_id <> own")
+    return claims.select("claim_id", "embedding"), blocks.select("claim_id", "block_idx", "block", "embedding", "source")
 
 
 EVIDENCE_SQL = """, ec AS (SELECT label AS claim_id, min(vec_id) AS own FROM embeddings GROUP BY 1),
-eb AS (SELECT ec.claim_id, b.vec_id AS block_idx, d.text AS block, d.source, CAST(b.embedding AS DOUBLE[]) AS emb, list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) AS sim
-  FROM ec JOIN embeddings a ON a.vec_id = ec.own JOIN embeddings b ON b.label = ec.claim_id AND b.vec_id <> ec.own JOIN documents d ON d.doc_id = b.vec_id)"""
+ek AS (SELECT k AS block_idx, k % (SELECT count(*) FROM embeddings) AS vec_id, k % (SELECT count(*) FROM documents) AS doc_id
+  FROM (SELECT unnest(range((SELECT greatest((SELECT count(*) FROM embeddings), (SELECT count(*) FROM documents))))) AS k) r),
+eb AS (SELECT ec.claim_id, ek.block_idx, d.text AS block, d.source, CAST(b.embedding AS DOUBLE[]) AS emb, list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) AS sim
+  FROM ec JOIN embeddings a ON a.vec_id = ec.own JOIN embeddings b ON b.label = ec.claim_id AND b.vec_id <> ec.own JOIN ek ON ek.vec_id = b.vec_id JOIN documents d USING (doc_id))"""
 
 
 @query("ranked_blocks", "F11", "WITH" + EVIDENCE_SQL[1:] + """

@@ -8,7 +8,8 @@ from verdictlake.functions import labels as L
 from verdictlake.operators import metrics as M
 from verdictlake.operators import papers as P
 from verdictlake.plans.fixtures import Inputs, with_views
-from verdictlake.plans.registry import query, rounded
+from verdictlake.plans.registry import ORACLES, query, rounded
+from verdictlake.sources import files
 
 CONVS = "convs AS (SELECT DISTINCT conv_id FROM conversations)"
 ERR = "lower(verification_error) IN ('yes', 'true', 'unknown')"
@@ -410,3 +411,42 @@ SELECT *, {_rate('hallucinated_responses', 'total_responses')} AS hallucination_
   rank() OVER (ORDER BY hallucinated_responses / CAST(total_responses AS DOUBLE)) AS place FROM g"""))
 def leaderboard_coding(i: Inputs):
     return rounded(M.leaderboard_coding(i.meta().select("conv_id", "model_name"), i.judgments()))
+
+
+# ---- reports from stored records -----------------------------------------------------------
+
+
+def _stored_claims(i: Inputs):
+    """Judgments nested into evaluation records, written, read and cut into claims again; odd conversations list `facts`."""
+    path = files.scratch(i.spark, "evaluations")
+    records = files.nest_evaluations(i.table("conversations"), i.judgments())
+    facts = records.withColumn("details", F.col("details").withField("facts", F.col("details.claim_evaluations")).dropFields("claim_evaluations"))
+    files.write_evaluations(records.filter("conversation_id % 2 = 0"), path, fmt="json")
+    files.write_evaluations(facts.filter("conversation_id % 2 <> 0"), path, fmt="json")
+    return files.claims_of_evaluations(files.read_evaluations(i.spark, path))
+
+
+@query("evaluation_records", "A3 E1", with_views("judgments_fx", """
+, j AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE hallucination = 'Yes') AS y, count(*) FILTER (WHERE snippets_only) AS s FROM judgments_fx GROUP BY 1)
+SELECT conv_id AS conversation_id, coalesce(n, 0) AS total_claims, coalesce(y, 0) AS hallucinations, coalesce(s, 0) AS snippets_only_count, coalesce(n, 0) AS listed,
+  round(CASE WHEN n > 0 THEN 1.0 - y / CAST(n AS DOUBLE) ELSE 1.0 END, 6) AS score
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN j USING (conv_id)"""))
+def evaluation_records(i: Inputs):
+    records = files.nest_evaluations(i.table("conversations"), i.judgments())
+    return rounded(records.select("conversation_id", "details.total_claims", "details.hallucinations", "details.snippets_only_count",
+                                  F.size("details.claim_evaluations").cast("bigint").alias("listed"), "score"))
+
+
+@query("stored_grounding_totals", "A3 E5", ORACLES["grounding_totals"])
+def stored_grounding_totals(i: Inputs):
+    return rounded(M.grounding_totals(_stored_claims(i)))
+
+
+@query("stored_grounding_by_turn", "A3 E6", ORACLES["grounding_by_turn"])
+def stored_grounding_by_turn(i: Inputs):
+    return rounded(M.grounding_by_turn(_stored_claims(i)))
+
+
+@query("stored_coding_totals", "A3 E9", ORACLES["coding_totals"])
+def stored_coding_totals(i: Inputs):
+    return rounded(M.coding_totals(_convs(i), _stored_claims(i)))

@@ -29,8 +29,8 @@ def settings() -> dict[str, str]:
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         # Broadcast is decided from measured shuffle sizes, never from row counts we guess.
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
-        # First-n-per-key filters prune inside map tasks up to this n.
-        "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+        # First-n-per-key filters prune inside map tasks whatever n is.
+        "spark.sql.optimizer.windowGroupLimitThreshold": str((1 << 31) - 1),
         "spark.sql.session.timeZone": "UTC",
     }
 
@@ -108,7 +108,7 @@ def _chunk(order: str, span: int) -> Column:
     return F.floor(F.col(order) / F.lit(span)).cast("bigint")
 
 
-def _null_safe_back(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def null_safe_back(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join a one-row-per-key summary; a null key finds the summary of nulls."""
     named = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
@@ -137,7 +137,7 @@ def position_in_group(
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order, *ties)
     numbered = chunked.withColumn("_local", F.row_number().over(inside))
-    joined = _null_safe_back(numbered, offsets, [*keys, "_chunk"])
+    joined = null_safe_back(numbered, offsets, [*keys, "_chunk"])
     return joined.select(*df.columns, (F.col("_local") + F.col("_offset")).cast("bigint").alias(out))
 
 
@@ -159,7 +159,7 @@ def previous_in_group(
     handed = tails.select(*keys, "_chunk", F.lag("_tail").over(by_chunk).alias("_handed"))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
     local = chunked.withColumn("_local", F.lag(F.struct(F.col(value).alias("v"))).over(inside))
-    joined = _null_safe_back(local, handed, [*keys, "_chunk"])
+    joined = null_safe_back(local, handed, [*keys, "_chunk"])
     found = F.coalesce("_local", "_handed")
     return joined.select(
         *df.columns, F.when(found.isNull(), default).otherwise(found["v"]).alias(out)

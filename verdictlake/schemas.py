@@ -27,6 +27,9 @@ CLAIM_FIELDS = (
 )
 CLAIM_DATA = "STRUCT<" + ", ".join(f"{f}: STRING" for f in CLAIM_FIELDS) + ", not_a_claim: BOOLEAN>"
 
+# A judged claim carries its turn as well.
+JUDGED_CLAIM = CLAIM_DATA.removesuffix(">") + ", turn_number: BIGINT>"
+
 CLAIM = (
     f"claim_id STRING, conversation_id BIGINT, turn_number BIGINT, data {CLAIM_DATA}, "
     "metadata MAP<STRING, STRING>"
@@ -58,16 +61,24 @@ JUDGMENT_FIELDS = (
     "snippets_only: BOOLEAN, hallucinated_import_detected: BOOLEAN, "
     "hallucinated_install_detected: BOOLEAN, hallucinated_function_usage_detected: BOOLEAN, "
     "skipped_early_stopping: BOOLEAN, reason: STRING, search_queries: ARRAY<STRING>, error: STRING, "
-    f"claim: {CLAIM_DATA}, token_usage: {USAGE}"
+    f"claim: {JUDGED_CLAIM}, token_usage: {USAGE}"
 )
 
 EVALUATION = (
     "_type STRING, conversation_id BIGINT, score DOUBLE, reasoning STRING, "
     "details STRUCT<total_claims: BIGINT, hallucinations: BIGINT, input_use_fallback_count: BIGINT, "
     "judge_used_websearch_fallback_count: BIGINT, snippets_only_count: BIGINT, "
-    f"claim_evaluations: ARRAY<STRUCT<{JUDGMENT_FIELDS}>>>, metadata {METADATA}"
+    f"facts: ARRAY<STRUCT<{JUDGMENT_FIELDS}>>, claim_evaluations: ARRAY<STRUCT<{JUDGMENT_FIELDS}>>>, "
+    f"metadata {METADATA}"
 )
 
+
+def judgment_fields() -> list[str]:
+    """Names of a judged claim's own fields: not its place, which the record tells, nor the claim itself."""
+    names = [f.split(":")[0] for f in JUDGMENT_FIELDS.split(", claim: ")[0].split(", ")]
+    return [n for n in [*names, "token_usage"] if n not in ("conversation_id", "turn_idx")]
+
+
 # What a judge answers for one claim.
 JUDGE_RESPONSE = (
     "reference_name STRING, reference_grounding STRING, content_grounding STRING, hallucination STRING, "

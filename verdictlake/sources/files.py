@@ -126,6 +126,59 @@ def write_evaluations(
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def nest_evaluations(conversations: DataFrame, judgments: DataFrame) -> DataFrame:
+    """One evaluation record per conversation: score, counts and its judged claims in (turn, claim_idx) order.
+
+    A conversation without claims scores 1 and has an empty list. Columns of `judgments` that
+    the record has no field for are left out; a record holds all claims of its conversation.
+    """
+    known = schemas.judgment_fields()
+    own = [c for c in judgments.columns if c in known]
+    of_claim = [F.col(c).cast("string").alias(c) for c in judgments.columns if c in schemas.CLAIM_FIELDS]
+    item = F.struct(*own, F.col("conv_id").alias("conversation_id"), F.col("turn").alias("turn_idx"),
+                    F.struct(*of_claim, F.col("turn").alias("turn_number")).alias("claim"))
+    flags = [c for c in ("input_use_fallback", "judge_used_websearch_fallback", "snippets_only") if c in own]
+    listed = F.sort_array(F.collect_list(F.struct("turn", "claim_idx", item.alias("item"))))
+    per_conv = judgments.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("total_claims"), F.count_if(F.lower("hallucination") == "yes").alias("hallucinations"),
+        *[F.count_if(F.col(c)).alias(f"{c}_count") for c in flags], F.transform(listed, lambda x: x["item"]).alias("claim_evaluations"))
+    joined = conversations.select("conv_id").distinct().join(per_conv, "conv_id", "left")
+    counts = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ["total_claims", "hallucinations", *[f"{c}_count" for c in flags]]}
+    details = F.struct(*[v.alias(c) for c, v in counts.items()], F.coalesce("claim_evaluations", F.array()).alias("claim_evaluations"))
+    bad, total = counts["hallucinations"], counts["total_claims"]
+    return joined.select(
+        F.col("conv_id").alias("conversation_id"), F.when(total > 0, 1.0 - bad / total).otherwise(F.lit(1.0)).alias("score"),
+        F.when(total > 0, F.format_string("Found %d/%d hallucinated claims", bad, total)).otherwise(
+            F.lit("No claims")).alias("reasoning"), details.alias("details"))
+
+
+def claims_of_evaluations(evaluations: DataFrame) -> DataFrame:
+    """One row per judged claim of the records: from `facts` where a record has them, else `claim_evaluations`.
+
+    A missing turn falls back to the claim's own and then to 0, a missing reference name to the
+    claim's, a missing language to the conversation's. `claim_key` is the claim id, or, without one, turn,
+    package or authors, and code or year.
+    """
+    listed = F.coalesce("details.facts", "details.claim_evaluations")
+    rows = evaluations.select(
+        F.col("conversation_id").alias("conv_id"), F.col("metadata.language").alias("_language"), F.posexplode(listed).alias("claim_idx", "e"))
+    shared = {"reference_name", "language"}
+    turn = F.coalesce("e.turn_idx", "e.claim.turn_number", F.lit(0)).cast("bigint")
+
+    def filled(*names: str):
+        return F.coalesce(*[F.nullif(F.col(f"e.{n}"), F.lit("")) for n in names], F.lit(""))
+
+    pieces = F.concat_ws("|", turn.cast("string"), filled("claim.package_name", "claim.claimed_authors"),
+                         filled("claim.code_snippet", "claim.claimed_year"))
+    return rows.select(
+        "conv_id", turn.alias("turn"), F.col("claim_idx").cast("bigint").alias("claim_idx"),
+        F.coalesce(F.nullif("e.claim_id", F.lit("")), pieces).alias("claim_key"),
+        *[F.col(f"e.{c}").alias(c) for c in schemas.judgment_fields() if c not in shared],
+        F.coalesce("e.reference_name", "e.claim.reference_name").alias("reference_name"),
+        F.coalesce("e.claim.language", "_language").alias("language"),
+        *[F.col(f"e.claim.{c}").alias(c) for c in schemas.CLAIM_FIELDS if c not in shared])
+
+
 def write_extractions(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
     df.withColumn("_type", F.lit("extraction_result")).write.mode(mode).format(fmt).save(path)
 
