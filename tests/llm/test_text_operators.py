@@ -1,6 +1,7 @@
 """Text operators against brute force on ordinary and odd rows."""
 
 import hashlib
+import itertools
 import zlib
 from collections import Counter
 
@@ -118,6 +119,32 @@ def test_simhash_finds_all_links_of_random_prints(spark):
         assert len(set(seen.values())) == len(seen)
 
 
+def test_simhash_finds_three_bits_in_the_last_cut(spark):
+    """All three-bit patterns over the last 27 bits, and over all 64 those whose every path ends in the part of 6."""
+    def sides(bits, rest, widths):
+        """Remaining bits of each part that agrees: places counted from the top, the part itself taken out."""
+        begin = 0
+        for width in widths:
+            if not any(begin <= b < begin + width for b in bits):
+                yield tuple(b if b < begin else b - width for b in bits)
+            begin += width
+
+    def only_short(bits):
+        left = [tuple((b - 16 * k) % 64 - 16 for b in bits) for k in range(4) if not any((b - 16 * k) % 64 < 16 for b in bits)]
+        for rest, widths in simhash.LEVELS[:2]:
+            left = [x for bits in left for x in sides(bits, rest, widths)]
+        return all(sorted(b // 7 for b in x) == [0, 1, 2] and 0 in x for x in left)
+
+    patterns = [*itertools.combinations(range(37, 64), 3), *filter(only_short, itertools.combinations(range(64), 3))]
+    assert len(patterns) > 2925
+    rng = np.random.default_rng(8)
+    pairs = [(int(p), int(p) ^ sum(1 << 63 - b for b in bits)) for p, bits in zip(rng.integers(0, 1 << 63, len(patterns), dtype=np.uint64), patterns)]
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    table_ = spark.createDataFrame([(signed(p),) for pair in pairs for p in pair], "fp bigint").distinct()
+    root = {r["fp"]: r["root"] for r in simhash.groups(table_, hot=1).collect()}
+    assert [b for (p, q), b in zip(pairs, patterns) if root.get(signed(p), p) != root.get(signed(q), q)] == []
+
+
 def test_simhash_keeps_first(odd_docs, no_docs):
     out = simhash.keep_one_of_each(odd_docs)
     assert out.columns == odd_docs.columns

@@ -156,8 +156,8 @@ def _join_tasks(batches: Iterator[pa.RecordBatch], budget: int, chunk: int = 20_
         begin = end
 
 
-def _top(rest: int):
-    return F.shiftrightunsigned("code", rest)
+def _top():
+    return F.expr("shiftrightunsigned(code, rest)")
 
 
 def links(prints: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
@@ -174,7 +174,7 @@ def links(prints: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
     level = prints.select("fp", F.explode(turned).alias("x")).select("fp", "x.t", "x.code")
     done = []
     for rest, widths in LEVELS:
-        level = level.withColumn("rest", F.lit(rest)).withColumn("top", _top(rest))
+        level = level.withColumn("rest", F.lit(rest)).withColumn("top", _top())
         many = write_through(level.groupBy("t", "top").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("t", "top"))
         if many.isEmpty():
             done.append(level)
@@ -190,11 +190,11 @@ def links(prints: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
             upper = F.shiftrightunsigned(F.col("code"), below + width).bitwiseAND(F.lit((1 << (rest - below - width)) - 1))
             lower = F.col("code").bitwiseAND(F.lit((1 << below) - 1))
             code = F.shiftleft("top", rest).bitwiseOR(F.shiftleft(part, rest - width)).bitwiseOR(F.shiftleft(upper, below)).bitwiseOR(lower)
-            parts.append(F.struct((F.col("t") * 4 + 4 + k).alias("t"), code.alias("code")))
-        level = large.select("fp", F.explode(F.array(*parts)).alias("x")).select("fp", "x.t", "x.code")
+            # Parts may differ in width, so each has its own number of bits left.
+            parts.append(F.struct((F.col("t") * 4 + 4 + k).alias("t"), code.alias("code"), F.lit(rest - width).alias("rest")))
+        level = large.select("fp", F.explode(F.array(*parts)).alias("x")).select("fp", "x.t", "x.code", "x.rest")
     if level is not None:
-        level = level.withColumn("rest", F.lit(LEVELS[-1][0] - LEVELS[-1][1][0])).withColumn("top", _top(LEVELS[-1][0] - LEVELS[-1][1][0]))
-        done.append(level)
+        done.append(level.withColumn("top", _top()))
     tries = done[0]
     for more in done[1:]:
         tries = tries.unionByName(more)
