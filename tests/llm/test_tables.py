@@ -41,6 +41,27 @@ def test_nearest_recall(spark):
     assert np.mean(recall) >= 0.9
 
 
+@pytest.mark.parametrize("norms", ["one of 10", "lognormal"])
+def test_nearest_recall_on_unequal_norms(spark, norms):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(6000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if norms == "lognormal":
+        v *= rng.lognormal(0, 0.5, (len(v), 1))
+    else:
+        v[17] *= 10
+    frame = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in nearest.nearest(frame, lambda i: i % 100 == 0).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    recall = []
+    for q in range(0, len(v), 100):
+        score = v @ v[q]
+        score[q] = -np.inf
+        recall.append(np.isin(np.argsort(-score)[:20], found[q]).mean())
+    assert np.mean(recall) >= 0.9, np.mean(recall)
+
+
 def test_nearest_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [-5.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0]),
             (7, [float("nan"), 1.0]), (None, [1.0, 1.0]), (8, [float("inf"), 0.0]), (9, [1.0, 2.0, 3.0]), (10, [])]

@@ -7,13 +7,15 @@ distances is made once. Candidates of all tables are merged and ranked by exact
 in double precision. Largest inner product becomes nearest distance by the usual lift: vectors
 are scaled by the largest norm and get one coordinate that makes their norms equal.
 
-All rows are indexed, in blocks of bounded size; the stated queries meet every block. No
-bucket is capped.
+All rows are indexed, in blocks of bounded size and of norms within a band, each lifted by
+its own largest norm: under one norm for all, smaller vectors would shrink towards the lifted
+pole and out of the probes' reach. The stated queries meet every block. No bucket is capped.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,13 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdictlake.llm.rows import table
+from verdictlake.llm.rows import join_narrow, table
 from verdictlake.scale import write_through
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Hash functions per table, tables, cell width in units of a unit vector's projections, probes per table."""
+    """Hash functions per table, tables, cell width in units of a unit vector's projections, probes per table.
+
+    Norms in a block differ by less than the factor `band`; blocks of up to `whole` rows are compared whole.
+    """
 
     functions: int = 14
     tables: int = 10
@@ -37,6 +42,8 @@ class Plan:
     block: int = 8_000
     queries: int = 5_000
     seed: int = 7
+    band: float = 1.2
+    whole: int = 500
 
 
 def perturbations(functions: int, probes: int) -> np.ndarray:
@@ -122,11 +129,15 @@ def lift(vectors: np.ndarray, most: float, query: bool) -> np.ndarray:
     return np.concatenate([scaled, np.sqrt(np.maximum(0, 1 - (scaled ** 2).sum(1, keepdims=True)))], 1)
 
 
-def search_block(data_ids, data, query_ids, queries, most: float, k: int, plan: Plan) -> pd.DataFrame:
+def search_block(data_ids, data, query_ids, queries, k: int, plan: Plan) -> pd.DataFrame:
     """Best `k` candidates of one block for each query: query_id, vec_id, score. Ties go to smaller ids."""
-    tables = Tables(data.shape[1] + 1, plan)
+    if len(data) <= plan.whole:
+        met = ((q, np.arange(len(data))) for q in range(len(queries)))
+    else:
+        most = np.linalg.norm(data, axis=1).max() * (1 + 1e-12)
+        met = candidates(Tables(data.shape[1] + 1, plan), lift(data, most, False), lift(queries, most, True), k + 1)
     out = []
-    for q, rows in candidates(tables, lift(data, most, False), lift(queries, most, True), k + 1):
+    for q, rows in met:
         rows = rows[data_ids[rows] != query_ids[q]]
         if not len(rows):
             continue
@@ -158,21 +169,27 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, plan: Plan = Plan(), id_c
     """
     rows = write_through(usable(vectors, id_col, vector_col).withColumn("dim", F.size("vector")))
     query = rows.filter(is_query(F.col("vec_id")))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    n, most = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
-    blocks, teams = -(-max(n, 1) // plan.block), -(-max(query.count(), 1) // plan.queries)
-    most = (most or 1.0) * (1 + 1e-12)
-    place = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts))
-    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
-    data = rows.select("vec_id", "vector", "dim", place(blocks).alias("block")).withColumn("team", every(teams))
-    asked = query.select("vec_id", "vector", "dim", place(teams).alias("team")).withColumn("block", every(blocks))
+    # Divided by its largest component first, so that no square overflows or vanishes.
+    top = F.array_max(F.transform("vector", F.abs))
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / top) * (x / top))
+    band = F.floor((F.log(top) + F.log(square) / 2) / F.lit(math.log(plan.band)) + 0.5)
+    rows = write_through(rows.withColumn("band", band))
+    sizes = write_through(rows.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / plan.block).alias("blocks")))
+    teams = -(-max(query.count(), 1) // plan.queries)
+    place = lambda parts: F.pmod(F.xxhash64("vec_id"), parts)
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+    teams = F.lit(teams).cast("bigint")
+    data = join_narrow(rows, sizes, ["dim", "band"], "inner", 24).withColumn("block", place(F.col("blocks"))).select(
+        "vec_id", "vector", "dim", "band", "block").withColumn("team", every(teams))
+    asked = join_narrow(query.select("vec_id", "vector", "dim", place(teams).alias("team")), sizes, ["dim"], "inner", 24).select(
+        "vec_id", "vector", "dim", "band", "team", every(F.col("blocks")).alias("block"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return search_block(left.vec_id.to_numpy(), np.stack(left.vector), right.vec_id.to_numpy(), np.stack(right.vector), most, k, plan)
+        return search_block(left.vec_id.to_numpy(), np.stack(left.vector), right.vec_id.to_numpy(), np.stack(right.vector), k, plan)
 
-    keys = ["dim", "team", "block"]
+    keys = ["dim", "band", "team", "block"]
     found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
