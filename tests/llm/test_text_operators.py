@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from verdictlake.llm import exact_dedup, lm_scoring, mixing, packing, recurrent, simhash, substring_dedup, toxicity
+from verdictlake.llm import exact_dedup, lm_scoring, mixing, near_copies, packing, recurrent, simhash, substring_dedup, toxicity
 from verdictlake.llm.components import components
 from verdictlake.llm.rows import identified, split_words, table
 
@@ -152,6 +152,50 @@ def test_simhash_keeps_first(odd_docs, no_docs):
     assert simhash.keep_one_of_each(no_docs).count() == 0
 
 
+def five_word_sets(docs):
+    cut = lambda w: {b" ".join(w[k:k + 5]) for k in range(len(w) - 4)} or ({b" ".join(w)} if w else set())
+    return [cut(lower(t).split()) for _, t in docs]
+
+
+def kept_of_near_copies(docs):
+    """Ids that stay of (id, text) rows, ids being distinct, by comparing all pairs."""
+    sets = five_word_sets(docs)
+    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b) if a or b else True
+    root = brute_components(sets, near)
+    first = {}
+    for r, (d, _) in zip(root, docs):
+        first[r] = min(first.get(r, LATE), d)
+    return sorted(first.values())
+
+
+def test_near_copies(spark, folder):
+    """Copies of similarity 0.6 to 1, one large group among them, beside the small table."""
+    rng = np.random.default_rng(6)
+    docs = [(d, t) for d, t in dict(rows_of(spark, folder)).items() if d is not None]
+    for k in range(60):
+        base = [f"v{x}" for x in rng.integers(0, 5000, rng.integers(6, 200))]
+        docs.append((20_000 + 10 * k, " ".join(base)))
+        for j in range(1, 4):
+            copy = list(base)
+            for at in rng.integers(0, len(base), rng.integers(1, 2 + len(base) // 60)):
+                copy[at] = f"new{k}x{j}"
+            docs.append((20_000 + 10 * k + j, " ".join(copy)))
+    base = [f"g{k}" for k in range(120)]
+    docs += [(30_000 + k, " ".join(base[:k % 100] + [f"only{k}"] + base[k % 100 + 1:])) for k in range(150)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    out = near_copies.keep_one_of_each(frame)
+    want = kept_of_near_copies(docs)
+    assert sorted(r["doc_id"] for r in out.collect()) == want
+    assert len(want) < simhash.keep_one_of_each(frame).count()
+
+
+def test_near_copies_keep_first(odd_docs, no_docs):
+    out = near_copies.keep_one_of_each(odd_docs)
+    assert out.columns == odd_docs.columns
+    assert sorted(r["doc_id"] or -1 for r in out.collect()) == [-1, 1, 4, 7, 8, 9, 10]
+    assert near_copies.keep_one_of_each(no_docs).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
