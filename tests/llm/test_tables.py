@@ -41,6 +41,23 @@ def test_nearest_recall(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_language_counts_cover_every_labelled_document(spark, tmp_path, monkeypatch):
+    docs = [(k, f"text {k} abc", ("en", "de")[k % 2], "a") for k in range(40)] + [(None, "no id", "fr", "a"), (50, "unlabelled", None, "a")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    seen, real = [], language_id.count_trigrams
+    monkeypatch.setattr(language_id, "count_trigrams", lambda texts: seen.append(real(texts).collect()) or real(texts))
+    assert language_id.op1_language_id(spark, str(tmp_path)).count() == len(docs)
+    got = {}
+    for r in seen[0]:
+        got[r["lang"]] = got.get(r["lang"], 0) + r["n"]
+    want = {}
+    for _, text, lang, _ in docs:
+        if lang:
+            want[lang] = want.get(lang, 0) + len(text)
+    assert got == want
+
+
 @pytest.mark.parametrize("norms", ["one of 10", "lognormal"])
 def test_nearest_recall_on_unequal_norms(spark, norms):
     rng = np.random.default_rng(5)

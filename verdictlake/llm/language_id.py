@@ -132,8 +132,9 @@ def fuse(observed: DataFrame, langs: Sequence[str], keep: Sequence[str]) -> Data
     # P(observation | language), from soft counts of each observed value and of each language.
     def likelihood(key: str, out: str, df: DataFrame) -> DataFrame:
         known = [float(x or 0) for x in seen.filter(F.col(key).isNotNull()).agg(*_sums(size)).first()]
-        kinds = seen.filter(F.col(key).isNotNull()).agg(F.approx_count_distinct(key)).first()[0] or 1
-        table = seen.filter(F.col(key).isNotNull()).groupBy(key).agg(*_sums(size)).select(key, F.array(*[
+        sums = write_through(seen.filter(F.col(key).isNotNull()).groupBy(key).agg(*_sums(size)))
+        kinds = sums.count() or 1
+        table = sums.select(key, F.array(*[
             F.log((F.col(f"s{k}") + SMOOTHING) / (known[k] + SMOOTHING * kinds)) for k in range(size)]).alias(out))
         return df.join(table, key, "left")
 
@@ -163,16 +164,21 @@ def host_parts(url: Column) -> tuple[Column, Column, Column]:
     return host, F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."), F.element_at(labels, -1)
 
 
+def labelled(docs: DataFrame, folds: bool = False) -> DataFrame:
+    """(lang, text) of every document with a language; with `folds`, of training folds only, for evaluation."""
+    some = docs.filter(F.col("lang").isNotNull())
+    some = some.filter(training("doc_id")) if folds else some
+    return some.select("lang", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+
+
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Every page and every document: doc_id or page_id, declared, host, lang, probability, text_lang.
 
     Pages have markup, address and host; a document's host is its source, and it has neither
-    markup nor address. Language labels are learnt from training folds of documents only.
+    markup nor address. Language labels are learnt from every labelled document.
     """
     docs, pages = table(spark, folder, "documents"), table(spark, folder, "pages")
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    labelled = docs.filter(training("doc_id") & F.col("lang").isNotNull()).select("lang", text.alias("text"))
-    model = TextModel(write_through(count_trigrams(labelled)))
+    model = TextModel(write_through(count_trigrams(labelled(docs))))
     langs = model.langs or ["und"]
     none = F.lit(None).cast("string")
     host, domain, suffix = host_parts(F.col("url"))
