@@ -1,7 +1,7 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
 
 from verdictlake.llm import (
-    exact_dedup, fill_in_middle, filter_audit, language_id, lm_scoring, mixing, nearest, packing, simhash, substring_dedup, toxicity, warc)
+    exact_dedup, fill_in_middle, filter_audit, language_id, lm_scoring, mixing, nearest, ngram_join, packing, simhash, substring_dedup, toxicity, warc)
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_simhash": simhash.op9_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
@@ -21,6 +22,7 @@ ORACLES = {
     "op4_mixing": mixing.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_ngram_join": ngram_join.ORACLE_SQL,
     "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
     "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
