@@ -10,11 +10,13 @@ signature, and similar sets share at least one.
 
 Signatures are shuffled as packed arrays. What shares a signature is settled in this order, so
 that large groups of copies cost what they hold and not their pairs: rows of equal sets are one
-set; each set is compared with the one leader it shares most signatures with; pairs of sets
-that share a signature and are not connected yet are compared by sketches, whose differing
-bits never exceed the differing features, and then exactly, a few per set and round, until
-every such pair is connected or compared. Signatures shared by very many sets are cut into
-those of a second, independent choice of parts, and what is still large into blocks.
+set; each set is compared with the one leader it shares most signatures with; sets that are not
+connected yet meet per signature with a sketch, whose differing bits never exceed the
+differing features, and those with a partner meet again with a finer one: first each set is
+compared with the closest of another component, until that connects nothing more, then all
+remaining pairs of different components that the sketch allows are compared exactly.
+Signatures shared by very many sets are cut into those of a second, independent choice of
+parts, and what is still large into blocks.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ SLICE_BYTES, SLICE_ROWS = 4 << 20, 4096
 BUCKET, MOST = 1 << 18, 1 << 22
 CROWD = 2048
 LEVELS = 3
+COARSE, FINE = 4, 32
 
 # Largest size of each band: sets of similarity 0.8 lie in one band or in neighbours.
 _tops = [1]
@@ -143,9 +146,12 @@ def signature_count(n: int) -> int:
     return 0 if not n else sum(_scheme(t, 0)[4].size for t in (band(n), band(n) + 1))
 
 
-def sketch(found: np.ndarray) -> bytes:
-    """Parities of the features' counts over a power of two of cells; a differing feature flips one bit."""
-    cells = max(64, 1 << int(4 * (differences(band(len(found))) + 1) - 1).bit_length())
+def sketch(found: np.ndarray, cells: int = COARSE) -> bytes:
+    """Parities of the features' counts over a power of two of cells; a differing feature flips one bit.
+
+    `cells` are those per feature that similar sets may differ in.
+    """
+    cells = max(64, 1 << int(cells * (differences(band(len(found))) + 1) - 1).bit_length())
     at = ((found * GOLD) >> np.uint64(20)).astype(np.int64) & (cells - 1)
     return np.packbits(np.bincount(at, minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -283,27 +289,59 @@ def spread(many: DataFrame, one: DataFrame, key: str, how: str = "inner", counte
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of a block whose roots differ and whose sizes and sketches allow the similarity."""
-    for group in _groups(batches, ["sig", "u", "v"]):
-        key, root, n, own = (group[c].to_numpy() for c in ("key", "root", "n", "own"))
-        if (root == root[0]).all():
-            continue
-        bits = _folded(group["sketch"].to_pylist())
-        across, pairs, size = group["u"][0].as_py() != group["v"][0].as_py(), [], 0
-        for k in range(len(key) - 1):
-            ok = (root[k + 1:] != root[k]) & ((own[k + 1:] != own[k]) | (not across))
-            ok &= 5 * np.minimum(n[k + 1:], n[k]) >= 4 * np.maximum(n[k + 1:], n[k])
-            some = np.flatnonzero(ok) + k + 1
-            if len(some):
-                apart = np.bitwise_count(bits[some] ^ bits[k]).sum(axis=1, dtype=np.int64)
-                some = some[9 * apart <= n[some] + n[k]]
-            if len(some):
-                pairs.append(np.stack([np.minimum(key[some], key[k]), np.maximum(key[some], key[k])]))
-                size += len(some)
-            if size > 50_000 or (size and k == len(key) - 2):
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(pairs, axis=1))), names=["a", "b"])
-                pairs, size = [], 0
+def _close(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per some rows i of a block: (i, j, differing bits) of all j of other roots that sizes and sketches allow."""
+    root, n, own = (group[c].to_numpy() for c in ("root", "n", "own"))
+    if (root == root[0]).all():
+        return
+    bits = _folded(group["sketch"].to_pylist())
+    across = group["u"][0].as_py() != group["v"][0].as_py()
+    step = max(1, (1 << 21) // bits.size)
+    for a in range(0, len(n), step):
+        i = slice(a, a + step)
+        apart = np.bitwise_count(bits[i, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
+        ok = (9 * apart <= n[i, None] + n) & (5 * np.minimum(n[i, None], n) >= 4 * np.maximum(n[i, None], n)) & (root[i, None] != root)
+        if across:
+            ok &= own[i, None] != own
+        x, y = np.nonzero(ok)
+        if len(x):
+            yield x + a, y, apart[x, y]
+
+
+BLOCK = ["sig", "u", "v"]
+
+
+def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, u, v, own, key) of a block that have a possible partner in it."""
+    for group in _groups(batches, BLOCK):
+        some = np.zeros(len(group), bool)
+        for i, _, _ in _close(group):
+            some[i] = True
+        if some.any():
+            yield from group.select([*BLOCK, "own", "key"]).filter(pa.array(some)).to_batches()
+
+
+def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pair (a, b) for each set that has a possible partner in its block: the one with the fewest differing bits."""
+    for group in _groups(batches, BLOCK):
+        key = group["key"].to_numpy()
+        for i, j, apart in _close(group):
+            order = np.lexsort((j, apart, i))
+            i, j = i[order], j[order]
+            first = np.concatenate([[True], i[1:] != i[:-1]])
+            yield _pairs(key[i[first]], key[j[first]])
+
+
+def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs (a, b) of a block's sets that are possible partners."""
+    for group in _groups(batches, BLOCK):
+        key = group["key"].to_numpy()
+        for i, j, _ in _close(group):
+            yield _pairs(key[i[i < j]], key[j[i < j]])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _sets(texts: DataFrame, seed: int | None = None) -> DataFrame:
@@ -322,6 +360,18 @@ def _sets(texts: DataFrame, seed: int | None = None) -> DataFrame:
     return texts.mapInArrow(run, "key bigint, found array<bigint>")
 
 
+def _fine(texts: DataFrame) -> DataFrame:
+    """(key, n, sketch) with the finer sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "_t"):
+            sets = shingle_sets(piece.column("_t"))
+            yield pa.RecordBatch.from_arrays([piece.column("key"), pa.array([len(f) for f in sets], pa.int64()), pa.array(
+                [sketch(f, FINE) for f in sets], pa.binary())], names=["key", "n", "sketch"])
+
+    return texts.mapInArrow(run, "key bigint, n bigint, sketch binary")
+
+
 class Join:
     """One run over `identified` rows; holds the written tables that its steps share."""
 
@@ -375,8 +425,8 @@ class Join:
         other = _sets(self.texts(crowded.select("key").distinct()), seed).select("key", F.explode("found").alias("_also"))
         return crowded.join(other, "key").select(F.xxhash64("sig", "_also").alias("sig"), "key", "root")
 
-    def candidates(self, rooted: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) of sets of different roots that share a signature and may be similar."""
+    def dealt(self, rooted: DataFrame) -> DataFrame:
+        """(sig, u, v, own, key): signatures of sets of several roots in blocks of bounded size, each pair of blocks a group."""
         ready = []
         for seed in range(1, LEVELS + 1):
             several = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
@@ -387,36 +437,55 @@ class Join:
                 break
             ready.append(rooted.filter(F.col("size") <= self.crowd))
             rooted = write_through(self.finer(crowded, seed))
-        # What is still crowded meets block by block, each pair of blocks a group of its own.
         blocks = F.ceil(F.col("size") / F.lit(self.crowd)).cast("int")
-        parts = [r.select("sig", "key", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("key"), blocks).cast("int").alias("own")) for r in ready]
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "sig", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "key", "root")
-        met = dealt.join(self.firsts.select("key", "n", "sketch"), "key")
-        return met.repartition("sig", "u", "v").sortWithinPartitions("sig", "u", "v").mapInArrow(_open_pairs, "a bigint, b bigint").distinct()
+        whole = None
+        for r in ready:
+            part = r.select("sig", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("key"), blocks).cast("int").alias("own"))
+            whole = part if whole is None else whole.unionByName(part)
+        return whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            "sig", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "key")
+
+    def met(self, dealt: DataFrame, sketches: DataFrame, known: DataFrame, run, schema: str) -> DataFrame:
+        """`run` over the blocks of `dealt`, their sets with size, sketch and root."""
+        rows = join_narrow(dealt.join(sketches, "key"), known, ["key"], "left", 16).withColumn("root", F.coalesce("root", "key"))
+        return rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(run, schema)
 
     def roots(self) -> DataFrame:
         """(key, root) of every set that has a link."""
+        def grouped(links: DataFrame) -> DataFrame:
+            return write_through(components(links).select(F.col("node").alias("key"), "root"))
+
         shared = write_through(self.shared())
-        met = shared.filter("key <> lead").groupBy("key", "lead").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-        best = met.groupBy("key").agg(F.max_by("lead", F.struct("times", "lead")).alias("lead"))
+        common = shared.filter("key <> lead").groupBy("key", "lead").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+        best = common.groupBy("key").agg(F.max_by("lead", F.struct("times", "lead")).alias("lead"))
         links = write_through(self.similar(write_through(best.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct())))
-        known = write_through(components(links).select(F.col("node").alias("key"), "root"))
-        left = write_through(self.candidates(join_narrow(shared.select("sig", "key"), known, ["key"], "left", 16).select(
-            "sig", "key", F.coalesce("root", "key").alias("root"))))
-        width = 4
+        known = grouped(links)
+        rooted = join_narrow(shared.select("sig", "key"), known, ["key"], "left", 16).select("sig", "key", F.coalesce("root", "key").alias("root"))
+        block = "sig bigint, u int, v int, own int, key bigint"
+        rows = write_through(self.met(self.dealt(rooted), self.firsts.select("key", "n", "sketch"), known, _with_partner, block))
+        fine = write_through(_fine(self.texts(rows.select("key").distinct())))
+        while True:
+            near = write_through(self.met(rows, fine, known, _closest, "a bigint, b bigint").distinct())
+            found = write_through(self.similar(near))
+            if found.isEmpty():
+                break
+            links = links.unionByName(found)
+            known = grouped(links)
+        left = write_through(self.met(rows, fine, known, _allowed, "a bigint, b bigint").distinct())
+        return self.compared(left.join(near, ["a", "b"], "left_anti"), links, known, grouped)
+
+    def compared(self, left: DataFrame, links: DataFrame, known: DataFrame, grouped) -> DataFrame:
+        """(key, root) after comparing the pairs `left`, some per set and round, but for pairs connected meanwhile."""
+        width = 16
         while True:
             a, b = (known.select(F.col("key").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-            open_ = join_narrow(join_narrow(left, a, ["a"], "left", 16), b, ["b"], "left", 16).filter(
+            apart = join_narrow(join_narrow(left, a, ["a"], "left", 16), b, ["b"], "left", 16).filter(
                 F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-            turn = write_through(open_.withColumn("turn", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))))
+            turn = write_through(apart.withColumn("turn", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))))
             if turn.isEmpty():
                 return known
-            links = write_through(links.unionByName(self.similar(write_through(turn.filter(F.col("turn") <= width).select("a", "b")))))
-            known = write_through(components(links).select(F.col("node").alias("key"), "root"))
+            links = links.unionByName(write_through(self.similar(write_through(turn.filter(F.col("turn") <= width).select("a", "b")))))
+            known = grouped(links)
             left, width = turn.filter(F.col("turn") > width).select("a", "b"), 4 * width
 
 
