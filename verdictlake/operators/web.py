@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from verdictlake.functions import html as H
 from verdictlake.functions import urls as U
 from verdictlake.functions.labels import BLANKS, text
 from verdictlake.operators.turns import MIN_PAGE_CHARS
@@ -15,8 +18,6 @@ from verdictlake.scale import evaluate_once, first_n_by, latest_per_key
 # How much is fetched for one claim.
 MAX_URLS = 2
 MAX_PDFS = 1
-#: The target of an anchor: double-quoted, single-quoted or bare, in any case.
-ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
 def canonical_urls(pages: DataFrame, url: str = "url", key: str = "page_id") -> DataFrame:
@@ -34,20 +35,35 @@ def extract_urls(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
         U.domain_name(F.col("url")).alias("domain"), U.last_segment(F.col("url")).alias("identifier"))
 
 
+@F.pandas_udf(T.StructType().add("base", T.StringType()).add("hrefs", T.ArrayType(T.StringType())))
+def _links(pages: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([H.links(p or "") for p in pages], columns=["base", "hrefs"])
+
+
+@F.pandas_udf(T.StringType())
+def _text(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda p: H.text(p or ""))
+
+
 def extract_links(
     pages: DataFrame, predicate: Callable[[Column], Column] = U.is_pdf_href,
     key: str = "page_id", html: str = "html", url: str | None = "url",
 ) -> DataFrame:
     """Distinct anchors of each page that satisfy the predicate, resolved against the page, by first place.
 
-    Pages are grouped by their key and link, never gathered: a page with many links stays spread out.
+    Links stand as a browser sees them: not in comments or scripts, in any order and quoting of
+    attributes, references decoded, relative to `<base href>` where a page has one. Pages are
+    grouped by their key and link, never gathered: a page with many links stays spread out.
     """
-    anchors = pages.select(
-        key, *([url] if url else []),
-        F.posexplode(F.regexp_extract_all(html, F.lit(ANCHOR), 1)).alias("pos", "href"))
-    anchors = anchors.withColumn("href", F.regexp_replace("href", "^[\"']\\s*|\\s*[\"']$", ""))
-    anchors = anchors.withColumn("href", F.replace("href", F.lit("&amp;"), F.lit("&"))).filter(predicate(F.col("href")))
-    link = U.resolve(F.col("href"), F.col(url)) if url else F.col("href")
+    found = evaluate_once(pages.select(key, *([url] if url else []), html), "_found", _links(F.col(html)))
+    anchors = found.select(
+        key, *([F.col(url).alias("_url")] if url else []), F.col("_found.base").alias("_base"),
+        F.posexplode("_found.hrefs").alias("pos", "href")).filter(predicate(F.col("href")))
+    link = F.col("href")
+    if url:
+        base = F.when(F.col("_base").isNull(), F.col("_url")).otherwise(U.resolve(F.col("_base"), F.col("_url")))
+        link = U.resolve(F.col("href"), F.col("_at"))
+        anchors = evaluate_once(anchors, "_at", base)
     named = evaluate_once(anchors, "link", link)
     ok = U.scheme(F.col("link")).isin("http", "https", "") | F.col("link").startswith("/")
     return named.filter(ok).groupBy(key, "link").agg(F.min("pos").cast("bigint").alias("pos"))
@@ -58,21 +74,11 @@ def page_text(
 ) -> DataFrame:
     """Main text of pages: furniture and markup removed, entities decoded, long texts cut with a mark.
 
-    Extraction is defined by this contract: drop script, style, nav, header, footer, aside elements,
-    comments and blocks of the class `ad` or `ads`; block ends become line breaks; other tags go.
+    Extraction is defined by the contract of `functions.html`: head, script, style, nav, header,
+    footer, aside, noscript and template go with all that is nested in them, so do comments and
+    elements of the class `ad` or `ads`; blocks and `<br>` stand on lines of their own.
     """
-    c = text(html)
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    for element in ("script", "style", "nav", "header", "footer", "aside", "noscript"):
-        c = F.regexp_replace(c, rf"(?is)<{element}\b.*?</{element}>", "")
-    c = F.regexp_replace(c, r"(?is)<head\b.*?</head>", "")
-    c = F.regexp_replace(c, r'(?is)<div class="(?:[^"]*\s)?ads?(?:\s[^"]*)?">.*?</div>', "")
-    c = F.regexp_replace(c, r"(?i)</(p|div|h[1-6]|li|tr|article|section)>|<br[^>]*>", "\n")
-    c = F.regexp_replace(c, r"<[^>]*>", "")
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(plain))
-    c = F.regexp_replace(c, r"[ \t\r]*\n\s*", "\n")
-    out = evaluate_once(pages, "content", F.btrim(c, F.lit(BLANKS)))
+    out = evaluate_once(pages, "content", _text(F.col(html)))
     if max_words is not None:
         words = F.filter(F.split("content", r"\s+"), lambda w: w != "")
         out = evaluate_once(out, "_words", words)

@@ -43,18 +43,22 @@ RESOLVE_SQL = """CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THE
   WHEN href LIKE '/%' THEN concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), href)
   WHEN href LIKE '#%' THEN concat(string_split(url, '#')[1], href)
   ELSE concat(regexp_extract(url, '^([a-z]+://[^?#]*/)', 1), href) END"""
-ANCHORS_SQL = """SELECT page_id, url, replace(unnest(a), '&amp;', '&') AS href, CAST(generate_subscripts(a, 1) - 1 AS BIGINT) AS pos
-  FROM (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS a FROM pages) x"""
+# Pages cut at `<`: the tag that opens each segment, its text, and by running sums whether it lies in a script or style.
+SEGMENTS_SQL = """s AS (SELECT page_id, url, unnest(a) AS seg, generate_subscripts(a, 1) AS ord FROM (SELECT page_id, url, string_split(html, '<') AS a FROM pages) x),
+g AS (SELECT *, CASE WHEN ord = 1 THEN '' ELSE lower(regexp_extract(seg, '^(/?[A-Za-z][A-Za-z0-9]*|!--)', 1)) END AS tag, strpos(seg, '>') AS gt FROM s),
+b AS (SELECT *, sum(CASE WHEN tag IN ('script', 'style') THEN 1 WHEN tag IN ('/script', '/style') THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY ord) > 0 AS raw FROM g)"""
+ANCHORS_SQL = """SELECT page_id, url, replace(regexp_extract(seg, ' href="([^"]*)"', 1), '&amp;', '&') AS href,
+  row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS pos FROM b WHERE tag = 'a' AND gt > 0 AND NOT raw AND contains(seg, ' href="')"""
 
 
-@query("page_links", "C9", f"""
+@query("page_links", "C9", f"""WITH {SEGMENTS_SQL}
 SELECT page_id, link, min(pos) AS pos FROM (SELECT page_id, pos, {RESOLVE_SQL} AS link FROM ({ANCHORS_SQL}) t) u
 WHERE regexp_matches(link, '^https?:') OR link LIKE '/%' GROUP BY 1, 2""")
 def page_links(i: Inputs):
     return W.extract_links(i.table("pages"), lambda href: F.lit(True))
 
 
-@query("pdf_links", "C9", f"""
+@query("pdf_links", "C9", f"""WITH {SEGMENTS_SQL}
 SELECT page_id, link, min(pos) AS pos FROM (SELECT page_id, pos, {RESOLVE_SQL} AS link FROM
   (SELECT page_id, url, pos, CASE WHEN length(href) % 3 = 0 THEN concat(href, '.pdf') ELSE href END AS href FROM ({ANCHORS_SQL}) t) s
   WHERE lower(href) LIKE '%.pdf' OR contains(lower(href), '/pdf/') OR contains(lower(href), '.pdf?') OR lower(href) LIKE '%.pdf/') u GROUP BY 1, 2""")
@@ -72,28 +76,24 @@ def pdf_url_tests(i: Inputs):
         "link", U.is_pdf_url("link").alias("strict"), U.is_pdf_url_simple("link").alias("simple"))
 
 
-def _strip_sql(expr: str) -> str:
-    expr = f"regexp_replace({expr}, '(?s)<!--.*?-->', '', 'g')"
-    for e in ("script", "style", "nav", "header", "footer", "aside", "noscript"):
-        expr = f"regexp_replace({expr}, '(?is)<{e}\\b.*?</{e}>', '', 'g')"
-    expr = f"regexp_replace({expr}, '(?is)<head\\b.*?</head>', '', 'g')"
-    expr = f"""regexp_replace({expr}, '(?is)<div class="ad[^"]*">.*?</div>', '', 'g')"""
-    expr = f"regexp_replace({expr}, '(?i)</(p|div|h[1-6]|li|tr|article|section)>|<br[^>]*>', chr(10), 'g')"
-    expr = f"regexp_replace({expr}, '<[^>]*>', '', 'g')"
-    for entity, plain in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&amp;", "'&'")):
-        expr = f"replace({expr}, '{entity}', {plain})"
-    expr = f"regexp_replace({expr}, '[ \\t\\r]*\\n\\s*', chr(10), 'g')"
-    return f"trim({expr}, E' \\t\\n\\r')"
+# A segment shows its text unless one more left-out element was opened than closed up to it; tags cut off at the end show none.
+SHOWN_SQL = SEGMENTS_SQL + """,
+k AS (SELECT *, sum(CASE WHEN tag IN ('head', 'nav', 'header', 'footer', 'aside', 'noscript') AND NOT raw OR tag = 'div' AND contains(seg, 'class="ad"') THEN 1
+    WHEN tag IN ('/head', '/nav', '/header', '/footer', '/aside', '/noscript', '/div') AND NOT raw THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY ord) AS deep FROM b),
+l AS (SELECT page_id, string_agg(concat(CASE WHEN tag IN ('br', 'p', '/p', '/div', 'li', '/li', 'article', '/article', 'section', '/section', 'tr', '/tr') OR regexp_matches(tag, '^/?h[1-6]$') THEN chr(10) ELSE '' END,
+    CASE WHEN ord = 1 THEN seg WHEN gt = 0 THEN '' WHEN tag = '!--' THEN split_part(seg, '-->', 2) ELSE substr(seg, gt + 1) END), '' ORDER BY ord) AS t
+  FROM k WHERE deep = 0 AND NOT raw GROUP BY page_id),
+c AS (SELECT page_id, array_to_string(list_filter([trim(x, E' \\t\\r') FOR x IN string_split(regexp_replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'), chr(10))],
+    lambda x: x <> ''), chr(10)) AS content FROM l)"""
 
 
-@query("page_texts", "C10", f"""
-SELECT page_id, content FROM (SELECT page_id, {_strip_sql('html')} AS content FROM pages) c WHERE length(content) >= 100""")
+@query("page_texts", "C10", f"""WITH {SHOWN_SQL}
+SELECT page_id, content FROM c WHERE length(content) >= 100""")
 def page_texts(i: Inputs):
     return W.page_text(i.table("pages")).select("page_id", "content")
 
 
-@query("page_texts_with_word_limit", "C10", f"""
-WITH c AS (SELECT page_id, {_strip_sql('html')} AS content FROM pages),
+@query("page_texts_with_word_limit", "C10", f"""WITH {SHOWN_SQL},
 w AS (SELECT *, list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '') AS words FROM c),
 o AS (SELECT page_id, CASE WHEN len(words) > 200 THEN concat(array_to_string(words[:200], ' '), chr(10), chr(10), '[Content truncated at 200 words]') ELSE content END AS content FROM w)
 SELECT page_id, content FROM o WHERE length(content) >= 100""")
