@@ -200,17 +200,6 @@ def test_flat_map_may_drop_and_multiply(spark):
     assert sorted(r.n for r in O.flat_map(df, worker, "n BIGINT").collect()) == [1, 3, 3, 3]
 
 
-def test_arrivals_wait_complete_and_expire(spark):
-    rows = [("a", 0, 1, None, None), ("a", 10, None, "u", True), ("b", 0, 2, None, None), ("b", 20, None, "v", True),
-            ("b", 900, None, "late", True), ("c", 880, 1, None, None), ("d", 0, None, "orphan", True)]
-    df = spark.createDataFrame(rows, "claim_id STRING, s BIGINT, expected BIGINT, url STRING, usable BOOLEAN").select(
-        "claim_id", F.timestamp_seconds("s").alias("ts"), "expected", "url", F.lit("x").alias("content"), "usable")
-    out, waiting = J.settle_arrivals(df)
-    got = {(r.claim_id, r.complete, r.url) for r in out.collect()}
-    assert got == {("a", True, "u"), ("b", False, "v")}
-    assert {r.claim_id for r in waiting.collect()} == {"c"}
-
-
 def test_dead_letters(spark):
     retry, dead = J.split_dead_letters(spark.createDataFrame([(1, 1), (2, 3)], "id BIGINT, attempt BIGINT"))
     assert [r.id for r in retry.collect()] == [1] and [r.id for r in dead.collect()] == [2]

@@ -38,6 +38,20 @@ def _mask() -> Column:
     return out
 
 
+def type_number(element_type: Column) -> Column:
+    """1 to 3 for the three element types, 0 for any other."""
+    out = F.lit(0)
+    for k, name in enumerate(ELEMENT_TYPES):
+        out = F.when(element_type == name, k + 1).otherwise(out)
+    return out
+
+
+def raised_types(judged: DataFrame) -> Column:
+    """The types a claim raises as bits; claims of known packages (`known`) raise none."""
+    known = F.coalesce("known", F.lit(False)) if "known" in judged.columns else F.lit(False)
+    return F.when(known, 0).otherwise(_mask())
+
+
 def first_sightings(judged: DataFrame, order: str = "claim_idx") -> DataFrame:
     """First place in each turn of every (own type, raised flags) combination: at most 28 rows a turn.
 
@@ -67,13 +81,13 @@ def detections(sightings: DataFrame) -> DataFrame:
         *TURN, *[F.col(f"d.p{k}").alias(f"_from_{k}") for k in range(3)])
 
 
-def early_stop(judged: DataFrame, order: str = "claim_idx", sightings: DataFrame | None = None) -> DataFrame:
+def early_stop(judged: DataFrame, order: str = "claim_idx", found: DataFrame | None = None) -> DataFrame:
     """Mark claims whose element type was already detected in their turn, and blank their verdict.
 
     Claims of known packages (`known`) are resolved before the check: they neither stop others
-    nor get skipped. `sightings` replaces the table's own, for increments.
+    nor get skipped. `found` replaces the table's own detections, for increments.
     """
-    found = detections(first_sightings(judged, order) if sightings is None else sightings)
+    found = detections(first_sightings(judged, order)) if found is None else found
     joined = judged.join(found, list(TURN), "left")
     skipped = F.lit(False)
     for k, name in enumerate(ELEMENT_TYPES):
@@ -101,20 +115,24 @@ def _place() -> Column:
     return F.struct("conv_id", "turn", "claim_idx")
 
 
-def first_verdicts(judged: DataFrame) -> DataFrame:
-    """Per package the first judged import or install claim: where it stands and whether the package exists."""
+def verdict_of(judged: DataFrame) -> tuple[Column, Column]:
+    """Whether a claim's answer is a verdict on its package, and whether the package exists by it."""
     kind = F.col("element_type")
-    usable = judged.withColumn("package_key", package_key("package_name")).filter(
-        kind.isin("import", "install") & (F.col("package_key") != ""))
+    usable = kind.isin("import", "install") & (package_key("package_name") != "")
     for mark in ("known", "skipped_early_stopping"):
         if mark in judged.columns:
-            usable = usable.filter(~F.coalesce(mark, F.lit(False)))
+            usable = usable & ~F.coalesce(mark, F.lit(False))
     if "error" in judged.columns:  # a failed judgment is no verdict
-        usable = usable.filter(F.coalesce("error", F.lit("")) == "")
+        usable = usable & (F.coalesce("error", F.lit("")) == "")
     missing = F.when(kind == "import", F.col(FLAGS[0])).otherwise(F.col(FLAGS[1]))
-    exists = ~F.coalesce(missing, F.lit(False))
+    return usable, ~F.coalesce(missing, F.lit(False))
+
+
+def first_verdicts(judged: DataFrame) -> DataFrame:
+    """Per package the first judged import or install claim: where it stands and whether the package exists."""
+    usable, exists = verdict_of(judged)
     # One row per package; combined map-side, so a package in most claims costs no more than others.
-    return usable.groupBy("package_key").agg(
+    return judged.filter(usable).groupBy(package_key("package_name").alias("package_key")).agg(
         F.min(F.struct(_place().alias("place"), exists.alias("exists"))).alias("f")
     ).select("package_key", F.col("f.place").alias("_place"), F.col("f.exists").alias("package_exists"))
 

@@ -15,12 +15,15 @@ from verdictlake.sources import files
 from verdictlake.streaming import jobs as J
 
 
-def _stream_of(i: Inputs, df, parts: list[str]):
-    """Write the table in ordered parts and stream them back, one part per micro-batch."""
-    path = files.scratch(i.spark, "arrivals")
+def _arrive(i: Inputs, df, parts: list[str], start) -> None:
+    """Write the table part by part, as many files as it has tasks, and run the stream after each part.
+
+    The stream goes on from its checkpoint, so each part is a micro-batch of its own.
+    """
+    path, checkpoint = files.scratch(i.spark, "arrivals"), files.scratch(i.spark, "ckpt")
     for k, condition in enumerate(parts):
-        df.filter(condition).coalesce(1).write.parquet(f"{path}/part={k}")
-    return i.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path + "/*")
+        df.filter(condition).write.parquet(f"{path}/part={k}")
+        _drain(start(i.spark.readStream.schema(df.schema).parquet(path + "/*"), checkpoint))
 
 
 def _conversation_stream(i: Inputs):
@@ -45,8 +48,7 @@ SELECT conv_id, count(*) AS total_claims, count(*) FILTER (WHERE hallucination =
   round(1.0 - count(*) FILTER (WHERE hallucination = 'Yes') / CAST(count(*) AS DOUBLE), 6) AS score FROM judgments_fx GROUP BY 1"""))
 def streamed_scores(i: Inputs):
     sink = files.scratch(i.spark, "scores")
-    arrivals = _stream_of(i, i.judgments(), ["claim_idx < 4", "claim_idx >= 4"])
-    _drain(J.stream_scores(arrivals, sink, files.scratch(i.spark, "ckpt"), once=True))
+    _arrive(i, i.judgments(), ["claim_idx < 4", "claim_idx >= 4"], lambda rows, ckpt: J.stream_scores(rows, sink, ckpt, once=True))
     return rounded(J.current_scores(i.spark, sink).select("conv_id", "total_claims", "hallucinations", "snippets_only_count", "score"))
 
 
@@ -56,17 +58,16 @@ SELECT conv_id, n AS total_claims, y AS hallucinations, expected, round(1.0 - y
 def streamed_completions(i: Inputs):
     expected = i.cache().groupBy("conv_id").agg(F.count("*").alias("expected"))
     sink = files.scratch(i.spark, "done")
-    arrivals = _stream_of(i, i.judged(), ["claim_idx < 4", "claim_idx >= 4"])
-    _drain(J.stream_complete(arrivals, expected, sink, files.scratch(i.spark, "ckpt"), once=True))
+    _arrive(i, i.judged(), ["claim_idx < 4", "claim_idx >= 4"], lambda rows, ckpt: J.stream_complete(rows, expected, sink, ckpt, once=True))
     return rounded(J.completed(i.spark, sink).select("conv_id", "total_claims", "hallucinations", "expected", "score"))
 
 
 @query("streamed_early_stops", "H4", with_views("judgments_fx", STOP_SQL + """
 SELECT claim_id, skip AS skipped_early_stopping FROM walk WHERE claim_id IS NOT NULL""").replace("WITH ", "WITH RECURSIVE ", 1))
 def streamed_early_stops(i: Inputs):
-    arrivals = _stream_of(i, i.judgments(), ["claim_idx < 3", "claim_idx >= 3 AND claim_idx < 6", "claim_idx >= 6"])
-    sink, state = files.scratch(i.spark, "stops"), files.scratch(i.spark, "state")
-    _drain(J.stream_early_stop(arrivals, sink, state, files.scratch(i.spark, "ckpt"), once=True))
+    sink = files.scratch(i.spark, "stops")
+    _arrive(i, i.judgments(), ["claim_idx < 3", "claim_idx >= 3 AND claim_idx < 6", "claim_idx >= 6"],
+            lambda rows, ckpt: J.stream_early_stop(rows, sink, ckpt, once=True))
     return i.spark.read.parquet(sink).select("claim_id", "skipped_early_stopping")
 
 
@@ -77,9 +78,9 @@ def streamed_reuse(i: Inputs):
     judged = _packages(i)
     top = i.table("conversations").agg(F.max("conv_id")).first()[0]
     a, b = top // 3, 2 * top // 3
-    arrivals = _stream_of(i, judged, [f"conv_id <= {a}", f"conv_id > {a} AND conv_id <= {b}", f"conv_id > {b}"])
-    sink, state = files.scratch(i.spark, "reuse"), files.scratch(i.spark, "state")
-    _drain(J.stream_reuse(arrivals, sink, state, files.scratch(i.spark, "ckpt"), once=True))
+    sink = files.scratch(i.spark, "reuse")
+    _arrive(i, judged, [f"conv_id <= {a}", f"conv_id > {a} AND conv_id <= {b}", f"conv_id > {b}"],
+            lambda rows, ckpt: J.stream_reuse(rows, sink, ckpt, once=True))
     return i.spark.read.parquet(sink).select("claim_id", "reused", "package_exists")
 
 
@@ -100,12 +101,11 @@ def streamed_pdf_waits(i: Inputs):
         "claim_id", F.when(late, ts + F.expr("INTERVAL 1 DAY")).otherwise(ts + F.expr("INTERVAL 30 SECONDS")).alias("ts"),
         F.concat(F.lit("u"), F.col("k").cast("string")).alias("url"), F.lit("text").alias("content"),
         ((F.col("h") + F.col("k")) % 7 != 0).alias("success"))
-    arrivals = _stream_of(i, J.content_arrivals(contents, arrived), [
+    sink = files.scratch(i.spark, "waits")
+    _arrive(i, J.content_arrivals(contents, arrived), [
         "expected IS NOT NULL AND ts < timestamp_seconds(1700000030)", "ts < timestamp_seconds(1700001000) AND (expected IS NULL OR ts >= timestamp_seconds(1700000030))",
-        "ts >= timestamp_seconds(1700001000)"])
-    sink, state = files.scratch(i.spark, "waits"), files.scratch(i.spark, "state")
-    _drain(J.stream_attach_pdfs(arrivals, sink, state, files.scratch(i.spark, "ckpt"), once=True))
-    return i.spark.read.parquet(sink).select("claim_id", "expected", "received", "complete", "url")
+        "ts >= timestamp_seconds(1700001000)"], lambda rows, ckpt: J.stream_attach_pdfs(rows, sink, ckpt, once=True))
+    return J.attached_pdfs(i.spark, sink).drop("content")
 
 
 LOG_SQL = """WITH log AS (SELECT ts, concat('stage', CAST(user_id % 4 AS VARCHAR)) AS stage,

@@ -1,13 +1,12 @@
 """Streaming forms of the stateful work.
 
 Sinks are keyed by micro-batch, so a batch that is run again after a failure
-replaces its own output and state. `once=True` drains what is there and stops.
+replaces its own output. State is kept per key with an expiry (`state`), never read back
+from what earlier batches wrote. `once=True` takes what is there and stops.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,8 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 from verdictlake.functions import labels as L
 from verdictlake.operators import stateful as Z
 from verdictlake.operators.metrics import FALLBACKS
-from verdictlake.operators.setops import merge_judgments
-from verdictlake.scale import latest_per_key, settle
+from verdictlake.operators.text import package_key
+from verdictlake.scale import latest_per_key, write_through
+from verdictlake.streaming import state as S
 
 MAX_ATTEMPTS = 3
 # How long contents wait for their PDFs, and the depth that marks a bottleneck.
@@ -29,6 +29,24 @@ def _start(writer, checkpoint: str, once: bool, every: str = "1 minute") -> Stre
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def _start_expiring(writer, checkpoint: str, once: bool, every: str = "1 minute") -> StreamingQuery:
+    """State that expires by the clock always has another batch to run, so `once` is a single batch."""
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(once=True) if once else writer.trigger(processingTime=every)).start()
+
+
+def _both(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """A stream's rows and what the keyed state answers to them, as one stream of (row, answer)."""
+    row, answer = rows.select(F.struct(*rows.columns).alias("row")), answers.select(F.struct(*answers.columns).alias("answer"))
+    return row.unionByName(answer, allowMissingColumns=True)
+
+
+def _parted(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two parts of a batch of `_both`, written once, since a second run would change the state again."""
+    held = write_through(batch)
+    return held.filter("row IS NOT NULL").select("row.*"), held.filter("answer IS NOT NULL").select("answer.*")
+
+
 def _batch_path(folder: str, batch_id: int) -> str:
     return f"{folder}/batch={batch_id}"
 
@@ -41,16 +59,26 @@ def stream_judgments(source: DataFrame, sink: str, checkpoint: str, once: bool =
     return _start(source.writeStream.outputMode("append").format("parquet").option("path", sink), checkpoint, once)
 
 
-def stream_scores(source: DataFrame, sink: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Running counts per conversation; each batch writes the conversations it changed."""
-    running = source.groupBy("conv_id").agg(
-        F.count("*").alias("total_claims"), L.count_true(F.lower("hallucination") == "yes").alias("hallucinations"),
-        *[L.count_true(F.coalesce(F.col(f), F.lit(False))).alias(f"{f}_count") for f in FALLBACKS])
+def _claim_counts(judged: DataFrame, flags=()) -> tuple[DataFrame, list[str]]:
+    """Claims as ones to be summed, reduced per map task: a hot conversation sends its key a few rows."""
+    ones = judged.select("conv_id", F.lit(1).cast("bigint").alias("total_claims"), *[
+        F.coalesce(c, F.lit(False)).cast("bigint").alias(n) for n, c in (
+            ("hallucinations", F.lower("hallucination") == "yes"), *[(f"{f}_count", F.col(f)) for f in flags])])
+    return S.partial(ones, ["conv_id"], lambda g: g.sum()), ones.columns[1:]
+
+
+def stream_scores(source: DataFrame, sink: str, checkpoint: str, ttl_ms: int = S.DAY_MS, once: bool = False) -> StreamingQuery:
+    """Running counts per conversation; each batch writes the conversations it changed.
+
+    A conversation without a claim for `ttl_ms` is forgotten; what was written stays.
+    """
+    counts, columns = _claim_counts(source, FALLBACKS)
+    running = S.keyed(counts, ["conv_id"], S.Totals("conv_id", columns, ttl_ms), counts.schema)
 
     def save(changed: DataFrame, batch_id: int) -> None:
         changed.write.mode("overwrite").parquet(_batch_path(sink, batch_id))
 
-    return _start(running.writeStream.outputMode("update").foreachBatch(save), checkpoint, once)
+    return _start_expiring(running.writeStream.outputMode("update").foreachBatch(save), checkpoint, once)
 
 
 def current_scores(spark: SparkSession, sink: str) -> DataFrame:
@@ -60,22 +88,23 @@ def current_scores(spark: SparkSession, sink: str) -> DataFrame:
 
 
 def stream_complete(
-    judgments: DataFrame, expected: DataFrame, sink: str, checkpoint: str, once: bool = False
+    judgments: DataFrame, expected: DataFrame, sink: str, checkpoint: str, ttl_ms: int = S.DAY_MS, once: bool = False
 ) -> StreamingQuery:
     """Conversations whose expected claims have all been judged, written when that happens.
 
-    The state is two counts per conversation, kept by a streaming aggregate with map-side
-    combining; judgments themselves are not held. `expected` is a table of conv_id, expected.
+    The state is two counts per conversation; it goes when the conversation is complete, or
+    after `ttl_ms` without a claim. `expected` is a table of conv_id, expected; conversations
+    that it does not list never complete and keep no state.
     """
-    running = judgments.groupBy("conv_id").agg(
-        F.count("*").alias("total_claims"), L.count_true(F.lower("hallucination") == "yes").alias("hallucinations"))
+    counts, columns = _claim_counts(judgments)
+    known = counts.join(expected.select("conv_id", F.col("expected").cast("bigint").alias("expected")), "conv_id")
+    done = S.keyed(known, ["conv_id"], S.Completion("conv_id", columns, ttl_ms), known.schema)
 
-    def save(changed: DataFrame, batch_id: int) -> None:
-        done = changed.join(expected, "conv_id").filter("total_claims >= expected")
-        scored = done.withColumn("score", F.lit(1.0) - L.rate(F.col("hallucinations"), F.col("total_claims")))
+    def save(ready: DataFrame, batch_id: int) -> None:
+        scored = ready.withColumn("score", F.lit(1.0) - L.rate(F.col("hallucinations"), F.col("total_claims")))
         scored.write.mode("overwrite").parquet(_batch_path(sink, batch_id))
 
-    return _start(running.writeStream.outputMode("update").foreachBatch(save), checkpoint, once)
+    return _start_expiring(done.writeStream.outputMode("update").foreachBatch(save), checkpoint, once)
 
 
 def completed(spark: SparkSession, sink: str) -> DataFrame:
@@ -86,55 +115,57 @@ def completed(spark: SparkSession, sink: str) -> DataFrame:
 
 
 def stream_early_stop(
-    judged: DataFrame, sink: str, state: str, checkpoint: str, order: str = "claim_idx", once: bool = False
+    judged: DataFrame, sink: str, checkpoint: str, order: str = "claim_idx", ttl_ms: int = S.DAY_MS, once: bool = False
 ) -> StreamingQuery:
     """Early stopping over arriving claims of a turn, in their order.
 
-    The state is the table of first sightings: every batch adds its own, and a batch is
-    decided from all sightings of its turns so far. Sightings are minimums, so the state
-    can be appended to and never needs a rewrite.
+    The state of a turn is its first sightings, 28 places at most. A batch sends each turn the
+    minimums of its own claims and decides its claims by the turn's detections, in a batch
+    join. A turn without a claim for `ttl_ms` starts anew.
     """
+    slot = (Z.type_number(F.col("element_type")) * 8 + Z.raised_types(judged)).cast("int")
+    seen = judged.select(*Z.TURN, slot.alias("slot"), F.col(order).cast("bigint").alias("at"))
+    firsts = S.partial(seen, [*Z.TURN, "slot"], lambda g: g.min())
+    answer = ", ".join([*(f"{k} {dict(judged.dtypes)[k]}" for k in Z.TURN), *(f"_from_{k} bigint" for k in range(3))])
+    found = S.keyed(firsts, Z.TURN, S.Sightings(Z.TURN, ttl_ms), answer)
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.persist()
-        try:
-            Z.first_sightings(batch, order).write.mode("overwrite").parquet(_batch_path(state, batch_id))
-            turns = batch.select(*Z.TURN).distinct()
-            known = spark.read.parquet(state).filter(F.col("batch") <= batch_id).join(turns, list(Z.TURN), "left_semi")
-            merged = known.groupBy(*Z.TURN, "bit", "mask").agg(F.min("at").alias("at"))
-            Z.early_stop(batch, order, merged).write.mode("overwrite").parquet(_batch_path(sink, batch_id))
-        finally:
-            batch.unpersist()
+        claims, detections = _parted(batch)
+        Z.early_stop(claims, order, found=detections).write.mode("overwrite").parquet(_batch_path(sink, batch_id))
 
-    return _start(judged.writeStream.foreachBatch(run), checkpoint, once)
+    return _start_expiring(_both(judged, found).writeStream.outputMode("update").foreachBatch(run), checkpoint, once)
 
 
-def stream_reuse(judged: DataFrame, sink: str, state: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Verdict reuse over arriving claims; the state is the first verdict of each package per batch."""
+def stream_reuse(judged: DataFrame, sink: str, checkpoint: str, ttl_ms: int = S.DAY_MS, once: bool = False) -> StreamingQuery:
+    """Verdict reuse over arriving claims; the state of a package is its first verdict.
+
+    A verdict that was neither given nor asked for within `ttl_ms` is forgotten, and the
+    package is judged again.
+    """
+    usable, exists = Z.verdict_of(judged)
+    seen = judged.select(
+        package_key("package_name").alias("package_key"), *[F.col(c).cast("bigint").alias(c) for c in S.FirstVerdict.PLACE],
+        F.coalesce(usable, F.lit(False)).alias("usable"), exists.alias("package_exists")).filter("package_key <> ''")
+    firsts = S.partial(seen, ["package_key", "usable"], _earliest)
+    found = S.keyed(firsts, ["package_key"], S.FirstVerdict(ttl_ms), seen.drop("usable").schema)
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.persist()
-        try:
-            Z.first_verdicts(batch).write.mode("overwrite").parquet(_batch_path(state, batch_id))
-            known = spark.read.parquet(state).filter(F.col("batch") <= batch_id)
-            first = known.groupBy("package_key").agg(F.min(F.struct("_place", "package_exists")).alias("f")).select(
-                "package_key", "f.*")
-            Z.reuse_verdicts(batch, first).write.mode("overwrite").parquet(_batch_path(sink, batch_id))
-        finally:
-            batch.unpersist()
+        claims, verdicts = _parted(batch)
+        place = F.struct(*[F.col(c).cast(dict(claims.dtypes)[c]).alias(c) for c in S.FirstVerdict.PLACE])
+        first = verdicts.select("package_key", place.alias("_place"), "package_exists")
+        Z.reuse_verdicts(claims, first).write.mode("overwrite").parquet(_batch_path(sink, batch_id))
 
-    return _start(judged.writeStream.foreachBatch(run), checkpoint, once)
+    return _start_expiring(_both(judged, found).writeStream.outputMode("update").foreachBatch(run), checkpoint, once)
 
 
-def compact_sightings(spark: SparkSession, state: str, upto: int, out: str) -> None:
-    """Write the merged sightings of batches 0..upto to `out` as one batch."""
-    rows = spark.read.parquet(state).filter(F.col("batch") <= upto)
-    rows.groupBy(*Z.TURN, "bit", "mask").agg(F.min("at").alias("at")).write.mode("overwrite").parquet(_batch_path(out, upto))
+def _earliest(groups):
+    """The row of the least place in each group."""
+    frame = groups.obj.sort_values(list(S.FirstVerdict.PLACE), kind="stable")
+    return frame.drop_duplicates(["package_key", "usable"]).set_index(["package_key", "usable"])
 
 
 # ---- contents waiting for PDFs -------------------------------------------------------------
 
-ARRIVAL = "claim_id STRING, ts TIMESTAMP, expected BIGINT, url STRING, content STRING, usable BOOLEAN"
 
 
 def content_arrivals(contents: DataFrame, pdfs: DataFrame) -> DataFrame:
@@ -148,54 +179,37 @@ def content_arrivals(contents: DataFrame, pdfs: DataFrame) -> DataFrame:
         "claim_id", "ts", none.cast("bigint").alias("expected"), "url", "content", usable.alias("usable")))
 
 
-def settle_arrivals(rows: DataFrame, wait_seconds: int = PDF_WAIT_SECONDS) -> tuple[DataFrame, DataFrame]:
-    """What can be given out now, and what still waits, judged by the newest event time among the rows.
-
-    A claim is given out when its expected PDFs came, or when the wait since its first arrival is over;
-    PDFs stamped after the wait do not count. Rows are never gathered per claim: a claim is its counts,
-    and its PDFs stay rows of their own.
-    """
-    clock = rows.agg(F.max("ts")).scalar()
-    wait = F.expr(f"INTERVAL {wait_seconds} SECONDS")
-    firsts = rows.groupBy("claim_id").agg(F.max("expected").alias("_expected"), (F.min("ts") + wait).alias("_deadline"))
-    marked = rows.join(firsts, "claim_id").withColumn(
-        "_counts", F.col("expected").isNull() & F.col("claim_id").isNotNull() & (F.col("ts") <= F.col("_deadline")))
-    status = marked.filter("_expected IS NOT NULL").groupBy("claim_id").agg(
-        F.max("_expected").alias("expected"), F.max("_deadline").alias("_deadline"),
-        F.count_if("_counts").alias("received"))
-    ready = status.filter((F.col("received") >= F.col("expected")) | (clock > F.col("_deadline"))).select(
-        "claim_id", "expected", "received", (F.col("received") >= F.col("expected")).alias("complete"))
-    given = marked.filter("_counts AND usable").select("claim_id", "url", "content")
-    out = ready.join(given, "claim_id", "left")
-    # PDFs whose contents never come, or came and went, are forgotten after a second wait.
-    waiting = marked.filter(F.col("_expected").isNotNull() | (clock <= F.col("_deadline") + wait)).select(*rows.columns)
-    return out, waiting.join(ready.select("claim_id"), "claim_id", "left_anti")
-
-
 def stream_attach_pdfs(
-    arrivals: DataFrame, sink: str, state: str, checkpoint: str, wait_seconds: int = PDF_WAIT_SECONDS, once: bool = False
+    arrivals: DataFrame, sink: str, checkpoint: str, wait_seconds: int = PDF_WAIT_SECONDS, delay: str = "5 minutes", once: bool = False
 ) -> StreamingQuery:
-    """Contents with their PDFs as they become complete or time out; late PDFs are dropped.
+    """Claims as their PDFs become complete or time out, by event time; late PDFs are dropped.
 
-    Each batch joins what still waits from the batch before. Only waiting rows are carried, plus one
-    marker row that keeps the clock.
+    A claim is given out when its expected PDFs came, or when the newest event time less
+    `delay` passes its first arrival plus the wait. The state of a claim is its counts and
+    stamps; PDFs whose contents never come are forgotten when their wait is over. Texts go
+    from the stream to the sink once and are in no state and no checkpoint. Rows more than
+    `delay` behind the newest event time are dropped. `attached_pdfs` reads the result.
     """
+    stamped = arrivals.filter("claim_id IS NOT NULL AND ts IS NOT NULL")
+    timed = stamped.select("claim_id", "ts", "expected").withWatermark("ts", delay)
+    narrow = timed.select("claim_id", "ts", F.unix_millis("ts").alias("ms"), "expected")
+    given = S.keyed(narrow, ["claim_id"], S.PdfWait(wait_seconds * 1000),
+                    f"claim_id {dict(arrivals.dtypes)['claim_id']}, expected bigint, received bigint, complete boolean, deadline bigint", "EventTime")
+    texts = stamped.filter("expected IS NULL AND usable").select("claim_id", F.unix_millis("ts").alias("ms"), "url", "content")
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if batch_id > 0:
-            rows = rows.unionByName(spark.read.schema(ARRIVAL).parquet(_batch_path(state, batch_id - 1)))
-        rows = settle(rows)
-        clock = rows.agg(F.max("ts").alias("ts")).select(
-            F.lit(None).cast("string").alias("claim_id"), "ts", *[
-                F.lit(None).cast(t).alias(n) for n, t in (
-                    ("expected", "bigint"), ("url", "string"), ("content", "string"), ("usable", "boolean"))])
-        out, waiting = settle_arrivals(rows.filter("claim_id IS NOT NULL OR ts IS NOT NULL"), wait_seconds)
-        waiting.filter("claim_id IS NOT NULL").unionByName(clock).write.mode("overwrite").parquet(
-            _batch_path(state, batch_id))
-        out.filter("claim_id IS NOT NULL").write.mode("overwrite").parquet(_batch_path(sink, batch_id))
-
-    return _start(arrivals.writeStream.foreachBatch(run), checkpoint, once)
+        batch.write.mode("overwrite").parquet(_batch_path(sink, batch_id))
+
+    return _start(_both(texts, given).writeStream.outputMode("update").foreachBatch(run), checkpoint, once)
+
+
+def attached_pdfs(spark: SparkSession, sink: str) -> DataFrame:
+    """Claims given out, with the usable PDFs that came within their wait and not after they were given out."""
+    rows = spark.read.parquet(sink)
+    out = rows.filter("answer IS NOT NULL").select("answer.*", F.col("batch").alias("_batch"))
+    texts = rows.filter("row IS NOT NULL").select(F.col("row.claim_id").alias("_claim"), "row.ms", "row.url", "row.content", F.col("batch").alias("_came"))
+    own = (F.col("claim_id") == F.col("_claim")) & (F.col("ms") <= F.col("deadline")) & (F.col("_came") <= F.col("_batch"))
+    return out.join(texts, own, "left").select("claim_id", "expected", "received", "complete", "url", "content")
 
 
 # ---- stage log -----------------------------------------------------------------------------
@@ -254,8 +268,3 @@ def stream_dead_letters(
             batch.unpersist()
 
     return _start(failures.writeStream.foreachBatch(run), checkpoint, once)
-
-
-def refresh_results(old: DataFrame, arrived: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Judgment table after an increment, one row per claim."""
-    return merge_judgments(old.select(*columns), arrived.select(*columns))
