@@ -112,6 +112,31 @@ def test_joint_resolution_equals_sequential(spark, seed, packages):
     assert len(got) == len(rows) and {r.hallucination for r in got if label(r) == "missing"} <= {"Yes"}
 
 
+@pytest.mark.parametrize("folder_rows", [50_000, 20])
+def test_later_rounds_take_up_only_what_changed(spark, monkeypatch, folder_rows):
+    """A chain in which each skip depends on a reuse that depends on the skip before, among unrelated turns."""
+    from verdictlake.operators import resolution
+
+    monkeypatch.setattr(resolution, "FOLDER_ROWS", folder_rows)
+    chain, rest = 9, 150
+
+    def claim(conv, idx, package, raised):
+        return (conv, 0, idx, f"{conv}:{idx}", "import", "No", raised, False, False, False, package, "import x", None)
+
+    rows = [claim(0, 1, "p1", False)]
+    for k in range(1, chain):
+        rows += [claim(k, 0, f"p{k}", True), claim(k, 1, f"p{k + 1}", False)]
+    for k in range(rest):
+        rows += [claim(1000 + k, j, f"q{k}:{j}", j == 1) for j in range(3)]
+    trace, real = [], resolution.settled_sources
+    monkeypatch.setattr(resolution, "settled_sources", lambda narrow: real(narrow, trace))
+    got = Z.resolve_coding_claims(spark.createDataFrame(rows, CLAIM + ", error STRING")).collect()
+    want = walked(rows, {r[10]: r[10] for r in rows})
+    assert {r.claim_id: (r.reused, r.skipped_early_stopping) for r in got} == {
+        c: (o in ("exists", "missing"), o == "skipped") for c, o in want.items()}
+    assert len(trace) >= chain - 1 and trace[0] > 2 * rest and max(trace[1:]) <= 8, trace
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_dedup_equals_greedy(spark, seed):
     rng = random.Random(seed)

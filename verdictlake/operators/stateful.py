@@ -204,42 +204,46 @@ def resolve_coding_claims(claims: DataFrame) -> DataFrame:
     skipped; all others are judged. Only judged claims without an error raise types or become
     sources. Adds `reused`, `package_exists`, `skipped_early_stopping`.
 
-    Skips depend on reuse and sources on skips, always on earlier places. So the sources have one
-    fixed point, and round k is right for every claim whose chain of dependencies is up to k
-    long. A round reads narrow rows, takes grouped minimums and joins them back; no walk.
+    Skips depend on reuse and sources on skips, always on earlier places, so the sources have
+    one fixed point (`resolution`); later rounds take up only what the round before changed.
     """
+    from verdictlake.operators.resolution import settled_sources
+
     failed = F.coalesce(F.col("error"), F.lit("")) != "" if "error" in claims.columns else F.lit(False)
     asked = claims.withColumns({f: ~failed & F.coalesce(F.col(f), F.lit(False)) for f in FLAGS})
-    narrow = write_through(asked.select(
-        *TURN, "claim_idx", "element_type", package_key("package_name").alias("package_name"),
-        has_version("code_snippet").alias("versioned"), "known", *FLAGS, F.lit("").alias("hallucination"),
-        F.when(failed, "failed").alias("error")))
-    sources = first_verdicts(narrow.limit(0))
-    while True:
-        found = settle(first_verdicts(_resolved_with(narrow, sources)))
-        if found.subtract(sources).isEmpty() and sources.subtract(found).isEmpty():
-            break
-        sources = found
-    resolved = _resolved_with(asked, sources)
+    usable, _ = verdict_of(asked)
+    kind, open_ = F.col("element_type"), ~F.coalesce(F.col("known"), F.lit(False)) & ~failed
+    cacheable = (kind == "import") | ((kind == "install") & ~has_version("code_snippet"))
+    narrow = asked.filter(open_).select(
+        *TURN, "claim_idx", package_key("package_name").alias("package_key"), F.coalesce(cacheable, F.lit(False)).alias("asked"),
+        F.coalesce(usable, F.lit(False)).alias("usable"), type_number(kind).alias("own"), _mask().alias("mask"))
+    resolved = _resolved_with(asked, settled_sources(narrow))
     return known_verdicts(resolved.withColumn("known", F.col("_known"))).drop("_known")
 
 
-def skip_stats(stopped: DataFrame, reused: DataFrame) -> DataFrame:
-    """One row of counts: turns tracked and fully stopped, claims skipped; reuse hits, misses, packages, known."""
-    seen = stopped.groupBy(*TURN).agg(
-        *[F.bool_or(F.coalesce(F.col(f), F.lit(False))).alias(f"_{k}") for k, f in enumerate(FLAGS)],
-        F.count_if("skipped_early_stopping").alias("_n"))
-    turns = seen.filter("_0 OR _1 OR _2").agg(
-        F.count("*").alias("turns_tracked"), F.count_if(F.expr("_0 AND _1 AND _2")).alias("turns_fully_stopped"),
-        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("claims_skipped"))
-    kind = F.col("element_type")
+def skip_stats(resolved: DataFrame) -> DataFrame:
+    """One row of counts over `resolve_coding_claims`: turns tracked and fully stopped, claims skipped; reuse hits, misses, packages, known.
+
+    A turn's types are those its judged claims raised. A miss is an import, or an install
+    without a version, that was judged itself. One aggregate per turn and one over all turns;
+    packages are counted apart, by their first claim.
+    """
+    kind, known = F.col("element_type"), F.coalesce("known", F.lit(False))
+    judged = ~known & ~F.col("reused") & ~F.col("skipped_early_stopping")
     asked = (kind == "import") | ((kind == "install") & ~has_version("code_snippet"))
-    known = F.coalesce("known", F.lit(False)) if "known" in reused.columns else F.lit(False)
-    packages = F.count_distinct(F.when(kind.isin("import", "install") & ~known, package_key("package_name")))
-    cache = reused.agg(F.struct(
-        F.count_if("reused").alias("cache_hits"), F.count_if(asked & ~F.col("reused") & ~known).alias("cache_misses"),
-        F.count_if(known).alias("whitelist_skips"), packages.alias("cached_packages")).alias("c"))
-    return turns.withColumn("c", cache.scalar()).select(*turns.columns, "c.*")
+    turns = resolved.groupBy(*TURN).agg(
+        *[F.bool_or(judged & F.coalesce(F.col(f), F.lit(False))).alias(f"_{k}") for k, f in enumerate(FLAGS)],
+        F.count_if("skipped_early_stopping").alias("skips"), F.count_if("reused").alias("hits"),
+        F.count_if(asked & judged).alias("misses"), F.count_if(known).alias("known"))
+    packages = resolved.filter(kind.isin("import", "install") & ~known).select(package_key("package_name").alias("p")).distinct()
+
+    def total(c: str) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+
+    return turns.agg(
+        F.count_if(F.expr("_0 OR _1 OR _2")).alias("turns_tracked"), F.count_if(F.expr("_0 AND _1 AND _2")).alias("turns_fully_stopped"),
+        total("skips").alias("claims_skipped"), total("hits").alias("cache_hits"), total("misses").alias("cache_misses"),
+        total("known").alias("whitelist_skips")).withColumn("cached_packages", packages.agg(F.count("p")).scalar())
 
 
 # ---- evidence selection --------------------------------------------------------------------

@@ -310,26 +310,34 @@ walk AS (SELECT 0::BIGINT AS rn, NULL::VARCHAR AS claim_id, NULL::BIGINT AS conv
   FROM walk w JOIN k ON k.rn = w.rn + 1,
     LATERAL (SELECT CASE WHEN k.conv_id = w.conv_id AND k.turn = w.turn THEN w.s ELSE 0 END AS s) x,
     LATERAL (SELECT CASE WHEN known THEN 'known' WHEN asked AND list_contains(w.good, pkg) THEN 'exists' WHEN asked AND list_contains(w.bad, pkg) THEN 'missing'
-      WHEN x.s & bit <> 0 THEN 'skipped' ELSE 'judged' END AS outcome) y)
+      WHEN x.s & bit <> 0 THEN 'skipped' ELSE 'judged' END AS outcome) y)"""
+RESOLVED_SQL = RESOLVE_SQL + """
 SELECT claim_id, known, outcome IN ('exists', 'missing') AS reused, outcome = 'skipped' AS skipped_early_stopping,
   CASE outcome WHEN 'known' THEN 'No' WHEN 'exists' THEN 'No' WHEN 'missing' THEN 'Yes' WHEN 'skipped' THEN 'Skipped' ELSE hallucination END AS hallucination FROM walk JOIN k USING (claim_id)"""
 
 
-@query("resolved_coding_claims", "D9 F9 F10", with_views("judgments_fx payload_fx", RESOLVE_SQL).replace("WITH ", "WITH RECURSIVE ", 1))
+@query("resolved_coding_claims", "D9 F9 F10", with_views("judgments_fx payload_fx", RESOLVED_SQL).replace("WITH ", "WITH RECURSIVE ", 1))
 def resolved_coding_claims(i: Inputs):
+    return _resolved(i).select("claim_id", "known", "reused", "skipped_early_stopping", "hallucination")
+
+
+def _resolved(i: Inputs):
     """Known, reused, skipped and judged claims in one order; every thirteenth judgment failed."""
     answers = _packages(i).withColumn("error", F.when(F.col("h") % 13 == 4, "timeout"))
     known = R.match_known_packages(answers, _whitelist(i)).drop("package_key")
-    return Z.resolve_coding_claims(known).select("claim_id", "known", "reused", "skipped_early_stopping", "hallucination")
+    return Z.resolve_coding_claims(known)
 
 
-@query("skip_statistics", "E27", with_views("judgments_fx payload_fx", STOP_SQL + REUSE_SQL + """,
-t AS (SELECT conv_id, turn, bit_or(CASE WHEN skip THEN 0 ELSE mask END) AS got, count(*) FILTER (WHERE skip) AS n FROM walk JOIN c USING (claim_id, conv_id, turn) GROUP BY 1, 2)
-SELECT (SELECT count(*) FROM t WHERE got <> 0) AS turns_tracked, (SELECT count(*) FROM t WHERE got = 7) AS turns_fully_stopped, (SELECT CAST(sum(n) AS BIGINT) FROM t) AS claims_skipped,
-  count(*) FILTER (WHERE reused) AS cache_hits, count(*) FILTER (WHERE asked AND NOT reused) AS cache_misses, 0::BIGINT AS whitelist_skips,
-  count(DISTINCT CASE WHEN element_type IN ('import', 'install') THEN pkg END) AS cached_packages FROM u""").replace("WITH ", "WITH RECURSIVE ", 1))
+@query("skip_statistics", "E27", with_views("judgments_fx payload_fx", RESOLVE_SQL + """,
+w AS (SELECT k.*, outcome FROM walk JOIN k USING (claim_id)),
+t AS (SELECT bit_or(CASE WHEN outcome = 'judged' AND NOT failed THEN mask ELSE 0 END) AS got FROM w GROUP BY conv_id, turn)
+SELECT (SELECT count(*) FROM t WHERE got <> 0) AS turns_tracked, (SELECT count(*) FROM t WHERE got = 7) AS turns_fully_stopped,
+  count(*) FILTER (WHERE outcome = 'skipped') AS claims_skipped, count(*) FILTER (WHERE outcome IN ('exists', 'missing')) AS cache_hits,
+  count(*) FILTER (WHERE asked AND outcome = 'judged') AS cache_misses, count(*) FILTER (WHERE known) AS whitelist_skips,
+  count(DISTINCT CASE WHEN named AND NOT known THEN pkg END) AS cached_packages FROM w""").replace("WITH ", "WITH RECURSIVE ", 1))
 def skip_statistics(i: Inputs):
-    return Z.skip_stats(Z.early_stop(i.judgments()), Z.reuse_verdicts(_packages(i)))
+    """Counts of the joint order, known packages included."""
+    return Z.skip_stats(_resolved(i))
 
 
 def _evidence(i: Inputs):
