@@ -44,7 +44,8 @@ SLICE_BYTES, SLICE_ROWS = 4 << 20, 4096
 BUCKET, MOST = 1 << 18, 1 << 22
 CROWD = 2048
 LEVELS = 3
-COARSE, FINE = 4, 32
+COARSE, FINE = 4, 12
+CHUNK, SMALL = 20_000, 48
 
 # Largest size of each band: sets of similarity 0.8 lie in one band or in neighbours.
 _tops = [1]
@@ -156,12 +157,17 @@ def sketch(found: np.ndarray, cells: int = COARSE) -> bytes:
     return np.packbits(np.bincount(at, minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def _folded(sketches: list[bytes]) -> np.ndarray:
-    """Sketches as rows of 64-bit words, longer ones folded to the shortest."""
-    width = min(map(len, sketches)) // 8
-    out = np.empty((len(sketches), width), np.uint64)
-    for k, s in enumerate(sketches):
-        out[k] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, width), axis=0)
+def _folded(sketches: list[bytes], group: np.ndarray) -> np.ndarray:
+    """Sketches as rows of 64-bit words, those of a group folded to its shortest and filled up with zeros."""
+    own = np.array([len(x) // 8 for x in sketches])
+    least = np.full(group[-1] + 1, own.max())
+    np.minimum.at(least, group, own)
+    wanted = least[group]
+    out = np.zeros((len(sketches), wanted.max()), np.uint64)
+    for size, width in set(zip(own.tolist(), wanted.tolist())):
+        rows = np.flatnonzero((own == size) & (wanted == width))
+        words = np.frombuffer(b"".join([sketches[k] for k in rows]), np.uint64).reshape(len(rows), -1, width)
+        out[rows, :width] = np.bitwise_xor.reduce(words, axis=1)
     return out
 
 
@@ -208,28 +214,6 @@ def packed_signatures(rows: DataFrame, buckets: int, text_col: str) -> DataFrame
     return _texts(rows.select("key", text_col), text_col).mapInArrow(run, "bucket bigint, sigs binary, keys binary, owners binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Rows of each group of a task whose rows are sorted by `by`; only one group is held."""
-    held, last = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        names = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
-        new = np.zeros(batch.num_rows, bool)
-        for c in names:
-            new[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(new), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            key = tuple(c[a] for c in names)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _shared(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """(sig, key, lead) of signatures that two or more sets have; the lead is theirs of the smallest mixed key.
 
@@ -289,55 +273,108 @@ def spread(many: DataFrame, one: DataFrame, key: str, how: str = "inner", counte
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
-def _close(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per some rows i of a block: (i, j, differing bits) of all j of other roots that sizes and sketches allow."""
-    root, n, own = (group[c].to_numpy() for c in ("root", "n", "own"))
-    if (root == root[0]).all():
-        return
-    bits = _folded(group["sketch"].to_pylist())
-    across = group["u"][0].as_py() != group["v"][0].as_py()
-    step = max(1, (1 << 21) // bits.size)
-    for a in range(0, len(n), step):
-        i = slice(a, a + step)
-        apart = np.bitwise_count(bits[i, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
-        ok = (9 * apart <= n[i, None] + n) & (5 * np.minimum(n[i, None], n) >= 4 * np.maximum(n[i, None], n)) & (root[i, None] != root)
-        if across:
-            ok &= own[i, None] != own
-        x, y = np.nonzero(ok)
-        if len(x):
-            yield x + a, y, apart[x, y]
+BLOCK = ["sig", "u", "v"]
 
 
-BLOCK = ["sig", "u", "v"]
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole blocks of a task's sorted rows, some thousand rows or one block at a time, with each row's block number."""
+    held, rows = [], 0
+
+    def whole(last: bool) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        nonlocal held, rows
+        table = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(len(table), bool)
+        for c in BLOCK:
+            v = table[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(new)
+        end = len(table) if last else (starts[-1] if len(starts) else 0)
+        if end:
+            yield table.slice(0, end), np.cumsum(new)[:end]
+        rest = table.slice(end)
+        held, rows = rest.to_batches(), len(rest)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= CHUNK:
+            yield from whole(False)
+    if rows:
+        yield from whole(True)
+
+
+def _close(table: pa.Table, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, differing bits) of all pairs i < j of a block that are of different roots and that sizes and sketches allow."""
+    size = np.bincount(group)
+    first = np.cumsum(size) - size
+    root, n, own = (table[c].to_numpy() for c in ("root", "n", "own"))
+    low, high = np.minimum.reduceat(root, first), np.maximum.reduceat(root, first)
+    if (low == high).all():
+        return
+    across = table["u"].to_numpy() != table["v"].to_numpy()
+    bits = _folded(table["sketch"].to_pylist(), group)
+
+    def allowed(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ok = (root[i] != root[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & ((own[i] != own[j]) | ~across[i])
+        i, j = i[ok], j[ok]
+        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        ok = 9 * apart <= n[i] + n[j]
+        return i[ok], j[ok], apart[ok]
+
+    # Small blocks all at once, rows at each distance in turn; large ones some rows at a time.
+    rows = np.flatnonzero(((low != high) & (size <= SMALL))[group])
+    distance = 1
+    while len(rows):
+        rows = rows[rows + distance < len(group)]
+        rows = rows[group[rows] == group[rows + distance]]
+        yield allowed(rows, rows + distance)
+        distance += 1
+    for g in np.flatnonzero((low != high) & (size > SMALL)):
+        step = max(1, (1 << 21) // (size[g] * bits.shape[1]))
+        for a in range(first[g], first[g] + size[g], step):
+            end = min(a + step, first[g] + size[g])
+            i, j = np.meshgrid(np.arange(a, end), np.arange(a, first[g] + size[g]), indexing="ij")
+            later = i < j
+            yield allowed(i[later], j[later])
 
 
 def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (sig, u, v, own, key) of a block that have a possible partner in it."""
-    for group in _groups(batches, BLOCK):
-        some = np.zeros(len(group), bool)
-        for i, _, _ in _close(group):
-            some[i] = True
+    for table, group in _blocks(batches):
+        some = np.zeros(len(table), bool)
+        for i, j, _ in _close(table, group):
+            some[i] = some[j] = True
         if some.any():
-            yield from group.select([*BLOCK, "own", "key"]).filter(pa.array(some)).to_batches()
+            yield from table.select([*BLOCK, "own", "key"]).filter(pa.array(some)).to_batches()
 
 
 def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pair (a, b) for each set that has a possible partner in its block: the one with the fewest differing bits."""
-    for group in _groups(batches, BLOCK):
-        key = group["key"].to_numpy()
-        for i, j, apart in _close(group):
+    """One pair (a, b) for each row that has a possible partner in its block: the one with the fewest differing bits."""
+    for table, group in _blocks(batches):
+        key = table["key"].to_numpy()
+        best = np.full(len(key), np.iinfo(np.int64).max)
+        who = np.zeros(len(key), np.int64)
+        for i, j, apart in _close(table, group):
+            i, j, apart = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
             order = np.lexsort((j, apart, i))
-            i, j = i[order], j[order]
-            first = np.concatenate([[True], i[1:] != i[:-1]])
-            yield _pairs(key[i[first]], key[j[first]])
+            i, j, apart = i[order], j[order], apart[order]
+            lead = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+            i, j, apart = i[lead], j[lead], apart[lead]
+            better = apart < best[i]
+            best[i[better]], who[i[better]] = apart[better], j[better]
+        some = np.flatnonzero(best < np.iinfo(np.int64).max)
+        if len(some):
+            yield _pairs(key[some], key[who[some]])
 
 
 def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs (a, b) of a block's sets that are possible partners."""
-    for group in _groups(batches, BLOCK):
-        key = group["key"].to_numpy()
-        for i, j, _ in _close(group):
-            yield _pairs(key[i[i < j]], key[j[i < j]])
+    for table, group in _blocks(batches):
+        key = table["key"].to_numpy()
+        for i, j, _ in _close(table, group):
+            if len(i):
+                yield _pairs(key[i], key[j])
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -447,7 +484,8 @@ class Join:
 
     def met(self, dealt: DataFrame, sketches: DataFrame, known: DataFrame, run, schema: str) -> DataFrame:
         """`run` over the blocks of `dealt`, their sets with size, sketch and root."""
-        rows = join_narrow(dealt.join(sketches, "key"), known, ["key"], "left", 16).withColumn("root", F.coalesce("root", "key"))
+        both = join_narrow(dealt, sketches, ["key"], "inner", F.octet_length("sketch") + 32)
+        rows = join_narrow(both, known, ["key"], "left", 16).withColumn("root", F.coalesce("root", "key"))
         return rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(run, schema)
 
     def roots(self) -> DataFrame:
