@@ -160,6 +160,73 @@ def test_dedup_chain_keeps_what_dropped_rows_would_block(spark):
     assert sorted(r.id for r in K.dedup_any_key(df, ["doi", "title"], "id").collect()) == [1, 3, 5, 6]
 
 
+def jobs_of(spark, run):
+    """What `run` gives, and how many Spark jobs it took."""
+    context, group = spark.sparkContext, f"counted-{random.random()}"
+    context.setJobGroup(group, group)
+    try:
+        out = run()
+        return out, len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def chained(n):
+    """Each row shares one key with the row before and one with the row after: every second row stays."""
+    return [(k, f"d{(k + 1) // 2}", f"t{k // 2}") for k in range(n)]
+
+
+def test_dedup_of_a_long_chain_takes_jobs_by_no_length(spark):
+    jobs = {}
+    for n in (100, 1000):
+        df = spark.createDataFrame(chained(n), "id BIGINT, doi STRING, title STRING").repartition(4)
+        got, jobs[n] = jobs_of(spark, lambda df=df: sorted(r.id for r in K.dedup_any_key(df, ["doi", "title"], "id").collect()))
+        assert got == list(range(0, n, 2))
+    assert jobs[1000] < jobs[100] + 40 and jobs[1000] < 250, jobs
+
+
+def test_components_too_large_to_walk_go_on_in_rounds(spark):
+    rows = chained(14) + [(100 + k, f"e{k // 3}", f"u{(k + 1) // 3}") for k in range(30)]
+    df = spark.createDataFrame(rows, "id BIGINT, doi STRING, title STRING")
+    want = sorted(r.id for r in K.dedup_any_key(df, ["doi", "title"], "id").collect())
+    assert sorted(r.id for r in K.dedup_any_key(df, ["doi", "title"], "id", walked_rows=3).collect()) == want
+
+
+def test_components_of_random_edges(spark):
+    from verdictlake.operators.graph import connected_components
+
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 - k, 999 - k) for k in range(200)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a BIGINT, b BIGINT")).collect()}
+    assert got == {k: v for k, v in label.items() if any(a != b and k in (a, b) for a, b in edges)}
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 3000, 4999, 5000, 6000])
+def test_first_n_of_any_order(spark, n, monkeypatch):
+    monkeypatch.setattr(K, "EDGE_ROWS", 50)
+    monkeypatch.setattr(K, "PIVOTS", 8)
+    rng = random.Random(6)
+    rows = [(rng.choice([None, "a", "b", f"x{k % 90}"]), rng.choice([None, 1.5, float(k % 11)]), k) for k in range(5000)]
+    df = spark.createDataFrame(rows, "s STRING, v DOUBLE, k BIGINT").repartition(5)
+    low = lambda x: (x is not None, x if x is not None else 0)
+    want = sorted(rows, key=lambda r: (low(r[0])[0], r[0] or "", *low(r[1]), r[2]))[:n]
+    assert sorted(map(repr, (tuple(r) for r in K.first_n(df, ["s", "v", "k"], n).collect()))) == sorted(map(repr, want))
+    tied = K.first_n(df, ["s"], n).collect()
+    assert sorted((r.s or "", r.s is not None) for r in tied) == sorted((r[0] or "", r[0] is not None) for r in sorted(rows, key=lambda r: (low(r[0])[0], r[0] or ""))[:n])
+
+
+def test_first_n_gathers_nothing_in_one_task(spark):
+    df = spark.range(400_000).select((F.col("id") * 7919 % 400_009).alias("k"), F.col("id").cast("string").alias("text"))
+    out = K.first_n(df, ["k"], 200_000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "SinglePartition" not in plan and "Exchange" not in plan
+    assert out.count() == 200_000 and out.agg(F.max("k")).first()[0] < 200_020
+
+
 def greedy_evidence(blocks, claim, budget, dedup):
     unit = [np.asarray(b[3]) / np.linalg.norm(b[3]) for b in blocks]
     sims = [float(u @ (np.asarray(claim) / np.linalg.norm(claim))) for u in unit]
@@ -196,6 +263,26 @@ def test_evidence_equals_greedy_for_any_batch(spark, batch):
         assert got == greedy_evidence([b for b in blocks if b[0] == cid], vec, 300, 0.85)
 
 
+def test_no_text_moves_before_the_walk_and_only_chosen_texts_after(spark, tmp_path):
+    claims = spark.createDataFrame([("c", [1.0, 0.0]), ("d", [0.0, 1.0])], "claim_id STRING, embedding ARRAY<DOUBLE>")
+    blocks = [(c, k, f"word{k} \u2003two\x1cthree " * 40 + "tail", [1.0, k / 10]) for c in "cd" for k in range(30)]
+    spark.createDataFrame(blocks, "claim_id STRING, block_idx BIGINT, block STRING, embedding ARRAY<DOUBLE>").write.parquet(f"{tmp_path}/blocks")
+    table = spark.read.parquet(f"{tmp_path}/blocks")
+    plans, real = [], Z.write_through
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(Z, "write_through", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    out = Z.select_evidence(claims, table, budget=200, dedup=2.0)
+    monkey.undo()
+    for plan in plans:
+        for line in plan.splitlines():
+            assert "Exchange" not in line or "block#" not in line
+    final = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in final and "hashpartitioning" not in final
+    got = {(r.claim_id, r.step): r for r in out.collect()}
+    assert got[("c", 0)].block == blocks[0][2] and not got[("c", 0)].truncated
+    assert got[("c", 1)].truncated and got[("c", 1)].block == " ".join(blocks[1][2].split()[:200 - 121]) + "..."
+
+
 def test_positions_and_previous_equal_one_window(spark):
     rng = random.Random(4)
     rows = [(0 if rng.random() < 0.6 else rng.randint(1, 5), k, f"v{k}") for k in rng.sample(range(5000), 900)]

@@ -6,21 +6,73 @@ and pruned inside map tasks before anything is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdictlake.operators.graph import connected_components
 from verdictlake.operators.papers import filter_papers
-from verdictlake.scale import first_n_by, null_safe_back, number_globally, sample_order, settle
+from verdictlake.scale import first_n_by, null_safe_back, number_globally, sample_order, settle, write_through
 
 
 def first_n_per(df: DataFrame, key: str, order: Sequence[str], n: int) -> DataFrame:
     return first_n_by(df, [key], [F.col(c) for c in order], n)
 
 
+PIVOTS, EDGE_ROWS = 32, 2000
+
+
 def first_n(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    return df.orderBy(*order).limit(n)
+    """The n first rows in ascending order (nulls first), however large n is, not sorted.
+
+    The n-th key is found by narrowing: keys of a small sample cut the range, a count per piece
+    tells in which the n-th lies, and that piece is cut again until it holds at most EDGE_ROWS
+    keys. Then all rows up to that key are kept where they are. Rows of equal keys, if only
+    some of them belong to the first n, are taken as they come. A pass reads the order columns
+    only; its counts and the last piece's keys are all that the driver sees.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    key = F.struct(*order)
+
+    def at(values) -> Column:
+        return F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, values)])
+
+    keys, before, rows = df.select(*order), 0, df.count()
+    if n >= rows:
+        return df
+    if n <= 0:
+        return df.limit(0)
+    low = high = None  # the n-th key lies above `low` and not above `high`
+    seed = 0
+    while rows > EDGE_ROWS:
+        seed += 1
+        inside = keys.filter((F.lit(True) if low is None else key > at(low)) & (F.lit(True) if high is None else key <= at(high)))
+        sample = inside.sample(fraction=min(1.0, 16 * PIVOTS / rows), seed=seed).distinct().orderBy(*order).collect()
+        pivots = [tuple(r) for r in sample[::max(1, len(sample) // PIVOTS)]]
+        if not pivots:  # an unlucky sample
+            continue
+        piece = F.size(F.filter(F.array(*[at(p) for p in pivots]), lambda p: p < key))
+        counts = {r["p"]: r["c"] for r in inside.groupBy(piece.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
+        k, start = 0, before
+        while start + counts.get(k, 0) < n:
+            start += counts.get(k, 0)
+            k += 1
+        low, high, before = pivots[k - 1] if k else low, pivots[k] if k < len(pivots) else high, start
+        if len(pivots) == 1 and counts[k] == rows:  # as good as one key fills the piece
+            break
+        rows = counts[k]
+    inside = keys.filter((F.lit(True) if low is None else key > at(low)) & (F.lit(True) if high is None else key <= at(high)))
+    edge, start = None, before
+    for r in inside.groupBy(*order).agg(F.count(F.lit(1)).alias("_rows")).orderBy(*order).toLocalIterator():
+        edge, start = tuple(r)[:-1], start + r["_rows"]
+        if start >= n:
+            break
+    if start == n:
+        return df.filter(key <= at(edge))
+    ties = df.filter(key == at(edge)).limit(n - (start - r["_rows"]))
+    return df.filter(key < at(edge)).unionByName(ties)
 
 
 def _first_by_hash(df: DataFrame, n: int, seed: int, ids: Sequence[str]) -> DataFrame:
@@ -124,38 +176,98 @@ def next_slice(prompts: DataFrame, existing: DataFrame, n: int | None, order: Se
     return joined.filter(wanted if n is None else wanted & (F.col("_rank") <= n)).select(*prompts.columns)
 
 
-def dedup_any_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+# Rounds before what is left is split into components, and the rows of a component that one task may walk.
+EAGER_ROUNDS, WALKED_ROWS = 3, 100_000
+
+
+def dedup_any_key(df: DataFrame, keys: Sequence[str], order: str, walked_rows: int = WALKED_ROWS) -> DataFrame:
     """Keep a row unless an earlier kept row shares any of its keys; dropped rows block nobody.
 
     Rounds: a row that comes first in all its key groups is kept, rows sharing a key with it
     go, the rest is tried again. Each round is grouped minimums (combined map-side) and joins
     on the keys; for rows in random order the number of rounds grows with the logarithm of
     their number (Blelloch, Fineman, Shun: Greedy sequential maximal independent set and
-    matching are parallel on average, 2012). Null and blank keys never collide. `order` is unique.
+    matching are parallel on average, 2012). What a few rounds leave, such as long chains, is
+    split into components of rows that share keys: those of up to `walked_rows` rows are walked
+    in order, many per task, and only larger ones go on in rounds. Null and blank keys never
+    collide. `order` is unique.
     """
+    return df.join(_kept_orders(df, keys, order, walked_rows), order, "left_semi")
+
+
+def _kept_orders(df: DataFrame, keys: Sequence[str], order: str, walked_rows: int = WALKED_ROWS) -> DataFrame:
     narrow = df.select(order, *[F.nullif(F.col(k), F.lit("")).alias(k) for k in keys])
-    undecided, kept = settle(narrow), None
+    undecided, kept, rounds = settle(narrow), [], 0
     while True:
-        marked = undecided
-        for k in keys:
-            first = undecided.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_first_{k}"))
-            marked = marked.join(first, k, "left")
-        is_first = F.lit(True)
-        for k in keys:
-            is_first = is_first & F.coalesce(F.col(f"_first_{k}") == F.col(order), F.lit(True))
-        marked = settle(marked.select(order, *keys, is_first.alias("_kept")))
-        winners = marked.filter("_kept").select(order, *keys)
-        kept = winners if kept is None else kept.unionByName(winners)
-        rest = marked.filter("NOT _kept").select(order, *keys)
-        for k in keys:
-            taken = winners.filter(F.col(k).isNotNull()).select(k)
-            rest = rest.join(taken, k, "left_anti")
-        undecided = settle(rest.select(order, *keys))
+        winners, undecided = _decided(undecided, keys, order)
+        kept.append(winners)
+        rounds += 1
         if undecided.isEmpty():
             break
-    return df.join(kept.select(order), order, "left_semi")
+        if rounds == EAGER_ROUNDS:
+            placed = write_through(_with_component(undecided, keys))
+            sizes = write_through(placed.groupBy("_root").agg(F.count(F.lit(1)).alias("_rows")))
+            large = sizes.filter(F.col("_rows") > walked_rows).select("_root")
+            kept.append(settle(_walked(placed.join(large, "_root", "left_anti"), keys, order)))
+            undecided = settle(placed.join(large, "_root", "left_semi").drop("_root"))
+            if undecided.isEmpty():
+                break
+    orders = kept[0].select(order)
+    for part in kept[1:]:
+        orders = orders.unionByName(part.select(order))
+    return orders
+
+
+def _decided(undecided: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """One round: the rows that come first in all their key groups, and those that share no key with them."""
+    marked = undecided
+    for k in keys:
+        first = undecided.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_first_{k}"))
+        marked = marked.join(first, k, "left")
+    is_first = F.lit(True)
+    for k in keys:
+        is_first = is_first & F.coalesce(F.col(f"_first_{k}") == F.col(order), F.lit(True))
+    marked = settle(marked.select(order, *keys, is_first.alias("_kept")))
+    winners = marked.filter("_kept").select(order, *keys)
+    rest = marked.filter("NOT _kept").select(order, *keys)
+    for k in keys:
+        taken = winners.filter(F.col(k).isNotNull()).select(k)
+        rest = rest.join(taken, k, "left_anti")
+    return winners, settle(rest.select(order, *keys))
+
+
+def _with_component(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`rows`, which each have a key, with `_root`, equal for all rows connected by common keys."""
+    nodes = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.xxhash64(F.lit(n), F.col(k).cast("string"))) for n, k in enumerate(keys)]))
+    linked = write_through(rows.withColumn("_nodes", nodes))
+    steps = F.filter(F.transform("_nodes", lambda b, k: F.struct(F.get("_nodes", k - 1).alias("a"), b.alias("b"))), lambda e: e["a"].isNotNull())
+    edges = linked.select(F.explode(steps).alias("e")).select("e.*").distinct()
+    roots = connected_components(edges).withColumnRenamed("node", "_node")
+    return linked.withColumn("_node", F.get("_nodes", F.lit(0))).join(roots, "_node", "left").select(
+        *rows.columns, F.coalesce("root", "_node").alias("_root"))
+
+
+def _walked(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Orders of the rows kept by walking each component in order; a task holds one component's keys at a time."""
+    names = list(keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root, taken = None, [set() for _ in names]
+        for frame in frames:
+            kept = []
+            for place, at, *values in frame[[order, "_root", *names]].itertuples(index=False):
+                if at != root:
+                    root, taken = at, [set() for _ in names]
+                free = [v is None or v != v or v not in t for v, t in zip(values, taken)]
+                if all(free):
+                    kept.append(place)
+                    for v, t in zip(values, taken):
+                        t.add(v)
+            yield frame[frame[order].isin(kept)][[order]]
+
+    return rows.repartition("_root").sortWithinPartitions("_root", order).mapInPandas(run, rows.select(order).schema)
 
 
 def take_target(df: DataFrame, n: int, keys: Sequence[str], order: str) -> DataFrame:
     """First n rows left after deduplication."""
-    return dedup_any_key(df, keys, order).orderBy(order).limit(n)
+    return df.join(first_n(write_through(_kept_orders(df, keys, order)), [order], n), order, "left_semi")

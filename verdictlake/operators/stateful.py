@@ -264,10 +264,13 @@ def score_blocks(claims: DataFrame, blocks: DataFrame) -> DataFrame:
     return joined.withColumn("similarity", cosine("_claim", "embedding")).drop("_claim")
 
 
-PICK = "claim_id {id}, step BIGINT, block_idx BIGINT, block STRING, truncated BOOLEAN, words BIGINT, done BOOLEAN, last_sim DOUBLE, last_idx BIGINT, vector ARRAY<DOUBLE>"
+PICK = "claim_id {id}, step BIGINT, block_idx BIGINT, truncated BOOLEAN, words BIGINT, done BOOLEAN, last_sim DOUBLE, last_idx BIGINT, vector ARRAY<DOUBLE>"
 
 
-WALKED = ["claim_id", "step", "block_idx", "block", "truncated", "words", "done", "last_sim", "last_idx", "vector"]
+WALKED = ["claim_id", "step", "block_idx", "truncated", "words", "done", "last_sim", "last_idx", "vector"]
+# What text is split at: Unicode white space and the four separators before it.
+TOKEN = r"(?U)[^\s\x1c-\x1f]++"
+FETCH_ROWS = 1_000_000
 
 
 def select_evidence(
@@ -275,19 +278,22 @@ def select_evidence(
 ) -> DataFrame:
     """Blocks a judge gets to see: most similar first, near copies of chosen ones left out, up to `budget` words.
 
-    The walk over a claim's blocks is sequential. It runs on the `batch` best blocks of every
-    claim (pruned before the shuffle); claims that neither reached the budget nor ran out go on
-    with their next best blocks, from which copies of the chosen ones are filtered first, in
-    parallel. So no claim's blocks are gathered whole, and none are dropped unseen.
-    Ties: lower block_idx first. A last block is cut when more than 10 words still fit.
+    Blocks are scored once, as (claim_id, block_idx, vector, word count, similarity); the walk
+    runs on those, and texts are fetched for the chosen blocks only. The walk over a claim's
+    blocks is sequential. It runs on the `batch` best blocks of every claim (pruned before the
+    shuffle); claims that neither reached the budget nor ran out go on with their next best
+    blocks, from which copies of the chosen ones are filtered first, in parallel. So no claim's
+    blocks are gathered whole, and none are dropped unseen. Ties: lower block_idx first. A last
+    block is cut when more than 10 words still fit. (claim_id, block_idx) is unique.
     """
-    scored = score_blocks(claims, blocks)
+    narrow = blocks.select("claim_id", "block_idx", "embedding", F.regexp_count("block", F.lit(TOKEN)).cast("bigint").alias("words"))
+    scored = write_through(score_blocks(claims, narrow))
     id_type = dict(scored.dtypes)["claim_id"]
     schema = PICK.format(id=id_type)
     best = [F.desc("similarity"), F.asc("block_idx")]
     pool, chosen, cursor = scored, None, None
     while True:
-        part = first_n_by(pool, ["claim_id"], best, batch).select("claim_id", "block_idx", "block", "embedding", "similarity")
+        part = first_n_by(pool, ["claim_id"], best, batch)
         if cursor is None:
             walked = part.groupBy("claim_id").applyInPandas(_walker(budget, dedup, batch), schema)
         else:
@@ -301,10 +307,21 @@ def select_evidence(
         cursor = walked.filter("block_idx IS NULL AND NOT done").select("claim_id", "last_sim", "last_idx")
         if cursor.isEmpty():
             break
-        # Only the blocks of claims still open are scored again.
-        again = score_blocks(claims.join(cursor.select("claim_id"), "claim_id", "left_semi"), blocks)
-        pool = _remaining(again, cursor, chosen, dedup)
-    return chosen.select("claim_id", "step", "block_idx", "block", "truncated")
+        pool = _remaining(scored, cursor, chosen, dedup)
+    return _with_texts(write_through(chosen.select("claim_id", "step", "block_idx", "truncated", "words")), blocks)
+
+
+def _with_texts(chosen: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Chosen blocks with their texts, a truncated one cut to its words.
+
+    The chosen keys go to the blocks if a count allows it, so that no text moves but theirs;
+    beyond that both sides are shuffled.
+    """
+    keys = F.broadcast(chosen) if chosen.count() <= FETCH_ROWS else chosen
+    cut = F.array_join(F.slice(F.regexp_extract_all("block", F.lit(TOKEN), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    text_ = F.when(F.col("truncated"), F.concat(cut, F.lit("..."))).otherwise(F.col("block"))
+    return blocks.select("claim_id", "block_idx", "block").join(keys, ["claim_id", "block_idx"]).select(
+        "claim_id", "step", "block_idx", text_.alias("block"), "truncated")
 
 
 def _remaining(scored: DataFrame, cursor: DataFrame, chosen: DataFrame, dedup: float) -> DataFrame:
@@ -328,19 +345,18 @@ def _walk(pdf: pd.DataFrame, held: list[np.ndarray], words: int, step: int, budg
         vec = vec / (np.linalg.norm(vec) + 1e-10)
         if held and np.max(np.stack(held) @ vec) > dedup:
             continue
-        tokens = b.block.split()
-        if words + len(tokens) > budget:
+        if words + b.words > budget:
             left = budget - words
             if left > 10:
-                rows.append((b.claim_id, step, b.block_idx, " ".join(tokens[:left]) + "...", True, left, vec))
+                rows.append((b.claim_id, step, b.block_idx, True, left, vec))
             done = True
             break
-        rows.append((b.claim_id, step, b.block_idx, b.block, False, len(tokens), vec))
-        words, step = words + len(tokens), step + 1
+        rows.append((b.claim_id, step, b.block_idx, False, b.words, vec))
+        words, step = words + b.words, step + 1
         held.append(vec)
     last = pdf.iloc[-1]
-    out = [(*r[:6], False, None, None, r[6]) for r in rows]
-    out.append((last.claim_id, step, None, None, False, words, done, float(last.similarity), int(last.block_idx), None))
+    out = [(*r[:5], False, None, None, r[5]) for r in rows]
+    out.append((last.claim_id, step, None, False, words, done, float(last.similarity), int(last.block_idx), None))
     return pd.DataFrame(out, columns=WALKED).astype({"block_idx": "Int64", "last_idx": "Int64"})
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
 from verdictlake import schemas
+from verdictlake.operators.ranking import first_n
 from verdictlake.scale import latest_per_key, shared_folder
 
 
@@ -335,7 +336,7 @@ def load_questions(
     parts = []
     for name, source in sources.items():
         part = source.filter(F.col("question_category").isin(categories)) if categories else source
-        part = part.orderBy(order).limit(n_per_source) if n_per_source is not None else part
+        part = first_n(part, [order], n_per_source) if n_per_source is not None else part
         parts.append(part.withColumn("origin", F.lit(name)))
     out = parts[0]
     for part in parts[1:]:
