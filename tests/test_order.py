@@ -227,6 +227,28 @@ def test_first_n_gathers_nothing_in_one_task(spark):
     assert out.count() == 200_000 and out.agg(F.max("k")).first()[0] < 200_020
 
 
+@pytest.mark.parametrize("n", [0, 3, 50, 700, 2400, 5000])
+def test_even_samples_rank_only_edge_cells(spark, n, monkeypatch):
+    import hashlib
+
+    rows = [(k, "hot" if k % 3 == 0 else None if k % 17 == 0 else f"s{k % 5}" if k % 2 else f"rare{k % 211}") for k in range(3000)]
+    ranked, real = [], K._edge_ranks
+    monkeypatch.setattr(K, "_edge_ranks", lambda part, *a: ranked.append(part) or real(part, *a))
+    got = K.stratified_even(spark.createDataFrame(rows, "id BIGINT, s STRING").repartition(5), "s", n, 9, ["id"]).collect()
+    strata = {}
+    for k, s in sorted(rows, key=lambda r: (hashlib.md5(f"9:{r[0]}".encode()).hexdigest(), r[0])):
+        strata.setdefault(s, []).append(k)
+    share = n // len(strata)
+    missing = sum(max(0, share - len(v)) for v in strata.values()) + n % len(strata)
+    spare = sorted((x for v in strata.values() for x in v[share:share + missing]), key=lambda k: (hashlib.md5(f"9:{k}".encode()).hexdigest(), k))
+    want = [x for v in strata.values() for x in v[:share]] + spare[:missing]
+    assert sorted(r.id for r in got) == sorted(want)
+    # A third of all rows is one stratum; a few of its rows are ranked.
+    for part in ranked:
+        most = {r["s"]: r["count"] for r in part.groupBy("s").count().collect()}
+        assert most.get("hot", 0) <= 6
+
+
 def greedy_evidence(blocks, claim, budget, dedup):
     unit = [np.asarray(b[3]) / np.linalg.norm(b[3]) for b in blocks]
     sims = [float(u @ (np.asarray(claim) / np.linalg.norm(claim))) for u in unit]

@@ -1,5 +1,6 @@
 """Cases in which earlier rules lost rows or gave wrong verdicts."""
 
+import csv
 import tempfile
 
 from pyspark.sql import functions as F
@@ -93,3 +94,19 @@ def test_next_slice_goes_on_after_what_each_language_has(spark):
     done = prompts.filter("doc_id < 3")
     assert [r["doc_id"] for r in ranking.next_slice(prompts, done, 5, ["doc_id"]).orderBy("doc_id").collect()] == [3, 4, 7, 8, 9]
     assert [r["doc_id"] for r in ranking.next_slice(prompts, done, None, ["doc_id"]).orderBy("doc_id").collect()] == [3, 4, 5, 6, 7, 8, 9]
+
+
+def test_one_csv_file_with_line_breaks_is_read_by_many_tasks(spark, tmp_path):
+    parts = ["plain", "two\nlines", 'say "hi", twice', "a,b", "\n\nopen", "windows\r\nbreak", '"', "é\u2003 \n\"\n\"", "x" * 300]
+    rows = [(k, parts[k % 9] + str(k), (parts[(k * 7) % 9] + "\n") * (1 if k != 777 else 40_000)) for k in range(6000)]
+    with open(tmp_path / "one.csv", "w", newline="") as f:
+        out = csv.writer(f, quoting=csv.QUOTE_ALL, lineterminator="\r\n")
+        out.writerow(["id", "note", "more\nthan a line"])
+        out.writerows(rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = files.read_study_csv(spark, str(tmp_path / "one.csv"), "id BIGINT, note STRING, more STRING")
+        assert spark.read.option("lineSep", "\n").text(str(tmp_path / "one.csv")).rdd.getNumPartitions() > 10
+        assert sorted(tuple(r) for r in got.collect()) == rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

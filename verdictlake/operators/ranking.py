@@ -115,8 +115,9 @@ def limit_per_category(claims: DataFrame, k: int) -> DataFrame:
 def stratified_even(df: DataFrame, key: str, n: int, seed: int, ids: Sequence[str]) -> DataFrame:
     """n rows spread evenly over strata: short strata give all, the rest comes from strata with spare rows.
 
-    A row taken to fill up stands within the first (share + missing) of its stratum, so one
-    pruned ranking serves both parts.
+    A row taken to fill up stands within the first (share + missing) of its stratum. Counts per
+    stratum and cell of the sample order tell the cells in which these two ranks lie; only rows
+    of those cells are ranked, so no stratum is sorted in one task.
     """
     sizes = df.groupBy(key).agg(F.count("*").alias("c"))
     # Two numbers describe all strata.
@@ -128,12 +129,44 @@ def stratified_even(df: DataFrame, key: str, n: int, seed: int, ids: Sequence[st
     missing = int(shortfall) + n % n_strata
     if share + missing == 0:
         return df.limit(0)
-    place = sample_order(seed, *ids)
-    w = Window.partitionBy(key).orderBy(place, *ids)
-    ranked = df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= share + missing)
-    even = ranked.filter(F.col("_rank") <= share)
-    fill = _first_by_hash(ranked.filter(F.col("_rank") > share), missing, seed, ids)
-    return even.unionByName(fill).drop("_rank")
+    cells = _stratum_cells(df, key, seed, ids, share, share + missing)
+    marked = null_safe_back(df.withColumn("_cell", _cell(seed, ids)), cells, [key])
+    at, first, last = F.col("_cell"), F.col("_share"), F.col("_whole")
+    # Null: the stratum ends before that rank, so all of its rows come before it.
+    in_share = F.lit(share > 0) & (first.isNull() | (at < first["cell"]))
+    on_edge = (at == first["cell"]) | (at == last["cell"])
+    sure = marked.filter(~F.coalesce(on_edge, F.lit(False)))
+    edge = _edge_ranks(marked.filter(on_edge), key, seed, ids).withColumn(
+        "_even", (at == first["cell"]) & (F.col("_rank") + first["before"] <= share)).withColumn(
+        "_spare", ~F.coalesce("_even", F.lit(False)) & F.coalesce((at < last["cell"]) | (F.col("_rank") + last["before"] <= share + missing), F.lit(True)))
+    spare = sure.filter(~in_share & F.coalesce(at < last["cell"], F.lit(True))).select(*df.columns).unionByName(edge.filter("_spare").select(*df.columns))
+    even = sure.filter(in_share).select(*df.columns).unionByName(edge.filter("_even").select(*df.columns))
+    return even.unionByName(_first_by_hash(spare, missing, seed, ids))
+
+
+def _cell(seed: int, ids: Sequence[str]) -> Column:
+    return F.substring(sample_order(seed, *ids), 1, 4)
+
+
+def _stratum_cells(df: DataFrame, key: str, seed: int, ids: Sequence[str], share: int, whole: int) -> DataFrame:
+    """Per stratum the cells (and the rows before them) in which its ranks `share` and `whole` lie, null if it ends before.
+
+    One row per stratum and leading four digits of the sample order, summed up per stratum.
+    """
+    sizes = df.groupBy(key, _cell(seed, ids).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sizes.withColumn("before", before)
+
+    def edge(rank: int) -> Column:
+        return F.min(F.when((F.col("before") + F.col("n") >= rank) & F.lit(rank > 0), F.struct("cell", "before")))
+
+    return placed.groupBy(key).agg(edge(share).alias("_share"), edge(whole).alias("_whole"))
+
+
+def _edge_ranks(rows: DataFrame, key: str, seed: int, ids: Sequence[str]) -> DataFrame:
+    """Rows of the edge cells with their rank inside their cell; all other rows are settled by their cell."""
+    within = Window.partitionBy(key, "_cell").orderBy(sample_order(seed, *ids), *ids)
+    return rows.withColumn("_rank", F.row_number().over(within))
 
 
 def sample_grid(grid: DataFrame, k: int, seed: int, ids: Sequence[str]) -> DataFrame:

@@ -11,13 +11,13 @@ import re
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
 from verdictlake import schemas
 from verdictlake.operators.ranking import first_n
-from verdictlake.scale import latest_per_key, shared_folder
+from verdictlake.scale import latest_per_key, shared_folder, write_through
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -232,9 +232,38 @@ def write_study_csv(df: DataFrame, path: str) -> None:
 
 
 def read_study_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).options(
-        header=True, quote='"', escape='"', multiLine=True, enforceSchema=False
-    ).csv(path)
+    """Rows of CSV files with a header, whose quoted fields may hold line breaks; a file is read by many tasks.
+
+    A line begins a record if an even number of quotes stands before it in its file. Quotes are
+    counted per split, and the parity before each split follows from the splits before it (one
+    row per split). Lines that are a record by themselves stay where they are; only records of
+    several lines, cut at a split's edge or not, are joined. Columns stand in the schema's order.
+    """
+    split = ["_file", "_block"]
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"), "value", (F.length("value") - F.length(F.replace("value", F.lit('"')))).alias("_quotes"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = lines.groupBy(*split).agg(F.sum("_quotes").alias("_sum")).select(
+        *split, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    order = Window.partitionBy(*split).orderBy("_line")
+    before = F.coalesce(F.sum("_quotes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row per split of the input: a few bytes for each 128 MB.
+    opened = lines.join(F.broadcast(offsets), split).withColumn("_opens", (F.col("_before") + before) % 2 == 0)
+    marked = write_through(opened.select(
+        *split, "_line", "value", (F.col("_block") == 0) & (F.row_number().over(order) == 1),
+        F.col("_opens") & F.coalesce(F.lead("_opens").over(order), F.lit(False)),
+        F.last(F.when(F.col("_opens"), F.col("_line")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).toDF(
+            *split, "_line", "value", "_header", "_alone", "_start"))
+    ends = marked.groupBy(*split).agg(F.max("_start").alias("_last"))
+    handed = ends.select(*split, F.last("_last", ignorenulls=True).over(earlier).alias("_handed"))
+    joined = marked.filter("NOT _alone").join(F.broadcast(handed), split).groupBy("_file", F.coalesce("_start", "_handed").alias("_at")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_line", "value"))), lambda r: r["value"]), "\n").alias("value"),
+        F.bool_or("_header").alias("_header"))
+    records = marked.filter("_alone").select("value", "_header").unionByName(joined.select("value", "_header"))
+    whole = F.regexp_replace("value", r"\r\z", "")
+    return records.filter(~F.col("_header")).filter(whole != "").select(
+        F.from_csv(whole, F.lit(schema), {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}).alias("r")).select("r.*")
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
