@@ -1,4 +1,4 @@
-"""Plans keep their shape: no products, no Python outside its three places, pruned and pushed-down scans."""
+"""Plans keep their shape: no products, no Python outside its named places, pruned and pushed-down scans."""
 
 import re
 
@@ -9,7 +9,7 @@ from verdictlake.operators import turns as T
 from verdictlake.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-PYTHON = {"document_blocks", "hooked_evaluation", "selected_evidence", "evidence_texts"}
+PYTHON = {"document_blocks", "hooked_evaluation", "selected_evidence", "evidence_texts", "page_links", "pdf_links", "page_texts", "page_texts_with_word_limit", "pdf_plan"}
 # A window without partitions would pull all rows into one task. These scan one row per model or per range.
 ONE_WINDOW = {"leaderboard_coding", "ordered_facts", "numbered_claims", "next_prompt_slice", "remaining_prompts"}
 LONE_WINDOW = r"Window \[[^\n]*\n(?:[^\n]*(?:Project|InputAdapter|Sort )[^\n]*\n){0,4}[^\n]*Exchange SinglePartition"

@@ -110,3 +110,23 @@ def test_one_csv_file_with_line_breaks_is_read_by_many_tasks(spark, tmp_path):
         assert sorted(tuple(r) for r in got.collect()) == rows
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_direct_run_from_answers_to_report(spark, tmp_path):
+    from verdictlake.operators import direct
+
+    item = '{"package": "ghost", "function": "f", "code": "x", "reason": "none such"}'
+    answers = [
+        (1, 1, '```json\n{"has_hallucination": true, "hallucinated_imports": [%s, %s], "hallucinated_installs": [], "hallucinated_function_calls": [], "reasoning": "r"}\n```' % (item, item)),
+        (1, 3, "no verdict"), (2, 1, 'I say {"has_hallucination": true, "reasoning": "flat"} so'), (3, 1, None)]
+    convs = spark.createDataFrame([(k,) for k in (1, 1, 2, 3, 4)], "conv_id BIGINT")
+    records = direct.run_direct(spark, convs, spark.createDataFrame(answers, "conv_id BIGINT, turn BIGINT, response STRING"), f"{tmp_path}/records")
+    got = {r.conversation_id: r for r in records.collect()}
+    assert {k: (r.score, r.details.total_turns, r.details.overall_hallucinated_responses, r.details.total_claims, r.details.hallucinations) for k, r in got.items()} == {
+        1: (0.5, 2, 1, 3, 2), 2: (0.0, 1, 1, 0, 0), 3: (1.0, 1, 0, 1, 0), 4: (1.0, 0, 0, 0, 0)}
+    assert [c.claim.package_name for c in got[1].details.claim_evaluations] == ["ghost", "ghost", None]
+    assert got[4].reasoning == "No assistant turns found" and "ghost import" in got[1].reasoning
+    report = direct.direct_report(records).first()
+    assert (report.total_conversations, report.total_responses, report.overall_hallucinated_responses, report.conversations_with_import) == (4, 4, 2, 1)
+    assert (report.total_claims, report.hallucinated_claims, report.overall_hallucination_rate, report.mean_score) == (4, 2, 0.5, 0.625)
+    assert direct.direct_report(records.limit(0)).first().total_claims == 0

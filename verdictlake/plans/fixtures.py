@@ -233,3 +233,17 @@ class Inputs:
                ELSE concat('snippet ', CAST((h + step * 5 + item) % 23 AS STRING)) END AS snippet""",
             "item + (h % 3) AS position",
         )
+
+
+def turn_answers(i: Inputs) -> DataFrame:
+    """(conv_id, turn, response): raw direct verdicts, fenced, flat, inside other text, or none at all."""
+    v = i.verdicts()
+    full = F.to_json(F.struct("has_hallucination", "hallucinated_imports", "hallucinated_installs",
+                              "hallucinated_function_calls", "reasoning"))
+    flat = F.to_json(F.struct("has_hallucination", "reasoning"))
+    response = (
+        F.when(F.col("q") % 4 == 0, F.concat(F.lit("Result:\n```json\n"), full, F.lit("\n```\nEnd.")))
+        .when(F.col("q") % 4 == 1, F.concat(F.lit("I think "), flat, F.lit(" is right {maybe}")))
+        .when(F.col("q") % 4 == 2, F.concat(F.lit("So: "), full, F.lit(" done")))
+        .otherwise(F.concat(F.lit(" no verdict {"), F.col("q").cast("string"))))
+    return v.select("conv_id", "turn", response.alias("response"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from verdictlake.functions import claims as C
 from verdictlake.functions import parse as R
 from verdictlake.operators import agreement as A
-from verdictlake.plans.fixtures import Inputs, with_views
+from verdictlake.plans.fixtures import Inputs, turn_answers, with_views
 from verdictlake.plans.q_reports import IMP, INS, FUN, PARSE, _rate
 from verdictlake.plans.registry import query, rounded
 
@@ -61,16 +61,7 @@ SELECT conv_id, turn, q % 4 <> 3 AS parsed, CASE WHEN q % 4 = 3 THEN FALSE ELSE
   CASE q % 4 WHEN 3 THEN concat('Failed to parse response: no verdict {', CAST(q AS VARCHAR)) ELSE 'checked' END AS reasoning
 FROM verdicts_fx"""))
 def parsed_turn_verdicts(i: Inputs):
-    v = i.verdicts()
-    full = F.to_json(F.struct("has_hallucination", "hallucinated_imports", "hallucinated_installs",
-                              "hallucinated_function_calls", "reasoning"))
-    flat = F.to_json(F.struct("has_hallucination", "reasoning"))
-    response = (
-        F.when(F.col("q") % 4 == 0, F.concat(F.lit("Result:\n```json\n"), full, F.lit("\n```\nEnd.")))
-        .when(F.col("q") % 4 == 1, F.concat(F.lit("I think "), flat, F.lit(" is right {maybe}")))
-        .when(F.col("q") % 4 == 2, F.concat(F.lit("So: "), full, F.lit(" done")))
-        .otherwise(F.concat(F.lit(" no verdict {"), F.col("q").cast("string"))))
-    out = R.parse_turn_verdicts(v.select("conv_id", "turn", response.alias("response")))
+    out = R.parse_turn_verdicts(turn_answers(i))
     return out.select(
         "conv_id", "turn", "parsed", "has_hallucination", F.size("hallucinated_imports").cast("bigint").alias("n_imports"),
         F.coalesce(F.get("hallucinated_function_calls", F.lit(0))["package"], F.lit("")).alias("first_function"), "reasoning")

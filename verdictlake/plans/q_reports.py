@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdictlake.functions import labels as L
+from verdictlake.operators import direct as D
 from verdictlake.operators import metrics as M
 from verdictlake.operators import papers as P
-from verdictlake.plans.fixtures import Inputs, with_views
+from verdictlake.plans.fixtures import Inputs, turn_answers, with_views
 from verdictlake.plans.registry import ORACLES, query, rounded
 from verdictlake.sources import files
 
@@ -156,8 +157,7 @@ def coding_scores(i: Inputs):
     return rounded(M.coding_reasoning(M.score_coding(_convs(i), i.judged())))
 
 
-@query("direct_scores", "E3", with_views("verdicts_fx", f"""
-, {CONVS}, o AS (SELECT *, list_concat(list_concat(list_transform(imports[:2], lambda x: concat(x, ' import')),
+DIRECT_SQL = f""", {CONVS}, o AS (SELECT *, list_concat(list_concat(list_transform(imports[:2], lambda x: concat(x, ' import')),
    list_transform(installs[:2], lambda x: concat(x, ' install'))),
    list_transform(functions[:2], lambda x, k: concat(x, '.fn', CAST(k AS VARCHAR), '()'))) AS iss FROM verdicts_fx),
 p AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE has_hallucination) AS y, count(*) FILTER (WHERE len(imports) > 0) AS a,
@@ -171,11 +171,55 @@ SELECT conv_id, n AS total_turns, y AS turns_with_hallucinations, a AS import_ha
   CASE WHEN n = 0 THEN 'No assistant turns found' ELSE concat('Evaluated ', n, ' turn', CASE WHEN n = 1 THEN '' ELSE 's' END, '. ',
     a + b + c, ' hallucination', CASE WHEN a + b + c = 1 THEN '' ELSE 's' END, ' (', a, ' import, ', b, ' install, ', c, ' function). ',
     CASE WHEN a + b + c = 0 THEN 'All packages and API calls verified against official documentation' ELSE concat('Issues: ', issues) END, '.') END AS reasoning
-FROM x"""))
+FROM x"""
+
+
+@query("direct_scores", "E3", with_views("verdicts_fx", "\n" + DIRECT_SQL))
 def direct_scores(i: Inputs):
     return rounded(M.direct_reasoning(M.score_direct(_convs(i), i.verdicts())))
 
 
+# What the four kinds of answers of `_answers` say once parsed.
+ANSWERS_SQL = """, v AS (SELECT conv_id, turn, has_hallucination AND q % 4 <> 3 AS has_hallucination, CASE WHEN q % 4 IN (1, 3) THEN [] ELSE imports END AS imports,
+  CASE WHEN q % 4 IN (1, 3) THEN [] ELSE installs END AS installs, CASE WHEN q % 4 IN (1, 3) THEN [] ELSE functions END AS functions FROM verdicts_fx),
+k AS (SELECT conv_id, sum(CASE WHEN has_hallucination THEN len(imports) + len(installs) + len(functions) ELSE 1 END) AS claims,
+  sum(CASE WHEN has_hallucination THEN len(imports) + len(installs) + len(functions) ELSE 0 END) AS bad FROM v GROUP BY 1)"""
+RUN_SQL = ANSWERS_SQL + DIRECT_SQL.replace("FROM verdicts_fx", "FROM v").replace("SELECT conv_id, n AS total_turns", """, d AS (
+SELECT conv_id, n AS total_turns""") + """)"""
+
+
+def _direct_run(i: Inputs):
+    answers = turn_answers(i)
+    return D.run_direct(i.spark, i.table("conversations"), answers, files.scratch(i.spark, "direct"))
+
+
+@query("direct_run_records", "A3 A5 C2 E3 G2", with_views("verdicts_fx", RUN_SQL + """
+SELECT conv_id AS conversation_id, score, reasoning, CAST(coalesce(claims, 0) AS BIGINT) AS total_claims, CAST(coalesce(bad, 0) AS BIGINT) AS hallucinations,
+  total_turns, turns_with_hallucinations, import_hallucinations, install_hallucinations, function_hallucinations FROM d LEFT JOIN k USING (conv_id)"""))
+def direct_run_records(i: Inputs):
+    """Raw answers of every assistant turn to stored evaluation records, read back."""
+    d = "details."
+    return rounded(_direct_run(i).select(
+        "conversation_id", "score", "reasoning", d + "total_claims", d + "hallucinations", d + "total_turns",
+        F.col(d + "overall_hallucinated_responses").alias("turns_with_hallucinations"),
+        *[F.col(f"{d}{k}_hallucinated_responses").alias(f"{k}_hallucinations") for k in D.KINDS]))
+
+
+@query("direct_run_report", "E3 E9", with_views("verdicts_fx", RUN_SQL + """
+, t AS (SELECT count(*) AS total_conversations, CAST(sum(total_turns) AS BIGINT) AS total_responses, CAST(sum(turns_with_hallucinations) AS BIGINT) AS y, CAST(sum(import_hallucinations) AS BIGINT) AS a,
+  CAST(sum(install_hallucinations) AS BIGINT) AS b, CAST(sum(function_hallucinations) AS BIGINT) AS c, count(*) FILTER (WHERE import_hallucinations > 0) AS ca, count(*) FILTER (WHERE install_hallucinations > 0) AS cb,
+  count(*) FILTER (WHERE function_hallucinations > 0) AS cc, CAST(sum(claims) AS BIGINT) AS total_claims, CAST(sum(bad) AS BIGINT) AS hallucinated_claims,
+  avg(CASE WHEN total_turns > 0 THEN 1.0 - turns_with_hallucinations / CAST(total_turns AS DOUBLE) ELSE 1.0 END) AS s FROM d LEFT JOIN k USING (conv_id))
+SELECT total_conversations, total_responses, y AS overall_hallucinated_responses, a AS import_hallucinated_responses, b AS install_hallucinated_responses, c AS function_hallucinated_responses,
+  ca AS conversations_with_import, cb AS conversations_with_install, cc AS conversations_with_function, total_claims, hallucinated_claims, round(s, 6) AS mean_score,
+  round(y / CAST(total_responses AS DOUBLE), 6) AS overall_hallucination_rate, round(a / CAST(total_responses AS DOUBLE), 6) AS import_hallucination_rate,
+  round(b / CAST(total_responses AS DOUBLE), 6) AS install_hallucination_rate, round(c / CAST(total_responses AS DOUBLE), 6) AS function_hallucination_rate,
+  round(hallucinated_claims / CAST(total_claims AS DOUBLE), 6) AS claim_level_hallucination_rate FROM t"""))
+def direct_run_report(i: Inputs):
+    """The report of a directly judged run, from its stored records."""
+    return rounded(D.direct_report(_direct_run(i)))
+
+
 @query("coding_scores_legacy", "E4", with_views("verdicts_fx", f"""
 , {CONVS}, p AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE len(imports) + len(installs) + len(functions) > 0) AS o,
   count(*) FILTER (WHERE len(imports) > 0) AS i, count(*) FILTER (WHERE len(installs) > 0) AS s, count(*) FILTER (WHERE len(functions) > 0) AS f

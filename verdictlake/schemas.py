@@ -67,7 +67,9 @@ JUDGMENT_FIELDS = (
 EVALUATION = (
     "_type STRING, conversation_id BIGINT, score DOUBLE, reasoning STRING, "
     "details STRUCT<total_claims: BIGINT, hallucinations: BIGINT, input_use_fallback_count: BIGINT, "
-    "judge_used_websearch_fallback_count: BIGINT, snippets_only_count: BIGINT, "
+    "judge_used_websearch_fallback_count: BIGINT, snippets_only_count: BIGINT, total_turns: BIGINT, total_responses: BIGINT, "
+    "overall_hallucinated_responses: BIGINT, import_hallucinated_responses: BIGINT, install_hallucinated_responses: BIGINT, "
+    "function_hallucinated_responses: BIGINT, "
     f"facts: ARRAY<STRUCT<{JUDGMENT_FIELDS}>>, claim_evaluations: ARRAY<STRUCT<{JUDGMENT_FIELDS}>>>, "
     f"metadata {METADATA}"
 )
