@@ -130,3 +130,25 @@ def test_a_direct_run_from_answers_to_report(spark, tmp_path):
     assert (report.total_conversations, report.total_responses, report.overall_hallucinated_responses, report.conversations_with_import) == (4, 4, 2, 1)
     assert (report.total_claims, report.hallucinated_claims, report.overall_hallucination_rate, report.mean_score) == (4, 2, 0.5, 0.625)
     assert direct.direct_report(records.limit(0)).first().total_claims == 0
+
+
+def test_prefixes_are_cut_for_the_asked_turns_only(spark):
+    from verdictlake.operators import turns
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"m{c}.{t}") for c in (1, 2) for t in (0, 1, 2, 5)]
+    talk = spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+    refs = turns.prefix_references(talk)
+    assert {(r.conv_id, r.turn): r.n_messages for r in refs.collect()}[(2, 5)] == 4
+    asked = refs.filter("turn = 5 AND conv_id = 1")
+    got = turns.conversation_prefix(talk, system="S", suffix="!", asked=asked).collect()
+    assert [(r.conv_id, r.turn, [m.content for m in r.prefix]) for r in got] == [(1, 5, ["S", "m1.0!", "m1.1", "m1.2!", "m1.5"])]
+    # No exchange carries a prefix: references and whole conversations meet, and the cut comes last.
+    plan = turns.conversation_prefix(talk)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in line and "prefix" in line for line in plan.splitlines())
+
+
+def test_author_names_are_looked_up(spark):
+    rows = [(1, ["a", "b", None], ["b", None], None, None), (2, ["a"], None, 4, 1), (3, ["x", "x"], ["x"], None, None)]
+    frame = spark.createDataFrame(rows, "conv_id BIGINT, predicted_names ARRAY<STRING>, matched_names ARRAY<STRING>, predicted_count INT, matches INT")
+    got = sorted(((r.conv_id, r.name, r.matched) for r in resume.author_matches(frame).collect()), key=repr)
+    assert got == sorted([(1, "a", None), (1, "b", True), (1, None, None), (2, "a", None), (3, "x", True), (3, "x", True)], key=repr)

@@ -125,8 +125,13 @@ def author_matches(df: DataFrame) -> DataFrame:
     n_pred = F.coalesce("predicted_count", F.size("predicted_names"))
     n_match = F.coalesce("matches", F.size("matched_names"))
     share = F.when(n_pred > 0, n_match / n_pred).otherwise(F.lit(0.0))
-    return df.select("conv_id", "matched_names", share.alias("match_rate"), F.explode("predicted_names").alias("name")).select(
-        "conv_id", "name", F.array_contains("matched_names", F.col("name")).alias("matched"), "match_rate")
+    unsure = F.exists("matched_names", lambda n: n.isNull())
+    named = df.select("conv_id", F.col("matched_names").isNotNull().alias("_told"), unsure.alias("_unsure"), share.alias("match_rate"),
+                      F.explode("predicted_names").alias("name"))
+    # One lookup by (conversation, name) instead of a scan of all matches for every name.
+    found = df.select("conv_id", F.explode("matched_names").alias("name")).filter("name IS NOT NULL").distinct().withColumn("_found", F.lit(True))
+    matched = F.when(~F.col("_told") | F.col("name").isNull(), F.lit(None)).when(F.col("_found"), True).when(F.col("_unsure"), F.lit(None)).otherwise(False)
+    return named.join(found, ["conv_id", "name"], "left").select("conv_id", "name", matched.alias("matched"), "match_rate")
 
 
 def next_unannotated(turns: DataFrame, state: DataFrame, keys: Sequence[str] = ("conv_id", "turn")) -> DataFrame:

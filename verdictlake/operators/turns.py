@@ -45,27 +45,35 @@ def min_length(df: DataFrame, column: str, n: int, strict: bool = False, strip:
     return df.filter(size > n if strict else size >= n)
 
 
-def conversation_prefix(
-    df: DataFrame, system: str | None = None, suffix: str | None = None, out: str = "prefix"
-) -> DataFrame:
-    """Messages up to and including each turn, as an ordered array of role and content.
+def prefix_references(df: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, n_messages): a prefix named by its conversation and its number of messages."""
+    return position_in_group(df.select("conv_id", "turn", "role"), ["conv_id"], "turn", "n_messages")
 
-    `system` puts a system message first; `suffix` is appended to user messages.
-    A prefix repeats the conversation so far by definition. The messages of a
-    conversation are gathered once, next to its turns, and each prefix is a slice.
-    """
+
+def stored_conversations(df: DataFrame, suffix: str | None = None) -> DataFrame:
+    """(conv_id, messages): each conversation once, its messages in order; `suffix` is appended to user messages."""
     content = F.col("text")
     if suffix is not None:
         content = F.when(F.col("role") == "user", F.concat(content, F.lit(suffix))).otherwise(content)
     message = F.struct("turn", "role", content.alias("content"))
     whole = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("_all"))
-    bare = F.transform("_all", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    cut = whole.select("conv_id", bare.alias("_bare"), F.posexplode("_all").alias("_pos", "_m"))
-    prefix = F.slice("_bare", F.lit(1), F.col("_pos") + 1)
+    return whole.select("conv_id", F.transform("_all", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+
+
+def conversation_prefix(
+    df: DataFrame, system: str | None = None, suffix: str | None = None, out: str = "prefix", asked: DataFrame | None = None
+) -> DataFrame:
+    """Messages up to and including each turn, as an ordered array of role and content.
+
+    Prefixes travel as references beside the conversation stored once; their messages are cut
+    out last, for the references in `asked` (all by default), so what is shuffled follows the
+    conversations and not the square of their lengths. `system` puts a system message first.
+    """
+    refs = prefix_references(df) if asked is None else asked
+    prefix = F.slice("messages", F.lit(1), F.col("n_messages").cast("int"))
     if system is not None:
-        head = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")))
-        prefix = F.concat(head, prefix)
-    return cut.select("conv_id", F.col("_m.turn").alias("turn"), F.col("_m.role").alias("role"), prefix.alias(out))
+        prefix = F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))), prefix)
+    return refs.join(stored_conversations(df, suffix), "conv_id").select("conv_id", "turn", "role", prefix.alias(out))
 
 
 def prefix_text(prefix: Column | str) -> Column:
