@@ -111,6 +111,18 @@ def test_blocks_of_all_sizes_give_the_same_pairs(monkeypatch):
         assert partner == {k for p in want for k in p}
         near = {p for batch in ngram_join._closest(iter(table.to_batches(max_chunksize=13))) for p in zip(batch["a"].to_pylist(), batch["b"].to_pylist())}
         assert near <= want and {k for p in near for k in p} == partner
+        for k in partner:
+            apart = {}
+            for p in want:
+                if k in p:
+                    x, y = (r[z] for z in p)
+                    other = r[p[0] if p[1] == k else p[1]]
+                    w = min(len(z["sketch"]) for z in r if z["sig"] == x["sig"]) // 8
+                    a, b = (np.bitwise_xor.reduce(np.frombuffer(z["sketch"], np.uint64).reshape(-1, w), axis=0) for z in (x, y))
+                    apart[p] = (int(np.bitwise_count(a ^ b).sum()), other["root"])
+            first = min(d for d, _ in apart.values())
+            assert any(apart[p][0] == first for p in near if k in p)
+            assert len({root for p, (_, root) in apart.items() if p in near}) >= min(ngram_join.WAYS, len({root for _, root in apart.values()}))
 
 
 def test_sets_like_python_sets():

@@ -13,7 +13,7 @@ that large groups of copies cost what they hold and not their pairs: rows of equ
 set; each set is compared with the one leader it shares most signatures with; sets that are not
 connected yet meet per signature with a sketch, whose differing bits never exceed the
 differing features, and those with a partner meet again with a finer one: first each set is
-compared with the closest of another component, until that connects nothing more, then all
+compared with the closest of some other components, then all
 remaining pairs of different components that the sketch allows are compared exactly.
 Signatures shared by very many sets are cut into those of a second, independent choice of
 parts, and what is still large into blocks.
@@ -44,8 +44,8 @@ SLICE_BYTES, SLICE_ROWS = 4 << 20, 4096
 BUCKET, MOST = 1 << 18, 1 << 22
 CROWD = 2048
 LEVELS = 3
-COARSE, FINE = 4, 12
-CHUNK, SMALL = 20_000, 48
+COARSE, FINE = 3, 12
+CHUNK, SMALL, WAYS = 20_000, 48, 4
 
 # Largest size of each band: sets of similarity 0.8 lie in one band or in neighbours.
 _tops = [1]
@@ -350,22 +350,33 @@ def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pair (a, b) for each row that has a possible partner in its block: the one with the fewest differing bits."""
+    """Up to WAYS pairs (a, b) for each row that has possible partners in its block: the closest of each of the closest roots."""
     for table, group in _blocks(batches):
-        key = table["key"].to_numpy()
-        best = np.full(len(key), np.iinfo(np.int64).max)
-        who = np.zeros(len(key), np.int64)
-        for i, j, apart in _close(table, group):
-            i, j, apart = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
-            order = np.lexsort((j, apart, i))
+        key, root = table["key"].to_numpy(), table["root"].to_numpy()
+        best = [np.zeros(0, np.int64)] * 3
+
+        def reduced(parts: list[np.ndarray]) -> list[np.ndarray]:
+            i, j, apart = parts
+            order = np.lexsort((j, apart, root[j], i))
             i, j, apart = i[order], j[order], apart[order]
-            lead = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+            lead = np.ones(len(i), bool)
+            lead[1:] = (i[1:] != i[:-1]) | (root[j[1:]] != root[j[:-1]])
             i, j, apart = i[lead], j[lead], apart[lead]
-            better = apart < best[i]
-            best[i[better]], who[i[better]] = apart[better], j[better]
-        some = np.flatnonzero(best < np.iinfo(np.int64).max)
-        if len(some):
-            yield _pairs(key[some], key[who[some]])
+            order = np.lexsort((j, apart, i))
+            i, j, apart = i[order], j[order], apart[order]
+            near = np.ones(len(i), bool)
+            near[WAYS:] = i[WAYS:] != i[:-WAYS]
+            return [i[near], j[near], apart[near]]
+
+        held, size = [], 0
+        for i, j, apart in _close(table, group):
+            held.append([np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])])
+            size += 2 * len(i)
+            if size > 1 << 20:
+                best, held, size = reduced([np.concatenate(c) for c in zip(best, *held)]), [], 0
+        i, j, _ = reduced([np.concatenate(c) for c in zip(best, *held)])
+        if len(i):
+            yield _pairs(key[i], key[j])
 
 
 def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -484,8 +495,8 @@ class Join:
 
     def met(self, dealt: DataFrame, sketches: DataFrame, known: DataFrame, run, schema: str) -> DataFrame:
         """`run` over the blocks of `dealt`, their sets with size, sketch and root."""
-        both = join_narrow(dealt, sketches, ["key"], "inner", F.octet_length("sketch") + 32)
-        rows = join_narrow(both, known, ["key"], "left", 16).withColumn("root", F.coalesce("root", "key"))
+        # Joined by a shuffle on the key: rows of one key lie together then, and their equal sketches pack well in the next one.
+        rows = join_narrow(dealt.join(sketches.hint("merge"), "key"), known, ["key"], "left", 16).withColumn("root", F.coalesce("root", "key"))
         return rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(run, schema)
 
     def roots(self) -> DataFrame:
@@ -502,13 +513,9 @@ class Join:
         block = "sig bigint, u int, v int, own int, key bigint"
         rows = write_through(self.met(self.dealt(rooted), self.firsts.select("key", "n", "sketch"), known, _with_partner, block))
         fine = write_through(_fine(self.texts(rows.select("key").distinct())))
-        while True:
-            near = write_through(self.met(rows, fine, known, _closest, "a bigint, b bigint").distinct())
-            found = write_through(self.similar(near))
-            if found.isEmpty():
-                break
-            links = links.unionByName(found)
-            known = grouped(links)
+        near = write_through(self.met(rows, fine, known, _closest, "a bigint, b bigint").distinct())
+        links = links.unionByName(write_through(self.similar(near)))
+        known = grouped(links)
         left = write_through(self.met(rows, fine, known, _allowed, "a bigint, b bigint").distinct())
         return self.compared(left.join(near, ["a", "b"], "left_anti"), links, known, grouped)
 
