@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from verdictlake.llm import ngram_join
 from verdictlake.scale import write_through
 
-CLASHING = ("key", "n", "sketch", "first", "root", "lead", "sig", "_id", "_t", "_text", "_head", "_salt", "_parts")
+CLASHING = ("_rid", "key", "n", "sketch", "first", "root", "lead", "sig", "_id", "_t", "_text", "_head", "_salt", "_parts")
 
 
 def shingles(text):

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.llm.rows import RID, identified, join_narrow, lowered, table
+from verdictlake.llm.rows import RID, identified, join_narrow, lowered, own_names, table
 from verdictlake.scale import write_through
 
 PREFIX = 256
@@ -43,6 +43,7 @@ def copy_groups(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         RID, F.col("_top._id").alias("keep_id"), "group_size", (F.col(f"_top.{RID}") == F.col(RID)).alias("kept"))
 
 
+@own_names
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with their columns; see `copy_groups` for the rules."""
     rows = identified(docs)

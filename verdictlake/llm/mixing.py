@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdictlake.llm.rows import RID, identified, table, word_count
+from verdictlake.llm.rows import RID, identified, own_names, table, word_count
 from verdictlake.scale import number_globally, write_through
 
 UNIT = 1_000_000_000
@@ -97,6 +97,7 @@ def mix(rows: DataFrame, seed: str = "mix", weights: Sequence[int] = WEIGHTS, sh
         RID, "doc_id", "size", "source_size", "target", "copies")
 
 
+@own_names
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """Rows of `docs`, each as many times as the mix takes it, with the columns of `docs`."""
     rows = identified(docs)

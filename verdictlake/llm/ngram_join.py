@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verdictlake.llm.components import components
-from verdictlake.llm.rows import RID, identified, join_narrow, split_words, table
+from verdictlake.llm.rows import RID, identified, join_narrow, split_words, table, without_own_names
 from verdictlake.scale import write_through
 
 SHINGLE = 5
@@ -535,7 +535,7 @@ class Join:
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, DataFrame]:
-    """`identified` docs, and per row (_rid, n, id): its set's size and the smallest id its links reach.
+    """`identified` docs (but for columns named with a leading underscore), and per row (_rid, n, id): its set's size and the smallest id its links reach.
 
     Rows link when their sets of distinct five-word shingles (A-Z lower-cased; fewer words are
     one shingle) have a Jaccard similarity of 0.8 or more; rows of equal sets are linked, so
@@ -544,7 +544,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     the two are not read, so they may have any name. An empty table gives no rows. Shingles and
     sets are compared by 64-bit hashes.
     """
-    rows = identified(docs)
+    rows = identified(without_own_names(docs))
     run = Join(rows, id_col, text_col, **options)
     first = F.struct("first.late", "first.id").alias("first")
     settled = write_through(run.firsts.join(run.roots(), "key", "left").select("key", F.coalesce("root", "key").alias("root"), first))

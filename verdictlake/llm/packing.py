@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.llm.rows import split_words, table
+from verdictlake.llm.rows import split_words, table, without_own_names
 from verdictlake.scale import position_in_group, write_through
 
 WINDOW = 2048
@@ -259,7 +259,7 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def packed_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Tokenize, cut and pack whole documents; an empty table packs to nothing."""
-    return pack(pieces(docs, path or vocabulary()))
+    return pack(pieces(without_own_names(docs), path or vocabulary()))
 
 
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:

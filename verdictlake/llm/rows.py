@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,39 @@ BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table without columns whose names begin with an underscore: those names are the operators' own."""
+    return without_own_names(spark.read.parquet(f"{folder}/{name}.parquet"))
+
+
+def without_own_names(df: DataFrame) -> DataFrame:
+    taken = [c for c in df.columns if c.startswith("_")]
+    return df.drop(*taken) if taken else df
+
+
+def own_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let an operator that gives back the columns of its first table use names with a leading underscore.
+
+    The caller's columns of such names have others meanwhile and get theirs back.
+    """
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        aside = {}
+        for c in docs.columns:
+            if c.startswith("_"):
+                name = f"caller{c}"
+                while name in docs.columns or name in aside.values():
+                    name = f"caller_{name}"
+                aside[c] = name
+
+        def moved(value):
+            return aside.get(value, value) if isinstance(value, str) else value
+
+        if not aside:
+            return operator(docs, *args, **options)
+        out = operator(docs.withColumnsRenamed(aside), *map(moved, args), **{k: moved(v) for k, v in options.items()})
+        return out.withColumnsRenamed({v: k for k, v in aside.items()})
+
+    return run
 
 
 def identified(df: DataFrame) -> DataFrame:

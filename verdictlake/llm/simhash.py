@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictlake.llm.components import components
-from verdictlake.llm.rows import RID, identified, join_narrow, table
+from verdictlake.llm.rows import RID, identified, join_narrow, own_names, table
 from verdictlake.scale import write_through
 
 BUDGET = 3
@@ -223,6 +223,7 @@ def near_groups(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked, rooted.join(heads, "root").select("fp", "head")
 
 
+@own_names
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of `docs` without all but the first of each near-duplicate group; see `near_groups`."""
     rows = identified(docs)

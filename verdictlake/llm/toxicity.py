@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.llm.rows import table
+from verdictlake.llm.rows import own_names, table
 from verdictlake.scale import write_through
 
 SAMPLE = 1500
@@ -192,6 +192,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     return source.mapInArrow(run, schema)
 
 
+@own_names
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of `docs` that score below one half, with their columns."""
     model = fit(docs, labels, text_col=text_col)
