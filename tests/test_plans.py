@@ -57,3 +57,9 @@ def test_scores_shuffle_rows_only_after_partial_aggregation(spark):
     text = plan(M.score_conversations(convs, i.judgments()))
     below = [line for line in text.splitlines() if "Exchange" in line or "partial_" in line]
     assert sum("Exchange hashpartitioning" in line for line in below) == 2 and any("partial_count" in line for line in below)
+
+
+@pytest.mark.parametrize("name", ["fetch_plan", "fetched_with_snippets", "resolved_refs"])
+def test_hits_of_a_claim_are_shuffled_once(spark, name):
+    text = plan(catalog.QUERIES[name](spark, FOLDER))
+    assert sum("Exchange hashpartitioning(claim_id" in line for line in text.splitlines()) == 1

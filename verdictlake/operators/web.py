@@ -13,7 +13,7 @@ from verdictlake.functions import html as H
 from verdictlake.functions import urls as U
 from verdictlake.functions.labels import BLANKS, text
 from verdictlake.operators.turns import MIN_PAGE_CHARS
-from verdictlake.scale import evaluate_once, first_n_by, latest_per_key
+from verdictlake.scale import evaluate_once, first_n_by
 
 # How much is fetched for one claim.
 MAX_URLS = 2
@@ -161,16 +161,44 @@ def render_hits(df: DataFrame, indexed: bool = False) -> DataFrame:
                                  lambda s: s["rendered"]), "\n\n").alias("search_text"))
 
 
-def attach_snippets(urls: DataFrame, hits: DataFrame) -> DataFrame:
-    """Title and snippet of each URL to fetch; of repeated links the last hit counts, unknown ones get blanks.
+REF = r"^\[?(\d+)\.(\d+)\]?"
 
-    Both tables carry claim_id; `hits` one row per organic result with step, item, link.
+
+def claim_layout(hits: DataFrame, refs: DataFrame | None = None, claims: DataFrame | None = None) -> DataFrame:
+    """One row per claim: its hits by (step, item), its references by place, its claimed URL.
+
+    The three tables meet in one shuffle on the claim. A claim's rows are a few steps of some
+    ten results and a planner's list, so they are held together; plans, references and
+    descriptions are then array functions of the row.
     """
-    last = latest_per_key(
-        hits.filter(text("link") != "").select("claim_id", F.col("link").alias("url"), "title", "snippet", "step", "item"),
-        ["claim_id", "url"], ["step", "item"]).drop("step", "item")
-    return urls.join(last, ["claim_id", "url"], "left").withColumns(
-        {"title": F.coalesce("title", F.lit("")), "snippet": F.coalesce("snippet", F.lit(""))})
+    hit = F.struct("step", "item", text("link").alias("link"), *[(text(c) if c in hits.columns else F.lit("")).alias(c) for c in ("title", "snippet")],
+                   (F.coalesce("position", F.lit(999)) if "position" in hits.columns else F.lit(999)).cast("bigint").alias("position"))
+    parts = [hits.select("claim_id", hit.alias("_hit"))]
+    if refs is not None:
+        parts.append(refs.select("claim_id", F.struct(F.col("pos").cast("bigint").alias("pos"), F.btrim("ref", F.lit(BLANKS)).alias("ref")).alias("_ref")))
+    if claims is not None:
+        parts.append(claims.select("claim_id", F.btrim(text("claimed_url"), F.lit(BLANKS)).alias("_url")))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+
+    def gathered(column: str, empty: str):
+        return F.sort_array(F.collect_list(column)) if column in rows.columns else F.array().cast(empty)
+
+    return rows.groupBy("claim_id").agg(
+        gathered("_hit", "array<string>").alias("hits"), gathered("_ref", "array<struct<pos: bigint, ref: string>>").alias("refs"),
+        (F.max("_url") if "_url" in rows.columns else F.lit(None).cast("string")).alias("claimed_url"))
+
+
+def _resolved(refs: Column, hits: Column) -> Column:
+    """(pos, url) of the references that name a hit, are a known link or start with http."""
+    def url(r: Column) -> Column:
+        step, item = (F.regexp_extract(r["ref"], REF, k).try_cast("bigint") for k in (1, 2))
+        at = F.get(F.filter(hits, lambda h: (h["step"] == step) & (h["item"] == item) & (h["link"] != "")), F.lit(0))["link"]
+        known = F.exists(hits, lambda h: (h["link"] != "") & (h["link"] == r["ref"]))
+        return F.struct(r["pos"].alias("pos"), F.coalesce(at, F.when(known | r["ref"].startswith("http"), r["ref"])).alias("url"))
+
+    return F.filter(F.transform(refs, url), lambda p: p["url"].isNotNull())
 
 
 def resolve_refs(refs: DataFrame, hits: DataFrame) -> DataFrame:
@@ -178,33 +206,32 @@ def resolve_refs(refs: DataFrame, hits: DataFrame) -> DataFrame:
 
     `refs` carries claim_id, pos, ref.
     """
-    pattern = r"^\[?(\d+)\.(\d+)\]?"
-    trimmed = F.btrim("ref", F.lit(BLANKS))
-    asked = refs.withColumn("ref", trimmed).withColumns({
-        "step": F.expr(f"try_cast(regexp_extract(ref, r'{pattern}', 1) AS BIGINT)"),
-        "item": F.expr(f"try_cast(regexp_extract(ref, r'{pattern}', 2) AS BIGINT)")})
-    indexed = hits.filter(text("link") != "").select("claim_id", "step", "item", F.col("link").alias("_at"))
-    # References that start with http are kept anyway; only other known links need the lookup.
-    odd = (text("link") != "") & ~F.col("link").startswith("http")
-    known = hits.filter(odd).select("claim_id", F.col("link").alias("ref")).distinct().withColumn("_known", F.lit(True))
-    joined = asked.join(indexed, ["claim_id", "step", "item"], "left").join(known, ["claim_id", "ref"], "left")
-    literal = F.when(F.coalesce("_known", F.lit(False)) | F.col("ref").startswith("http"), F.col("ref"))
-    return joined.withColumn("url", F.coalesce("_at", literal)).filter("url IS NOT NULL").select("claim_id", "pos", "url")
-
-
-def fetch_plan(claims: DataFrame, hits: DataFrame, picks: DataFrame, max_urls: int = MAX_URLS) -> DataFrame:
-    """Pages to fetch per claim: the claimed URL, then the planner's picks, then organic hits by position; no PDFs."""
-    stripped = F.btrim(text("claimed_url"), F.lit(BLANKS))
-    direct = claims.filter(U.is_web_url(stripped)).select(
-        "claim_id", stripped.alias("url"), F.lit(1).alias("tier"), F.lit(0).cast("bigint").alias("a"),
-        F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("c"))
-    picked = picks.select("claim_id", "url", F.lit(2).alias("tier"), F.col("pos").cast("bigint").alias("a"),
-                          F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("c"))
-    organic = hits.filter(text("link") != "").select(
-        "claim_id", F.col("link").alias("url"), F.lit(3).alias("tier"),
-        F.coalesce("position", F.lit(999)).cast("bigint").alias("a"), F.col("step").alias("b"), F.col("item").alias("c"))
-    every = direct.unionByName(picked).unionByName(organic).filter(~U.is_pdf_url_simple("url"))
-    return _first_urls(every, max_urls)
+    layout = claim_layout(hits, refs)
+    found = layout.select("claim_id", F.explode(_resolved(F.col("refs"), F.col("hits"))).alias("p"))
+    return found.select("claim_id", F.col("p.pos").cast(dict(refs.dtypes)["pos"]).alias("pos"), "p.url")
+
+
+def fetch_plan(layout: DataFrame, max_urls: int = MAX_URLS) -> DataFrame:
+    """Pages to fetch per claim of a `claim_layout`: the claimed URL, then the planner's picks, then organic hits by position; no PDFs.
+
+    With each URL its tier, and title and snippet of the last hit that links it (blank if none does).
+    """
+    hits, zero = F.col("hits"), F.lit(0).cast("bigint")
+
+    def row(tier: int, url: Column, a: Column, b: Column, c: Column) -> Column:
+        return F.struct(F.lit(tier).alias("tier"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), c.cast("bigint").alias("c"), url.alias("url"))
+
+    direct = F.filter(F.array(row(1, F.col("claimed_url"), zero, zero, zero)), lambda r: U.is_web_url(r["url"]))
+    picked = F.transform(_resolved(F.col("refs"), hits), lambda p: row(2, p["url"], p["pos"], zero, zero))
+    organic = F.transform(F.filter(hits, lambda h: h["link"] != ""), lambda h: row(3, h["link"], h["position"], h["step"], h["item"]))
+    every = F.sort_array(F.filter(F.concat(direct, picked, organic), lambda r: ~U.is_pdf_url_simple(r["url"])))
+    urls = F.transform("_every", lambda r: r["url"])
+    first = F.filter("_every", lambda r, k: F.array_position(urls, r["url"]) == k + 1)
+    held = evaluate_once(layout, "_every", every)
+    planned = held.select("claim_id", "hits", F.explode(F.slice(first, 1, max_urls)).alias("r"))
+    last = F.get(F.reverse(F.filter(hits, lambda h: h["link"] == F.col("r.url"))), F.lit(0))
+    return planned.select("claim_id", "r.url", F.col("r.tier").cast("bigint").alias("tier"),
+                          F.coalesce(last["title"], F.lit("")).alias("title"), F.coalesce(last["snippet"], F.lit("")).alias("snippet"))
 
 
 def pdf_plan(claims: DataFrame, hits: DataFrame, page_links: DataFrame, max_pdfs: int = MAX_PDFS) -> DataFrame:

@@ -152,11 +152,10 @@ def rendered_hits_plain(i: Inputs):
     return W.render_hits(_result_sets(i))
 
 
-def _picks(i: Inputs):
-    refs = i.claims().select("claim_id", F.posexplode(F.expr(
+def _refs(i: Inputs):
+    return i.claims().select("claim_id", F.posexplode(F.expr(
         "array(concat('[', CAST(1 + h % 3 AS STRING), '.', CAST(1 + h % 4 AS STRING), ']'), ' 1.2 ', concat('https://ex.org/', CAST(h % 43 AS STRING)), 'see page')"
     )).alias("pos", "ref"))
-    return W.resolve_refs(refs, i.hits())
 
 
 PICKS_SQL = """, rf AS (SELECT claim_id, 0 AS pos, 1 + h % 3 AS step, 1 + h % 4 AS item, NULL AS lit FROM claims_fx
@@ -167,7 +166,7 @@ pk AS (SELECT rf.claim_id, rf.pos, coalesce(x.link, rf.lit) AS url FROM rf LEFT
 
 @query("resolved_refs", "D13", with_views("hits_fx", PICKS_SQL + " SELECT * FROM pk"))
 def resolved_refs(i: Inputs):
-    return _picks(i)
+    return W.resolve_refs(_refs(i), i.hits())
 
 
 FETCH_SQL = PICKS_SQL + """, ev AS (SELECT claim_id, claimed_url AS url, 1 AS tier, 0 AS a, 0 AS b, 0 AS c FROM payload_fx WHERE claimed_url LIKE 'https://%'
@@ -178,7 +177,7 @@ fp AS (SELECT claim_id, url, CAST(best[1] AS BIGINT) AS tier FROM (SELECT *, row
 
 @query("fetch_plan", "F12", with_views("hits_fx payload_fx", FETCH_SQL + " SELECT * FROM fp"))
 def fetch_plan(i: Inputs):
-    return W.fetch_plan(i.payload(), i.hits(), _picks(i))
+    return W.fetch_plan(W.claim_layout(i.hits(), _refs(i), i.payload())).select("claim_id", "url", "tier")
 
 
 @query("pdf_plan", "F12", with_views("hits_fx payload_fx", """
@@ -196,11 +195,10 @@ def pdf_plan(i: Inputs):
 , ls AS (SELECT claim_id, link AS url, arg_max(title, (step, item)) AS title, arg_max(snippet, (step, item)) AS snippet FROM hits_fx GROUP BY 1, 2)
 SELECT claim_id, url, coalesce(title, '') AS title, coalesce(snippet, '') AS snippet FROM fp LEFT JOIN ls USING (claim_id, url)"""))
 def fetched_with_snippets(i: Inputs):
-    plan = W.fetch_plan(i.payload(), i.hits(), _picks(i)).select("claim_id", "url")
-    return W.attach_snippets(plan, i.hits())
+    return W.fetch_plan(W.claim_layout(i.hits(), _refs(i), i.payload())).select("claim_id", "url", "title", "snippet")
 
 
-@query("distinct_links", "F14", f"""
+@query("distinct_links", "F14", f"""WITH {SEGMENTS_SQL}
 SELECT 'first' AS keep, page_id, href, min(pos) AS pos FROM ({ANCHORS_SQL}) t GROUP BY 2, 3
 UNION ALL SELECT 'last', page_id, href, max(pos) FROM ({ANCHORS_SQL}) t GROUP BY 2, 3""")
 def distinct_links(i: Inputs):
