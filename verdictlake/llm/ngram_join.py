@@ -350,7 +350,7 @@ def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to WAYS pairs (a, b) for each row that has possible partners in its block: the closest of each of the closest roots."""
+    """(key, other, root, apart) for each row that has possible partners in its block: the closest set of each of the WAYS closest roots."""
     for table, group in _blocks(batches):
         key, root = table["key"].to_numpy(), table["root"].to_numpy()
         best = [np.zeros(0, np.int64)] * 3
@@ -374,9 +374,9 @@ def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += 2 * len(i)
             if size > 1 << 20:
                 best, held, size = reduced([np.concatenate(c) for c in zip(best, *held)]), [], 0
-        i, j, _ = reduced([np.concatenate(c) for c in zip(best, *held)])
+        i, j, apart = reduced([np.concatenate(c) for c in zip(best, *held)])
         if len(i):
-            yield _pairs(key[i], key[j])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[i], key[j], root[j], apart)], names=["key", "other", "root", "apart"])
 
 
 def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,7 +513,11 @@ class Join:
         block = "sig bigint, u int, v int, own int, key bigint"
         rows = write_through(self.met(self.dealt(rooted), self.firsts.select("key", "n", "sketch"), known, _with_partner, block))
         fine = write_through(_fine(self.texts(rows.select("key").distinct())))
-        near = write_through(self.met(rows, fine, known, _closest, "a bigint, b bigint").distinct())
+        # A set is compared with a few others in all, however many signatures it shares: the closest of each of its closest components.
+        met = self.met(rows, fine, known, _closest, "key bigint, other bigint, root bigint, apart bigint")
+        lead = met.groupBy("key", "root").agg(F.min(F.struct("apart", "other")).alias("near"))
+        ranked = lead.withColumn("way", F.row_number().over(Window.partitionBy("key").orderBy("near"))).filter(F.col("way") <= WAYS)
+        near = write_through(ranked.select(F.least("key", "near.other").alias("a"), F.greatest("key", "near.other").alias("b")).distinct())
         links = links.unionByName(write_through(self.similar(near)))
         known = grouped(links)
         left = write_through(self.met(rows, fine, known, _allowed, "a bigint, b bigint").distinct())
