@@ -1,12 +1,19 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Every such pair is found or connected through others. Under any common order of shingles, two
+SimHash finds them first: sets whose 64-bit fingerprints meet in the trie self-join of `simhash`
+are candidates and are compared exactly, set against set. Fingerprints of such documents may
+differ in more bits than any trie join of 64 bits can afford, so an exact way follows for the rest,
+and every pair is found or connected through others. Under any common order of shingles, two
 sets of that similarity share one of their first n - ceil(0.8 n) + 1 shingles (their prefixes);
 rare shingles come first, by a count over hashed cells of bounded number, so common passages
-are seldom in a prefix. Documents meet by the shingles of their prefixes and are compared
-exactly, set against set. First each shingle links its documents to one of them, drawn anew
-for each shingle, which connects large groups at a cost that follows their size; then all
-pairs of documents that share a prefix shingle and are not connected yet are compared.
+are seldom in a prefix. Documents not connected yet meet by the shingles of their prefixes. First
+each shingle links its documents to one of them, drawn anew for each shingle, which connects large
+groups at a cost that follows their size; then all pairs of documents that share a prefix shingle
+and are not connected yet are compared.
+
+Before whole sets are fetched for a comparison, pairs go whose sketches already rule it out: a
+sketch counts a set's hashes by their lowest bits, and the differences of two sketches never add
+up to more than the sets differ by.
 """
 
 from __future__ import annotations
@@ -20,12 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdictlake.llm import simhash
 from verdictlake.llm.components import components
 from verdictlake.llm.rows import RID, identified, join_narrow, own_names
 from verdictlake.scale import write_through
 
 SHINGLE = 5
 CELLS = 1 << 18
+#: Cells of a sketch: a power of two of about a quarter of the set's size, within these bounds.
+SKETCH = (16, 1024)
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -50,16 +60,39 @@ def _key(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), 7)
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Hashes per cell of their lowest bits, counts cut at 255."""
+    size = SKETCH[0]
+    while size < min(len(found) // 4, SKETCH[1]):
+        size *= 2
+    return np.minimum(np.bincount((found % np.uint64(size)).astype(np.int64), minlength=size), 255).astype(np.uint8)
+
+
+def may_be_similar(x: bytes, y: bytes, n: int, m: int) -> bool:
+    """Whether the sketches of sets of n and m hashes allow the similarity; the finer one is folded, so cut counts bound less, never more."""
+    p, q = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (x, y))
+    size = min(len(p), len(q))
+    p, q = (np.minimum(s.reshape(-1, size).sum(0), 255) for s in (p, q))
+    # Similar sets differ in at most a ninth of both sizes.
+    return 9 * int(np.abs(p - q).sum()) <= n + m
+
+
 def keyed(rows: DataFrame, text_col: str) -> DataFrame:
-    """(_rid, _id, key): rows of equal shingle sets have equal keys."""
+    """(_rid, _id, key, fp, n, sketch): rows of equal shingle sets have equal keys; the set's fingerprint, size and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.fromiter((_key(shingle_set(t.as_py())) for t in batch.column("_text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(RID), batch.column("_id"), pa.array(keys.view(np.int64))], names=[RID, "_id", "key"])
+            sets = [shingle_set(t.as_py()) for t in batch.column("_text")]
+            keys, prints = (np.fromiter(map(f, sets), np.uint64, len(sets)) for f in (_key, simhash.fingerprint_of))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(RID), batch.column("_id"), pa.array(keys.view(np.int64)), pa.array(prints.view(np.int64)),
+                 pa.array([len(found) for found in sets], pa.int32()), pa.array([sketch(found).tobytes() for found in sets], pa.binary())],
+                names=[RID, "_id", "key", "fp", "n", "sketch"])
 
     source = _texts(rows, text_col).select(RID, "_id", "_text")
-    return source.mapInArrow(run, source.drop("_text").withColumn("key", F.lit(0).cast("bigint")).schema)
+    shape = source.drop("_text").select("*", *[F.lit(None).cast(t).alias(c) for c, t in (
+        ("key", "bigint"), ("fp", "bigint"), ("n", "int"), ("sketch", "binary"))]).schema
+    return source.mapInArrow(run, shape)
 
 
 def cell_counts(rows: DataFrame, text_col: str) -> np.ndarray:
@@ -149,9 +182,33 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), key[k])), pa.array(other)], names=["a", "b"])
 
 
+def fingerprint_pairs(firsts: DataFrame) -> DataFrame:
+    """(a, b) of keys: sets whose fingerprints meet in the trie join, each with the first of its fingerprint or sub-trie."""
+    prints = firsts.groupBy("first.fp").agg(F.min("key").alias("lead"))
+    equal = firsts.select("key", F.col("first.fp").alias("fp")).join(prints, "fp").select("key", "lead")
+    links = simhash.links(prints.select("fp"))
+    near = links.join(prints.select(F.col("fp").alias("a"), F.col("lead").alias("key")), "a").join(prints.select(F.col("fp").alias("b"), "lead"), "b")
+    both = equal.unionByName(near.select("key", "lead")).filter("key <> lead")
+    return both.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"))
+
+
+def allowed(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of keys whose sizes and sketches allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n, m = (batch.column(c).to_pylist() for c in ("x", "y", "n", "m"))
+            kept = pa.array([may_be_similar(*four) for four in zip(x, y, n, m)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
+
+    sides = [firsts.select(F.col("key").alias(k), F.col("first.n").alias(n), F.col("first.sketch").alias(s)) for k, n, s in (("a", "n", "x"), ("b", "m", "y"))]
+    both = pairs.distinct().join(sides[0], "a").join(sides[1], "b")
+    return both.select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a bigint, b bigint")
+
+
 def similar(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
     """The distinct pairs (a, b) of keys whose shingle sets have a similarity of 0.8 or more."""
-    pairs = write_through(pairs.distinct())
+    pairs = write_through(allowed(pairs, firsts))
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     asked = write_through(firsts.join(keys, "key").select("key", F.col("first.rid").alias(RID)))
 
@@ -178,13 +235,19 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = identified(docs)
     source = rows.select(RID, F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     marked = write_through(keyed(source, "_t"))
-    order = F.struct(F.col("_id").isNull().alias("late"), F.col("_id").alias("id"), F.col(RID).alias("rid"))
+    order = F.struct(F.col("_id").isNull().alias("late"), F.col("_id").alias("id"), F.col(RID).alias("rid"), "fp", "n", "sketch")
     firsts = write_through(marked.groupBy("key").agg(F.min(order).alias("first")))
+    met = write_through(similar(fingerprint_pairs(firsts), firsts, source, "_t"))
     shared = write_through(prefixes(source, cell_counts(source, "_t"), "_t").repartition("h").mapInArrow(
         _shared, "h bigint, key bigint, n int, lead bigint, lead_n int"))
     fits = 5 * F.least("n", "lead_n").cast("bigint") >= 4 * F.greatest("n", "lead_n").cast("bigint")
     led = shared.filter((F.col("key") != F.col("lead")) & fits).select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"))
-    links = write_through(similar(led, firsts, source, "_t"))
+    grouped = write_through(components(met))
+    apart = led.distinct()
+    for side in ("a", "b"):
+        apart = join_narrow(apart, grouped.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), [side], "left", 16)
+    led = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    links = write_through(met.unionByName(similar(led, firsts, source, "_t")))
     known = write_through(components(links).select(F.col("node").alias("key"), "root"))
     rooted = join_narrow(shared.select("h", "key", "n"), known, ["key"], "left", 16).select("h", "key", "n", F.coalesce("root", "key").alias("root"))
     pairs = rooted.repartition("h").mapInArrow(_open_pairs, "a bigint, b bigint")

@@ -39,7 +39,11 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
         shingles: Iterator[bytes] = iter([b" ".join(words)])
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(size))))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
+    return fingerprint_of(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Bits set in over half the hashes; 0 for none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at:at + (1 << 14)].view(np.uint8).reshape(-1, 8)
