@@ -1,9 +1,9 @@
 """Language-model scores of whole documents by a gated recurrent network over corpus counts.
 
 Word counts, vocabulary size and the counts of each ending class cover all training
-documents. The network starts on a bounded sample (`WARM` documents of at most `FIT_CHARS`
-characters), then every partition trains on each `STRIDE`-th training document it holds, and
-the weights are averaged by tokens, so what it learns from grows with the corpus. Scoring
+documents. The network's first weights come from a bounded set (`WARM` documents of at most
+`FIT_CHARS` characters); then every partition trains on all training documents it holds, in
+runs of bounded bytes, and the weights are averaged by tokens. Scoring
 reads whole texts, block by block: a block is a run of rows of bounded bytes and gets just
 the counts of the words it holds, joined by word, so no vocabulary is broadcast.
 """
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ from verdictlake.llm.rows import RID, identified, split_words, table
 from verdictlake.scale import write_through
 
 HEAD_WORDS, CLASSES, ENDINGS, HIDDEN = 1500, 32, 64, 24
-WARM, FIT_CHARS, STRIDE = 1500, 20_000, 16
+WARM, FIT_CHARS = 1500, 20_000
+LANES, TRAIN_BYTES = 256, 4 << 20
 RATES = (0.1, 0.05)
 BLOCK_BYTES = 12 << 20
 ALPHA = 0.1
@@ -97,14 +99,25 @@ class Model:
         return [np.append(flat[a:b], np.int32(END)) for a, b in zip(offsets, offsets[1:])]
 
 
+def runs_of(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """The texts in runs of about `most` bytes, each text whole."""
+    run = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+    edges = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(run)]])
+    for begin, end in zip(edges, edges[1:]):
+        if end > begin:
+            yield texts.slice(begin, end - begin)
+
+
 def _averaged(model: Model, sums: dict, texts: DataFrame) -> np.ndarray:
     """One pass over `texts` in every partition from the model's weights; the mean weights by tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        documents = [d for batch in batches for d in model.encode(batch.column("text"))]
-        net = model.network()
+        net, tokens = model.network(), 0
         net.sums = {k: v.copy() for k, v in sums.items()}
-        tokens = net.train(documents, RATES[-1], width=32)
+        for batch in batches:
+            for part in runs_of(batch.column("text"), TRAIN_BYTES):
+                # Several documents a lane: a run whose lanes end far apart would close on its longest texts alone.
+                tokens += net.train(model.encode(part), RATES[-1], width=max(1, min(LANES, len(part) // 8)))
         if not tokens:
             return
         flat = net.flat()
@@ -150,8 +163,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
         for rate in RATES:
             net.train(encoded, rate, width=32)
         model.weights = net.flat()
-    every = training.filter(F.conv(F.substring(_order("_id", "round"), 1, 8), 16, 10).cast("bigint") % STRIDE == 0)
-    model.weights = _averaged(model, net.sums, every.select("text"))
+    model.weights = _averaged(model, net.sums, training.select("text"))
     return model, counts
 
 
