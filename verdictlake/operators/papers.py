@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdictlake.functions.claims import ELEMENT_TYPES
 from verdictlake.operators.turns import MIN_ABSTRACT_CHARS
+from verdictlake.scale import evaluate_once
 
 
 def filter_papers(
@@ -42,6 +43,31 @@ def clean_authors(names: Column | str) -> Column:
     return F.array_distinct(F.filter(column, lambda n: n.isNotNull() & (n != "")))
 
 
+def word_positions(df: DataFrame, texts: str, out: str) -> DataFrame:
+    """`df` plus `out`, the inverted index (word to positions) of the array of texts; rows without words go.
+
+    Words are sorted inside the row and cut where they change, so no word becomes a row of its own.
+    """
+    def placed(body: Column) -> Column:
+        words = F.filter(F.split(body, r"\s+"), lambda w: w != "")
+        return F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p")))
+
+    ordered = evaluate_once(df, "_placed", F.array_sort(F.flatten(F.transform(texts, placed)))).filter(F.size("_placed") > 0)
+
+    def at(k: Column) -> Column:
+        return F.get(F.col("_placed"), k)
+
+    places = F.sequence(F.lit(0), F.size("_placed") - 1)
+    begins = F.filter(places, lambda k: (k == 0) | (at(k)["w"] != at(k - 1)["w"]))
+    cut = evaluate_once(ordered, "_begins", begins)
+
+    def entry(begin: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(F.col("_begins"), k + 1), F.size("_placed"))
+        return F.struct(at(begin)["w"].alias("w"), F.transform(F.sequence(begin, end - 1), lambda p: at(p)["p"]).alias("ps"))
+
+    return cut.select(*df.columns, F.map_from_entries(F.transform("_begins", entry)).alias(out))
+
+
 def rebuild_abstract(index: Column | str) -> Column:
     """Text of an inverted index (word to positions), words in position order."""
     placed = F.flatten(F.transform(
