@@ -331,6 +331,17 @@ def test_toxicity_learns_and_keeps_clean(spark):
     assert all((got[k] >= 0.5) == (k % 3 == 0) for k in range(300)) and got[400] == got[401] < 0.5
 
 
+def test_toxicity_learns_a_stem_with_rare_endings(spark):
+    rng = np.random.default_rng(7)
+    word = lambda n: "".join(rng.choice(list("aeionrstäö"), n))
+    clean = [word(6) for _ in range(400)]
+    text = lambda bad: " ".join(f"vilespeak{word(4)}" if bad and k % 9 == 4 else str(rng.choice(clean)) for k in range(60))
+    frame = spark.createDataFrame([(k, text(k % 3 == 0)) for k in range(300)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(300)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame, toxicity.fit(frame, labels)).collect()}
+    assert all((got[k] >= 0.5) == (k % 3 == 0) for k in range(300))
+
+
 def test_toxicity_odd_rows(odd_docs, no_docs, spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     out = toxicity.drop_toxic(odd_docs, none)

@@ -1,7 +1,7 @@
 """Toxicity by compression distance: two zstandard dictionaries, window lengths, calibrated thresholds.
 
 Both dictionaries share content trained on windows of ordinary text. The toxic one adds, in
-front, the forms that toxic texts hold far more often than ordinary ones. A window of a few
+front, the words and parts of words that toxic texts hold far more often than ordinary ones. A window of a few
 words is compressed with each; it is marked when the toxic dictionary saves at least a
 calibrated number of bytes. Bytes are written as fixed pairs of random bytes before
 compression: a literal then costs two bytes and a match little, so lengths show coverage.
@@ -30,8 +30,10 @@ from verdictlake.scale import write_through
 SAMPLE = 1500
 FIT_CHARS = 20_000
 WINDOW = 4
-SHARED_BYTES = 4096
+SHARED_BYTES = 12_288
 TOXIC_BYTES = 4096
+#: Bytes of the grams that telling parts of words are found by.
+GRAMS = (5, 6)
 THRESHOLDS = (2, 3, 4, 5, 6, 7, 8, 10, 12)
 _PAIRS = np.random.default_rng(42).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -56,7 +58,7 @@ def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        window_log=14, hash_log=12, chain_log=12, search_log=3, min_match=5, target_length=32,
+        window_log=15, hash_log=14, chain_log=14, search_log=5, min_match=5, target_length=32,
         strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=params)
@@ -113,18 +115,59 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return w, float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / weight.sum())
 
 
-def _toxic_forms(toxic: list[bytes], ordinary: list[bytes], least: float = 6.0, texts: int = 3) -> list[bytes]:
-    """Words in far more toxic texts than ordinary ones, the most telling last."""
-    with_toxic, with_ordinary = (Counter(w for t in group for w in set(t.lower().split())) for group in (toxic, ordinary))
-    scored = []
+def _grams(text: bytes) -> tuple[bytes, list[tuple[np.ndarray, np.ndarray, int]]]:
+    """The text's words with single spaces around, and per size of gram: hashes, begins, size; a gram lies in a word and the space at either side."""
+    words = b" " + b" ".join(text.lower().split()) + b" "
+    data = np.frombuffer(words, np.uint8)
+    blanks = np.concatenate([[0], np.cumsum(data == 32)])
+    found = []
+    for size in GRAMS:
+        n = max(0, len(data) - size + 1)
+        code = np.full(n, size, np.uint64)
+        for k in range(size):
+            code = code * np.uint64(0x100000001B3) + data[k:k + n]
+        inner = np.flatnonzero(blanks[size - 1:size - 1 + n] == blanks[1:1 + n])
+        found.append((code[inner], inner, size))
+    return words, found
+
+
+def _telling(toxic: list[bytes], ordinary: list[bytes], least: float, lift: float, texts: int) -> np.ndarray:
+    """Hashes of the grams that far more toxic texts hold than ordinary ones, rising."""
+    (codes, a), (other, n) = (np.unique(np.concatenate([np.zeros(0, np.uint64), *(
+        np.unique(np.concatenate([c for c, _, _ in _grams(t)[1]])) for t in group)]), return_counts=True) for group in (toxic, ordinary))
+    b = np.zeros(len(codes))
+    _, at, of = np.intersect1d(codes, other, assume_unique=True, return_indices=True)
+    b[at] = n[of]
     n1, n0 = max(1, len(toxic)), max(1, len(ordinary))
-    for word, a in with_toxic.items():
-        b = with_ordinary[word]
-        p = (a + b) / (n1 + n0)
-        z = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
-        if a >= texts and z >= least:
-            scored.append((z, word))
-    return [word for _, word in sorted(scored)]
+    p = (a + b) / (n1 + n0)
+    z = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
+    return codes[(a >= texts) & (z >= least) & (a / n1 >= lift * b / n0)]
+
+
+def _toxic_forms(toxic: list[bytes], ordinary: list[bytes], least: float = 6.0, lift: float = 5.0, texts: int = 3) -> list[bytes]:
+    """Words and parts of words that telling grams cover, the most frequent last; none holds another.
+
+    Parts matter where a telling stem has many endings, each of them rare.
+    """
+    codes, held = _telling(toxic, ordinary, least, lift, texts), Counter()
+    for text in toxic:
+        words, found = _grams(text)
+        edge = np.zeros(len(words) + 1, np.int64)
+        for code, at, size in found:
+            at = at[np.isin(code, codes)]
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + size, -1)
+        bounds = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(edge)[:-1] > 0, [False]])))
+        parts = set()
+        for begin, end in zip(bounds[::2], bounds[1::2]):
+            pieces = words[begin:end].split(b" ")
+            parts.update(b" " * (k > 0) + x + b" " * (k < len(pieces) - 1) for k, x in enumerate(pieces))
+        held.update(x for x in parts if len(x) >= min(GRAMS))
+    forms: list[bytes] = []
+    for form, n in sorted(held.items(), key=lambda x: (-x[1], x[0])):
+        if n >= texts and not any(form in kept or kept in form for kept in forms):
+            forms.append(form)
+    return forms[::-1]
 
 
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
@@ -135,7 +178,7 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byte
         shared = zstandard.train_dictionary(SHARED_BYTES, samples[::stride]).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself serves
         shared = b"".join(samples)[-SHARED_BYTES:] or spread(b" " * 8)
-    forms = spread(b" " + b" ".join(_toxic_forms(toxic, ordinary)) + b" ")[-TOXIC_BYTES:]
+    forms = spread(b"".join(_toxic_forms(toxic, ordinary)))[-TOXIC_BYTES:]
     return shared, forms + shared
 
 
