@@ -1,6 +1,7 @@
 """SimHash as the first finder of near copies, and sketches that never lose a similar pair."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from verdictlake.llm import near_copies, simhash
@@ -36,3 +37,23 @@ def test_near_copies_come_through_the_trie_join(spark, monkeypatch):
     monkeypatch.setattr(simhash, "links", lambda *a, **k: asked.append(1) or links(*a, **k))
     assert sorted(r["doc_id"] for r in near_copies.keep_one_of_each(frame).collect()) == [0, 9]
     assert asked
+
+
+def test_pairs_that_sketches_rule_out_are_no_rows():
+    """A shingle that many unlike sets share makes rows for its similar pairs alone, not for the square of its sets."""
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 1 << 63, size, dtype=np.uint64) for size in (*[100] * 150, *rng.integers(20, 400, 150))]
+    sets += [np.concatenate([found[:-2], rng.integers(0, 1 << 63, 2, dtype=np.uint64)]) for found in sets[::10]]
+    # The last two copies have the root of their originals: those pairs are settled already.
+    rows = [(h, key, len(found), 10 * (key - 300) if key >= 328 else key, near_copies.sketch(found).tobytes())
+            for h in (3, 8) for key, found in enumerate(sets)] + [(5, 1, 100, 1, near_copies.sketch(sets[1]).tobytes())]
+    table = pa.table(dict(zip(("h", "key", "n", "root", "sketch"), zip(*sorted(rows)))), schema=pa.schema(
+        [("h", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("root", pa.int64()), ("sketch", pa.binary())]))
+    want = {(a, b) for h, a, n, r, s in rows for g, b, m, q, t in rows
+            if h == g and a < b and r != q and 5 * min(n, m) >= 4 * max(n, m) and near_copies.may_be_similar(s, t, n, m)}
+    got = [p for batch in near_copies._open_pairs(iter(table.to_batches(max_chunksize=50))) for p in zip(*(c.to_pylist() for c in batch.columns))]
+    assert {tuple(sorted(p)) for p in got} == want and len(got) == 2 * len(want) and 28 <= len(want) < 100
+    bare = list(near_copies._open_rows(iter(table.drop_columns("sketch").to_batches())))
+    assert {h for batch in bare for h in batch.column("h").to_pylist()} == {3, 8} and sum(b.num_rows for b in bare) == 2 * len(sets)
+    cut = list(near_copies._runs(iter(table.to_batches(max_chunksize=50)), "h", 60))
+    assert pa.concat_tables(cut).equals(table) and len(cut) == 2

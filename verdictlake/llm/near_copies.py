@@ -8,8 +8,8 @@ sets of that similarity share one of their first n - ceil(0.8 n) + 1 shingles (t
 rare shingles come first, by a count over hashed cells of bounded number, so common passages
 are seldom in a prefix. Documents not connected yet meet by the shingles of their prefixes. First
 each shingle links its documents to one of them, drawn anew for each shingle, which connects large
-groups at a cost that follows their size; then all pairs of documents that share a prefix shingle
-and are not connected yet are compared.
+groups at a cost that follows their size; then all pairs of documents that share a prefix shingle,
+are not connected yet and may be similar by their sketches are compared.
 
 Before whole sets are fetched for a comparison, pairs go whose sketches already rule it out: a
 sketch counts a set's hashes by their lowest bits, and the differences of two sketches never add
@@ -36,6 +36,7 @@ SHINGLE = 5
 CELLS = 1 << 18
 #: Cells of a sketch: a power of two of about a quarter of the set's size, within these bounds.
 SKETCH = (16, 1024)
+CHUNK = 20_000
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -169,17 +170,74 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from whole.to_batches(max_chunksize=50_000)
 
 
+def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose h has keys of different roots; `root` is kept."""
+    columns, first, end = _buckets(batches, ("h", "key", "n", "root"))
+    if not len(first):
+        return
+    root, edges = columns[3], np.stack([first, end], 1).ravel()
+    # Each second segment is a bucket; the one past the last row is cut off.
+    low, high = (f.reduceat(np.append(root, root[-1]), edges)[::2] for f in (np.minimum, np.maximum))
+    some = low != high
+    size = (end - first)[some]
+    rows = np.repeat(first[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    whole = pa.table(dict(zip(("h", "key", "n", "root"), (c[rows] for c in columns))))
+    yield from whole.to_batches(max_chunksize=50_000)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: str, rows: int = CHUNK) -> Iterator[pa.Table]:
+    """A task's sorted rows in tables of some thousand rows that end where the column changes."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= rows:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            h = whole[column].to_numpy()
+            end = int(np.searchsorted(h, h[-1]))
+            if end:
+                yield whole.slice(0, end)
+            held, size = whole.slice(end).to_batches(), len(whole) - end
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of keys with one h, of different roots and of sizes that allow the similarity."""
-    (_, key, n, root), first, end = _buckets(batches, ("h", "key", "n", "root"))
-    for a, b in zip(first, end):
-        if (root[a:b] == root[a]).all():
-            continue
-        for k in range(a, b - 1):
-            fits = (root[k + 1:b] != root[k]) & (5 * np.minimum(n[k + 1:b], n[k]).astype(np.int64) >= 4 * np.maximum(n[k + 1:b], n[k]).astype(np.int64))
-            other = key[k + 1:b][fits]
-            if len(other):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), key[k])), pa.array(other)], names=["a", "b"])
+    """Pairs of keys with one h, of different roots, whose sizes and sketches allow the similarity; rows come ordered by h."""
+    for table in _runs(batches, "h"):
+        h, key, n, root = (table[c].to_numpy() for c in ("h", "key", "n", "root"))
+        n = n.astype(np.int64)
+        cells = table["sketch"].to_pylist()
+        long = np.fromiter(map(len, cells), np.int64, len(cells))
+        place, folds = np.zeros(len(cells), np.int64), {}
+        for size in np.unique(long).tolist():
+            at = np.flatnonzero(long == size)
+            place[at] = np.arange(len(at))
+            folds[size, size] = np.frombuffer(b"".join([cells[k] for k in at]), np.uint8).reshape(len(at), size).astype(np.int16)
+
+        def folded(size: int, to: int) -> np.ndarray:
+            if (size, to) not in folds:
+                folds[size, to] = np.minimum(folds[size, size].reshape(-1, size // to, to).sum(1), 255).astype(np.int16)
+            return folds[size, to]
+
+        rows = np.flatnonzero(h[1:] == h[:-1])
+        distance = 1
+        while len(rows):
+            other = rows + distance
+            fits = (root[rows] != root[other]) & (5 * np.minimum(n[rows], n[other]) >= 4 * np.maximum(n[rows], n[other]))
+            i, j = rows[fits], other[fits]
+            kept = np.zeros(len(i), bool)
+            for size, wide in set(zip(long[i].tolist(), long[j].tolist())):
+                to = min(size, wide)
+                for at in np.array_split(np.flatnonzero((long[i] == size) & (long[j] == wide)), 1 + len(i) // 4096):
+                    apart = np.abs(folded(size, to)[place[i[at]]] - folded(wide, to)[place[j[at]]]).sum(1, dtype=np.int64)
+                    kept[at] = 9 * apart <= n[i[at]] + n[j[at]]
+            if kept.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[i[kept]]), pa.array(key[j[kept]])], names=["a", "b"])
+            distance += 1
+            rows = rows[rows + distance < len(h)]
+            rows = rows[h[rows] == h[rows + distance]]
 
 
 def fingerprint_pairs(firsts: DataFrame) -> DataFrame:
@@ -250,7 +308,10 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = write_through(met.unionByName(similar(led, firsts, source, "_t")))
     known = write_through(components(links).select(F.col("node").alias("key"), "root"))
     rooted = join_narrow(shared.select("h", "key", "n"), known, ["key"], "left", 16).select("h", "key", "n", F.coalesce("root", "key").alias("root"))
-    pairs = rooted.repartition("h").mapInArrow(_open_pairs, "a bigint, b bigint")
+    # Only rows of shingles that several components share get their sketch, so pairs that it rules out are never rows.
+    opened = write_through(rooted.repartition("h").mapInArrow(_open_rows, "h bigint, key bigint, n int, root bigint"))
+    sketched = opened.join(firsts.select("key", F.col("first.sketch").alias("sketch")).hint("merge"), "key")
+    pairs = sketched.select("h", "key", "n", "root", "sketch").repartition("h").sortWithinPartitions("h").mapInArrow(_open_pairs, "a bigint, b bigint")
     grouped = components(links.unionByName(similar(pairs, firsts, source, "_t"))).select(F.col("node").alias("key"), "root")
     settled = write_through(firsts.join(grouped, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root")))
     heads = settled.groupBy("root").agg(F.min("first").alias("head"))
