@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from verdictlake.llm import exact_dedup, mixing, near_copies, packing, toxicity
 from verdictlake.llm.rows import table
-from verdictlake.scale import shared_folder
+from verdictlake.scale import bounded_batches, shared_folder
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scoring below one half; labels are learnt from training folds only."""
-    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, table(bounded_batches(spark), sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,6 +28,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that with the smallest id, of every group linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
+    bounded_batches(spark)
     return near_copies.keep_one_of_each(docs)
 
 
@@ -38,6 +39,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and offset."""
+    bounded_batches(spark)
     return packing.packed_documents(docs)
 
 

@@ -31,3 +31,26 @@ def test_batches_are_bounded_by_bytes(spark):
     found = [r["n"] for r in pages.select(rows_in_batch("html").alias("n")).collect()]
     assert len(found) == 48
     assert max(found) <= 30
+
+
+def test_packing_holds_bounded_texts_and_one_thread(spark, monkeypatch):
+    import os
+
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from verdictlake.llm import ngram_join, packing
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(1 << 30))
+    docs = spark.createDataFrame([(k, "some words " * 50) for k in range(20)], "doc_id bigint, text string")
+    corpus_pipeline.packed(spark, docs, "")
+    assert int(spark.conf.get(key)) <= 8 << 20
+    spark.conf.set(key, before)
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    packing.WordIds(packing.vocabulary())
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": ["x" * 1000] * 39 + ["y" * 9000]})
+    cut = list(ngram_join.slices(iter([batch]), "text", 4000, 1000))
+    assert pa.Table.from_batches(cut) == pa.Table.from_batches([batch]) and max(b.num_rows for b in cut) == 4

@@ -10,6 +10,7 @@ Pieces are then numbered within their length, in chunks, and look up their place
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,12 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdictlake.llm.ngram_join import slices
 from verdictlake.llm.rows import split_words, table, without_own_names
 from verdictlake.scale import position_in_group, write_through
 
 WINDOW = 2048
 END = 1
 CACHED = 250_000
+ENCODE_BYTES = 2 << 20
 _STOPS = ".,!?;:"
 
 
@@ -43,6 +46,8 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        # A task has one core: threads of their own would cost it memory and time. Read when tokenizers first runs.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -153,24 +158,22 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                ids, starts = coder.encode(batch.column("text"))
-                owner, start, length, crc, total, held = [], [], [], [], [], []
-                for k in range(batch.num_rows):
-                    one = np.append(ids[starts[k]:starts[k + 1]], np.uint32(end)).astype("<u4")
-                    for s in range(0, len(one), window):
-                        part = one[s:s + window]
-                        owner.append(k)
-                        start.append(s)
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
-                        total.append(len(one))
-                        if with_ids:
-                            held.append(part.astype(np.int64))
-                arrays = [batch.column("doc_id").take(pa.array(owner, pa.int64())), *(pa.array(v, pa.int64()) for v in (start, length, crc, total))]
-                yield pa.RecordBatch.from_arrays(arrays + [pa.array(held, pa.list_(pa.int64()))] * with_ids, names=names)
+        for batch in slices(batches, "text", ENCODE_BYTES, 1000):
+            ids, starts = coder.encode(batch.column("text"))
+            owner, start, length, crc, total, held = [], [], [], [], [], []
+            for k in range(batch.num_rows):
+                one = np.append(ids[starts[k]:starts[k + 1]], np.uint32(end)).astype("<u4")
+                for s in range(0, len(one), window):
+                    part = one[s:s + window]
+                    owner.append(k)
+                    start.append(s)
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part.tobytes()))
+                    total.append(len(one))
+                    if with_ids:
+                        held.append(part.astype(np.int64))
+            arrays = [batch.column("doc_id").take(pa.array(owner, pa.int64())), *(pa.array(v, pa.int64()) for v in (start, length, crc, total))]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(held, pa.list_(pa.int64()))] * with_ids, names=names)
 
     return source.mapInArrow(run, schema)
 
