@@ -158,3 +158,57 @@ def test_detections_of_slots_equal_the_batch_walk(spark):
             if r.conv_id == conv and (at[r.slot] is None or at[r.slot] > r.claim_idx):
                 at[r.slot] = r.claim_idx
         assert S.detected(at) == want.get(conv, [None] * 3)
+
+
+class CountedState:
+    """A handle and value state in memory that counts calls."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, [], set()
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("delete")
+        self.timers.remove(at)
+
+
+def test_a_claim_takes_few_state_calls():
+    from pyspark.sql import Row
+
+    from verdictlake.streaming.state import PdfWait
+
+    def batch(*rows):
+        return [tuple(r) for r in wait.handleInputRows(("a",), iter([Row(ms=ms, expected=e) for ms, e in rows]), None)]
+
+    store = CountedState()
+    wait = PdfWait(100)
+    wait.init(store)
+    assert batch((5, 0)) == [("a", 0, 0, True, 105)] and store.calls == ["get"]
+    assert batch((5, 1), (7, None)) == [("a", 1, 1, True, 105)] and store.calls == ["get"] * 2
+    store.calls.clear()
+    assert batch((50, 2)) == [] and store.calls == ["get", "register", "update"] and store.timers == {150}
+    store.calls.clear()
+    assert batch((400, None)) == [] and store.calls == ["get"]
+    assert batch((40, None)) == [] and store.timers == {140}
+    assert batch((60, None)) == [("a", 2, 2, True, 140)] and store.value is None and not store.timers
+    assert batch((10, None)) == [] and list(wait.handleExpiredTimer(("a",), None, None)) == []
+    store.timers.clear()  # a timer that fires is gone
+    assert batch((10, 3)) == [] and [tuple(r) for r in wait.handleExpiredTimer(("a",), None, None)] == [("a", 3, 0, False, 110)]

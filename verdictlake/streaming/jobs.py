@@ -194,7 +194,7 @@ def stream_attach_pdfs(
     timed = stamped.select("claim_id", "ts", "expected").withWatermark("ts", delay)
     narrow = timed.select("claim_id", "ts", F.unix_millis("ts").alias("ms"), "expected")
     given = S.keyed(narrow, ["claim_id"], S.PdfWait(wait_seconds * 1000),
-                    f"claim_id {dict(arrivals.dtypes)['claim_id']}, expected bigint, received bigint, complete boolean, deadline bigint", "EventTime")
+                    f"claim_id {dict(arrivals.dtypes)['claim_id']}, expected bigint, received bigint, complete boolean, deadline bigint", "EventTime", plain=True)
     texts = stamped.filter("expected IS NULL AND usable").select("claim_id", F.unix_millis("ts").alias("ms"), "url", "content")
 
     def run(batch: DataFrame, batch_id: int) -> None:
