@@ -57,3 +57,17 @@ def test_pairs_that_sketches_rule_out_are_no_rows():
     assert {h for batch in bare for h in batch.column("h").to_pylist()} == {3, 8} and sum(b.num_rows for b in bare) == 2 * len(sets)
     cut = list(near_copies._runs(iter(table.to_batches(max_chunksize=50)), "h", 60))
     assert pa.concat_tables(cut).equals(table) and len(cut) == 2
+
+
+def test_pairs_below_the_similarity_in_a_large_group_are_no_rows():
+    """Half-like variants of one text that share a shingle make hardly any rows but those of their similar pairs."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+    sets = [np.concatenate([base, rng.integers(0, 1 << 63, 20, dtype=np.uint64)]) for _ in range(200)]
+    sets += [np.concatenate([found[:-5], rng.integers(0, 1 << 63, 5, dtype=np.uint64)]) for found in sets[:20]]
+    sketches = [near_copies.sketch(found).tobytes() for found in sets]
+    size = len(sets)
+    table = pa.table({"h": [3] * size, "key": list(range(size)), "n": pa.array([100] * size, pa.int32()), "root": list(range(size)), "sketch": sketches})
+    got = {p for batch in near_copies._open_pairs(iter(table.to_batches())) for p in zip(*(c.to_pylist() for c in batch.columns))}
+    similar = {(k, 200 + k) for k in range(20)}
+    assert similar <= got and len(got) <= 100, len(got)

@@ -12,8 +12,9 @@ groups at a cost that follows their size; then all pairs of documents that share
 are not connected yet and may be similar by their sketches are compared.
 
 Before whole sets are fetched for a comparison, pairs go whose sketches already rule it out: a
-sketch counts a set's hashes by their lowest bits, and the differences of two sketches never add
-up to more than the sets differ by.
+sketch holds a bit per cell of the hashes' lowest bits, set where a cell has an odd number of the
+set's hashes. Each hash that only one of two sets has turns one bit, so two sketches never differ
+in more bits than the sets differ by, and with some bits a hash hardly in fewer.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from verdictlake.scale import write_through
 
 SHINGLE = 5
 CELLS = 1 << 18
-#: Cells of a sketch: a power of two of about a quarter of the set's size, within these bounds.
-SKETCH = (16, 1024)
+#: Bytes of a sketch: a power of two of about half the set's size, within these bounds.
+SKETCH = (64, 2048)
 CHUNK = 20_000
 
 
@@ -62,20 +63,24 @@ def _key(found: np.ndarray) -> int:
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    """Hashes per cell of their lowest bits, counts cut at 255."""
+    """Whether the number of hashes is odd, a bit per cell of their lowest bits."""
     size = SKETCH[0]
-    while size < min(len(found) // 4, SKETCH[1]):
+    while size < min(len(found) // 2, SKETCH[1]):
         size *= 2
-    return np.minimum(np.bincount((found % np.uint64(size)).astype(np.int64), minlength=size), 255).astype(np.uint8)
+    return np.packbits(np.bincount((found % np.uint64(8 * size)).astype(np.int64), minlength=8 * size) & 1)
+
+
+def folded(sketches: np.ndarray, to: int) -> np.ndarray:
+    """Sketches, one a row, as they are at `to` bytes: cells of equal lower bits add up."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, to), 1)
 
 
 def may_be_similar(x: bytes, y: bytes, n: int, m: int) -> bool:
-    """Whether the sketches of sets of n and m hashes allow the similarity; the finer one is folded, so cut counts bound less, never more."""
-    p, q = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (x, y))
-    size = min(len(p), len(q))
-    p, q = (np.minimum(s.reshape(-1, size).sum(0), 255) for s in (p, q))
+    """Whether the sketches of sets of n and m hashes allow the similarity; the finer one is folded, which bounds less, never more."""
+    size = min(len(x), len(y))
+    p, q = (folded(np.frombuffer(s, np.uint8)[None], size) for s in (x, y))
     # Similar sets differ in at most a ninth of both sizes.
-    return 9 * int(np.abs(p - q).sum()) <= n + m
+    return 9 * int(np.bitwise_count(p ^ q).sum()) <= n + m
 
 
 def keyed(rows: DataFrame, text_col: str) -> DataFrame:
@@ -214,11 +219,11 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for size in np.unique(long).tolist():
             at = np.flatnonzero(long == size)
             place[at] = np.arange(len(at))
-            folds[size, size] = np.frombuffer(b"".join([cells[k] for k in at]), np.uint8).reshape(len(at), size).astype(np.int16)
+            folds[size, size] = np.frombuffer(b"".join([cells[k] for k in at]), np.uint64).reshape(len(at), -1)
 
-        def folded(size: int, to: int) -> np.ndarray:
+        def at_size(size: int, to: int) -> np.ndarray:
             if (size, to) not in folds:
-                folds[size, to] = np.minimum(folds[size, size].reshape(-1, size // to, to).sum(1), 255).astype(np.int16)
+                folds[size, to] = folded(folds[size, size], to // 8)
             return folds[size, to]
 
         rows = np.flatnonzero(h[1:] == h[:-1])
@@ -231,7 +236,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for size, wide in set(zip(long[i].tolist(), long[j].tolist())):
                 to = min(size, wide)
                 for at in np.array_split(np.flatnonzero((long[i] == size) & (long[j] == wide)), 1 + len(i) // 4096):
-                    apart = np.abs(folded(size, to)[place[i[at]]] - folded(wide, to)[place[j[at]]]).sum(1, dtype=np.int64)
+                    apart = np.bitwise_count(at_size(size, to)[place[i[at]]] ^ at_size(wide, to)[place[j[at]]]).sum(1, dtype=np.int64)
                     kept[at] = 9 * apart <= n[i[at]] + n[j[at]]
             if kept.any():
                 yield pa.RecordBatch.from_arrays([pa.array(key[i[kept]]), pa.array(key[j[kept]])], names=["a", "b"])
