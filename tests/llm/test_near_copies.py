@@ -71,3 +71,19 @@ def test_pairs_below_the_similarity_in_a_large_group_are_no_rows():
     got = {p for batch in near_copies._open_pairs(iter(table.to_batches())) for p in zip(*(c.to_pylist() for c in batch.columns))}
     similar = {(k, 200 + k) for k in range(20)}
     assert similar <= got and len(got) <= 100, len(got)
+    closest = {p for batch in near_copies._closest_pairs(iter(table.to_batches())) for p in zip(*(c.to_pylist() for c in batch.columns))}
+    assert similar <= closest <= got
+
+
+def test_closest_pairs_follow_the_rows_of_a_group():
+    """A group of which all pairs may be similar makes no more pairs than rows, and each row that has a partner is in one."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 95, dtype=np.uint64)
+    sets = [np.concatenate([base, rng.integers(0, 1 << 63, 5, dtype=np.uint64)]) for _ in range(150)]
+    rows = [(h, key, 100, key // 2, near_copies.sketch(sets[key]).tobytes()) for h in (1, 2, 5) for key in range(150)]
+    rows += [(8, 0, 100, 0, rows[0][4]), (8, 1, 100, 0, rows[1][4]), (9, 2, 100, 1, rows[2][4])]
+    table = pa.table(dict(zip(("h", "key", "n", "root", "sketch"), zip(*rows))), schema=pa.schema(
+        [("h", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("root", pa.int64()), ("sketch", pa.binary())]))
+    got = [p for batch in near_copies._closest_pairs(iter(table.to_batches(max_chunksize=40))) for p in zip(*(c.to_pylist() for c in batch.columns))]
+    assert 75 <= len(got) <= 450 and {k for p in got for k in p} == set(range(150))
+    assert all(a < b and a // 2 != b // 2 for a, b in got)

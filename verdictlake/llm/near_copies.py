@@ -8,8 +8,9 @@ sets of that similarity share one of their first n - ceil(0.8 n) + 1 shingles (t
 rare shingles come first, by a count over hashed cells of bounded number, so common passages
 are seldom in a prefix. Documents not connected yet meet by the shingles of their prefixes. First
 each shingle links its documents to one of them, drawn anew for each shingle, which connects large
-groups at a cost that follows their size; then all pairs of documents that share a prefix shingle,
-are not connected yet and may be similar by their sketches are compared.
+groups at a cost that follows their size; then each document of a shingle meets the one of another
+group whose sketch is closest; at last all pairs of documents that share a prefix shingle, are not
+connected yet and may be similar by their sketches are compared.
 
 Before whole sets are fetched for a comparison, pairs go whose sketches already rule it out: a
 sketch holds a bit per cell of the hashes' lowest bits, set where a cell has an odd number of the
@@ -208,41 +209,67 @@ def _runs(batches: Iterator[pa.RecordBatch], column: str, rows: int = CHUNK) ->
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _open_places(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (i, j) of rows with one h, of different roots, whose sizes and sketches allow the similarity, and how far the sketches differ.
+
+    Rows are ordered by h; in one result no place comes twice as i, or twice as j.
+    """
+    h, n, root = (table[c].to_numpy() for c in ("h", "n", "root"))
+    n = n.astype(np.int64)
+    cells = table["sketch"].to_pylist()
+    long = np.fromiter(map(len, cells), np.int64, len(cells))
+    place, folds = np.zeros(len(cells), np.int64), {}
+    for size in np.unique(long).tolist():
+        at = np.flatnonzero(long == size)
+        place[at] = np.arange(len(at))
+        folds[size, size] = np.frombuffer(b"".join([cells[k] for k in at]), np.uint64).reshape(len(at), -1)
+
+    def at_size(size: int, to: int) -> np.ndarray:
+        if (size, to) not in folds:
+            folds[size, to] = folded(folds[size, size], to // 8)
+        return folds[size, to]
+
+    rows = np.flatnonzero(h[1:] == h[:-1])
+    distance = 1
+    while len(rows):
+        other = rows + distance
+        fits = (root[rows] != root[other]) & (5 * np.minimum(n[rows], n[other]) >= 4 * np.maximum(n[rows], n[other]))
+        i, j = rows[fits], other[fits]
+        apart = np.zeros(len(i), np.int64)
+        for size, wide in set(zip(long[i].tolist(), long[j].tolist())):
+            to = min(size, wide)
+            for at in np.array_split(np.flatnonzero((long[i] == size) & (long[j] == wide)), 1 + len(i) // 4096):
+                apart[at] = np.bitwise_count(at_size(size, to)[place[i[at]]] ^ at_size(wide, to)[place[j[at]]]).sum(1, dtype=np.int64)
+        kept = 9 * apart <= n[i] + n[j]
+        if kept.any():
+            yield i[kept], j[kept], apart[kept]
+        distance += 1
+        rows = rows[rows + distance < len(h)]
+        rows = rows[h[rows] == h[rows + distance]]
+
+
+def _closest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pairs of `_open_pairs`, that with the least different sketch for each row: no more pairs than rows."""
+    for table in _runs(batches, "h"):
+        key = table["key"].to_numpy()
+        least, partner = np.full(len(key), np.iinfo(np.int64).max), np.full(len(key), -1)
+        for i, j, apart in _open_places(table):
+            for one, other in ((i, j), (j, i)):
+                closer = apart < least[one]
+                least[one[closer]], partner[one[closer]] = apart[closer], other[closer]
+        some = np.flatnonzero(partner >= 0)
+        if len(some):
+            low, high = np.minimum(key[some], key[partner[some]]), np.maximum(key[some], key[partner[some]])
+            low, high = np.unique(np.stack([low, high], 1), axis=0).T
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+
+
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of keys with one h, of different roots, whose sizes and sketches allow the similarity; rows come ordered by h."""
     for table in _runs(batches, "h"):
-        h, key, n, root = (table[c].to_numpy() for c in ("h", "key", "n", "root"))
-        n = n.astype(np.int64)
-        cells = table["sketch"].to_pylist()
-        long = np.fromiter(map(len, cells), np.int64, len(cells))
-        place, folds = np.zeros(len(cells), np.int64), {}
-        for size in np.unique(long).tolist():
-            at = np.flatnonzero(long == size)
-            place[at] = np.arange(len(at))
-            folds[size, size] = np.frombuffer(b"".join([cells[k] for k in at]), np.uint64).reshape(len(at), -1)
-
-        def at_size(size: int, to: int) -> np.ndarray:
-            if (size, to) not in folds:
-                folds[size, to] = folded(folds[size, size], to // 8)
-            return folds[size, to]
-
-        rows = np.flatnonzero(h[1:] == h[:-1])
-        distance = 1
-        while len(rows):
-            other = rows + distance
-            fits = (root[rows] != root[other]) & (5 * np.minimum(n[rows], n[other]) >= 4 * np.maximum(n[rows], n[other]))
-            i, j = rows[fits], other[fits]
-            kept = np.zeros(len(i), bool)
-            for size, wide in set(zip(long[i].tolist(), long[j].tolist())):
-                to = min(size, wide)
-                for at in np.array_split(np.flatnonzero((long[i] == size) & (long[j] == wide)), 1 + len(i) // 4096):
-                    apart = np.bitwise_count(at_size(size, to)[place[i[at]]] ^ at_size(wide, to)[place[j[at]]]).sum(1, dtype=np.int64)
-                    kept[at] = 9 * apart <= n[i[at]] + n[j[at]]
-            if kept.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[i[kept]]), pa.array(key[j[kept]])], names=["a", "b"])
-            distance += 1
-            rows = rows[rows + distance < len(h)]
-            rows = rows[h[rows] == h[rows + distance]]
+        key = table["key"].to_numpy()
+        for i, j, _ in _open_places(table):
+            yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(key[j])], names=["a", "b"])
 
 
 def fingerprint_pairs(firsts: DataFrame) -> DataFrame:
@@ -311,13 +338,16 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         apart = join_narrow(apart, grouped.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), [side], "left", 16)
     led = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     links = write_through(met.unionByName(similar(led, firsts, source, "_t")))
-    known = write_through(components(links).select(F.col("node").alias("key"), "root"))
-    rooted = join_narrow(shared.select("h", "key", "n"), known, ["key"], "left", 16).select("h", "key", "n", F.coalesce("root", "key").alias("root"))
-    # Only rows of shingles that several components share get their sketch, so pairs that it rules out are never rows.
-    opened = write_through(rooted.repartition("h").mapInArrow(_open_rows, "h bigint, key bigint, n int, root bigint"))
-    sketched = opened.join(firsts.select("key", F.col("first.sketch").alias("sketch")).hint("merge"), "key")
-    pairs = sketched.select("h", "key", "n", "root", "sketch").repartition("h").sortWithinPartitions("h").mapInArrow(_open_pairs, "a bigint, b bigint")
-    grouped = components(links.unionByName(similar(pairs, firsts, source, "_t"))).select(F.col("node").alias("key"), "root")
+    # The closest pairs connect what is left of large groups at a cost that follows their rows; then all pairs still open are compared.
+    for finder in (_closest_pairs, _open_pairs):
+        known = write_through(components(links).select(F.col("node").alias("key"), "root"))
+        rooted = join_narrow(shared.select("h", "key", "n"), known, ["key"], "left", 16).select("h", "key", "n", F.coalesce("root", "key").alias("root"))
+        # Only rows of shingles that several components share get their sketch, so pairs that it rules out are never rows.
+        opened = write_through(rooted.repartition("h").mapInArrow(_open_rows, "h bigint, key bigint, n int, root bigint"))
+        sketched = opened.join(firsts.select("key", F.col("first.sketch").alias("sketch")).hint("merge"), "key")
+        pairs = sketched.select("h", "key", "n", "root", "sketch").repartition("h").sortWithinPartitions("h").mapInArrow(finder, "a bigint, b bigint")
+        links = write_through(links.unionByName(similar(pairs, firsts, source, "_t")))
+    grouped = components(links).select(F.col("node").alias("key"), "root")
     settled = write_through(firsts.join(grouped, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root")))
     heads = settled.groupBy("root").agg(F.min("first").alias("head"))
     gone = write_through(marked.join(settled.join(heads, "root").select("key", "head"), "key").filter(F.col("head.rid") != F.col(RID)).select(RID))
