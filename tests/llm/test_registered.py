@@ -143,3 +143,30 @@ def test_pipeline_stages(spark, folder):
         if name == "packing":
             totals = docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
             assert totals <= 2048 and docs.filter("start = 0").count() == before.count()
+
+
+def test_nearest_kernel_gives_the_exact_best_of_the_visited_buckets():
+    """Keys added in halves are those of whole numbers, and the product that ranks first loses no row of equal or close score."""
+    rng = np.random.default_rng(3)
+    plan = nearest.Plan(probes=120, tables=4)
+    data = rng.normal(size=(1500, 16)) * rng.uniform(1, 1.2, (1500, 1))
+    data[40:90] = data[39]
+    ids, asked = rng.permutation(1500).astype(np.int64), rng.choice(1500, 260, replace=False)
+    most = np.linalg.norm(data, axis=1).max() * (1 + 1e-12)
+    tables, lifted, queries = nearest.Tables(17, plan), nearest.lift(data, most, False), nearest.lift(data[asked], most, True)
+    met = np.zeros((260, 1500), bool)
+    for t in range(plan.tables):
+        place = (queries @ tables.project[t] + tables.shift[t]) / plan.width
+        inside = place - np.floor(place)
+        steps = np.concatenate([-tables.mix[t], tables.mix[t]])[np.argsort(np.concatenate([inside, 1 - inside], 1), 1, kind="stable")]
+        keys = (np.floor(place).astype(np.int64).view(np.uint64) * tables.mix[t]).sum(1, dtype=np.uint64)[:, None] + steps @ nearest.perturbations(14, 120).T
+        assert np.array_equal(keys, tables.probes(t, queries))
+        met |= np.stack([np.isin(tables.keys(t, lifted), own) for own in keys])
+    met[met.sum(1) < 21] = True
+    got = nearest.search_block(ids, data, ids[asked], data[asked], 20, plan)
+    for q, row in enumerate(asked):
+        at = np.flatnonzero(met[q] & (np.arange(1500) != row))
+        score = (data[at] * data[row]).sum(1)
+        best = np.lexsort((ids[at], -score))[:20]
+        own = got[got.query_id == ids[row]]
+        assert own.vec_id.tolist() == ids[at[best]].tolist() and own.score.tolist() == score[best].tolist()
