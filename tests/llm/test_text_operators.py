@@ -420,3 +420,21 @@ def test_lm_without_training_rows(no_docs, spark):
     row = lm_scoring.score(identified(one), model, counts).first()
     assert row["n_tokens"] == 3 and row["n_known"] == 0
     assert lm_scoring.score(identified(no_docs), model, counts).count() == 0
+
+
+def test_forms_with_stops_are_put_together_at_once(monkeypatch):
+    """Ids are the tokenizer's own, and no form with trailing stops is looked up and copied by itself."""
+    import pyarrow as pa
+
+    from verdictlake.llm import packing
+
+    coder, single = packing.WordIds(packing.vocabulary()), []
+    ids_of = coder._ids
+    monkeypatch.setattr(coder, "_ids", lambda slot: single.append(slot) or ids_of(slot))
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    texts = [" ".join(w + ("", ".", ",", "?!", "...")[k % 5] for k, w in enumerate(words)), "worda, worda. , ... ?! x. 7. a7, É, né;", None, " ".join(words)]
+    for _ in range(2):
+        ids, starts = coder.encode(pa.array(texts, pa.string()))
+        for k, text in enumerate(texts):
+            assert ids[starts[k]:starts[k + 1]].tolist() == coder.tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert not single

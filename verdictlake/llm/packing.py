@@ -93,25 +93,32 @@ class WordIds:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(forms, add_special_tokens=False)]
         self._add(forms, np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64))
 
+    def _gather(self, slots: np.ndarray) -> np.ndarray:
+        """The ids of the slots one after another."""
+        sizes = self.size[slots]
+        ends = np.cumsum(sizes)
+        return self.pool[np.arange(sizes.sum()) + np.repeat(self.begin[slots] - ends + sizes, sizes)]
+
     def _learn(self, forms: list[str]) -> None:
-        plain: dict[str, None] = {}
-        joined = []
-        for form in forms:
-            if form in self.slots:
-                continue
-            stem = form.rstrip(_STOPS)
-            if stem and stem != form and stem[-1].isalpha():
-                joined.append((form, stem, form[len(stem):]))
-                plain.update({p: None for p in (stem, form[len(stem):]) if p not in self.slots})
-            else:
-                plain[form] = None
+        slots = self.slots
+        new = [form for form in forms if form not in slots]
+        stems = [form.rstrip(_STOPS) for form in new]
+        split = [k for k, (form, stem) in enumerate(zip(new, stems)) if stem != form and stem and stem[-1].isalpha()]
+        whole, stems = [new[k] for k in split], [stems[k] for k in split]
+        stops = [form[len(stem):] for form, stem in zip(whole, stems)]
+        plain = dict.fromkeys(new)
+        for form in whole:
+            del plain[form]
+        plain.update(dict.fromkeys(part for parts in (stems, stops) for part in parts if part not in slots))
         for letters in (True, False):
-            new = [form for form in plain if form.isalpha() == letters]
-            for at in range(0, len(new), 4000):
-                self._encode(new[at:at + 4000], letters)
-        if joined:
-            ids = [np.concatenate([self._ids(self.slots[stem]), self._ids(self.slots[stops])]) for _, stem, stops in joined]
-            self._add([form for form, _, _ in joined], np.concatenate(ids), np.array([len(x) for x in ids]))
+            part = [form for form in plain if form.isalpha() == letters]
+            for at in range(0, len(part), 4000):
+                self._encode(part[at:at + 4000], letters)
+        if whole:
+            both = np.empty(2 * len(whole), np.int64)
+            for k, parts in enumerate((stems, stops)):
+                both[k::2] = np.fromiter(map(slots.__getitem__, parts), np.int64, len(whole))
+            self._add(whole, self._gather(both), self.size[both].reshape(-1, 2).sum(1))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text begins (one more at the end)."""
@@ -122,13 +129,11 @@ class WordIds:
         index, forms, offsets = split_words(pc.if_else(pa.array(special), "", texts), lower=True)
         names = forms.to_pylist()
         self._learn(names)
-        slots = np.fromiter((self.slots[n] for n in names), np.int64, len(names))
+        slots = np.fromiter(map(self.slots.__getitem__, names), np.int64, len(names))
         self.hits[slots] += 1
         of = slots[index]
-        sizes = self.size[of]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.begin[of] - ends[:-1], sizes)]
-        starts = ends[offsets]
+        ids = self._gather(of)
+        starts = np.concatenate([[0], np.cumsum(self.size[of])])[offsets]
         if not special.any():
             return ids, starts
         parts = [ids[starts[k]:starts[k + 1]] for k in range(len(texts))]
