@@ -424,10 +424,6 @@ def test_lm_without_training_rows(no_docs, spark):
 
 def test_forms_with_stops_are_put_together_at_once(monkeypatch):
     """Ids are the tokenizer's own, and no form with trailing stops is looked up and copied by itself."""
-    import pyarrow as pa
-
-    from verdictlake.llm import packing
-
     coder, single = packing.WordIds(packing.vocabulary()), []
     ids_of = coder._ids
     monkeypatch.setattr(coder, "_ids", lambda slot: single.append(slot) or ids_of(slot))
