@@ -87,3 +87,37 @@ def test_closest_pairs_follow_the_rows_of_a_group():
     got = [p for batch in near_copies._closest_pairs(iter(table.to_batches(max_chunksize=40))) for p in zip(*(c.to_pylist() for c in batch.columns))]
     assert 75 <= len(got) <= 450 and {k for p in got for k in p} == set(range(150))
     assert all(a < b and a // 2 != b // 2 for a, b in got)
+
+
+def test_rows_without_a_partner_by_size_and_place_are_dropped():
+    """A row stays only if another root's row of its shingle is near in size and has enough of its set from there on."""
+    rng = np.random.default_rng(8)
+    for buckets, most in ((400, 60), (3, 900), (40, 2)):
+        bucket = np.sort(rng.integers(0, buckets, 1200))
+        n = rng.integers(1, most + 1, 1200).astype(np.int32)
+        rest = np.maximum(1, n - (rng.random(1200) * 0.25 * n).astype(np.int32)).astype(np.int32)
+        root = rng.integers(0, 4, 1200)
+        got = near_copies._with_partner(bucket, n, rest, root)
+        x, y = np.meshgrid(np.arange(1200), np.arange(1200), indexing="ij")
+        meet = (bucket[x] == bucket[y]) & (root[x] != root[y]) & (9 * np.minimum(rest[x], rest[y]) >= 4 * (n[x] + n[y]))
+        assert (got == meet.any(1)).all() and got.any() and (buckets < 400 or not got.all())
+    table = pa.table({"h": [1, 1, 1, 2, 2], "key": [1, 2, 3, 1, 2], "n": pa.array([100, 100, 100, 100, 100], pa.int32()),
+                      "rest": pa.array([100, 95, 85, 99, 85], pa.int32()), "root": [1, 2, 3, 1, 2]})
+    assert sorted(r for b in near_copies._open_rows(iter(table.to_batches())) for r in zip(b["h"].to_pylist(), b["key"].to_pylist())) == [(1, 1), (1, 2)]
+    assert sorted(r for b in near_copies._shared(iter(table.drop_columns("root").to_batches())) for r in zip(b["h"].to_pylist(), b["key"].to_pylist())) == [(1, 1), (1, 2)]
+
+
+def test_first_shared_shingles_of_similar_sets_are_never_ruled_out():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 5, 9, 60, 333):
+        for m in range(n, 5 * n // 4 + 1):
+            both = -(-4 * (n + m) // 9)
+            sets = [[*range(both)], [*range(both)]]
+            sets = [np.sort(rng.permutation([*s, *range(k * 10_000, k * 10_000 + size - both)])) for k, s, size in ((1, sets[0], n), (2, sets[1], m)) if both <= size]
+            if len(sets) < 2:
+                continue
+            place = rng.permutation(30_000)
+            x, y = (sorted(s, key=lambda e: place[e]) for s in sets)
+            first = next(e for e in x if e in set(y))
+            i, j = x.index(first), y.index(first)
+            assert i < near_copies.prefix_length(n) and j < near_copies.prefix_length(m) and near_copies._fits(n, m, n - i, m - j)

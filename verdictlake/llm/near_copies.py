@@ -6,7 +6,10 @@ differ in more bits than any trie join of 64 bits can afford, so an exact way fo
 and every pair is found or connected through others. Under any common order of shingles, two
 sets of that similarity share one of their first n - ceil(0.8 n) + 1 shingles (their prefixes);
 rare shingles come first, by a count over hashed cells of bounded number, so common passages
-are seldom in a prefix. Documents not connected yet meet by the shingles of their prefixes. First
+are seldom in a prefix. Documents not connected yet meet by the shingles of their prefixes. The
+first shingle that two sets share bounds what they share by what each has from there on, so two
+sets that share a shingle late in their prefixes are no candidates by it, and a row of a shingle
+without any candidate there goes before it is joined to anything. First
 each shingle links its documents to one of them, drawn anew for each shingle, which connects large
 groups at a cost that follows their size; then each document of a shingle meets the one of another
 group whose sketch is closest; at last all pairs of documents that share a prefix shingle, are not
@@ -20,7 +23,7 @@ in more bits than the sets differ by, and with some bits a hash hardly in fewer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -120,12 +123,12 @@ def cell_counts(rows: DataFrame, text_col: str) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, counts: np.ndarray, text_col: str) -> DataFrame:
-    """(h, key, n): the prefix shingles of every row with its key and the size of its set."""
+    """(h, key, n, rest): the prefix shingles of every row with its key, the size of its set and how many of it come from this one on."""
     counts = counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, keys, sizes = [], [], []
+            hashes, keys, sizes, rests = [], [], [], []
             for t in batch.column("_text"):
                 found = shingle_set(t.as_py())
                 n = len(found)
@@ -134,15 +137,16 @@ def prefixes(rows: DataFrame, counts: np.ndarray, text_col: str) -> DataFrame:
                 hashes.append(found[order[:prefix_length(n)]])
                 keys.append(_key(found))
                 sizes.append(n)
+                rests.append(np.arange(n, n - len(hashes[-1]), -1, dtype=np.int32))
             long = [len(h) for h in hashes]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(hashes or [np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(np.array(keys, np.uint64), long).view(np.int64)),
-                pa.array(np.repeat(np.array(sizes, np.int32), long))], names=["h", "key", "n"])
+                pa.array(np.repeat(np.array(sizes, np.int32), long)), pa.array(np.concatenate(rests or [np.zeros(0, np.int32)]))], names=["h", "key", "n", "rest"])
 
-    return _texts(rows, text_col).select("_text").mapInArrow(run, "h bigint, key bigint, n int")
+    return _texts(rows, text_col).select("_text").mapInArrow(run, "h bigint, key bigint, n int, rest int")
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _buckets(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Columns of a task's distinct rows ordered by h and key, first and end of each h of two or more keys."""
     parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
     if not parts:
@@ -161,34 +165,88 @@ def _buckets(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> tup
     return found, first[several], end[several]
 
 
+def _fits(n, m, rest, other):
+    """Whether sets of n and m shingles that first share one with `rest` and `other` of them from there on may be similar."""
+    # They share at least four ninths of both sizes. Whole sets from there on fit if 5 * min(n, m) >= 4 * max(n, m).
+    return 9 * np.minimum(rest, other) >= 4 * (n + m)
+
+
+def _with_partner(bucket: np.ndarray, n: np.ndarray, rest: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Whether each row has one of another root in its bucket that `_fits` it. Buckets are numbered and rising.
+
+    Row i needs a j whose size lies in a range, by i alone, and whose 9 rest - 4 n is 4 n_i or more. Rows are
+    ordered by size; the two largest such numbers of different roots are kept for all runs of 2 ** k rows,
+    two of which cover any range, so the cost is rows times the logarithm of the largest bucket.
+    """
+    if not len(n):
+        return np.zeros(0, bool)
+    order = np.lexsort((n, bucket))
+    bucket, n, rest, root = bucket[order].astype(np.int64), n[order].astype(np.int64), rest[order].astype(np.int64), root[order]
+    _, bucket = np.unique(bucket, return_inverse=True)
+    wide = int(n.max()) + 2
+    at = bucket * wide + n
+    low = np.searchsorted(at, bucket * wide + (4 * n + 4) // 5, "left")
+    high = np.searchsorted(at, bucket * wide + np.clip(np.minimum(5 * n // 4, (9 * rest - 4 * n) // 4), 0, wide - 1), "right")
+    level = np.frexp(np.maximum(high - low, 1).astype(float))[1] - 1
+    least, found = np.iinfo(np.int64).min, np.zeros(len(n), bool)
+    best, second, whose = 9 * rest - 4 * n, np.full(len(n), least), root
+
+    def joined(a, b):
+        """The largest number, the largest of another root and the root of the largest, of two runs each."""
+        (p, p2, r), (q, q2, s) = a, b
+        first = p >= q
+        return np.where(first, p, q), np.where(first, np.maximum(p2, np.where(r == s, q2, q)), np.maximum(q2, np.where(r == s, p2, p))), np.where(first, r, s)
+
+    for k in range(int(level.max()) + 1):
+        rows = np.flatnonzero((level == k) & (high > low))
+        a, b = low[rows], high[rows] - (1 << k)
+        most, other, own = joined((best[a], second[a], whose[a]), (best[b], second[b], whose[b]))
+        found[rows] = np.where(own == root[rows], other, most) >= 4 * n[rows]
+        if (1 << k) >= len(best):
+            break
+        half = 1 << k
+        best, second, whose = joined((best[:-half], second[:-half], whose[:-half]), (best[half:], second[half:], whose[half:]))
+    out = np.empty(len(n), bool)
+    out[order] = found
+    return out
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose h has two or more keys, with `lead`, one of those keys and size drawn by h."""
-    (h, key, n), first, end = _buckets(batches, ("h", "key", "n"))
+    """Rows that another key with their h fits, with `lead`, one of those keys, and its size drawn by h."""
+    (h, key, n, rest), first, end = _buckets(batches, ("h", "key", "n", "rest"))
     size = end - first
     bucket = np.repeat(np.arange(len(first)), size)
     rows = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    h, key, n = h[rows], key[rows], n[rows]
+    some = _with_partner(bucket, n[rows], rest[rows], key[rows])
+    rows, bucket = rows[some], bucket[some]
+    _, bucket, size = np.unique(bucket, return_inverse=True, return_counts=True)
+    h, key, n, rest = h[rows], key[rows], n[rows], rest[rows]
     mixed = (key.view(np.uint64) ^ h.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     order = np.lexsort((mixed * np.uint64(0xBF58476D1CE4E5B9), bucket))
     lead = order[(np.cumsum(size) - size)[bucket]] if len(order) else order
-    whole = pa.table({"h": h, "key": key, "n": n, "lead": key[lead], "lead_n": n[lead]})
+    whole = pa.table({"h": h, "key": key, "n": n, "rest": rest, "lead": key[lead], "lead_n": n[lead]})
     yield from whole.to_batches(max_chunksize=50_000)
 
 
 def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose h has keys of different roots; `root` is kept."""
-    columns, first, end = _buckets(batches, ("h", "key", "n", "root"))
+    """Rows whose h has keys of different roots; `rest`, if there, says which of them have a partner that fits: the others go."""
+    batches = [b for b in batches if b.num_rows]
+    names = batches[0].schema.names if batches else ["h", "key", "n", "root"]
+    columns, first, end = _buckets(batches, names)
     if not len(first):
         return
-    root, edges = columns[3], np.stack([first, end], 1).ravel()
+    root, edges = columns[names.index("root")], np.stack([first, end], 1).ravel()
     # Each second segment is a bucket; the one past the last row is cut off.
     low, high = (f.reduceat(np.append(root, root[-1]), edges)[::2] for f in (np.minimum, np.maximum))
     some = low != high
     size = (end - first)[some]
     rows = np.repeat(first[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    whole = pa.table(dict(zip(("h", "key", "n", "root"), (c[rows] for c in columns))))
-    yield from whole.to_batches(max_chunksize=50_000)
+    found = dict(zip(names, (c[rows] for c in columns)))
+    if "rest" in found:
+        kept = _with_partner(np.repeat(np.arange(len(size)), size), found["n"], found["rest"], found["root"])
+        found = {name: c[kept] for name, c in found.items()}
+    yield from pa.table(found).to_batches(max_chunksize=50_000)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], column: str, rows: int = CHUNK) -> Iterator[pa.Table]:
@@ -210,12 +268,13 @@ def _runs(batches: Iterator[pa.RecordBatch], column: str, rows: int = CHUNK) ->
 
 
 def _open_places(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places (i, j) of rows with one h, of different roots, whose sizes and sketches allow the similarity, and how far the sketches differ.
+    """Places (i, j) of rows with one h, of different roots, whose sizes, places of h and sketches allow the similarity, and how far the sketches differ.
 
     Rows are ordered by h; in one result no place comes twice as i, or twice as j.
     """
     h, n, root = (table[c].to_numpy() for c in ("h", "n", "root"))
     n = n.astype(np.int64)
+    rest = table["rest"].to_numpy().astype(np.int64) if "rest" in table.column_names else n
     cells = table["sketch"].to_pylist()
     long = np.fromiter(map(len, cells), np.int64, len(cells))
     place, folds = np.zeros(len(cells), np.int64), {}
@@ -233,7 +292,7 @@ def _open_places(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
     distance = 1
     while len(rows):
         other = rows + distance
-        fits = (root[rows] != root[other]) & (5 * np.minimum(n[rows], n[other]) >= 4 * np.maximum(n[rows], n[other]))
+        fits = (root[rows] != root[other]) & _fits(n[rows], n[other], rest[rows], rest[other])
         i, j = rows[fits], other[fits]
         apart = np.zeros(len(i), np.int64)
         for size, wide in set(zip(long[i].tolist(), long[j].tolist())):
@@ -329,7 +388,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     firsts = write_through(marked.groupBy("key").agg(F.min(order).alias("first")))
     met = write_through(similar(fingerprint_pairs(firsts), firsts, source, "_t"))
     shared = write_through(prefixes(source, cell_counts(source, "_t"), "_t").repartition("h").mapInArrow(
-        _shared, "h bigint, key bigint, n int, lead bigint, lead_n int"))
+        _shared, "h bigint, key bigint, n int, rest int, lead bigint, lead_n int"))
     fits = 5 * F.least("n", "lead_n").cast("bigint") >= 4 * F.greatest("n", "lead_n").cast("bigint")
     led = shared.filter((F.col("key") != F.col("lead")) & fits).select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"))
     grouped = write_through(components(met))
@@ -339,14 +398,19 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     led = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     links = write_through(met.unionByName(similar(led, firsts, source, "_t")))
     # The closest pairs connect what is left of large groups at a cost that follows their rows; then all pairs still open are compared.
+    opened = shared.select("h", "key", "n", "rest")
     for finder in (_closest_pairs, _open_pairs):
         known = write_through(components(links).select(F.col("node").alias("key"), "root"))
-        rooted = join_narrow(shared.select("h", "key", "n"), known, ["key"], "left", 16).select("h", "key", "n", F.coalesce("root", "key").alias("root"))
-        # Only rows of shingles that several components share get their sketch, so pairs that it rules out are never rows.
-        opened = write_through(rooted.repartition("h").mapInArrow(_open_rows, "h bigint, key bigint, n int, root bigint"))
+        rooted = join_narrow(opened, known, ["key"], "left", 16).select("h", "key", "n", "rest", F.coalesce("root", "key").alias("root"))
+        # Only rows that one of another component fits get their sketch, so pairs that it rules out are never rows.
+        opened = write_through(rooted.repartition("h").mapInArrow(_open_rows, "h bigint, key bigint, n int, rest int, root bigint"))
         sketched = opened.join(firsts.select("key", F.col("first.sketch").alias("sketch")).hint("merge"), "key")
-        pairs = sketched.select("h", "key", "n", "root", "sketch").repartition("h").sortWithinPartitions("h").mapInArrow(finder, "a bigint, b bigint")
+        found = sketched.select("h", "key", "n", "rest", "root", "sketch").repartition("h").sortWithinPartitions("h").mapInArrow(finder, "a bigint, b bigint")
+        pairs = write_through(found.distinct())
         links = write_through(links.unionByName(similar(pairs, firsts, source, "_t")))
+        # Every row with a partner is in a closest pair, so rows of other sets need no second sketch.
+        met = write_through(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        opened = join_narrow(opened.select("h", "key", "n", "rest"), met, ["key"], "left_semi", 8)
     grouped = components(links).select(F.col("node").alias("key"), "root")
     settled = write_through(firsts.join(grouped, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root")))
     heads = settled.groupBy("root").agg(F.min("first").alias("head"))
