@@ -1,8 +1,9 @@
 """Every training document is trained on, in runs of bounded bytes."""
 
+import numpy as np
 import pyarrow as pa
 
-from verdictlake.llm import lm_scoring
+from verdictlake.llm import lm_scoring, recurrent
 
 
 def test_runs_hold_all_texts_whole():
@@ -21,3 +22,24 @@ def test_all_training_documents_are_trained_on(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "_averaged", lambda model, sums, texts: seen.append(texts.count()) or averaged(model, sums, texts))
     lm_scoring.fit(docs)
     assert seen == [docs.filter(~lm_scoring.held_out("doc_id")).count()]
+
+
+def test_words_become_tokens_together():
+    """Head words by their place, all others by the class of their last two characters, as each alone."""
+    head = recurrent.make_head([("the", 9), ("é", 8), ("ab", 7)], 3, lm_scoring.ENDINGS, 2)
+    model = lm_scoring.Model(head, 3, 24, 3, np.ones(lm_scoring.ENDINGS), np.ones(lm_scoring.ENDINGS), np.zeros(0))
+    words = ["ab", "x", "the", "日本語", "then", "é", "è", "naïvé", "a\u0301", "𝄞𝄞𝄞"]
+    place = {w: 1 + k for k, w in enumerate(head.words)}
+    want = [place.get(w) or head.size + recurrent.ending_class(w, head.endings) for w in words]
+    assert model.tokens_of(pa.array(words)).tolist() == want
+    assert model.tokens_of(pa.array([], pa.string())).tolist() == []
+
+
+def test_softmax_with_and_without_shift_agree():
+    rng = np.random.default_rng(3)
+    logits, own = rng.normal(size=(50, 7)) * 5, rng.integers(0, 7, 50)
+    p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    for bounded in (True, False):
+        less, found = recurrent.Network._softmax(logits.copy(), own, bounded)
+        np.testing.assert_allclose(less, p - np.eye(7)[own], atol=1e-12)
+        np.testing.assert_allclose(found, np.log(p[np.arange(50), own]), atol=1e-12)

@@ -68,13 +68,12 @@ class Model:
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + ALPHA) / (self.tokens + ALPHA * (self.types + 1)))
 
-    def score(self, texts: pa.Array, known: dict[str, int]) -> dict[str, np.ndarray]:
-        """n_tokens, n_known, base_score and score of whole texts; `known` has the counts of their words."""
+    def score(self, texts: pa.Array, known: pa.Table) -> dict[str, np.ndarray]:
+        """n_tokens, n_known, base_score and score of whole texts; `known` has the counts `n` of each `word` of theirs."""
         index, forms, offsets = split_words(texts, lower=True)
-        names = forms.to_pylist()
-        ids = {w: 1 + k for k, w in enumerate(self.head.words)}
-        counts = np.fromiter((known.get(w, 0) for w in names), np.int64, len(names))
-        token = np.fromiter((ids.get(w) or self.head.size + ending_class(w, self.head.endings) for w in names), np.int64, len(names))
+        held = pc.index_in(forms, value_set=known["word"].combine_chunks())
+        counts = pc.fill_null(pc.take(known["n"].combine_chunks(), held), 0).to_numpy(zero_copy_only=False)
+        token = self.tokens_of(forms)
         ending = np.maximum(token - self.head.size, 0)
         share = np.log10((counts + ALPHA) / (self.class_tokens[ending] + ALPHA * (self.class_types[ending] + 1)))
         share[token < self.head.size] = 0
@@ -91,11 +90,17 @@ class Model:
             "base_score": total(self.base(counts)) + self.base(np.array(self.documents)),
             "score": modelled + total(share)}
 
+    def tokens_of(self, forms: pa.Array) -> np.ndarray:
+        """The network's token of each word: its place in the head, or its ending class behind the head."""
+        place = pc.index_in(forms, value_set=pa.array(self.head.words, forms.type))
+        ends = pc.utf8_slice_codeunits(forms, -2).dictionary_encode()
+        classes = np.array([ending_class(w, self.head.endings) for w in ends.dictionary.to_pylist()], np.int64)
+        ending = classes[ends.indices.to_numpy(zero_copy_only=False)]
+        return np.where(place.is_valid().to_numpy(zero_copy_only=False), 1 + place.fill_null(0).to_numpy(zero_copy_only=False), self.head.size + ending)
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         index, forms, offsets = split_words(texts, lower=True)
-        ids = {w: 1 + k for k, w in enumerate(self.head.words)}
-        token = np.fromiter((ids.get(w) or self.head.size + ending_class(w, self.head.endings) for w in forms.to_pylist()), np.int32, len(forms))
-        flat = token[index]
+        flat = self.tokens_of(forms).astype(np.int32)[index]
         return [np.append(flat[a:b], np.int32(END)) for a, b in zip(offsets, offsets[1:])]
 
 
@@ -205,8 +210,7 @@ def score(rows: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     kind = dict(texts.dtypes)["doc_id"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right["word"].to_pylist(), right["n"].to_pylist()))
-        found = model.score(left["text"].combine_chunks(), known)
+        found = model.score(left["text"].combine_chunks(), right)
         return pa.table({"doc_id": left["doc_id"], **{k: pa.array(v) for k, v in found.items()}})
 
     return texts.groupBy("f", "b").cogroup(own.groupBy("f", "b")).applyInArrow(

@@ -123,20 +123,41 @@ class Network:
         return self
 
     def _steps(self, h, x, first, trace=None):
-        w, n2 = self.w, 2 * self.hidden
-        gx, turn, states = w["gates"][x], w["turn"], []
+        """Last and all states from h on; `trace` gets the states before, both gates, the new states and their recurrent inputs.
+
+        The three parts of the gates lie apart, so that every operation of a step runs over whole arrays.
+        """
+        hidden, kind = self.hidden, self.w["gates"].dtype
+        # Halving is exact, so the sigmoids' halved sums are taken from halved weights.
+        gates, turn = (np.ascontiguousarray(self.w[n].reshape(-1, 3, hidden).transpose(1, 0, 2)) * np.array([0.5, 0.5, 1], kind)[:, None, None]
+                       for n in ("gates", "turn"))
+        kept, lanes, starts = trace is not None, len(h), first.any(1)
+        states, steps = np.empty((len(x), lanes, hidden), kind), len(x) if kept else 1
+        zr, (before, new, an) = np.empty((steps, 2, lanes, hidden), kind), np.empty((3, steps, lanes, hidden), kind)
+        gx, a = np.empty((2, 3, lanes, hidden), kind)
         for t in range(len(x)):
-            if first[t].any():
+            at = t if kept else 0
+            if starts[t]:
                 h = h * ~first[t][:, None]
-            a = h @ turn
-            zr = 0.5 * np.tanh(0.5 * (gx[t, :, :n2] + a[:, :n2])) + np.float32(0.5)
-            z, r = zr[:, : self.hidden], zr[:, self.hidden:]
-            new = np.tanh(gx[t, :, n2:] + r * a[:, n2:])
-            if trace is not None:
-                trace.append((h, zr, new, a[:, n2:]))
-            h = new + z * (h - new)
-            states.append(h)
-        return h, np.stack(states)
+            for part in range(3):
+                np.take(gates[part], x[t], 0, out=gx[part], mode="clip")
+            np.matmul(h, turn, out=a)
+            own = np.add(gx[:2], a[:2], out=zr[at])
+            np.tanh(own, out=own)
+            own *= kind.type(0.5)
+            own += kind.type(0.5)
+            if kept:
+                before[t], an[t] = h, a[2]
+            one = np.multiply(own[1], a[2], out=new[at])
+            one += gx[2]
+            np.tanh(one, out=one)
+            state = np.subtract(h, one, out=states[t])
+            state *= own[0]
+            state += one
+            h = state
+        if kept:
+            trace.extend((before, zr, new, an))
+        return h, states
 
     def _groups(self, target: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first word, end, positions) of each head class of several words among the targets."""
@@ -148,11 +169,17 @@ class Network:
                 yield a, b, order[edges[c]:edges[c + 1]]
 
     @staticmethod
-    def _softmax(logits):
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1, keepdims=True)
-        return p / total, logits - np.log(total)
+    def _softmax(logits, own, bounded: bool):
+        """In place the softmax less one at the chosen columns, and their log-softmax; no shift is needed where exp cannot overflow."""
+        row = np.arange(len(own))
+        if not bounded:
+            logits -= logits.max(1, keepdims=True)
+        found = logits[row, own]
+        p = np.exp(logits, out=logits)
+        total = p @ np.ones(p.shape[1], p.dtype)
+        p *= (1 / total)[:, None]
+        p[row, own] -= 1
+        return p, found - np.log(total)
 
     def _largest(self) -> float:
         """Bound of all logits: states lie within -1 and 1."""
@@ -167,7 +194,7 @@ class Network:
             top = logits.max(1)
             logits -= top[:, None]
             found = found - top
-        return found - np.log(np.exp(logits, out=logits).sum(1))
+        return found - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype))
 
     def _log_probabilities(self, h, target, bounded: bool, rows: int = 4096):
         """As `_out` without gradients; the class softmax goes by runs of rows that stay in cache."""
@@ -179,23 +206,29 @@ class Network:
             score[at] += self._chosen(h[at] @ self.w["word"][a:b].T + self.w["word0"][a:b], target[at] - a, bounded)
         return score
 
-    def _out(self, h, target, grads):
-        """Natural log probability of each target's class and, for head words, of the word in it."""
-        row = np.arange(len(target))
-        classes = self.class_of[target]
-        p, logp = self._softmax(h @ self.w["out"] + self.w["out0"])
-        score = logp[row, classes].astype(np.float64)
-        p[row, classes] -= 1
-        grads["out"], grads["out0"] = h.T @ p, p.sum(0)
-        dh = p @ self.w["out"].T
-        grads["word"], grads["word0"] = np.zeros_like(self.w["word"]), np.zeros_like(self.w["word0"])
+    def _out(self, h, target, grads, rows: int = 1024):
+        """Natural log probability of each target's class and, for head words, of the word in it; by runs of rows that stay in cache."""
+        w, classes, bounded = self.w, self.class_of[target], self._largest() < 80
+        score, dh = np.empty(len(target)), np.empty(h.shape, np.result_type(h, w["out"]))
+        for name in ("out", "out0", "word", "word0"):
+            grads[name] = np.zeros_like(w[name])
+        turned = np.ascontiguousarray(w["out"].T)
+        for at in range(0, len(target), rows):
+            cut = slice(at, at + rows)
+            logits = h[cut] @ w["out"]
+            logits += w["out0"]
+            p, score[cut] = self._softmax(logits, classes[cut], bounded)
+            grads["out"] += h[cut].T @ p
+            grads["out0"] += np.ones(len(p), p.dtype) @ p
+            np.matmul(p, turned, out=dh[cut])
         for a, b, at in self._groups(target):
-            p, logp = self._softmax(h[at] @ self.w["word"][a:b].T + self.w["word0"][a:b])
-            own = np.arange(len(at)), target[at] - a
-            score[at] += logp[own]
-            p[own] -= 1
-            grads["word"][a:b], grads["word0"][a:b] = p.T @ h[at], p.sum(0)
-            dh[at] += p @ self.w["word"][a:b]
+            states, words = h[at], w["word"][a:b]
+            logits = states @ words.T
+            logits += w["word0"][a:b]
+            p, found = self._softmax(logits, target[at] - a, bounded)
+            score[at] += found
+            grads["word"][a:b], grads["word0"][a:b] = p.T @ states, np.ones(len(p), p.dtype) @ p
+            dh[at] += p @ words
         return score, dh
 
     def score(self, documents: list[np.ndarray], width: int = 256, window: int = 64) -> list[np.ndarray]:
@@ -237,20 +270,27 @@ class Network:
         return tokens
 
     def _back(self, dh_all, x, first, trace, grads):
-        hidden, turn = self.hidden, self.w["turn"]
-        dgx = np.zeros((*x.shape, 3 * hidden), np.float32)
-        dturn, dh = np.zeros_like(turn), np.zeros_like(dh_all[0])
+        hidden = self.hidden
+        back = np.ascontiguousarray(self.w["turn"].T)
+        before, zr, new, an = trace
+        z, r = zr[:, 0], zr[:, 1]
+        # What a step's gradient is multiplied by depends on the states alone: dh to z's and new's input; new's to r's.
+        slope = zr * (1 - zr)
+        to_z, to_r, to_new = (before - new) * slope[:, 0], an * slope[:, 1], (1 - z) * (1 - new * new)
+        dgx, da = np.empty((2, *x.shape, 3 * hidden), dh_all.dtype)
+        dh, starts = np.zeros_like(dh_all[0]), first.any(1)
         for t in range(len(x) - 1, -1, -1):
-            before, zr, new, an = trace[t]
-            z, r = zr[:, :hidden], zr[:, hidden:]
-            dh = dh + dh_all[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dzr = np.concatenate([dh * (before - new), dnew * an], 1) * zr * (1 - zr)
-            da = np.concatenate([dzr, dnew * r], 1)
-            dgx[t, :, : 2 * hidden], dgx[t, :, 2 * hidden:] = dzr, dnew
-            dturn += before.T @ da
-            dh = (dh * z + da @ turn.T) * ~first[t][:, None]
-        grads["turn"] = dturn
+            dh += dh_all[t]
+            dnew = dh * to_new[t]
+            one = da[t]
+            one[:, :hidden], one[:, hidden:2 * hidden], one[:, 2 * hidden:] = dh * to_z[t], dnew * to_r[t], dnew * r[t]
+            dgx[t, :, 2 * hidden:] = dnew
+            dh *= z[t]
+            dh += one @ back
+            if starts[t]:
+                dh *= ~first[t][:, None]
+        dgx[:, :, :2 * hidden] = da[:, :, :2 * hidden]
+        grads["turn"] = before.reshape(-1, hidden).T @ da.reshape(-1, 3 * hidden)
         flat = x.ravel()
         order = np.argsort(flat, kind="stable")
         rows, begin = np.unique(flat[order], return_index=True)
@@ -260,6 +300,10 @@ class Network:
         scale = np.float32(1 / np.sqrt(count))
         for name, g in grads.items():
             at, g = g if name == "gates" else (slice(None), g)
-            g = np.clip(g * scale, -most, most)
-            self.sums[name][at] += g * g
-            self.w[name][at] -= np.float32(rate) * g / np.sqrt(self.sums[name][at])
+            g = g * scale
+            np.minimum(np.maximum(g, -np.float32(most), out=g), np.float32(most), out=g)
+            sums = self.sums[name][at] + g * g
+            self.sums[name][at] = sums
+            g *= np.float32(rate)
+            g /= np.sqrt(sums, out=sums)
+            self.w[name][at] -= g
