@@ -129,8 +129,8 @@ class Network:
         """
         hidden, kind = self.hidden, self.w["gates"].dtype
         # Halving is exact, so the sigmoids' halved sums are taken from halved weights.
-        gates, turn = (np.ascontiguousarray(self.w[n].reshape(-1, 3, hidden).transpose(1, 0, 2)) * np.array([0.5, 0.5, 1], kind)[:, None, None]
-                       for n in ("gates", "turn"))
+        halves = np.repeat(np.array([0.5, 0.5, 1], kind), hidden)
+        gates, turn = np.ascontiguousarray((self.w["gates"] * halves).reshape(-1, 3, hidden).transpose(1, 0, 2)), self.w["turn"] * halves
         kept, lanes, starts = trace is not None, len(h), first.any(1)
         states, steps = np.empty((len(x), lanes, hidden), kind), len(x) if kept else 1
         zr, (before, new, an) = np.empty((steps, 2, lanes, hidden), kind), np.empty((3, steps, lanes, hidden), kind)
@@ -141,7 +141,7 @@ class Network:
                 h = h * ~first[t][:, None]
             for part in range(3):
                 np.take(gates[part], x[t], 0, out=gx[part], mode="clip")
-            np.matmul(h, turn, out=a)
+            np.copyto(a, (h @ turn).reshape(lanes, 3, hidden).transpose(1, 0, 2))
             own = np.add(gx[:2], a[:2], out=zr[at])
             np.tanh(own, out=own)
             own *= kind.type(0.5)
@@ -169,17 +169,20 @@ class Network:
                 yield a, b, order[edges[c]:edges[c + 1]]
 
     @staticmethod
-    def _softmax(logits, own, bounded: bool):
-        """In place the softmax less one at the chosen columns, and their log-softmax; no shift is needed where exp cannot overflow."""
-        row = np.arange(len(own))
-        if not bounded:
-            logits -= logits.max(1, keepdims=True)
-        found = logits[row, own]
-        p = np.exp(logits, out=logits)
-        total = p @ np.ones(p.shape[1], p.dtype)
-        p *= (1 / total)[:, None]
-        p[row, own] -= 1
-        return p, found - np.log(total)
+    def _softmax(logits, own, rows: int = 1024):
+        """In place the softmax less one at the chosen columns, and their log-softmax; by runs of rows that stay in cache."""
+        found = np.empty(len(own), logits.dtype)
+        for at in range(0, len(own), rows):
+            p, of = logits[at:at + rows], own[at:at + rows]
+            row = np.arange(len(of))
+            p -= p.max(1, keepdims=True)
+            chosen = p[row, of]
+            np.exp(p, out=p)
+            total = p.sum(1)
+            p /= total[:, None]
+            found[at:at + rows] = chosen - np.log(total)
+            p[row, of] -= 1
+        return logits, found
 
     def _largest(self) -> float:
         """Bound of all logits: states lie within -1 and 1."""
@@ -194,7 +197,7 @@ class Network:
             top = logits.max(1)
             logits -= top[:, None]
             found = found - top
-        return found - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype))
+        return found - np.log(np.exp(logits, out=logits).sum(1))
 
     def _log_probabilities(self, h, target, bounded: bool, rows: int = 4096):
         """As `_out` without gradients; the class softmax goes by runs of rows that stay in cache."""
@@ -206,28 +209,23 @@ class Network:
             score[at] += self._chosen(h[at] @ self.w["word"][a:b].T + self.w["word0"][a:b], target[at] - a, bounded)
         return score
 
-    def _out(self, h, target, grads, rows: int = 1024):
-        """Natural log probability of each target's class and, for head words, of the word in it; by runs of rows that stay in cache."""
-        w, classes, bounded = self.w, self.class_of[target], self._largest() < 80
-        score, dh = np.empty(len(target)), np.empty(h.shape, np.result_type(h, w["out"]))
-        for name in ("out", "out0", "word", "word0"):
-            grads[name] = np.zeros_like(w[name])
-        turned = np.ascontiguousarray(w["out"].T)
-        for at in range(0, len(target), rows):
-            cut = slice(at, at + rows)
-            logits = h[cut] @ w["out"]
-            logits += w["out0"]
-            p, score[cut] = self._softmax(logits, classes[cut], bounded)
-            grads["out"] += h[cut].T @ p
-            grads["out0"] += np.ones(len(p), p.dtype) @ p
-            np.matmul(p, turned, out=dh[cut])
+    def _out(self, h, target, grads):
+        """Natural log probability of each target's class and, for head words, of the word in it."""
+        w, classes = self.w, self.class_of[target]
+        logits = h @ w["out"]
+        logits += w["out0"]
+        p, found = self._softmax(logits, classes)
+        score = found.astype(np.float64)
+        grads["out"], grads["out0"] = h.T @ p, p.sum(0)
+        dh = p @ w["out"].T
+        grads["word"], grads["word0"] = np.zeros_like(w["word"]), np.zeros_like(w["word0"])
         for a, b, at in self._groups(target):
             states, words = h[at], w["word"][a:b]
             logits = states @ words.T
             logits += w["word0"][a:b]
-            p, found = self._softmax(logits, target[at] - a, bounded)
+            p, found = self._softmax(logits, target[at] - a)
             score[at] += found
-            grads["word"][a:b], grads["word0"][a:b] = p.T @ states, np.ones(len(p), p.dtype) @ p
+            grads["word"][a:b], grads["word0"][a:b] = p.T @ states, p.sum(0)
             dh[at] += p @ words
         return score, dh
 
@@ -270,27 +268,30 @@ class Network:
         return tokens
 
     def _back(self, dh_all, x, first, trace, grads):
-        hidden = self.hidden
-        back = np.ascontiguousarray(self.w["turn"].T)
+        hidden, turn = self.hidden, self.w["turn"]
         before, zr, new, an = trace
         z, r = zr[:, 0], zr[:, 1]
-        # What a step's gradient is multiplied by depends on the states alone: dh to z's and new's input; new's to r's.
-        slope = zr * (1 - zr)
-        to_z, to_r, to_new = (before - new) * slope[:, 0], an * slope[:, 1], (1 - z) * (1 - new * new)
-        dgx, da = np.empty((2, *x.shape, 3 * hidden), dh_all.dtype)
-        dh, starts = np.zeros_like(dh_all[0]), first.any(1)
+        # What a step's gradient is multiplied by depends on the states alone.
+        apart, rest, slope = before - new, 1 - zr, 1 - new * new
+        dgx, da = np.empty((*x.shape, 3 * hidden), dh_all.dtype), np.empty((x.shape[1], 3 * hidden), dh_all.dtype)
+        dturn, dh, starts = np.zeros_like(turn), np.zeros_like(dh_all[0]), first.any(1)
         for t in range(len(x) - 1, -1, -1):
             dh += dh_all[t]
-            dnew = dh * to_new[t]
-            one = da[t]
-            one[:, :hidden], one[:, hidden:2 * hidden], one[:, 2 * hidden:] = dh * to_z[t], dnew * to_r[t], dnew * r[t]
-            dgx[t, :, 2 * hidden:] = dnew
+            dnew = dh * rest[t, 0]
+            dnew *= slope[t]
+            dz, dr = dh * apart[t], dnew * an[t]
+            for part, gate, other in ((dz, z[t], rest[t, 0]), (dr, r[t], rest[t, 1])):
+                part *= gate
+                part *= other
+            np.concatenate([dz, dr, dnew], 1, out=dgx[t])
+            dnew *= r[t]
+            np.concatenate([dz, dr, dnew], 1, out=da)
+            dturn += before[t].T @ da
             dh *= z[t]
-            dh += one @ back
+            dh += da @ turn.T
             if starts[t]:
                 dh *= ~first[t][:, None]
-        dgx[:, :, :2 * hidden] = da[:, :, :2 * hidden]
-        grads["turn"] = before.reshape(-1, hidden).T @ da.reshape(-1, 3 * hidden)
+        grads["turn"] = dturn
         flat = x.ravel()
         order = np.argsort(flat, kind="stable")
         rows, begin = np.unique(flat[order], return_index=True)
@@ -301,7 +302,7 @@ class Network:
         for name, g in grads.items():
             at, g = g if name == "gates" else (slice(None), g)
             g = g * scale
-            np.minimum(np.maximum(g, -np.float32(most), out=g), np.float32(most), out=g)
+            np.clip(g, -most, most, out=g)
             sums = self.sums[name][at] + g * g
             self.sums[name][at] = sums
             g *= np.float32(rate)
