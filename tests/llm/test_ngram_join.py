@@ -1,6 +1,8 @@
 """The n-gram Jaccard join against brute force: its signatures, its crowded and spread paths, odd rows."""
 
+import os
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -165,3 +167,100 @@ def test_query_matches_oracle_on_odd_rows(spark, folder):
     want = {r[0]: r for r in con.execute(ngram_join.ORACLE_SQL).fetchall()}
     rows = ngram_join.op11_ngram_join(spark, folder).filter("doc_id is not null").collect()
     assert {r["doc_id"]: tuple(r) for r in rows} == want
+
+
+def placed(spark, step):
+    """(_rid, _t) of some texts, their rows `step` apart in three files, one partition."""
+    draw = random.Random(6)
+    rows = [((k % 3, k * step), " ".join(f"w{draw.randrange(400)}" for _ in range(draw.randrange(1, 200)))) for k in range(120)]
+    rows.sort()
+    return rows, spark.createDataFrame(rows, "_rid struct<f: bigint, i: bigint>, _t string").coalesce(1)
+
+
+@pytest.mark.parametrize("files, step", [(1, 1), (1, 1 << 12), (3, 1)])
+def test_packed_signatures_name_their_texts(spark, files, step):
+    rows, texts = placed(spark, step)
+    rows, texts = [r for r in rows if r[0][0] < files], texts.filter(F.col("_rid.f") < files)
+    want = set()
+    for (f, i), t in rows:
+        rid = pa.array([{"f": f, "i": i}], pa.struct([("f", pa.int64()), ("i", pa.int64())]))
+        key = int(ngram_join.marks(*ngram_join.places(rid))[0])
+        for s in ngram_join.signatures(ngram_join.shingle_sets(pa.array([t]))[0]).tolist():
+            want.add(((s >> 32) * 5000 >> 32, s & 0xFFFFFFFF, key))
+    got = set()
+    for r in ngram_join.packed_signatures(texts, 5000).collect():
+        sig, key = ngram_join._unpacked(r["bucket"], [(r["start"], bytes(r["sigs"]), bytes(r["keys"]), bytes(r["owners"]))])
+        got |= {(s >> 32, s & 0xFFFFFFFF, k) for s, k in zip(sig.tolist(), key.tolist())}
+    assert got == want and len({k for _, _, k in want}) == len(rows)
+
+
+def test_a_signature_is_six_bytes_however_many_buckets(spark):
+    _, texts = placed(spark, 1)
+    texts = texts.filter("_rid.f = 0")
+    for buckets in (1, 100, 10_000):
+        size = ngram_join.packed_signatures(texts, buckets).agg(F.sum(F.length("sigs")), F.sum(F.length("keys") + F.length("owners"))).first()
+        assert size[0] > 10_000 and 2 * size[1] == size[0]
+
+
+def test_texts_stay_where_they_are(spark, monkeypatch, tmp_path):
+    spark.range(6400).selectExpr("id AS doc_id", "concat('word ', id, ' of this text') AS text").repartition(2).write.parquet(f"{tmp_path}/d")
+    monkeypatch.setattr("verdictlake.llm.rows.BROADCAST_BYTES", 6400 * 2)
+    run = ngram_join.Join(ngram_join.identified(spark.read.parquet(f"{tmp_path}/d")), "doc_id", "text")
+    for keys, n in ((None, 6400), (run.firsts.filter("pmod(key, 3) = 0").select("key"), run.firsts.filter("pmod(key, 3) = 0").count())):
+        texts = run.texts(keys)
+        plan = texts._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+        assert "Exchange" not in plan
+        assert texts.count() == texts.distinct().count() == n > 2000
+    kept = run.texts(run.firsts.filter("pmod(key, 3) = 0").select("key")).select("_rid")
+    assert kept.exceptAll(run.firsts.filter("pmod(key, 3) = 0").select("first.rid")).isEmpty()
+
+
+def test_pairs_bring_their_sets_together():
+    rng = np.random.default_rng(3)
+    rows, want = [], set()
+    for k in range(300):
+        x = np.unique(rng.integers(0, 1 << 64, int(rng.integers(1, 60)), dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: len(x) - int(rng.integers(0, 1 + len(x) // 5))], rng.integers(0, 1 << 64, int(rng.integers(0, 2 + len(x) // 6)), dtype=np.uint64)]))
+        rows += [(k // 7, k, x.tobytes()), (k // 7, k, y.tobytes())]
+        if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)):
+            want.add((k // 7, k))
+    assert 50 < len(want) < 250
+    table = pa.table([pa.array(c) for c in zip(*rows)], names=["a", "b", "found"])
+    for size in (1, 5, 1000):
+        got = [p for batch in ngram_join._alike(iter(table.to_batches(max_chunksize=size))) for p in zip(batch["a"].to_pylist(), batch["b"].to_pylist())]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_leaders_of_many_pairs_are_spread(spark, copies, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHARE", 3)
+    docs = spark.createDataFrame(copies, "doc_id bigint, text string").repartition(5)
+    assert found(docs) == brute(copies)
+
+
+def test_shuffles_go_with_their_step(spark, copies, monkeypatch):
+    folders = [f.getPath() for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {name for folder in folders for _, _, names in os.walk(folder) for name in names if name.startswith("shuffle_")}
+
+    left = []
+
+    def written(df):
+        before = shuffled()
+        out = write_through(df)
+        left.append(shuffled() - before)
+        for _ in range(50):
+            if not left[-1]:
+                break
+            time.sleep(0.1)
+            left[-1] = shuffled() - before
+        return out
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key)
+    monkeypatch.setattr(ngram_join, "write_through", written)
+    monkeypatch.setattr("verdictlake.llm.components.write_through", written)
+    docs = spark.createDataFrame(copies, "doc_id bigint, text string").repartition(5)
+    assert found(docs) == brute(copies)
+    assert len(left) > 10 and not any(left)
+    assert spark.conf.get(key) == setting
